@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality, simhash, toxicity
+from . import bpe, chat, exact_dedup, licenses, media, mixing, quality, simhash, toxicity, urls
 from .shared import table
 
 
@@ -13,6 +13,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copy_report(table(spark, sf_dir, "embeddings"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -33,9 +49,58 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_toxicity, op6_bpe, op7_mixing, op9_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_media_copies, op3_licenses, op4_url_filter, op5_toxicity, op6_bpe, op7_mixing, op8_chat_format, op9_exact_dedup, op10_simhash)}
 
 ORACLE_SQL = {
+    "op4_url_filter": r"""
+        WITH RECURSIVE p AS (
+            SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        r(own, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        b AS (
+            SELECT p.*, f.rule, f.own,
+                   CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/$', '') END AS node,
+                   nullif(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*', 0), '') AS tag
+            FROM p LEFT JOIN LATERAL (
+                SELECT rh || rp AS rule, own FROM r
+                WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1) f ON true),
+        e AS (SELECT node AS u, regexp_extract(tag, 'href\s*=\s*["'']([^"'']+)', 1) AS v FROM b WHERE tag IS NOT NULL),
+        g AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+        reach AS (SELECT node AS a, node AS z FROM b WHERE node IN (SELECT u FROM g) UNION SELECT a, g.v FROM reach JOIN g ON g.u = z),
+        alias AS (SELECT a, z FROM reach UNION SELECT node, node FROM b WHERE node IS NOT NULL),
+        m AS (SELECT node, bool_or(own = 'allow') AS allow, bool_or(own = 'block') AS block FROM b WHERE own IS NOT NULL GROUP BY node),
+        c AS (SELECT a, bool_or(allow) AS allow, bool_or(block) AS block FROM alias JOIN m ON m.node = z GROUP BY a)
+        SELECT page_id, host, path, rule, coalesce(own, CASE WHEN block AND NOT allow THEN 'block' ELSE 'allow' END) AS verdict
+        FROM b LEFT JOIN c ON c.a = b.node""",
+    "op8_chat_format": r"""
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        l AS (SELECT conv_id, row_number() OVER o AS place,
+                     string_agg(md5(role) || md5(text), '/') OVER o AS prefix,
+                     string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '') OVER o AS rendered,
+                     count(*) OVER (PARTITION BY conv_id) AS n_turns
+              FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING)),
+        w AS (SELECT * FROM l WHERE place = n_turns),
+        k AS (SELECT min(conv_id) AS conv_id FROM w WHERE prefix NOT IN (SELECT prefix FROM l WHERE place < n_turns) GROUP BY prefix)
+        SELECT w.conv_id, w.n_turns, w.rendered FROM w JOIN k ON k.conv_id = w.conv_id""",
+    "op3_licenses": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents),
+        j AS (SELECT doc_id, len(ws) AS n_words, ws, ' ' || array_to_string(ws, ' ') || ' ' AS s FROM d),
+        b(phrase, label) AS (VALUES ('cc by', 'cc-by'), ('general public license', 'gpl'), ('all rights reserved', 'reserved')),
+        p AS (SELECT doc_id, label, i - 1 AS word
+              FROM (SELECT doc_id, ws, n_words, unnest(range(1, n_words + 1)) AS i FROM j
+                    WHERE contains(s, ' cc by ') OR contains(s, ' general public license ') OR contains(s, ' all rights reserved ')) x
+              JOIN b ON ws[i] = string_split(phrase, ' ')[1] AND array_to_string(ws[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+        t(label, pattern) AS (VALUES {templates}),
+        m AS (SELECT DISTINCT doc_id, label FROM j JOIN t ON regexp_matches(s, pattern)),
+        g AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+        h AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT * FROM m) GROUP BY doc_id)
+        SELECT j.doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               CASE WHEN j.doc_id IN (SELECT doc_id FROM m) THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+        FROM j LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id)""".replace("{templates}", licenses.sql_values()),
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
