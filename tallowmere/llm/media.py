@@ -196,7 +196,9 @@ def pictures_of(seeds: DataFrame, edit: bool) -> DataFrame:
                 made = [edited(p, s & 0x7FFFFFFFFFFFFFFF) for p, s in zip(made, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.shape[0] for p in made], pa.int32()), pa.array([p.shape[1] for p in made], pa.int32()), pa.array([p.tobytes() for p in made], pa.binary())], ["id", "height", "width", "pixels"])
 
-    return seeds.select("id", "seed").mapInArrow(run, "id long, height int, width int, pixels binary")
+    # few bytes a row, but much work: by number, else Spark would put them into one partition
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seeds.select("id", "seed").repartition(parts).mapInArrow(run, "id long, height int, width int, pixels binary")
 
 
 def copy_report(vectors: DataFrame, every: int = 50) -> DataFrame:
