@@ -1,4 +1,8 @@
 """Every query of the library by name, and for each the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .plans import audit, entities  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

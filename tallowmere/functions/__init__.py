@@ -1 +1 @@
-"""..."""
+"""Column expressions: numbers, texts, identities."""

@@ -1 +1 @@
-"""..."""
+"""Operators: functions from DataFrames to a DataFrame, without actions of their own."""

@@ -1 +1 @@
-"""..."""
+"""Readers and writers: delimited, JSON lines, Parquet, nested archives, manifests, JDBC."""
