@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audit, entities  # noqa: F401
+from .plans import audit, entities, inference, summary  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
