@@ -71,12 +71,13 @@ def melted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> D
 def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
     """By ``feature`` of :func:`melted` rows: counts, moments, quantiles (linear), corrected skewness and kurtosis, rates, outliers.
 
-    The whole of a feature's quantiles needs its distinct values with counts in one aggregation buffer;
-    outliers are counted in a second pass against the first one's bounds.
+    A feature's exact quantiles need its distinct values with counts in one aggregation buffer; outliers are
+    counted in a second pass against the first one's bounds.
     """
     v, n = F.col("value"), F.count("value")
     g1, g2, k = F.skewness("value"), F.kurtosis("value"), n.cast("double")
-    q = [F.percentile("value", p).alias(f"q{round(100 * p):02d}") for p in QUANTILES]
+    # one buffer of distinct values for all quantiles
+    q = [F.percentile("value", F.array(*map(F.lit, QUANTILES))).alias("__q")]
     more = [] if target is None else [F.corr("value", F.col(target).cast("double")).alias("target_corr"), F.avg(F.when(F.col(target) == 1, v)).alias("mean_1"), F.avg(F.when(F.col(target) == 0, v)).alias("mean_0")]
     s = long.groupBy("feature").agg(
         F.count("*").alias("rows"), n.alias("present"), F.count_distinct("value").alias("distinct"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), *q,
@@ -84,6 +85,7 @@ def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
         F.when(n > 3, (k - 1) / F.greatest((k - 2) * (k - 3), F.lit(1.0)) * ((k + 1) * g2 + 6)).alias("kurtosis"),
         (count_where(v == 0) / F.greatest(n, F.lit(1))).alias("zero_rate"), (count_where(v < 0) / F.greatest(n, F.lit(1))).alias("negative_rate"), *more,
     )
+    s = s.withColumns({f"q{round(100 * p):02d}": F.col("__q")[i] for i, p in enumerate(QUANTILES)}).drop("__q")
     width = F.col("q75") - F.col("q25")
     bounds = s.select(F.col("feature").alias("__f"), (F.col("q25") - 1.5 * width).alias("__lo"), (F.col("q75") + 1.5 * width).alias("__hi"), F.col("mean").alias("__m"), F.col("std").alias("__s"))
     out = long.join(F.broadcast(bounds), F.col("feature") == F.col("__f")).groupBy("feature").agg(

@@ -160,10 +160,10 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
     concept_state = _reason((col("concept_id").isNull(), "SOURCE_MISSING"), (col("c_shown").isNull(), "NOT_EXPOSED"), (F.array_contains("allowed_concept_ids", col("concept_id")), "EXPOSED_ALLOWED"), otherwise="EXPOSED_FORBIDDEN")
     t = col("claim_type")
     state = F.when(t.isin("feature_presence", "feature_direction"), feature_state).when(t.isin("concept_presence", "concept_direction"), concept_state).when(t.isin("ranking", "magnitude"), F.when(feature, feature_state).otherwise(concept_state)).when((t == "numeric") & feature, feature_state).when((t == "numeric") & col("concept_id").isNotNull(), concept_state).otherwise("NOT_APPLICABLE")
-    family = F.create_map(*[x for r, fam, _ in REASONS for x in (F.lit(r), F.lit(fam))])
-    status = F.create_map(*[x for r, _, st in REASONS for x in (F.lit(r), F.lit(st))])
-    out = j.withColumn("exposure_state", state).withColumn("reason_code", reason)
-    out = out.withColumns({"reason_family": family[col("reason_code")], "validation_status": status[col("reason_code")]})
+    # the reasons are a table of fixed size; a join also keeps the long expression from being planned several times
+    table = claims.sparkSession.createDataFrame(list(REASONS), "reason_code string, reason_family string, validation_status string")
+    out = j.withColumn("exposure_state", state).withColumn("reason_code", reason).select(*claims.columns, "exposure_state", "reason_code")
+    out = out.join(F.broadcast(table), "reason_code", "left")
     out = out.withColumn("execution_status", F.when(col("validation_status").isNull(), "ERROR").otherwise("SUCCESS"))
     return out.select(*claims.columns, "exposure_state", "reason_code", "reason_family", "validation_status", "execution_status")
 
