@@ -127,11 +127,13 @@ def near_report(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def near_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs`` with one document of each group, the one with the least id; all columns as they were.
 
-    Rows that repeat the id that stays are one row afterwards.  A group without ids loses no row.
+    Rows that repeat the id that stays are one row afterwards.  Rows without an id are never dropped: none
+    of them can be named as the one that stays.
     """
     g, _ = written(near_groups(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     left = docs.join(g, docs["doc_id"].cast("long") == g["__gone"], "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(left.where("doc_id is null")).select(docs.columns)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
