@@ -10,7 +10,9 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -215,7 +217,7 @@ def decoded(rows: DataFrame, tokenizer: str, column: str = "token_ids") -> DataF
         source = spark.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("string")
-    def run(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = WordBpe(source.value)
         for s in batches:
             yield s.map(lambda x: None if x is None else bpe.decode(x.tolist()))
