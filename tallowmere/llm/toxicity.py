@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-The features of a text are which n-grams it has, hashed to ``BUCKETS``.  On the labelled sample the
-log of an n-gram's rate in toxic texts over that in others is its ratio; those of the largest
-log-likelihood statistic are kept, and a logistic regression is fitted on the kept ones, each
-valued at its ratio where present.
+The n-grams of a text are hashed to ``BUCKETS``.  On the labelled sample the log of the share of toxic
+texts with an n-gram over that of others is its ratio; those of the largest log-likelihood statistic
+are kept, and a logistic regression is fitted on the kept ones.  The value of an n-gram is its ratio
+times the root of its rate in the text: a long text has many n-grams once by chance.
 """
 
 from collections.abc import Iterator
@@ -24,6 +24,8 @@ SIZES = (4, 5)
 BUCKETS = 1 << 20
 #: Labelled rows to fit on, at most; n-grams to keep, at most; added to each count.
 ROWS, KEPT, SMOOTHING = 16_000, 512, 1.0
+#: One place in so many characters, beside half as many for any text, is a full rate.
+DENSE = 500
 REJECT = 0.3
 #: Characters hashed at once.
 BLOCK = 1 << 20
@@ -61,13 +63,13 @@ class Model:
         return at
 
 
-def present(text: str, at: np.ndarray, n: int) -> np.ndarray:
-    """Which of the ``n`` kept n-grams the text has."""
-    has = np.zeros(n, bool)
+def rates(text: str, at: np.ndarray, n: int) -> np.ndarray:
+    """How dense each of the ``n`` kept n-grams is in the text, 0 to 1: the root of its places in ``DENSE`` characters."""
+    places = np.zeros(n)
     for h in hashed_ngrams(text):
         found = at[h]
-        has[found[found >= 0]] = True
-    return has
+        places += np.bincount(found[found >= 0], minlength=n)
+    return np.sqrt(np.minimum(1.0, places * DENSE / (len(text) + DENSE / 2)))
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
 
     def run(batches):
         for b in batches:
-            x = [present(t, at, len(ratio)) * ratio for t in b.column(0).to_pylist()]
+            x = [rates(t, at, len(ratio)) * ratio for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
     rows_ = sample.select("text", "label").repartition(8).mapInArrow(run, "x array<double>, label int")
@@ -135,7 +137,7 @@ def score(model: Model, column: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at = model.places()
         for texts in batches:
-            z = np.array([model.weights @ present(t, at, len(model.weights)) for t in texts]) + model.bias
+            z = np.array([model.weights @ rates(t, at, len(model.weights)) for t in texts]) + model.bias
             yield pd.Series(1 / (1 + np.exp(-z)))
 
     return run(F.coalesce(column.cast("string"), F.lit("")))
