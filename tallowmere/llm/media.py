@@ -1,15 +1,15 @@
 """Media columns: local image descriptors that find cropped or edited copies of pictures.
 
 Corners at several scales get an orientation from the intensity around them and 128 binary tests turned
-by it.  Descriptors meet through tables of 32-bit parts of them and are verified by Hamming distance;
-of two pictures' matches, those that agree on one shift, turn and scale are counted.
+by it.  Descriptors meet through tables of thirds of them and are verified by Hamming distance; of two
+pictures' matches, those that agree on one shift, turn and scale are counted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, written
@@ -17,9 +17,7 @@ from .shared import small_batches, written
 #: Scales of the pyramid; corners kept of a picture at each; half a patch's width.
 SCALES, CORNERS, REACH = (1.0, 0.707, 0.5), (28, 14, 7), 10
 #: Bits of 128 that may differ; matches that must agree; pixels that their shifts may differ.
-HAMMING, AGREE, SLACK = 24, 4, 8
-#: Half and first bit of the tables' parts of a descriptor; their width.
-PARTS, WIDTH = ((0, 0), (0, 32), (1, 0), (1, 32)), 32
+HAMMING, AGREE, SLACK = 8, 4, 8
 
 
 def _tests(n: int = 128, seed: int = 11) -> np.ndarray:
@@ -127,16 +125,22 @@ def descriptors(pictures: DataFrame) -> DataFrame:
     return pictures.select(F.col("id").cast("long"), F.col("height").cast("int"), F.col("width").cast("int"), "pixels").mapInArrow(run, "id long, corner int, x float, y float, angle float, scale float, d0 long, d1 long")
 
 
+def _parts(d0: Column, d1: Column) -> list[Column]:
+    """Thirds of a descriptor: 43, 43 and 42 bits.  Descriptors that differ in two bits at most share one."""
+    middle = F.shiftrightunsigned(d0, 43).bitwiseOR(F.shiftleft(d1.bitwiseAND(F.lit((1 << 22) - 1)), 21))
+    return [d0.bitwiseAND(F.lit((1 << 43) - 1)), middle, F.shiftrightunsigned(d1, 22)]
+
+
 def _keyed(d: DataFrame) -> DataFrame:
-    part = lambda k, i: F.struct(F.lit(k).alias("t"), F.shiftrightunsigned(f"d{i[0]}", i[1]).bitwiseAND(F.lit((1 << WIDTH) - 1)).alias("k"))
-    return d.withColumn("__k", F.explode(F.array(*[part(k, i) for k, i in enumerate(PARTS)]))).select("*", F.col("__k.t").alias("t"), F.col("__k.k").alias("k")).drop("__k")
+    parts = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(_parts(F.col("d0"), F.col("d1")))])
+    return d.withColumn("__k", F.explode(parts)).select("*", F.col("__k.t").alias("t"), F.col("__k.k").alias("k")).drop("__k")
 
 
 def find_copies(queries: DataFrame, index: DataFrame, hamming: int = HAMMING, agree: int = AGREE) -> DataFrame:
     """``(query, id, agreeing)``: the pictures of ``index`` of which a query seems a cropped or edited copy.
 
-    Both sides are :func:`descriptors`.  Two descriptors match if a 32-bit part is equal and at most
-    ``hamming`` of all bits differ.  Each match says how the query lies in the picture: its turn, its scale
+    Both sides are :func:`descriptors`.  Two descriptors match if a third is equal and at most
+    ``hamming`` of all bits differ; the first table in which they meet gives the match.  Each match says how the query lies in the picture: its turn, its scale
     and the place of its corner; it votes for the cells of such poses around its own, and a pair stands if a
     cell has ``agree`` corners of the query.  Nothing is capped: a part that many descriptors share is
     joined whole, and Spark splits its partition.
@@ -144,7 +148,9 @@ def find_copies(queries: DataFrame, index: DataFrame, hamming: int = HAMMING, ag
     q = _keyed(queries.select(F.col("id").alias("query"), F.col("corner").alias("c"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("angle").alias("qa"), F.col("scale").alias("qs"), F.col("d0"), F.col("d1"))).withColumnsRenamed({"d0": "q0", "d1": "q1"})
     i = _keyed(index.select("id", "x", "y", "angle", "scale", "d0", "d1")).withColumnsRenamed({"t": "t_", "k": "k_"})
     bits = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1")))
-    m = q.join(i, (F.col("t") == F.col("t_")) & (F.col("k") == F.col("k_")) & (bits <= hamming))
+    same = [a == b for a, b in zip(_parts(F.col("q0"), F.col("q1")), _parts(F.col("d0"), F.col("d1")), strict=True)]
+    first = F.coalesce(*[F.when(s, t) for t, s in enumerate(same)])
+    m = q.join(i, (F.col("t") == F.col("t_")) & (F.col("k") == F.col("k_")) & (bits <= hamming) & (F.col("t") == first))
     turn, ratio = F.col("angle") - F.col("qa"), F.col("scale") / F.col("qs")
     px = F.col("x") - ratio * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))
     py = F.col("y") - ratio * (F.sin(turn) * F.col("qx") + F.cos(turn) * F.col("qy"))
