@@ -11,6 +11,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +27,42 @@ NONE = 1 << 62
 WORDS = 250_000
 
 
+#: First and last of the letters and digits that are new in Unicode 16.0.  The tokenizers know them.
+UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0),
+    (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9),
+    (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: First and last capital letter and first small one, new in Unicode 16.0 and 17.0; the tokenizers lower-case them.
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_SMALL = {c: c - a + small for a, b, small in CAPITALS for c in range(a, b + 1)}
+_CAPITAL = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
+@lru_cache(1)
+def later_characters() -> str:
+    """A character class of what ``regex`` takes for letters and digits but Unicode 16.0 has not: unassigned for this Python (15.1), and not among :data:`UNICODE_16`."""
+    known = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    later = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn" and ord(c) not in known]
+    return "".join(_ranges(later))
+
+
+def _ranges(points: list[int]) -> list[str]:
+    """Ascending code points as ranges of a character class."""
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return [f"\\U{a:08x}-\\U{b:08x}" for a, b in runs]
+
+
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte: itself if printable Latin-1, else one from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -107,6 +144,11 @@ class WordBpe:
         self.byte = {c: b for b, c in self.letter.items()}
         self.first = [self.vocab.get(self.letter[b]) for b in range(256)]
         self.last = [self.vocab.get(self.letter[b] + self.end) for b in range(256)]
+        # texts with characters that only newer Unicode knows are cut by a slower pattern, the same but for these
+        self.later = re.compile(f"[{later}]") if (later := later_characters()) else None
+        self.exact = regex.compile(
+            rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{later}]]+|[\p{{N}}--[{later}]]|(?:[{later}]|[^\s\p{{L}}\p{{N}}])+" if later else self.WORD.pattern
+        )
         self.limit, self.new, self.old = words, {}, {}
 
     def word_ids(self, word: str) -> list[int]:
@@ -128,7 +170,8 @@ class WordBpe:
     @staticmethod
     def normal(text: str) -> str:
         """Composed, lower-cased one character at a time (a final sigma is as any other)."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.translate(_SMALL) if _CAPITAL.search(text) else text
 
     def pieces(self, text: str) -> list[tuple[int, bytes, str]]:
         out: list[tuple[int, bytes, str]] = []
@@ -139,7 +182,11 @@ class WordBpe:
                 out.append((1, array("I", [i]).tobytes(), part))
                 continue
             get, known = self.new.get, self.known
-            words = self.PLAIN.findall(part.lower()) if part.isascii() else self.WORD.findall(self.normal(part))
+            if part.isascii():
+                words = self.PLAIN.findall(part.lower())
+            else:
+                part = self.normal(part)
+                words = (self.exact if self.later and self.later.search(part) else self.WORD).findall(part)
             out += [get(w) or known(w) for w in words]
         return out
 
