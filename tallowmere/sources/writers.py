@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -18,10 +18,16 @@ def parquet(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def twelve_digits(c: Column) -> Column:
+    """The number in at most twelve significant digits, without zeros at the end of the fraction."""
+    text = F.format_string("%.12g", c.cast("double"))
+    return F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
+
+
 def csv(df: DataFrame, path: str) -> None:
     """CSV with twelve significant digits for real numbers, alike in every run; as many files as partitions."""
     real = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
-    df.withColumns({c: F.format_string("%.12g", F.col(c).cast("double")) for c in real}).write.mode("overwrite").options(header="true").csv(path)
+    df.withColumns({c: twelve_digits(F.col(c)) for c in real}).write.mode("overwrite").options(header="true").csv(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
