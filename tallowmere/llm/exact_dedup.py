@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, shared_dir, text_of, written
+from .shared import BLANKS, removed, shared_dir, text_of, written
 
 
 def normalised(column: str = "text"):
@@ -47,7 +47,8 @@ class DigestIndex:
 
     def add(self, batch: DataFrame, number: int) -> None:
         """Append the digests of ``batch(doc_id, digest)`` that the index lacks, each with its least id (null if none has one)."""
-        own = batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        # written first: else the anti-join would be planned below the aggregate, and a text's copies shuffled one by one
+        own, path = written(batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
         new = own.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         (
             new.select("digest", "keep_id", F.lit(number).alias("batch"))
@@ -59,6 +60,7 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
+        removed(self.spark, path)
 
     def drop(self) -> None:
         """Forget the table's name; the files stay."""
