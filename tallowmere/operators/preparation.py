@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -97,11 +97,15 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.when(F.col(column) == v, 1).otherwise(0) for n, v in zip(names, levels, strict=True)}).drop(column)
 
 
-def balanced_weight(label: str) -> Column:
-    """n / (k n_c) for k classes present: the weight that gives each class the same total."""
-    whole = W.partitionBy()
-    own = F.count("*").over(W.partitionBy(label))
-    return F.count("*").over(whole) / (F.size(F.collect_set(label).over(whole)) * own)
+def with_balanced_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """``name``: n / (k n_c) for k classes present, the weight that gives each class the same total; NULL without a label.
+
+    The classes are counted and their few rows joined back; no task holds a class.
+    """
+    n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__n"))
+    k = n.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))
+    w = n.join(k, F.lit(True)).select(F.col(label).alias("__label"), (F.col("__all") / (F.col("__k") * F.col("__n"))).alias(name))
+    return df.join(w, F.col(label) == F.col("__label"), "left").drop("__label")
 
 
 def kinds(df: DataFrame) -> dict[str, str]:

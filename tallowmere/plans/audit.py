@@ -127,11 +127,8 @@ def one_hot_columns(spark, sf_dir):
 @query("""
     SELECT doc_id, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels) * count(*) OVER (PARTITION BY quality)), 6) AS weight FROM labels""")
 def balanced_weights(spark, sf_dir):
-    d = t(spark, sf_dir, "labels")
-    n = d.groupBy("quality").agg(F.count("*").alias("n"))
-    k = n.agg(F.sum("n").alias("all"), F.count("*").alias("k"))
-    w = n.join(F.broadcast(k), F.lit(True)).select("quality", (F.col("all") / (F.col("k") * F.col("n"))).alias("weight"))
-    return rounded(d.join(F.broadcast(w), "quality").select("doc_id", "weight"), {"weight": 6})
+    d = t(spark, sf_dir, "labels").where("quality is not null")
+    return rounded(preparation.with_balanced_weight(d, "quality").select("doc_id", "weight"), {"weight": 6})
 
 
 @query("""

@@ -52,7 +52,7 @@ def test_query_equals_its_sql(spark, small, duck, name):
 
 
 def test_all_but_a_few_queries_have_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"signed_rank_tests", "rm_anova_pvalues"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"signed_rank_tests", "rm_anova_pvalues", "model_scores", "permutation_attribution"}
 
 
 def test_entry_gives_rows(spark):
@@ -67,3 +67,18 @@ def test_partitions_change_nothing(spark, small, tmp_path, name):
         spark.read.parquet(f).repartition(7).write.parquet(f"{tmp_path}/{os.path.basename(f)}")
     one, other = (Counter(tuple(map(cell, r)) for r in catalog.QUERIES[name](spark, d).collect()) for d in (small, str(tmp_path)))
     assert one == other
+
+
+def test_attributions_add_up(spark, small):
+    rows = catalog.QUERIES["permutation_attribution"](spark, small).collect()
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r.s_suppkey, []).append(r)
+    for rs in by.values():
+        assert sum(r.shap_value for r in rs) == pytest.approx(rs[0].model_output - rs[0].base_value, abs=1e-9)
+
+
+def test_model_scores_every_row(spark, small):
+    rows = catalog.QUERIES["model_scores"](spark, small).collect()
+    assert len(rows) == spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert {r.split for r in rows} == {"train", "valid", "test"} and all(0 <= r.score <= 1 for r in rows)
