@@ -76,15 +76,17 @@ def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
     """
     v, n = F.col("value"), F.count("value")
     g1, g2, k = F.skewness("value"), F.kurtosis("value"), n.cast("double")
-    # one buffer of distinct values for all quantiles
-    q = [F.percentile("value", F.array(*map(F.lit, QUANTILES))).alias("__q")]
     more = [] if target is None else [F.corr("value", F.col(target).cast("double")).alias("target_corr"), F.avg(F.when(F.col(target) == 1, v)).alias("mean_1"), F.avg(F.when(F.col(target) == 0, v)).alias("mean_0")]
     s = long.groupBy("feature").agg(
-        F.count("*").alias("rows"), n.alias("present"), F.count_distinct("value").alias("distinct"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), *q,
+        F.count("*").alias("rows"), n.alias("present"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("minimum"), F.max("value").alias("maximum"),
         F.when(n > 2, g1 * F.sqrt(k * (k - 1)) / F.greatest(k - 2, F.lit(1.0))).alias("skewness"),
         F.when(n > 3, (k - 1) / F.greatest((k - 2) * (k - 3), F.lit(1.0)) * ((k + 1) * g2 + 6)).alias("kurtosis"),
         (count_where(v == 0) / F.greatest(n, F.lit(1))).alias("zero_rate"), (count_where(v < 0) / F.greatest(n, F.lit(1))).alias("negative_rate"), *more,
     )
+    # equal values are counted first, so that quantiles and distinct values need a value once
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("__n"))
+    q = counts.groupBy("feature").agg(F.count("value").alias("distinct"), F.percentile("value", F.array(*map(F.lit, QUANTILES)), F.col("__n")).alias("__q"))
+    s = s.join(q, "feature")
     s = s.withColumns({f"q{round(100 * p):02d}": F.col("__q")[i] for i, p in enumerate(QUANTILES)}).drop("__q")
     width = F.col("q75") - F.col("q25")
     bounds = s.select(F.col("feature").alias("__f"), (F.col("q25") - 1.5 * width).alias("__lo"), (F.col("q75") + 1.5 * width).alias("__hi"), F.col("mean").alias("__m"), F.col("std").alias("__s"))
