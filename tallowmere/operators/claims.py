@@ -74,10 +74,11 @@ def concept_view(items: DataFrame) -> DataFrame:
     Directions of a concept's features are one, or mixed; the strongest feature gives its strength.
     """
     d = singular(F.col("direction"))
-    several = F.count_distinct(F.when(d.isin("increase_risk", "decrease_risk"), d)) > 1
+    # counts and extremes instead of distinct counts, for each of which Spark would repeat the rows
+    several = (count_where(d == "increase_risk") > 0) & (count_where(d == "decrease_risk") > 0)
     mixed = several | (count_where(d == "mixed") > 0)
     g = items.where("concept_id is not null").groupBy("package_id", "concept_id").agg(
-        F.when(mixed, "mixed").when(F.count_distinct(d) == 1, F.first(d, True)).otherwise("unknown").alias("c_direction"),
+        F.when(mixed, "mixed").when(F.min(d) == F.max(d), F.min(d)).otherwise("unknown").alias("c_direction"),
         F.sum("abs_shap_value").alias("c_mass"), F.count("*").alias("c_features"), F.max_by("strength", F.struct("abs_shap_value", "feature_id")).alias("c_strength"),
     )
     from pyspark.sql import Window as W
@@ -101,7 +102,7 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
 
     by_value = F.count("*").over(W.partitionBy("package_id", "abs_shap_value")) > 1
     f = items.withColumn("__tied", by_value).select("package_id", "feature_id", singular(F.col("direction")).alias("f_direction"), (F.col("direction") != singular(F.col("direction"))).alias("f_normalised"), F.col("rank").alias("f_rank"), F.col("strength").alias("f_strength"), F.col("__tied").alias("f_tied"), F.lit(True).alias("f_shown"))
-    aliases = items.groupBy("package_id").agg(F.collect_set(F.lower("feature_id")).alias("p_lower"), F.count("*").alias("p_features"), F.count_distinct("concept_id").alias("p_concepts"))
+    aliases = items.groupBy("package_id").agg(F.collect_set(F.lower("feature_id")).alias("p_lower"), F.count("*").alias("p_features"), F.size(F.collect_set("concept_id")).alias("p_concepts"))
     c = concept_view(items).withColumn("c_shown", F.lit(True))
     mixed = c.groupBy("package_id").agg(F.bool_or(F.col("c_direction") == "mixed").alias("p_mixed"))
     p = packages.join(aliases, "package_id", "left").join(mixed, "package_id", "left").withColumn("p_known", F.lit(True))
