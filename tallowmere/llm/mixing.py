@@ -18,7 +18,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SALT = "mix"
 #: Rows that a running total sums at a time; the offsets of such blocks are summed apart.
-BLOCK = 50_000
+BLOCK = 10_000
 
 
 def words(column: str = "text") -> Column:
