@@ -130,12 +130,12 @@ def geometric_quality(spark, sf_dir):
 
 
 def _normal(spark, sf_dir):
-    """Benchmark passages as phrases of packages, documents that start alike as claims."""
-    b = t(spark, sf_dir, "benchmark").select(F.col("item_id"), ascii_normal("text").alias("text"))
-    p = b.select("item_id", F.element_at(F.split("text", " "), 1).alias("package_id"), F.element_at(F.split("text", " "), 2).alias("feature_id"), F.element_at(F.split("text", " "), 3).alias("concept_id"), F.col("item_id").alias("item_order"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
-    d = t(spark, sf_dir, "documents").select("doc_id", ascii_normal("text").alias("text"))
+    """Whole benchmark passages as phrases of packages, whole documents that start alike as claims."""
     w = F.split("text", " ")
-    c = d.where(F.size(w) >= 3).select(F.col("doc_id").alias("claim_id"), w[0].alias("package_id"), w[1].alias("feature_id"), w[2].alias("concept_id"), F.array_join(F.slice(w, 1, 40), " ").alias("text"))
+    b = t(spark, sf_dir, "benchmark").select("item_id", ascii_normal("text").alias("text"))
+    p = b.select("item_id", F.get(w, 0).alias("package_id"), F.get(w, 1).alias("feature_id"), F.get(w, 2).alias("concept_id"), F.col("item_id").alias("item_order"), "text")
+    d = t(spark, sf_dir, "documents").select("doc_id", ascii_normal("text").alias("text"))
+    c = d.select(F.col("doc_id").alias("claim_id"), F.get(w, 0).alias("package_id"), F.get(w, 1).alias("feature_id"), F.get(w, 2).alias("concept_id"), "text")
     return c, p
 
 
