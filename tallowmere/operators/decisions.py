@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import scaled, sigmoid
+from ..session import staged
 
 TOLERANCE = 1e-12
 
@@ -47,29 +51,54 @@ def utility(long: DataFrame, weights: DataFrame) -> DataFrame:
     return u.select("scenario_id", "option_id", F.when(~F.col("gap") & (F.col("w") > 0), F.col("u") / F.col("w")).alias("utility"))
 
 
-def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minimise: Sequence[str] = (), tolerance: float = TOLERANCE) -> DataFrame:
+def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minimise: Sequence[str] = (), tolerance: float = TOLERANCE, block: int = 64) -> DataFrame:
     """``dominated_by``, ``dominates`` (counts) and ``on_frontier`` of the options of each group.
 
     One option dominates another if it is as good in every criterion and better in one, up to the tolerance.
-    Options that lack a criterion take no part: they neither dominate nor are on the frontier.  The
-    options of a group are compared in pairs, so this is for the tens of options of a decision.
+    Options that lack a criterion take no part: they neither dominate nor are on the frontier.  Equal
+    options are one point with a count.  Points are cut into blocks by quantiles of every criterion, ``block``
+    or the root of their number each: the least and greatest values of two blocks mostly tell whether all of one
+    dominate all of the other or none can, and only points of the rest are compared, in an equi-join on blocks.
     """
     c = [*maximise, *minimise]
+    v = [f"__v{k}" for k in range(len(c))]
     whole = F.lit(True)
     for x in c:
         whole = whole & F.col(x).isNotNull()
-    base = options.withColumn("__whole", whole)
-    a = base.where("__whole").select(by, F.col(key).alias("__a"), *[F.col(x).alias(f"__a_{x}") for x in c])
-    b = base.where("__whole").select(by, F.col(key).alias("__b"), *[F.col(x).alias(f"__b_{x}") for x in c])
-    as_good, better = F.lit(True), F.lit(False)
-    for x in c:
-        d = (F.col(f"__a_{x}") - F.col(f"__b_{x}")) * (1 if x in maximise else -1)
-        as_good, better = as_good & (d >= -tolerance), better | (d > tolerance)
-    pairs = a.join(b, by).where((F.col("__a") != F.col("__b")) & as_good & better).select(by, "__a", "__b")
-    lost = pairs.groupBy(by, F.col("__b").alias(key)).agg(F.count("*").alias("dominated_by"))
-    won = pairs.groupBy(by, F.col("__a").alias(key)).agg(F.count("*").alias("dominates"))
-    out = base.join(lost, [by, key], "left").join(won, [by, key], "left").fillna(0, ["dominated_by", "dominates"])
-    return out.withColumn("on_frontier", F.col("__whole") & (F.col("dominated_by") == 0)).drop("__whole")
+    # greater is better in all of them; no negative zeros
+    values = [(F.col(x).cast("double") * (1.0 if x in maximise else -1.0) + 0.0).alias(n) for x, n in zip(c, v, strict=True)]
+    base = staged(options.select("*", whole.alias("__whole"), *values))
+    points = staged(base.where("__whole").groupBy(by, *v).agg(F.count("*").alias("__n")))
+    n = points.count()
+    cuts = math.ceil((n / max(block, math.isqrt(n))) ** (1 / len(c))) if n else 1
+    edges = points.approxQuantile(v, [k / cuts for k in range(1, cuts)], 0.01) if cuts > 1 else [[] for _ in v]
+    cell = [sum(((F.col(x) > e).cast("int") for e in es), F.lit(0)) for x, es in zip(v, edges, strict=True)]
+    points = points.withColumn("__block", F.array(*cell))
+    bounds = [f(col).alias(f"{col}_{name}") for col in v for name, f in (("lo", F.min), ("hi", F.max))]
+    blocks = staged(points.groupBy(by, "__block").agg(F.sum("__n").alias("__n"), *bounds))
+    side = lambda d, p: d.select(F.col(by).alias(f"{p}by"), *[F.col(x).alias(p + x) for x in d.columns if x != by])
+    gap = lambda high, low: [F.col(f"b{x}{high}") - F.col(f"a{x}{low}") for x in v]
+    every = lambda ds: reduce(and_, [d >= -tolerance for d in ds])
+    some = lambda ds: reduce(or_, [d > tolerance for d in ds])
+    sure, may = gap("_lo", "_hi"), gap("_hi", "_lo")
+    met = side(blocks, "a").join(side(blocks, "b"), (F.col("aby") == F.col("bby")) & every(may) & some(may))
+    met = staged(met.select("aby", "a__block", "a__n", "b__block", "b__n", (every(sure) & some(sure)).alias("sure")))
+    near = met.where("not sure").select(F.col("aby").alias("by"), F.col("a__block").alias("ablock"), F.col("b__block").alias("bblock"))
+    near = near.join(side(points, "a"), (F.col("by") == F.col("aby")) & (F.col("ablock") == F.col("a__block")))
+    near = near.join(side(points, "b"), (F.col("by") == F.col("bby")) & (F.col("bblock") == F.col("b__block")) & every(gap("", "")) & some(gap("", "")))
+
+    def total(p: str, other: str, name: str) -> tuple[DataFrame, DataFrame]:
+        of_blocks = met.where("sure").groupBy(F.col("aby").alias(by), F.col(f"{p}__block").alias("__block")).agg(F.sum(f"{other}__n").alias(f"{name}_sure"))
+        of_points = near.groupBy(F.col("by").alias(by), *[F.col(p + x).alias(x) for x in v]).agg(F.sum(f"{other}__n").alias(f"{name}_near"))
+        return of_blocks, of_points
+
+    counted = points.drop("__n")
+    for p, other, name in (("a", "b", "dominated_by"), ("b", "a", "dominates")):
+        of_blocks, of_points = total(p, other, name)
+        counted = counted.join(of_blocks, [by, "__block"], "left").join(of_points, [by, *v], "left")
+        counted = counted.withColumn(name, F.coalesce(f"{name}_sure", F.lit(0)) + F.coalesce(f"{name}_near", F.lit(0)))
+    out = base.join(counted.select(by, *v, "dominated_by", "dominates"), [by, *v], "left").fillna(0, ["dominated_by", "dominates"])
+    return out.withColumn("on_frontier", F.col("__whole") & (F.col("dominated_by") == 0)).select(*options.columns, "dominated_by", "dominates", "on_frontier")
 
 
 def ranked(df: DataFrame, by: str, key: str) -> DataFrame:

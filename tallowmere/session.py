@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What results depend on (zone, ANSI) and what lets Spark plan anew while it runs.
 SETTINGS = {
@@ -44,3 +45,21 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(path))
     _SHIPPED.add(sc.applicationId)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new folder under ``spark.checkpoint.dir``, which driver and executors share, and read back: it is computed once and its lineage ends.
+
+    Only where the setting is absent and Spark runs in one process, a folder of this machine.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallowmere-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/tallowmere-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
