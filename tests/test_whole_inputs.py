@@ -87,3 +87,8 @@ def test_pareto_in_blocks_equals_all_pairs(spark, monkeypatch, block):
     right = {b[0]: (sum(better(a, b) for a in rows), sum(better(b, a) for a in rows)) for b in rows}
     got = {r.id: (r.dominated_by, r.dominates, r.on_frontier) for r in decisions.pareto(d, "g", "id", ["x", "y"], ["z"], block=block).collect()}
     assert got == {i: (lost, won, rows[i][3] is not None and lost == 0) for i, (lost, won) in right.items()}
+
+
+def test_every_item_is_a_claim(spark, medium):
+    got = same_as_sql_without(spark, medium, "claim_validation", " WHERE l_orderkey % 3 = 0 OR l_linenumber = 1")
+    assert sum(r.claims for r in got) == spark.read.parquet(f"{medium}/lineitem.parquet").count()
