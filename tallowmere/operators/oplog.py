@@ -7,21 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def closure(edges: DataFrame, roots: Sequence[object], parent: str, child: str, depth: int, downwards: bool = True) -> DataFrame:
     """``(root, node, distance)`` of all nodes within ``depth`` steps of the given roots, the shortest distance each.
 
-    A recursive query; ``depth`` bounds it, so a cycle ends too.
+    Level by level: the children of the last level's nodes that no earlier level reached.  ``depth`` bounds it,
+    and a cycle ends too, as it reaches nothing new.
     """
     spark = edges.sparkSession
     a, b = (parent, child) if downwards else (child, parent)
-    edges.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct().createOrReplaceTempView("__closure_edges")
-    spark.createDataFrame([(str(r),) for r in roots], "root string").createOrReplaceTempView("__closure_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(root, node, distance) AS (
-            SELECT root, root, 0 FROM __closure_roots
-            UNION ALL SELECT w.root, e.b, w.distance + 1 FROM walk w JOIN __closure_edges e ON e.a = w.node WHERE w.distance < {int(depth)})
-        SELECT root, node, min(distance) AS distance FROM walk GROUP BY root, node""")
+    steps = staged(edges.select(F.col(a).cast("string").alias("__a"), F.col(b).cast("string").alias("__b")).distinct())
+    last = spark.createDataFrame([(str(r),) for r in dict.fromkeys(roots)], "root string").select("root", F.col("root").alias("node"), F.lit(0).alias("distance"))
+    reached = last = staged(last.distinct())
+    for distance in range(1, int(depth) + 1):
+        met = last.join(steps, F.col("node") == F.col("__a")).select("root", F.col("__b").alias("node")).distinct()
+        old = reached.select(F.col("root").alias("__root"), F.col("node").alias("__node"))
+        last = staged(met.join(old, (F.col("root") == F.col("__root")) & F.col("node").eqNullSafe(F.col("__node")), "left_anti").withColumn("distance", F.lit(distance)))
+        if last.isEmpty():
+            break
+        reached = reached.unionByName(last)
+    return reached
 
 
 def levels(nodes: DataFrame, edges: DataFrame, node: str, before: str, after: str, most: int = 100) -> DataFrame:

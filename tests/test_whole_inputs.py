@@ -92,3 +92,8 @@ def test_pareto_in_blocks_equals_all_pairs(spark, monkeypatch, block):
 def test_every_item_is_a_claim(spark, medium):
     got = same_as_sql_without(spark, medium, "claim_validation", " WHERE l_orderkey % 3 = 0 OR l_linenumber = 1")
     assert sum(r.claims for r in got) == spark.read.parquet(f"{medium}/lineitem.parquet").count()
+
+
+def test_every_customer_is_a_descendant(spark, medium):
+    got = same_as_sql_without(spark, medium, "lineage_closure", " WHERE c_custkey < 200")
+    assert any(int(r.node[1:]) >= 200 for r in got if r.node[0] == "c")
