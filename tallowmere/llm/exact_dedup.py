@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, removed, shared_dir, text_of, written
+from .shared import BLANKS, Scratch, removed, setting, shared_dir, text_of, written
 
 
 def normalised(column: str = "text"):
@@ -29,42 +29,86 @@ def digests(docs: DataFrame) -> DataFrame:
 class DigestIndex:
     """``(digest, keep_id, batch)`` in a bucketed, sorted Parquet table at ``path``.
 
-    Opening an existing ``path`` registers it again, so the index outlives the session.  ``buckets``
-    is fixed when it is made.
+    Opening an existing ``path`` reads what earlier runs and sessions appended; its number of buckets
+    is fixed when it is made and noted beside it.  Use it as a context: when the block ends the session
+    forgets the table's name, and the files stay unless ``delete`` is asked for.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark, self.path = spark, path or shared_dir(spark)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.path = spark, path or shared_dir(spark, lasting=True)
+        note = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_buckets")
+        fs = note.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(note):
+            stream = fs.open(note)
+            self.buckets = stream.readInt()
+            stream.close()
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            stream = fs.create(note)
+            stream.writeInt(self.buckets)
+            stream.close()
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch INT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        self._table(self.name, self.path)
+
+    def _table(self, name: str, path: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch INT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _append(self, rows: DataFrame, name: str) -> None:
+        """``rows`` appended to the table, a sorted file for each bucket: a task has all rows of a bucket."""
+        rows = rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest")
+        rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(name)
+        self.spark.catalog.refreshTable(name)
+
     def add(self, batch: DataFrame, number: int) -> None:
-        """Append the digests of ``batch(doc_id, digest)`` that the index lacks, each with its least id (null if none has one)."""
+        """Append the digests of ``batch(doc_id, digest)`` that the index lacks, each with its least id (null if none has one).
+
+        The index is read by buckets, which are the partitions of the merge join; while a bucket is one file
+        (after the first append, and after :meth:`compact`) it isn't sorted again either.
+        """
         # written first: else the anti-join would be planned below the aggregate, and a text's copies shuffled one by one
         own, path = written(batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
-        new = own.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            new.select("digest", "keep_id", F.lit(number).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .format("parquet")
-            .saveAsTable(self.name)
-        )
-        self.spark.catalog.refreshTable(self.name)
+        with setting(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+            self._append(self.new(own).withColumn("batch", F.lit(number)), self.name)
         removed(self.spark, path)
 
-    def drop(self) -> None:
-        """Forget the table's name; the files stay."""
-        self.spark.sql(f"DROP TABLE {self.name}")
+    def new(self, own: DataFrame) -> DataFrame:
+        """The rows of ``own(digest, ...)`` whose digests the index lacks."""
+        return own.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+
+    def compact(self) -> None:
+        """Merge the files of each bucket into one.  The whole index is written anew beside the old, then takes its place."""
+        beside, path = f"{self.name}_compact", shared_dir(self.spark)
+        self._table(beside, path)
+        # as plain files: of a bucketed table Spark would leave out the shuffle, and then the buckets too
+        self._append(self.spark.read.schema(self.rows().schema).parquet(self.path), beside)
+        self.spark.sql(f"DROP TABLE {beside}")
+        self.drop()
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = f"{self.path}-old"
+        fs.rename(fs_path(self.path), fs_path(old))
+        fs.rename(fs_path(f"{old}/_buckets"), fs_path(f"{path}/_buckets"))
+        fs.rename(fs_path(path), fs_path(self.path))
+        removed(self.spark, old)
+        self._table(self.name, self.path)
+
+    def drop(self, delete: bool = False) -> None:
+        """Forget the table's name; the files stay unless they are to be deleted."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if delete:
+            removed(self.spark, self.path)
 
 
 def _ranges(d: DataFrame, batches: int) -> list:
@@ -85,16 +129,25 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batches: int
 
     The rows enter the index in ``batches`` runs by ascending id, as a growing corpus would, so of
     equal texts the least id stays.  ``group_size`` counts the rows of ``docs``, repeated ones too;
-    against an index with older data ``keep_id`` may be a document of an earlier run.  A third of all
+    against an index with older data ``keep_id`` may be a document of an earlier run.  Without an
+    ``index`` one is made, reopened for each run as another session would, and deleted at the end.  A third of all
     rows may share a text: they are counted before any shuffle and both join sides are shuffled,
     so that Spark splits the large partition.
     """
-    d, _ = written(digests(docs))
-    index = index or DigestIndex(docs.sparkSession)
-    for number, rows in enumerate(_ranges(d, batches)):
-        index.add(d.where(rows), number)
-    sizes = d.groupBy("digest").agg(F.sum("copies").alias("group_size"))
-    kept, _ = written(index.rows().select("digest", "keep_id").hint("merge").join(sizes, "digest"))
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        d = scratch.keep(digests(docs))
+        own = None if index else DigestIndex(spark)
+        for number, rows in enumerate(_ranges(d, batches)):
+            if own and number:
+                # as the next run would find it
+                own.drop()
+                own = DigestIndex(spark, own.path)
+            (index or own).add(d.where(rows), number)
+        sizes = d.groupBy("digest").agg(F.sum("copies").alias("group_size"))
+        kept = scratch.keep((index or own).rows().select("digest", "keep_id").hint("merge").join(sizes, "digest"))
+        if own:
+            own.drop(delete=True)
     return d.join(kept, "digest").select("doc_id", "digest", "copies", "keep_id", "group_size")
 
 
@@ -117,8 +170,14 @@ def exact_dedup_report(docs: DataFrame, index: DigestIndex | None = None, batche
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
-    """``docs`` without the rows that repeat a text, all columns as they were."""
-    g, _ = written(exact_groups(docs, index, batches).where("doc_id <=> keep_id").select("doc_id", "digest", "copies"))
+    """``docs`` without the rows that repeat a text, all columns as they were.
+
+    The row with the least id stays, a null id only where no copy has one; of rows with one id and text one
+    stays.  Null is the empty text.  No rows give no rows.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        g = exact_groups(docs, index, batches).where("doc_id <=> keep_id").select("doc_id", "digest", "copies")
+        g = scratch.keep(g)
     names = {c: f"__{c}" for c in ("doc_id", "digest", "copies")}
     g = g.withColumnsRenamed(names)
     d = docs.withColumn("__own", F.unhex(F.sha2(normalised(), 256)))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: a batch of whole texts must fit beside the others in a Python worker.
-ROWS_PER_BATCH = 500
+#: Rows and bytes of an Arrow batch: a batch of whole texts must fit beside the others in a Python worker.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 500, 32 << 20
 #: Words end at these characters: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANKS = r"[^\x20\x09-\x0D]+"
@@ -17,10 +19,16 @@ NOT_BLANKS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_dir(spark: SparkSession, lasting: bool = False) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent and Spark runs in one process, a folder of this machine.
+    Only where the setting is absent and Spark runs in one process, a folder of this machine.  Unless it
+    is ``lasting``, the folder is deleted at the latest when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -28,7 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallowmere-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tallowmere-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tallowmere-{uuid.uuid4().hex}"
+    if not lasting:
+        p, fs = _folder(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
 
 
 def written(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
@@ -45,16 +58,71 @@ def written(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
 def removed(spark: SparkSession, *paths: str) -> None:
     """Delete folders that :func:`written` made and nothing reads any more."""
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = _folder(spark, path)
+        fs.delete(p, True)
+
+
+class Scratch:
+    """The tables that one run of an operator writes on its way.
+
+    ``keep`` writes a table that the operator's lazy result still reads; :func:`released` deletes all
+    such, of every operator so far.  Tables of ``write`` go when the block ends.
+    """
+
+    _kept: list[tuple[SparkSession, str]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
 
+    def __exit__(self, *_) -> None:
+        removed(self.spark, *self.paths)
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Lower the session's Arrow batch size to ``rows`` if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    def write(self, df: DataFrame) -> DataFrame:
+        df, path = written(df)
+        self.paths.append(path)
+        return df
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        df, path = written(df)
+        Scratch._kept.append((self.spark, path))
+        return df
+
+
+def released() -> None:
+    """Delete the tables that results of this package's operators read; call it once these results are stored."""
+    while Scratch._kept:
+        spark, path = Scratch._kept.pop()
+        removed(spark, path)
+
+
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's settings while the block runs, with ``__`` for the dots of their names; afterwards they are as before."""
+    before = {}
+    for k, v in values.items():
+        key = k.replace("__", ".")
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, v)
+    try:
+        yield
+    finally:
+        for key, v in before.items():
+            spark.conf.unset(key) if v is None else spark.conf.set(key, v)
+
+
+def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH, size: int = BYTES_PER_BATCH) -> None:
+    """Lower the session's Arrow batches to ``rows`` and ``size`` bytes where they are larger.
+
+    Results are lazy, so the settings must still hold when they are computed: they stay lowered.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_of(column: str = "text") -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .golay import codeword_keys
-from .shared import small_batches, text_of, written
+from .shared import Scratch, removed, small_batches, text_of, written
 
 SEED = 42
 SHIFTS, WIDTHS = (0, 22, 43), (22, 21, 21)
@@ -48,16 +48,20 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of each whole text, A-Z lower-cased, as a signed long."""
+    """``(doc_id, text_hash, fp)``: a hash of each whole text and its fingerprint, A-Z lower-cased, both as signed longs."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], ["doc_id", "text_hash", "fp"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    d = docs.select(_id(), F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("text"))
+    return d.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _id():
+    return F.col("doc_id").cast("long").alias("doc_id")
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -78,8 +82,8 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``(u, v)`` links that connect the distinct fingerprints ``fps(fp)`` as all pairs within two bits do.
+def links(fps: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, str]:
+    """``(u, v)`` links, and the folder that holds them, that connect the distinct fingerprints ``fps(fp)`` as all pairs within two bits do.
 
     A key of two fingerprints is verified as it is counted, and one of up to ``bucket`` by a join.  A
     fuller key goes another exact way that makes no pairs: two fingerprints are within two bits if,
@@ -88,17 +92,35 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     two bits of each other, and each is linked to their least.
     """
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
-    keys, _ = written(fuzzy_keys(fps))
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
-    counts, _ = written(counts)
-    two = counts.where("n = 2").where(near("u", "v")).select("u", "v")
-    shared = keys.join(counts.where(f"n between 3 and {bucket}").select("key"), "key")
-    pairs = shared.select("key", F.col("fp").alias("u")).join(shared.select(F.col("key").alias("k"), F.col("fp").alias("v")), (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & near("u", "v")).select("u", "v")
-    full = keys.join(counts.where(f"n > {bucket}").select("key"), "key").select("fp").distinct()
-    flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    at = full.select("fp", F.explode(flips).alias("mid")).groupBy("mid").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    stars = at.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v").select("u", "v")
-    return two.unionByName(pairs).unionByName(stars).distinct()
+    with Scratch(fps.sparkSession) as scratch:
+        keys = scratch.write(fuzzy_keys(fps))
+        counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
+        counts = scratch.write(counts.where("n > 1"))
+        two = counts.where("n = 2").where(near("u", "v")).select("u", "v")
+        shared = keys.join(counts.where(f"n between 3 and {bucket}").select("key"), "key")
+        left, right = shared.select("key", F.col("fp").alias("u")), shared.select(F.col("key").alias("k"), F.col("fp").alias("v"))
+        pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & near("u", "v")).select("u", "v")
+        full = keys.join(counts.where(f"n > {bucket}").select("key"), "key").select("fp").distinct()
+        flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
+        at = full.select("fp", F.explode(flips).alias("mid")).groupBy("mid").agg(F.collect_list("fp").alias("fps"))
+        at = at.where("size(fps) > 1")
+        stars = at.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v").select("u", "v")
+        return written(two.unionByName(pairs).unionByName(stars).distinct())
+
+
+def _labelled(docs: DataFrame, shingle: int, bucket: int, scratch: Scratch, keep) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_hash, fp)`` of each row, and ``(fp, root, component_id)`` of each distinct fingerprint; ``keep`` stores both."""
+    spark = docs.sparkSession
+    d = keep(fingerprints(docs, shingle))
+    distinct = scratch.write(d.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges, path = links(distinct, bucket)
+    roots, paths = connected_components(edges)
+    removed(spark, path)
+    scratch.paths += paths
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = scratch.write(named)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return d, keep(named.join(least, "root").select("fp", "root", "component_id"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
@@ -107,33 +129,42 @@ def near_groups(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> Data
     One row per row of ``docs``; ``component_id`` is the least id of the component.  Texts with no word
     have fingerprint 0 and link as any other; null counts as empty, null ids are members but never name
     a component unless it has no other.  Copies share a fingerprint, so only distinct ones are keyed.
+    No rows give no rows.
     """
-    d, _ = written(fingerprints(docs, shingle))
-    distinct, _ = written(d.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots, _ = connected_components(links(distinct, bucket))
-    names = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = names.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = names.join(least, "root").select("fp", "component_id")
-    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    label, _ = written(label)
+    with Scratch(docs.sparkSession) as scratch:
+        d, label = _labelled(docs, shingle, bucket, scratch, scratch.keep)
     return d.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_report(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint as 16 lower-case hex digits, component_id."""
+    """doc_id, fingerprint as 16 lower-case hex digits, component_id; see :func:`near_groups`."""
     return near_groups(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id; all columns as they were.
+def near_dedup(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row of each group of near copies, all columns as they were.
 
-    Rows that repeat the id that stays are one row afterwards.  Rows without an id are never dropped: none
-    of them can be named as the one that stays.
+    Rows are told apart by id and text, so rows that share an id but not a text are judged each on its
+    own.  The row with the least id stays, of several with that id the one with the least hash of its
+    text; a null id comes last.  Of rows alike in id and text one stays.  No rows give no rows.
     """
-    g, _ = written(near_groups(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.join(g, docs["doc_id"].cast("long") == g["__gone"], "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        d, label = _labelled(docs, shingle, bucket, scratch, scratch.write)
+        rows = d.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
+        rows = scratch.write(rows.join(label.select("fp", "root"), "fp"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+        stays = rows.groupBy("root").agg(first).select("root", "first.doc_id", "first.text_hash")
+        stays = stays.withColumnsRenamed({c: f"__{c}" for c in stays.columns})
+        same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_hash") == F.col("__text_hash"))
+        judged = rows.join(stays, F.col("root") == F.col("__root")).withColumn("__stays", same)
+        # what leaves, and what repeats: both are few beside the rows that stay as they are
+        odd = judged.where("not __stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__stays")
+        odd = scratch.keep(odd)
+    own = docs.withColumn("__own", F.xxhash64(text_of()))
+    match = own["doc_id"].cast("long").eqNullSafe(odd["__id"]) & (own["__own"] == odd["__hash"])
+    left = own.join(odd, match, "left_anti")
+    if not odd.where("__stays").isEmpty():
+        again = own.join(odd.where("__stays"), match, "left_semi")
+        left = left.unionByName(again.dropDuplicates(["doc_id", "__own"]))
+    return left.drop("__own")

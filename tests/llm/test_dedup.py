@@ -2,12 +2,13 @@
 
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
-from helpers import ODD, SCHEMA, Groups, components_of, docs, fingerprint, fingerprint_groups, normal, sha
+from helpers import ODD, SCHEMA, Groups, components_of, docs, fingerprint, fingerprint_groups, normal, sha, xxhash_signed
 
-from tallowmere.llm import exact_dedup, golay, queries, simhash
+from tallowmere.llm import exact_dedup, golay, queries, shared, simhash
 from tallowmere.llm.components import connected_components
 
 
@@ -44,26 +45,40 @@ def test_exact_dedup_keeps_one_row_a_text_with_all_columns(spark):
 
 def test_exact_index_persists_and_lets_only_new_texts_in(spark, tmp_path):
     path = f"file://{tmp_path}/index"
-    first = exact_dedup.DigestIndex(spark, path, buckets=3)
-    exact_dedup.exact_groups(docs(spark, [(1, "a b"), (2, "c")]), first).count()
-    first.drop()
-    again = exact_dedup.DigestIndex(spark, path, buckets=3)
-    g = {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(docs(spark, [(5, "a\tb"), (6, "new")]), again).collect()}
-    assert g == {5: 1, 6: 6}
-    assert again.rows().count() == 3
-    exact_dedup.exact_groups(docs(spark, [(9, "new"), (8, "c")]), again).count()
-    assert again.rows().count() == 3
-
-
-def test_index_side_of_the_anti_join_is_not_shuffled(spark):
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    index.add(exact_dedup.digests(docs(spark, [(1, "a"), (2, "b")])), 0)
-    own = exact_dedup.digests(docs(spark, [(3, "a")])).groupBy("digest").count()
-    joined = own.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    right = plan[plan.index("FileScan") :] if "FileScan" in plan else ""
-    assert "SortMergeJoin" in plan and "Bucketed: true" in right
-    assert joined.count() == 0
+    with exact_dedup.DigestIndex(spark, path, buckets=3) as first:
+        exact_dedup.exact_groups(docs(spark, [(1, "a b"), (2, "c")]), first).count()
+    with exact_dedup.DigestIndex(spark, path, buckets=7) as again:
+        assert again.buckets == 3
+        g = {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(docs(spark, [(5, "a\tb"), (6, "new")]), again).collect()}
+        assert g == {5: 1, 6: 6}
+        assert again.rows().count() == 3
+        exact_dedup.exact_groups(docs(spark, [(9, "new"), (8, "c")]), again).count()
+        assert again.rows().count() == 3
+
+
+def test_index_is_read_by_sorted_buckets(spark, tmp_path):
+    """No exchange of the index ever; no sort of it either while each bucket is one file, as after compaction."""
+    path = f"file://{tmp_path}/index"
+    with exact_dedup.DigestIndex(spark, path, buckets=4) as index:
+        for number in range(3):
+            rows = docs(spark, [(i, f"text {i}") for i in range(20 * number, 20 * number + 40)])
+            index.add(exact_dedup.digests(rows), number)
+        before = sorted(map(tuple, index.rows().collect()))
+        assert len(before) == 80 and [b for _, _, b in before].count(0) == 40
+        index.compact()
+        assert sorted(map(tuple, index.rows().collect())) == before
+        assert len(list((tmp_path / "index").glob("part-*"))) <= 4
+        own, at = shared.written(exact_dedup.digests(docs(spark, [(3, "text 3"), (500, "text 500")])).groupBy("digest").count())
+        with shared.setting(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+            new = index.new(own)
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            assert new.count() == 1
+        right = plan[plan.index("FileScan") :] if plan.index("Bucketed: true") > plan.index("FileScan") else ""
+        assert "SortMergeJoin" in plan and "Bucketed: true" in right
+        assert plan.count("Sort [") == plan.count("Exchange hashpartitioning") == 1  # both of the new rows
+        shared.removed(spark, at)
+    with exact_dedup.DigestIndex(spark, path) as again:
+        assert sorted(map(tuple, again.rows().collect())) == before
 
 
 def test_empty_tables(spark):
@@ -111,7 +126,7 @@ def test_components_equal_all_pairs(spark, bucket):
     fps |= {b ^ 0b111 for b in base[4:]} | {0}
     fps = sorted(fps)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    e = simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), bucket)
+    e, _ = simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), bucket)
     roots, _ = connected_components(e)
     got = {r.node: r.root for r in roots.collect()}
     want = fingerprint_groups(fps)
@@ -126,13 +141,53 @@ def test_query_equals_brute_force_on_given_documents(spark, small):
     assert got == Counter((i, f"{f:016x}", least[f]) for i, f in fp)
 
 
-def test_near_dedup_keeps_one_of_each_group(spark):
-    text = " ".join(f"w{i}" for i in range(300))
-    rows = [(5, text), (3, text.upper()), (9, text), (9, text), (20, "quite another text with its own words"), (None, text), (None, "no id at all but words")]
-    d = docs(spark, rows, fp=1, component_id=2)
+def near_brute(rows):
+    """(doc_id, text) rows that stay, each group and each repeated row once."""
+    fp = {t: fingerprint(t) for _, t in rows}
+    root = fingerprint_groups(fp.values())
+    groups = defaultdict(set)
+    for i, t in rows:
+        groups[root[fp[t]]].add((i is None, i or 0, xxhash_signed(t), t))
+    least = {min(g) for g in groups.values()}
+    return Counter((None if none else i, t) for none, i, _, t in least)
+
+
+TEXT = " ".join(f"w{i}" for i in range(300))
+A, B, C = "one text about nothing much", "a second and quite different text", "third words that share none with these"
+NEAR = [
+    [(5, TEXT), (3, TEXT.upper()), (9, TEXT), (9, TEXT), (20, "quite another text with its own words"), (None, TEXT), (None, "no id at all but words")],
+    [(9, A), (9, B), (3, C)],
+    [(9, A), (9, C), (3, C)],
+    [(9, A), (9, A.upper()), (9, A), (None, B), (None, B), (None, B.title())],
+    [(1, None), (2, ""), (0, " "), (None, "")],
+]
+
+
+@pytest.mark.parametrize("rows", NEAR)
+def test_near_dedup_keeps_one_of_each_group(spark, rows):
+    d = docs(spark, rows, fp=1, component_id=2, text_hash=3, n=4)
     out = simhash.near_dedup(d)
     assert out.columns == d.columns
-    assert Counter(r.doc_id for r in out.collect()) == Counter([3, 20, None, None])
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == near_brute(rows)
+
+
+def test_near_dedup_equals_brute_force_on_given_documents(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    assert Counter((r.doc_id, r.text) for r in simhash.near_dedup(d).collect()) == near_brute(rows)
+
+
+def test_nothing_is_left_behind(spark):
+    """Tables that a run writes on its way go with it, the rest when results are released; the index has no name left."""
+    shared.released()
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, d = set(base.iterdir()), docs(spark, [(1, A), (2, A), (3, B)])
+    assert simhash.near_dedup(d).count() == 2 and exact_dedup.exact_dedup(d).count() == 2
+    assert exact_dedup.exact_dedup_report(d).count() == simhash.near_report(d).count() == 3
+    assert len(set(base.iterdir()) - before) <= 8
+    shared.released()
+    assert set(base.iterdir()) == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
