@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch
 
 
 def rendered_turn(role: Column, text: Column) -> Column:
@@ -20,25 +20,26 @@ def rendered_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), safe(role), F.lit("\n"), safe(text), F.lit("<|im_end|>\n"))
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """A row for each conv_id: n_turns, prefixes (struct of length and two hashes), rendered.
+def placed_turns(turns: DataFrame) -> DataFrame:
+    """``(conv_id, unit, place, role, text, h1, h2)``: the turns in order, each with the hash of the prefix that it ends.
 
     Turns are ordered by turn, then role and text; null turns come last, a null role is ``unknown``, a null
-    text is empty, a null conv_id is an id as any other.  A turn logged several times counts once.
+    text is empty.  A turn logged several times counts once.  A turn without conv_id belongs to no other:
+    it is a conversation of its own, so such rows are no group however many they are.  ``unit`` names the
+    conversation.
     """
-    t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.repartition("conv_id").distinct()
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    role, text = F.coalesce(F.col("role").cast("string"), F.lit("unknown")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    alone = F.concat(F.lit("none "), F.md5(role), F.md5(text))
+    unit = F.coalesce(F.col("conv_id").cast("string"), alone)
+    turn = F.when(F.col("conv_id").isNotNull(), F.col("turn"))
+    t = turns.select(unit.alias("unit"), "conv_id", turn.alias("turn"), role.alias("role"), text.alias("text"))
+    t = t.repartition("unit").distinct()
+    order = W.partitionBy("unit").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     t = t.withColumn("place", F.row_number().over(order))
     for k in (1, 2):
-        t = t.withColumn(f"h{k}", F.bit_xor(F.xxhash64(F.lit(k), "place", "role", "text")).over(so_far))
-    lines = F.array_sort(F.collect_list(F.struct("place", rendered_turn(F.col("role"), F.col("text")).alias("line"))))
-    return t.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("place", "h1", "h2"))).alias("prefixes"),
-        F.array_join(lines["line"], "").alias("rendered"),
-    )
+        own = F.xxhash64(F.lit(k), "place", "role", "text")
+        t = t.withColumn(f"h{k}", F.bit_xor(own).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return t.select("conv_id", "unit", "place", "role", "text", "h1", "h2")
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
@@ -46,11 +47,21 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
     Of conversations with the same turns, the one with the least id stays (a null id only if there is no
     other).  The prefixes and the whole conversations are made distinct before the anti-join, so a first
-    turn or a conversation that is very common is one row in it.  No rows give no rows.
+    turn or a conversation that is very common is one row in it; only what stays is rendered.  Turns
+    are read as :func:`placed_turns` says.  No rows give no rows.
     """
-    c, _ = written(conversations(turns))
-    whole = c.select("conv_id", F.element_at("prefixes", -1).alias("w")).select("conv_id", "w.*")
-    whole = whole.groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    strict = c.select(F.explode(F.slice("prefixes", F.lit(1), F.col("n_turns").cast("int") - 1)).alias("p")).select("p.*").distinct()
-    longest = whole.join(strict, ["place", "h1", "h2"], "left_anti").select(F.col("conv_id").alias("__id"))
-    return c.join(longest, F.col("conv_id").eqNullSafe(F.col("__id")), "left_semi").select("conv_id", "n_turns", "rendered")
+    with Scratch(turns.sparkSession) as scratch:
+        t = scratch.keep(placed_turns(turns))
+        lengths = t.groupBy("unit").agg(F.max("place").alias("n_turns"))
+        ends = t.select("conv_id", "unit", "place", "h1", "h2").join(lengths, "unit").withColumn("last", F.col("place") == F.col("n_turns"))
+        first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "unit", "n_turns")).alias("first")
+        # one pass over the prefixes: a whole conversation goes if a longer one has the same prefix
+        seen = ends.groupBy("place", "h1", "h2", "last").agg(first)
+        seen = scratch.write(seen)
+        prefix = ["place", "h1", "h2"]
+        longest = seen.where("last").join(seen.where("not last").select(*prefix), prefix, "left_anti")
+        longest = scratch.keep(longest.select(F.col("first.unit").alias("__unit"), F.col("first.n_turns").cast("long").alias("n_turns")))
+    stays = t.join(longest, F.col("unit") == F.col("__unit"))
+    lines = F.array_sort(F.collect_list(F.struct("place", rendered_turn(F.col("role"), F.col("text")).alias("line"))))
+    whole = stays.groupBy("unit", "conv_id", "n_turns").agg(F.array_join(lines["line"], "").alias("rendered"))
+    return whole.select("conv_id", "n_turns", "rendered")

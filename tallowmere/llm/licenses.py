@@ -128,14 +128,12 @@ class Automaton:
 
     def spans(self, words: list[bytes], joined: bytes) -> list[tuple[int, int]]:
         """Accepted runs (first word, word after the last), one for each place of the longest mandatory wording: from the earliest start."""
-        out, at = [], joined.find(self.anchor)
-        while at >= 0:
-            place = joined.count(b" ", 0, at)
+        out = []
+        for place in places(joined, self.anchor):
             for start in range(max(0, place - self.before), place + 1):
                 if (end := self.accepted(words, start)) > place:
                     out.append((start, end))
                     break
-            at = joined.find(self.anchor, at + 1)
         return out
 
 
@@ -162,12 +160,16 @@ def sql_values(templates=TEMPLATES) -> str:
     return ", ".join(f"('{label}', '{pattern(t)}')" for label, t in templates)
 
 
-def places(joined: bytes, phrase: str) -> list[int]:
-    """Every word at which the phrase's words stand consecutively, overlapping places too."""
-    sought, out = b" " + phrase.encode() + b" ", []
-    at = joined.find(sought)
+def places(joined: bytes, sought: bytes) -> list[int]:
+    """Every word at which the words of ``sought`` stand consecutively, overlapping places too; both have a blank around each word.
+
+    Words are counted from one place to the next, so a text is walked once however many places it has.
+    """
+    out, at, before, word = [], joined.find(sought), 0, 0
     while at >= 0:
-        out.append(joined.count(b" ", 0, at))
+        word += joined.count(b" ", before, at)
+        before = at
+        out.append(word)
         at = joined.find(sought, at + 1)
     return out
 
@@ -187,13 +189,14 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), base=BASE, templ
 
     def run(batches):
         machines = automata(templates)
+        phrases = [(b" " + phrase.encode() + b" ", label) for phrase, label in base]
         for b in batches:
             n, found, matched = [], [], []
             for text in b.column(len(carry)).to_pylist():
                 words = words_of(text)
                 joined = b" " + b" ".join(words) + b" "
                 n.append(len(words))
-                found.append([{"label": label, "word": w} for phrase, label in base for w in places(joined, phrase)])
+                found.append([{"label": label, "word": w} for phrase, label in phrases for w in places(joined, phrase)])
                 matched.append([{"label": m.label, "start": s, "end": e} for m in machines for s, e in m.spans(words, joined)])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(n, pa.int64()), pa.array(found, pa.list_(place)), pa.array(matched, pa.list_(match))], [*carry, "n_words", "base_places", "matches"])
 

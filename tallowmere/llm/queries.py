@@ -53,37 +53,68 @@ QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_media_copies, op3
 
 ORACLE_SQL = {
     "op4_url_filter": r"""
-        WITH RECURSIVE p AS (
-            SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
-            FROM pages),
-        r(own, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
-                                  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-        b AS (
-            SELECT p.*, f.rule, f.own,
-                   CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/$', '') END AS node,
-                   nullif(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*', 0), '') AS tag
-            FROM p LEFT JOIN LATERAL (
+        WITH RECURSIVE r(own, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                                 ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        p AS (SELECT row_number() OVER () AS n, page_id, url, html FROM pages),
+        tags AS (SELECT n, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
+        named AS (
+            SELECT url, CASE
+                WHEN regexp_matches(tag, '(?is)^<link\b.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])')
+                THEN concat(regexp_extract(tag, h, 1), regexp_extract(tag, h, 2), regexp_extract(tag, h, 3))
+                WHEN regexp_matches(tag, '(?is)^<meta\b.*\shttp-equiv\s*=\s*["'']?refresh["''\s/>]')
+                THEN regexp_extract(concat(regexp_extract(tag, c, 1), regexp_extract(tag, c, 2), regexp_extract(tag, c, 3)), '(?is)(?:^|[\s;,])url\s*=\s*["'']?([^\s"'']+)', 1) END AS target
+            FROM (SELECT url, tag, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))' AS h,
+                         '(?is)\scontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))' AS c FROM tags)),
+        links AS (SELECT url, replace(trim(target, ' '), '&amp;', '&') AS t FROM named WHERE trim(coalesce(target, ''), ' ') <> ''),
+        local AS (
+            SELECT *, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) AS scheme, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+                   CASE WHEN starts_with(t, '/') THEN t WHEN path = '' THEN '/' || t ELSE regexp_extract(path, '^(.*/)', 1) || t END AS place
+            FROM links),
+        whole AS (
+            SELECT url, CASE
+                WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN CASE WHEN contains(t, '://') THEN t END
+                WHEN starts_with(t, '//') THEN scheme || ':' || t
+                WHEN host = '' THEN NULL
+                WHEN starts_with(t, '?') THEN scheme || '://' || host || path || t
+                WHEN t = '' OR starts_with(t, '#') THEN NULL
+                ELSE scheme || '://' || host || list_reduce(string_split(regexp_replace(regexp_extract(place, '^([^?#]*)', 1), '/(\.\.?)$', '/\1/'), '/'),
+                        lambda so_far, part: CASE part WHEN '..' THEN regexp_replace(so_far, '/[^/]*$', '') WHEN '.' THEN so_far ELSE so_far || '/' || part END)
+                     || regexp_extract(place, '^[^?#]*(.*)$', 1) END AS t
+            FROM local),
+        urls AS (SELECT url FROM p UNION SELECT t FROM whole WHERE t IS NOT NULL),
+        nodes AS (
+            SELECT url, CASE WHEN host <> '' THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) END AS node
+            FROM (SELECT url, translate(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme,
+                         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM urls)),
+        e AS (SELECT a.node AS u, b.node AS v FROM whole JOIN nodes a ON a.url = whole.url JOIN nodes b ON b.url = whole.t WHERE a.node <> b.node),
+        g AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+        reach AS (SELECT u AS a, u AS z FROM g UNION SELECT a, g.v FROM reach JOIN g ON g.u = z),
+        judged AS (
+            SELECT key, url, host, path, f.rule, f.own
+            FROM (SELECT key, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+                  FROM (SELECT n::VARCHAR AS key, url FROM p UNION ALL SELECT DISTINCT u, u FROM g)) x
+            LEFT JOIN LATERAL (
                 SELECT rh || rp AS rule, own FROM r
                 WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1) f ON true),
-        e AS (SELECT node AS u, regexp_extract(tag, 'href\s*=\s*["'']([^"'']+)', 1) AS v FROM b WHERE tag IS NOT NULL),
-        g AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-        reach AS (SELECT node AS a, node AS z FROM b WHERE node IN (SELECT u FROM g) UNION SELECT a, g.v FROM reach JOIN g ON g.u = z),
-        alias AS (SELECT a, z FROM reach UNION SELECT node, node FROM b WHERE node IS NOT NULL),
-        m AS (SELECT node, bool_or(own = 'allow') AS allow, bool_or(own = 'block') AS block FROM b WHERE own IS NOT NULL GROUP BY node),
-        c AS (SELECT a, bool_or(allow) AS allow, bool_or(block) AS block FROM alias JOIN m ON m.node = z GROUP BY a)
+        m AS (SELECT a, bool_or(own = 'allow') AS allow, bool_or(own = 'block') AS block FROM reach JOIN judged ON judged.key = z GROUP BY a)
         SELECT page_id, host, path, rule, coalesce(own, CASE WHEN block AND NOT allow THEN 'block' ELSE 'allow' END) AS verdict
-        FROM b LEFT JOIN c ON c.a = b.node""",
+        FROM p JOIN judged ON judged.key = p.n::VARCHAR LEFT JOIN nodes ON nodes.url = p.url LEFT JOIN m ON m.a = nodes.node""",
     "op8_chat_format": r"""
-        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-        l AS (SELECT conv_id, row_number() OVER o AS place,
+        WITH t AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, 'none ' || md5(coalesce(role, 'unknown')) || md5(coalesce(text, ''))) AS unit, conv_id,
+                          CASE WHEN conv_id IS NOT NULL THEN turn END AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        l AS (SELECT unit, conv_id, row_number() OVER o AS place,
                      string_agg(md5(role) || md5(text), '/') OVER o AS prefix,
                      string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '') OVER o AS rendered,
-                     count(*) OVER (PARTITION BY conv_id) AS n_turns
-              FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING)),
-        w AS (SELECT * FROM l WHERE place = n_turns),
-        k AS (SELECT min(conv_id) AS conv_id FROM w WHERE prefix NOT IN (SELECT prefix FROM l WHERE place < n_turns) GROUP BY prefix)
-        SELECT w.conv_id, w.n_turns, w.rendered FROM w JOIN k ON k.conv_id = w.conv_id""",
+                     count(*) OVER (PARTITION BY unit) AS n_turns
+              FROM t WINDOW o AS (PARTITION BY unit ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING)),
+        w AS (SELECT * FROM l WHERE place = n_turns)
+        SELECT w.conv_id, w.n_turns, w.rendered FROM w JOIN (
+            SELECT prefix, min(conv_id) AS conv_id, min(unit) FILTER (conv_id IS NULL) AS unit FROM w
+            WHERE prefix NOT IN (SELECT prefix FROM l WHERE place < n_turns) GROUP BY prefix) k
+        ON w.unit = coalesce(k.conv_id::VARCHAR, k.unit)""",
     "op3_licenses": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import ascii_lower, written
+from .shared import Scratch, ascii_lower
 
 #: Rules up to this number are compared with each url in place; more are joined by host.
 IN_PLACE = 100
@@ -33,8 +33,13 @@ class Rule:
 #: The rules of the registered query.
 RULES = tuple(Rule.parse(*r) for r in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")))
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']([^"'>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>\s]+)"""
+#: A tag that may link; what makes it a canonical link or a refresh; the values that it names.
+_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_CANONICAL = r"""(?is)^<link\b.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+_REFRESH = r"""(?is)^<meta\b.*\shttp-equiv\s*=\s*["']?refresh["'\s/>]"""
+_HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_CONTENT = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_URL = r"""(?is)(?:^|[\s;,])url\s*=\s*["']?([^\s"']+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -47,10 +52,52 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def node_of(host: Column, path: Column) -> Column:
-    """The form to which a server redirects a url's variants: no scheme, query or fragment, no leading ``www.`` or ``m.``, no ``index`` page, ``.html`` or last slash.  Null without a host."""
-    short = F.regexp_replace(F.regexp_replace(path, r"(/index)?\.html?$", ""), r"/$", "")
-    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), short))
+def scheme_of(url: Column) -> Column:
+    """The scheme, lower-cased, before ``://``."""
+    return ascii_lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
+
+
+def query_of(url: Column) -> Column:
+    """From the first ``?`` on up to ``#`` or the end."""
+    return F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+
+
+def node_of(url: Column) -> Column:
+    """What tells urls apart: the whole url without its fragment, scheme and host lower-cased, an empty path as ``/``.  Null without a host.
+
+    Nothing else is made equal: variants are aliases only if a redirect or a canonical link says so.
+    """
+    path = path_of(url)
+    whole = F.concat(scheme_of(url), F.lit("://"), host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query_of(url))
+    return F.when(host_of(url) != "", whole)
+
+
+def without_dots(path: Column) -> Column:
+    """The path with ``.`` and ``..`` resolved."""
+    closed = F.regexp_replace(path, r"/(\.\.?)$", r"/$1/")
+    parts = F.split(closed, "/")
+    step = lambda so_far, part: F.when(part == "..", F.regexp_replace(so_far, r"/[^/]*$", "")).when(part == ".", so_far).otherwise(F.concat(so_far, F.lit("/"), part))
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The absolute url that ``to`` names on the page ``url``; null where it names no place with a host.
+
+    With a scheme ``to`` stands for itself; ``//host`` takes the page's scheme, ``/path`` its host too, ``?query``
+    its path too, anything else is relative to its path up to the last slash.
+    """
+    site = F.concat(scheme_of(url), F.lit("://"), host_of(url))
+    base = F.when(path_of(url) == "", F.lit("/")).otherwise(F.regexp_extract(path_of(url), r"^(.*/)", 1))
+    local = F.when(to.startswith("/"), to).otherwise(F.concat(base, to))
+    dotless = F.concat(without_dots(F.regexp_extract(local, r"^([^?#]*)", 1)), F.regexp_extract(local, r"^[^?#]*(.*)$", 1))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(to.contains("://"), to))
+        .when(to.startswith("//"), F.concat(scheme_of(url), F.lit(":"), to))
+        .when(host_of(url) == "", F.lit(None))
+        .when(to.startswith("?"), F.concat(site, path_of(url), to))
+        .when((to == "") | to.startswith("#"), F.lit(None))
+        .otherwise(F.concat(site, dotless))
+    )
 
 
 def _best(found: Column) -> Column:
@@ -79,36 +126,41 @@ def with_rules(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``(u, v)``: nodes of a page and of what its canonical link or its refresh names; relative ones are of its host."""
-    target = F.coalesce(F.nullif(F.regexp_extract("html", _CANONICAL, 1), F.lit("")), F.nullif(F.regexp_extract("html", _REFRESH, 1), F.lit("")))
-    e = pages.select("url", target.alias("to")).where("`to` is not null")
-    whole = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("to")))
-    e = e.withColumn("to", whole)
-    return e.select(node_of(host_of(F.col("url")), path_of(F.col("url"))).alias("u"), node_of(host_of(F.col("to")), path_of(F.col("to"))).alias("v")).where("u <> v")
+    """``(u, v)``: the node of a page and one that its html names, an edge for each canonical link and each refresh.
+
+    Values may be quoted or not; relative ones are resolved, ``&amp;`` is a ``&``.  A ``>`` ends a tag, in a value too.
+    """
+    value = lambda tag, p: F.concat(*[F.regexp_extract(tag, p, i) for i in (1, 2, 3)])
+    tags = pages.select("url", F.explode(F.regexp_extract_all(F.col("html"), F.lit(_TAG), F.lit(0))).alias("tag"))
+    named = F.when(F.col("tag").rlike(_CANONICAL), value(F.col("tag"), _HREF)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract(value(F.col("tag"), _CONTENT), _URL, 1))
+    e = tags.select("url", F.replace(F.trim(named), F.lit("&amp;"), F.lit("&")).alias("to")).where("`to` <> ''")
+    return e.select(node_of(F.col("url")).alias("u"), node_of(resolved(F.col("url"), F.col("to"))).alias("v")).where("u <> v")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, url, host, path, rule and verdict (allow or block) of every row of ``pages(page_id, url, html)``.
 
-    The longest rule that fits decides.  A page without one is an alias of all urls that share its node or
-    are linked to it, directly or through others, by canonical links, refreshes or the rows of
+    The longest rule that fits decides.  A page without one is an alias of all urls that are linked to its
+    own, directly or through others, by canonical links, refreshes or the rows of
     ``redirects(from_url, to_url)``: if one of these is allowed by a rule the page is allowed, else if
-    one is blocked it is blocked; else it is allowed.  Null and malformed urls have empty host and path, no
-    rule and no aliases, and are allowed.  Rows stay as many as they are.
+    one is blocked it is blocked; else it is allowed.  Urls are told apart as :func:`node_of` says.  Null and malformed urls
+    have empty host and path, no rule and no aliases, and are allowed.  Rows stay as many as they are; no
+    rows give no rows.
     """
     p = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    p = with_rules(p, rules).withColumn("node", node_of(F.col("host"), F.col("path")))
+    p = with_rules(p, rules).withColumn("node", node_of(F.col("url")))
     edges = page_edges(pages)
     if redirects is not None:
-        n = lambda c: node_of(host_of(F.col(c)), path_of(F.col(c)))
-        edges = edges.unionByName(redirects.select(n("from_url").alias("u"), n("to_url").alias("v")))
-    roots, _ = connected_components(edges)
-    marks = p.where("node is not null and own is not null").groupBy("node").agg(F.max(F.col("own") == "allow").alias("allow"), F.max(F.col("own") == "block").alias("block"))
-    rooted = marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    blocked = rooted.groupBy("root").agg(F.max("allow").alias("allow"), F.max("block").alias("block")).where("block and not allow").select("root")
-    # the nodes of a blocked component: itself, and all that have it as root
-    nodes = blocked.select(F.col("root").alias("node")).unionByName(roots.join(blocked, "root", "left_semi").select("node")).distinct()
-    nodes, _ = written(nodes.select(F.col("node").alias("__node")))
-    out = p.join(nodes, F.col("node") == F.col("__node"), "left")
+        edges = edges.unionByName(redirects.select(node_of(F.col("from_url")).alias("u"), node_of(F.col("to_url")).alias("v")))
+    with Scratch(pages.sparkSession) as scratch:
+        roots, paths = connected_components(edges)
+        scratch.paths += paths
+        # a rule's verdict is the url's own, whether the url has a page or is only named by one
+        named = roots.withColumn("host", host_of(F.col("node"))).withColumn("path", path_of(F.col("node")))
+        judged = with_rules(named, rules).where("own is not null")
+        rooted = judged.groupBy("root").agg(F.max(F.col("own") == "allow").alias("allow"), F.max(F.col("own") == "block").alias("block"))
+        blocked = rooted.where("block and not allow").select("root")
+        nodes = scratch.keep(roots.hint("merge").join(blocked, "root", "left_semi").select(F.col("node").alias("__node")))
+    out = p.join(nodes.hint("merge"), F.col("node") == F.col("__node"), "left")
     verdict = F.coalesce("own", F.when(F.col("__node").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "url", "host", "path", "rule", verdict.alias("verdict"))

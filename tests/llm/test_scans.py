@@ -1,7 +1,10 @@
 """License scans, URL filters and chat formatting."""
 
 import re
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pytest
 from helpers import ODD, SCHEMA, Groups, ascii_lower, docs
@@ -33,6 +36,19 @@ def test_licenses_equal_brute_force(spark, small):
     assert licenses.license_report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_places_take_time_in_proportion():
+    """A text of 20 MB that is nothing but places."""
+    joined = b" " + b"cc by " * 3_000_000
+    began = time.perf_counter()
+    assert len(licenses.places(joined, b" cc by ")) == 3_000_000
+    assert time.perf_counter() - began < 10
+    a = licenses.Automaton.compile("x", "released under the mit license")
+    words = [b"released", b"under", b"the", b"mit", b"license"] * 80_000
+    began = time.perf_counter()
+    assert len(a.spans(words, b" " + b" ".join(words) + b" ")) == 80_000
+    assert time.perf_counter() - began < 10
+
+
 def test_optional_and_replaceable_regions():
     a = licenses.Automaton.compile("x", "start {{name:1-2}} middle word [[maybe [[not]]]] end")
     words = lambda s: [w.encode() for w in s.split()]
@@ -43,63 +59,122 @@ def test_optional_and_replaceable_regions():
     assert a.spans(text, b" " + b" ".join(text) + b" ") == [(1, 6), (6, 11)]
 
 
+class Links(HTMLParser):
+    """Targets of the canonical links and refreshes of a page."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.found = []
+        self.feed(html or "")
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.found.append(a.get("href", "").strip())
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and (m := re.search(r"(?i)(?:^|[\s;,])url\s*=\s*[\"']?([^\s\"']+)", a.get("content", ""))):
+            self.found.append(m[1])
+
+    handle_startendtag = handle_starttag
+
+
+def url_parts(u):
+    host = re.search(r"://([^/?#]*)", u or "")
+    path = re.search(r"://[^/?#]*([^?#]*)", u or "")
+    return ascii_lower(host[1]) if host else "", path[1] if path else ""
+
+
+def url_node(u):
+    host, path = url_parts(u)
+    if not host:
+        return None
+    query = re.search(r"^[^?#]*(\?[^#]*)", u)
+    return f"{u.strip().partition('://')[0].lower()}://{host}{path or '/'}{query[1] if query else ''}"
+
+
 def judged_brute(pages, rules, redirects=()):
-    def parts(u):
-        host = re.search(r"://([^/?#]*)", u or "")
-        path = re.search(r"://[^/?#]*([^?#]*)", u or "")
-        return ascii_lower(host[1]) if host else "", path[1] if path else ""
-
-    def node(host, path):
-        return re.sub(r"^(www|m)\.", "", host) + re.sub(r"/$", "", re.sub(r"(/index)?\.html?$", "", path)) if host else None
-
-    g, mark, seen = Groups(), defaultdict(set), []
-    for page, url, link in pages:
-        h, p = parts(url)
-        fits = [r for r in rules if (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)]
-        best = max(fits, key=lambda r: len(r.host + r.path), default=None)
-        n = node(h, p)
-        seen.append((page, h, p, best, n))
-        if n is not None:
-            g.find(n)
-            if link and node(*parts(link)) is not None:
-                g.join(n, node(*parts(link)))
+    def rule(u):
+        h, p = url_parts(u)
+        return max((r for r in rules if (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)), key=lambda r: len(r.host + r.path), default=None)
+
+    g, mark = Groups(), defaultdict(set)
+    for _, url, html in pages:
+        for to in Links(html).found:
+            a, b = url_node(url), url_node(urljoin(url or "", to)) if to else None
+            if a and b:
+                g.join(a, b)
     for a, b in redirects:
-        g.join(node(*parts(a)), node(*parts(b)))
-    for *_, best, n in seen:
-        if best and n is not None:
+        g.join(url_node(a), url_node(b))
+    for n in list(g.up):
+        if best := rule(n):
             mark[g.find(n)].add(best.verdict)
-    verdict = lambda best, n: best.verdict if best else "block" if n is not None and mark[g.find(n)] == {"block"} else "allow"
-    return Counter((page, h, p, best and best.host + best.path, verdict(best, n)) for page, h, p, best, n in seen)
+    out = Counter()
+    for page, url, _ in pages:
+        best, n = rule(url), url_node(url)
+        alias = "block" if n in g.up and mark[g.find(n)] == {"block"} else "allow"
+        out[(page, *url_parts(url), best and best.host + best.path, best.verdict if best else alias)] += 1
+    return out
+
+
+def canonical(x):
+    return f'<html><link href="{x}" rel="canonical"></html>' if x else None
 
 
 def pages(spark, rows, **extra):
     from pyspark.sql import functions as F
 
-    html = [(i, u, f'<html><link href="{x}" rel="canonical"></html>' if x else None) for i, u, x in rows]
-    return spark.createDataFrame(html, "page_id long, url string, html string").withColumns({k: F.lit(v) for k, v in extra.items()})
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({k: F.lit(v) for k, v in extra.items()})
 
 
-URLS = [
-    (1, "http://a.net/es/x", None), (2, "https://b.org/copy", "http://a.net/es/x"), (3, "http://c.org/c.html", "https://www.b.org/copy"), (4, "http://M.C.org/c/?q#f", None), (5, None, "http://a.net/es/x"), (6, "no scheme", None), (7, "", None),
+BAD = "http://a.net/es/x"
+URLS = [(i, u, canonical(x)) for i, u, x in (
+    (1, BAD, None), (2, "https://b.org/copy", BAD), (3, "http://c.org/c.html", "https://b.org/copy"), (4, "http://C.org/c.html#f", None), (5, None, BAD), (6, "no scheme", None), (7, "", None),
     (8, "http://example.com/en/p", None), (9, "http://WWW.example.com/en/p", None), (10, "http://d.org/p", "http://example.com/en/p"), (11, "http://net/fr/", None), (12, "http://net/frx", None), (13, "http://x.com?y", None), (14, "http://x.com/", None),
-    (15, "http://sub.www.example.com/en/", None), (16, "a://b://c/d", None), (17, "http://e.org/1", "http://e.org/2"), (18, "http://e.org/2", "http://e.org/1"), (19, "://", None), (1, "http://a.net/es/x", None), (None, "http://b.org/copy", None),
+    (15, "http://sub.www.example.com/en/", None), (16, "a://b://c/d", None), (17, "http://e.org/1", "http://e.org/2"), (18, "http://e.org/2", "http://e.org/1"), (19, "://", None), (1, BAD, None), (None, "https://b.org/copy", None),
+)] + [
+    # a refresh beside a canonical link, several canonical links, unquoted values, marks written as entities
+    (20, "http://f.org/both", f'<link rel="canonical" href="http://f.org/own"><META http-equiv=refresh content="0; URL={BAD}">'),
+    (21, "http://f.org/two", f"<link rel=canonical href=http://f.org/two-b><link href='{BAD}' rel='nofollow canonical'/>"),
+    (22, "http://f.org/bare", f"<p><LINK REL=canonical HREF={BAD}></p>"), (23, "http://f.org/near", f'<link rel="canonical-not" href="{BAD}"><a rel="canonical" href="{BAD}">'),
+    (24, "http://f.org/quoted", f"<meta content=\"5;url='{BAD}'\" http-equiv='Refresh'>"), (25, "http://f.org/v?id=1&x=2", '<link rel="canonical" href="/v?x=2&amp;bad=1">'), (26, "http://f.org/v?x=2&bad=1", canonical(BAD)),
+    # only the query differs: no aliases of each other
+    (30, "http://g.org/1", canonical("http://hub.org/v?id=1")), (31, "http://g.org/2", canonical("http://hub.org/v?id=2")), (32, "http://hub.org/v?id=2", canonical(BAD)), (33, "http://www.hub.org/v?id=2", None),
+    # relative: to the folder, upwards, to the host, to the scheme, only a query, only a fragment, no place at all
+    (40, "http://h.org/a/b/c.html", canonical("d.html")), (41, "http://h.org/a/b/d.html", canonical("../up")), (42, "http://h.org/a/up", canonical(BAD)), (43, "http://h.org/x/y", canonical("./z/../../a/up")), (44, "http://h.org", canonical("a/up")),
+    (45, "http://h.org/q?1", canonical("?bad")), (46, "http://h.org/q?bad", canonical("//a.net/es/x")), (47, "http://h.org/frag", canonical("#a")), (48, "http://h.org/empty", canonical(" ")), (49, "http://h.org/mail", canonical("mailto:a@b.c")), (50, "http://h.org/slash/", canonical("..")),
+    (51, "http://h.org/", canonical("/deep/er/../../a/up")),
+    # a blocked place that has no page of its own
+    (60, "http://i.org/1", canonical("http://only.net/fr/named")), (61, "http://i.org/2", canonical("http://i.org/1")), (62, "http://i.org/long", "x" * 300_000 + f'<link rel="canonical" href="{BAD}">'), (63, "http://i.org/none", "<link <link rel=canonical"),
+    (64, "http://d.org/both", '<link rel="canonical" href="http://example.com/en/p"><link rel="canonical" href="http://www.example.com/en/p">'),
 ]
 
 
 def test_urls_equal_brute_force_and_aliases_follow(spark):
-    hot = [(100 + i, f"http://alias{i}.org/", "http://hub.org/") for i in range(300)] + [(999, "http://bad.net/es/", "http://hub.org/")]
+    hot = [(100 + i, f"http://alias{i}.org/", canonical("http://hub.org/")) for i in range(300)] + [(999, "http://bad.net/es/", canonical("http://hub.org/"))]
     rows = URLS + hot
-    got = urls.judge(pages(spark, rows, node="n", rule="r", verdict="v", host="h")).drop("url").collect()
-    want = judged_brute(rows, urls.RULES)
-    assert Counter(tuple(r) for r in got) == want
-    assert {r.verdict for r in got if r.page_id and r.page_id >= 100} == {"block"}
+    got = urls.judge(pages(spark, rows, node="n", rule="r", verdict="v", host="h", root=1, own=2)).drop("url").collect()
+    assert Counter(tuple(r) for r in got) == judged_brute(rows, urls.RULES)
+    of = {r.page_id: r.verdict for r in got}
+    assert {v for i, v in of.items() if i and 100 <= i < 999} == {"block"}
     # an allowed member of a component protects its aliases without a rule
-    assert next(r.verdict for r in got if r.page_id == 10) == "allow"
+    assert of[10] == "allow"
+    assert {i for i in (20, 21, 22, 24, 25, 31, 40, 41, 43, 44, 45, 51, 60, 61, 62) if of[i] != "block"} == set()
+    assert {i for i in (23, 30, 33, 47, 48, 49, 63) if of[i] != "allow"} == set()
+
+
+def test_url_sql_follows_links_too(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", URLS)
+    r = con.execute(queries.ORACLE_SQL["op4_url_filter"])
+    assert [d[0] for d in r.description] == ["page_id", "host", "path", "rule", "verdict"]
+    assert Counter(r.fetchall()) == judged_brute(URLS, urls.RULES)
 
 
 def test_redirects_join_components(spark):
-    redirects = [("http://r.org/a", "http://a.net/es/x"), ("http://r.org/b", "http://r.org/a")]
-    rows = URLS + [(50, "http://r.org/b", None)]
+    redirects = [("http://r.org/a", BAD), ("http://r.org/b", "http://r.org/a")]
+    rows = URLS + [(150, "http://r.org/b", None)]
     got = urls.judge(pages(spark, rows), redirects=spark.createDataFrame(redirects, "from_url string, to_url string")).drop("url").collect()
     assert Counter(tuple(r) for r in got) == judged_brute(rows, urls.RULES, redirects)
 
@@ -124,11 +199,13 @@ def turns(spark, rows, **extra):
 def chat_brute(rows):
     by = defaultdict(set)
     for c, n, role, text in rows:
-        by[c].add((n is None, n or 0, role or "unknown", text or ""))
+        turn = (n is None, n or 0, role or "unknown", text or "") if c is not None else (True, 0, role or "unknown", text or "")
+        by[c if c is not None else turn].add(turn)
     full = {c: tuple((r, t) for *_, r, t in sorted(x)) for c, x in by.items()}
     strict = {x[:k] for x in full.values() for k in range(1, len(x))}
     least = {}
     for c, x in full.items():
+        c = c if isinstance(c, int) else None
         if x not in strict and (x not in least or (c is not None and (least[x] is None or c < least[x]))):
             least[x] = c
     mark = lambda s: s.replace("<|", "< |")
@@ -140,7 +217,7 @@ CHATS = (
     + [(2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more")]
     + [(3, 5, "user", "hi"), (3, 7, "assistant", "hello"), (3, 9, "user", "more")]
     + [(4, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "other")]
-    + [(5, 0, None, None), (5, None, "user", "<|im_end|>"), (6, 0, "unknown", ""), (None, 0, "user", "alone"), (7, 0, "user", "w " * 5000), (8, 1, "user", "hi"), (9, 3, "a", "x"), (9, 3, "b", "x")]
+    + [(5, 0, None, None), (5, None, "user", "<|im_end|>"), (6, 0, "unknown", ""), (None, 0, "user", "alone"), (None, 1, "user", "alone"), (None, 2, "user", "alone too"), (None, None, None, None), (None, 0, "user", "hi"), (30, 4, "user", "one"), (None, 4, "user", "one"), (7, 0, "user", "w " * 5000), (8, 1, "user", "hi"), (9, 3, "a", "x"), (9, 3, "b", "x")]
     + [(100 + i, 0, "user", "hi") for i in range(200)]
     + [(500, k, "user", f"turn {k}") for k in range(300)] + [(501 + j, k, "user", f"turn {k}") for j in range(3) for k in range(100 * j + 50)]
 )
