@@ -2,8 +2,11 @@
 
 Each source's documents are shuffled by a hash of their id.  A document's virtual finish time is the
 source's words so far, its own included, over the source's target; a source that must give more than it
-has starts over.  Ordered by finish time, all sources progress in proportion to their targets, and the
-mix is the longest beginning of that order whose words fit the total budget.
+has starts over.  Sorted by ranges of finish time, all sources progress in proportion to their targets,
+and the mix is the longest beginning of that order whose words fit the total budget.
+
+Running totals are made in blocks: each block is summed, the sums are totalled level by level in groups
+of ``FAN``, and the rows of a block go on from where it starts.
 """
 
 from __future__ import annotations
@@ -12,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import NOT_BLANKS, text_of, written
+from .shared import NOT_BLANKS, Scratch, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SALT = "mix"
-#: Rows that a running total sums at a time; the offsets of such blocks are summed apart.
-BLOCK = 10_000
+#: Rows of a block of a running total; blocks that are totalled at a time.
+BLOCK, FAN = 2_000, 1_000
 
 
 def words(column: str = "text") -> Column:
@@ -54,25 +57,68 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _running(rows: DataFrame, group: list[str], bucket: str, order: list[Column], size: str, name: str) -> DataFrame:
-    """A running total of ``size`` by ``group`` in the order of ``bucket`` and then ``order``.
-
-    Each bucket is summed, the sums are totalled over the buckets of a group, and a bucket's rows are
-    totalled from there; so no task holds a whole group.  Groups are compared null-safely.
-    """
-    sums = rows.groupBy(*group, bucket).agg(F.sum(size).alias("__sum"))
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(c).alias(f"__{c}") for c in [*group, bucket]], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    own = F.sum(size).over(W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group, bucket]]
-    return rows.withColumn("__own", own).join(starts, on).withColumn(name, F.col("__own") + F.col("__start")).drop("__own", "__start", *[f"__{c}" for c in [*group, bucket]])
+def _starts(sums: DataFrame, group: list[str], bucket: str, buckets: int) -> DataFrame:
+    """``sums(group, bucket, __sum)`` with ``__start``, the sum of the group's buckets before; no task totals more than ``FAN`` of them."""
+    if buckets <= FAN:
+        before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+        return sums.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    upper = f"{bucket}_"
+    s = sums.withColumn(upper, F.floor(F.col(bucket) / FAN))
+    before = W.partitionBy(*group, upper).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    s = s.withColumn("__within", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    above = _starts(s.groupBy(*group, upper).agg(F.sum("__sum").alias("__sum")), group, upper, -(-buckets // FAN))
+    keys = [*group, upper]
+    above = above.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("__start").alias("__above"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return s.join(above, on).select(*group, bucket, "__sum", (F.col("__within") + F.col("__above")).alias("__start"))
+
+
+def _running(rows: DataFrame, group: list[str], bucket: str, buckets: int, order: list[Column], size: str, name: str) -> DataFrame:
+    """A running total of ``size`` by ``group`` in the order of ``bucket`` and then ``order``; groups are compared null-safely."""
+    keys = [*group, bucket]
+    starts = _starts(rows.groupBy(*keys).agg(F.sum(size).alias("__sum")), group, bucket, buckets)
+    starts = starts.select(*[F.col(c).alias(f"__{c}") for c in keys], "__start")
+    own = F.sum(size).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return rows.withColumn("__own", own).join(starts, on).withColumn(name, F.col("__own") + F.col("__start")).drop("__own", "__start", *[f"__{c}" for c in keys])
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.xxhash64(text_of()).alias("text_hash"), shuffle_key().alias("key"))
+    d = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"),
+        F.xxhash64(text_of()).alias("text_hash"), shuffle_key().alias("key"),
+    )
     return d.groupBy("doc_id", "source", "size", "text_hash", "key").agg(F.count("*").alias("alike"))
 
 
+UNIT = ("source", "doc_id", "size", "text_hash", "nth")
+
+
+def _schedule(docs: DataFrame, weights: tuple[float, ...], repeats: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Every row with its source's target and its running total; the copies in the mix, each with its finish time and ``end``, the mix's words up to it; and the budget."""
+    spark = docs.sparkSession
+    u = scratch.write(_units(docs))
+    sources = scratch.keep(targets(u.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size")), weights, repeats))
+    total, rows = u.agg(F.coalesce(F.sum(F.col("size") * F.col("alike")), F.lit(0)), F.coalesce(F.sum("alike"), F.lit(0))).first()
+    blocks = max(1, -(-rows // BLOCK))
+    named = sources.select(F.col("source").alias("__s"), "source_size", "target")
+    one = u.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))))
+    # blocks of the shuffled order: the leading digits of the key, as even as a hash is
+    one = one.withColumn("block", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * blocks / F.lit(1 << 28)))
+    one = _running(one, ["source"], "block", blocks, [F.col("key"), F.col("size"), F.col("text_hash"), F.col("nth")], "size", "upto")
+    one = scratch.keep(one.join(named, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "block"))
+    times = F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(repeats)).cast("int")
+    offered = one.where("size > 0 and target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), times - 1)))
+    offered = offered.withColumn("finish", (F.col("upto") + F.col("pass") * F.col("source_size")) / F.col("target"))
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("text_hash"), F.col("nth")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of the order, numbered as they follow each other
+    ranged = offered.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    ranged = scratch.write(ranged.select(*UNIT, "key", "alike", "finish", "part"))
+    chosen = _running(ranged, [], "part", parts, order, "size", "end").where(F.col("end") <= total)
+    return one, scratch.keep(chosen.select(*UNIT, "alike", "finish", "end")), total
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """What the mix takes of each row of ``docs``.
 
@@ -83,51 +129,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     are ordered by size and a hash of the text, and rows alike in all of these are interchangeable.
     Documents without words take none.  No rows give no rows; reruns agree.
     """
-    u, _ = written(_units(docs))
-    sources, _ = written(targets(u.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size")), weights, repeats))
-    total, rows = u.agg(F.coalesce(F.sum(F.col("size") * F.col("alike")), F.lit(0)), F.coalesce(F.sum("alike"), F.lit(0))).first()
-    blocks = max(1, -(-rows // BLOCK))
-    named = sources.select(F.col("source").alias("__s"), "source_size", "target")
-    one = u.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike")))).drop("alike")
-    # blocks of the shuffled order: the leading digits of the key, as even as a hash is
-    one = one.withColumn("block", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * blocks / F.lit(1 << 28)))
-    one = _running(one, ["source"], "block", [F.col("key"), F.col("size"), F.col("text_hash"), F.col("nth")], "size", "upto")
-    one = one.join(named, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "block")
-    one, _ = written(one)
-    offered = one.where("size > 0 and target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(repeats)).cast("int") - 1)))
-    offered = offered.withColumn("finish", (F.col("upto") + F.col("pass") * F.col("source_size")) / F.col("target"))
-    # virtual time is even in words, so equal steps of it are ranges of like size
-    offered = offered.withColumn("step", F.floor(F.col("finish") * blocks))
-    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("text_hash"), F.col("nth")]
-    steps = offered.groupBy("step").agg(F.sum("size").alias("words"))
-    full = steps.withColumn("end", F.sum("words").over(W.orderBy("step"))).where(F.col("end") <= total)
-    full_to = full.agg(F.max(F.struct("end", "step")).alias("last")).first()["last"]
-    done, last = (full_to["end"], full_to["step"]) if full_to else (0, -1)
-    edge = offered.where(F.col("step") > last).where(F.col("step") <= _next_step(steps, last))
-    edge = edge.withColumn("end", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + done).where(F.col("end") <= total)
-    chosen = offered.where(F.col("step") <= last).select("source", "doc_id", "size", "text_hash", "nth").unionByName(edge.select("source", "doc_id", "size", "text_hash", "nth"))
-    keys = ["source", "doc_id", "size", "text_hash", "nth"]
-    copies = chosen.groupBy(*keys).agg(F.count("*").alias("copies")).withColumnsRenamed({k: f"__{k}" for k in keys})
-    out = one.join(copies, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    with Scratch(docs.sparkSession) as scratch:
+        one, chosen, _ = _schedule(docs, weights, repeats, scratch)
+    copies = chosen.groupBy(*UNIT).agg(F.count("*").alias("copies")).withColumnsRenamed({k: f"__{k}" for k in UNIT})
+    out = one.join(copies, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in UNIT], "left")
     n = F.coalesce("copies", F.lit(0))
-    return out.select("doc_id", "source", "size", "text_hash", "nth", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"), (F.col("upto") / F.when(F.col("target") > 0, F.col("target"))).alias("finish"))
-
-
-def _next_step(steps: DataFrame, last: int) -> int:
-    row = steps.where(F.col("step") > last).agg(F.min("step")).first()
-    return last if row[0] is None else row[0]
+    finish = F.col("upto") / F.when(F.col("target") > 0, F.col("target"))
+    return out.select("doc_id", "source", "size", "text_hash", "nth", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"), finish.alias("finish"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, all columns as they were."""
-    m, _ = written(mix(docs, weights, repeats))
-    keys = ["doc_id", "source", "text_hash"]
-    m = m.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")).where("copies > 0")
-    m = m.withColumnsRenamed({k: f"__{k}" for k in [*keys, "copies", "alike"]})
+    """The mix itself, in its order: each row of ``docs`` as often as it is taken, all columns as they were.
+
+    Partitions follow each other in the order of finish times and are sorted within, so that any beginning of
+    the written files has the sources in proportion to their targets.  A partition has the same share of
+    the words as any other; there are as many as the session has shuffle partitions.  Ties, repeated rows,
+    nulls and empty tables are as in :func:`mix`.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        _, chosen, total = _schedule(docs, weights, repeats, scratch)
+    m = chosen.select(*[F.col(k).alias(f"__{k}") for k in ("doc_id", "source", "text_hash", "alike", "end")])
     d = docs.withColumn("__hash", F.xxhash64(text_of()))
     on = d["doc_id"].cast("long").eqNullSafe(m["__doc_id"]) & d["source"].cast("string").eqNullSafe(m["__source"]) & (d["__hash"] == m["__text_hash"])
-    rows = d.join(m, on)
-    once = rows.where("__alike = 1")
-    if not m.where("__alike > 1").isEmpty():
-        once = once.unionByName(rows.where("__alike > 1").dropDuplicates(["doc_id", "source", "__hash"]))
-    return once.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    out = d.join(m.where("__alike = 1"), on)
+    several = m.where("__alike > 1")
+    if not several.isEmpty():
+        # rows alike in id, source and text stand for each other: one of them is repeated as often as all are taken
+        out = out.unionByName(d.join(several, on, "left_semi").dropDuplicates(["doc_id", "source", "__hash"]).join(several, on))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.least(F.floor(F.col("__end") * parts / F.lit(max(1, total))), F.lit(parts - 1)).cast("int")
+    return out.repartitionById(parts, slot).sortWithinPartitions("__end").select(docs.columns)

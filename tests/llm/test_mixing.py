@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from helpers import ODD, SCHEMA, docs, mix
+from pyspark.sql import functions as F
 
 from tallowmere.llm import mixing, queries
 
@@ -51,6 +52,35 @@ def test_mixed_repeats_rows_as_often_as_taken(spark):
     assert Counter((r.doc_id, r.source, r.text) for r in out.collect()) == Counter({k: v for k, v in sum((Counter({r: t}) for r, t in zip([(i, s, t) for i, s, t in rows], taken, strict=True)), Counter()).items() if v})
 
 
+def test_the_mix_is_in_the_order_of_finish_times(spark, small):
+    """Partition after partition; any beginning of it has the sources in proportion to their targets."""
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.source, r.text) for r in d.select("doc_id", "source", "text").collect()]
+    sizes, target, taken = mix(rows)
+    out = mixing.mixed(d)
+    parts = out.select("doc_id", "source", "text").rdd.glom().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat = [tuple(r) for p in parts for r in p]
+    assert Counter(r[0] for r in flat) == Counter({r[0]: n for r, n in zip(rows, taken, strict=True) if n})
+    words, most = Counter(), Counter()
+    for i, s, t in flat[: len(flat) // 2]:
+        n = sizes[[r[0] for r in rows].index(i)]
+        words[s] += n
+        most[s] = max(most[s], n)
+    half = sum(words.values()) / sum(target.values())
+    for s in target:
+        assert abs(words[s] - half * target[s]) <= 3 * max(most.values())
+
+
+def test_running_totals_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 3)
+    rows = [(i % 2 or None, i * 7 % 40, i, 1 + i % 5) for i in range(200)]
+    d = spark.createDataFrame(rows, "g int, b long, k int, size int")
+    got = {r.k: r.upto for r in mixing._running(d, ["g"], "b", 40, [F.col("k")], "size", "upto").collect()}
+    for g, b, k, _ in rows:
+        assert got[k] == sum(n for h, c, j, n in rows if h == g and (c, j) <= (b, k))
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     t = {r.source: r.target for r in mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 90)], "source string, source_size long")).collect()}
     assert t == {"a": 30.0, "b": pytest.approx(800), "c": 270.0}
