@@ -156,11 +156,10 @@ class WordBpe:
         ids = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         return merge([i for i in ids if i is not None], self.merges)
 
-    def known(self, word: str) -> tuple[int, bytes, str]:
-        """How many ids the word has, the ids as little-endian unsigned 32-bit integers, and its tokens with a space between."""
+    def known(self, word: str) -> bytes:
+        """The word's ids as unsigned 32-bit integers."""
         if (found := self.old.get(word)) is None:
-            ids = self.word_ids(word)
-            found = (len(ids), array("I", ids).tobytes(), " ".join(self.token[i] for i in ids))
+            found = array("I", self.word_ids(word)).tobytes()
         if len(self.new) >= self.limit:
             self.old = dict(self.new)
             self.new.clear()
@@ -173,13 +172,12 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return text.translate(_SMALL) if _CAPITAL.search(text) else text
 
-    def pieces(self, text: str) -> list[tuple[int, bytes, str]]:
-        out: list[tuple[int, bytes, str]] = []
+    def pieces(self, text: str) -> list[bytes]:
+        out: list[bytes] = []
         parts = self.marks.split(text) if "<|" in text else [text]
         for part in parts:
             if part in self.special:
-                i = self.special[part]
-                out.append((1, array("I", [i]).tobytes(), part))
+                out.append(array("I", [self.special[part]]).tobytes())
                 continue
             get, known = self.new.get, self.known
             if part.isascii():
@@ -192,12 +190,12 @@ class WordBpe:
 
     def encode(self, text: str) -> array:
         ids = array("I")
-        ids.frombytes(b"".join([p[1] for p in self.pieces(text)]))
+        ids.frombytes(b"".join(self.pieces(text)))
         return ids
 
     def tokens(self, ids) -> str:
-        """The tokens with a space between: what a tokenizer without a decoder decodes to, special ones too."""
-        return " ".join(self.token[i] for i in ids)
+        """The tokens of the ids with a space between: what a tokenizer without a decoder decodes to, special ones too."""
+        return " ".join(map(self.token.__getitem__, ids))
 
     def decode(self, ids) -> str:
         """The words that the ids spell, special tokens as they are, one space after each word."""
@@ -221,8 +219,9 @@ def encoded(docs: DataFrame, tokenizer: str, carry: tuple[str, ...] = ("doc_id",
     ``tokenizer`` is the path of the tokenizer's file on the driver; its text (its size is the
     vocabulary's, not the data's) is broadcast.  Null counts as empty: no tokens and the digests of
     nothing.  Rows stay as many and as they are; repeated ones are encoded again.  ``ids_sha256`` is that of
-    the ids as little-endian unsigned 32-bit integers, ``decoded_sha256`` that of the decoded tokens in
-    UTF-8, both in lower-case hex.
+    the ids as little-endian unsigned 32-bit integers, ``decoded_sha256`` that of the text in UTF-8 that the ids
+    decode to, both in lower-case hex.  :func:`decoded` spells the words instead, without the marks of
+    their ends.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -237,11 +236,11 @@ def encoded(docs: DataFrame, tokenizer: str, carry: tuple[str, ...] = ("doc_id",
         for b in batches:
             n, a, c, lists = [], [], [], []
             for text in b.column(len(carry)).to_pylist():
-                pieces = bpe.pieces(text)
-                raw = b"".join([p[1] for p in pieces])
-                n.append(len(raw) // 4)
+                own = bpe.encode(text)
+                raw = own.tobytes()
+                n.append(len(own))
                 a.append(hashlib.sha256(raw).hexdigest())
-                c.append(hashlib.sha256(" ".join([p[2] for p in pieces]).encode()).hexdigest())
+                c.append(hashlib.sha256(bpe.tokens(own).encode()).hexdigest())
                 if ids:
                     lists.append(raw)
             out = [*b.columns[: len(carry)], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())]
