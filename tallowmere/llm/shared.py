@@ -91,9 +91,14 @@ class Scratch:
         return df
 
 
-def released() -> None:
-    """Delete the tables that results of this package's operators read; call it once these results are stored."""
-    while Scratch._kept:
+def held() -> int:
+    """How many tables lazy results of this package's operators read so far."""
+    return len(Scratch._kept)
+
+
+def released(since: int = 0) -> None:
+    """Delete the tables that results read, those after the first ``since``; call it once these results are stored."""
+    while len(Scratch._kept) > since:
         spark, path = Scratch._kept.pop()
         removed(spark, path)
 

@@ -3,6 +3,7 @@
 import hashlib
 import struct
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
@@ -40,7 +41,10 @@ def after_toxicity(rows):
 def test_run_equals_brute_force_after_the_classifier(spark, small):
     d, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     clean = [(r.doc_id, r.source, r.text) for r in toxicity.drop_toxic(d, labels).collect()]
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(base.iterdir())
     got = corpus_pipeline.run(spark, small)
+    assert len([f for f in base.iterdir() if f not in before]) == 1  # the last stage's
     rows = got.collect()
     assert Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == after_toxicity(clean)
     assert all(len(r.token_ids) == r.n_tokens for r in rows)
