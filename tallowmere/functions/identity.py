@@ -6,8 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def together(separator: str, *parts: Column) -> Column:
+    r"""The parts as one text from which they can be told again: a separator or a backslash in a part gets a backslash before it, NULL is ``\0``."""
+    safe = lambda p: F.replace(F.replace(p.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(separator), F.lit("\\" + separator))
+    return F.concat_ws(separator, *[F.coalesce(safe(p), F.lit("\\0")) for p in parts])
+
+
 def digest(*parts: Column, separator: str = "|") -> Column:
-    return F.sha2(F.concat_ws(separator, *[p.cast("string") for p in parts]), 256)
+    """The SHA-256 of all parts; different parts have different texts, missing ones too."""
+    return F.sha2(together(separator, *parts), 256)
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -27,9 +34,9 @@ def scoped(dataset: str, key: Column) -> Column:
 
 def hash_order(seed: str, *keys: Column) -> Column:
     """A key that orders rows at random, alike in every run and however they are partitioned."""
-    return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]))
+    return F.md5(together(":", F.lit(seed), *keys))
 
 
 def draw(seed: str, n: Column, *keys: Column) -> Column:
     """A number from 0 to n - 1 drawn by hash: 28 bits of the digest modulo n."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys])), 1, 7), 16, 10).cast("long"), n)
+    return F.pmod(F.conv(F.substring(hash_order(seed, *keys), 1, 7), 16, 10).cast("long"), n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean, count_where, drift_band, is_infinite
+from .quantiles import quantiles
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -29,8 +30,8 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """How many rows repeat another one, by a hash of all columns."""
-    return df.groupBy(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    """How many rows repeat another one in all columns; missing values are equal to each other and to nothing else."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias("__n")).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def relationship_profile(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str) -> DataFrame:
@@ -71,8 +72,7 @@ def melted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> D
 def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
     """By ``feature`` of :func:`melted` rows: counts, moments, quantiles (linear), corrected skewness and kurtosis, rates, outliers.
 
-    A feature's exact quantiles need its distinct values with counts in one aggregation buffer; outliers are
-    counted in a second pass against the first one's bounds.
+    Outliers are counted in a second pass against the first one's bounds.
     """
     v, n = F.col("value"), F.count("value")
     g1, g2, k = F.skewness("value"), F.kurtosis("value"), n.cast("double")
@@ -83,11 +83,9 @@ def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
         F.when(n > 3, (k - 1) / F.greatest((k - 2) * (k - 3), F.lit(1.0)) * ((k + 1) * g2 + 6)).alias("kurtosis"),
         (count_where(v == 0) / F.greatest(n, F.lit(1))).alias("zero_rate"), (count_where(v < 0) / F.greatest(n, F.lit(1))).alias("negative_rate"), *more,
     )
-    # equal values are counted first, so that quantiles and distinct values need a value once
-    counts = long.groupBy("feature", "value").agg(F.count("*").alias("__n"))
-    q = counts.groupBy("feature").agg(F.count("value").alias("distinct"), F.percentile("value", F.array(*map(F.lit, QUANTILES)), F.col("__n")).alias("__q"))
-    s = s.join(q, "feature")
-    s = s.withColumns({f"q{round(100 * p):02d}": F.col("__q")[i] for i, p in enumerate(QUANTILES)}).drop("__q")
+    q = quantiles(long, ["feature"], "value", QUANTILES).select("feature", "distinct", "q")
+    s = s.join(q, "feature", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    s = s.withColumns({f"q{round(100 * p):02d}": F.col("q")[i] for i, p in enumerate(QUANTILES)}).drop("q")
     width = F.col("q75") - F.col("q25")
     bounds = s.select(F.col("feature").alias("__f"), (F.col("q25") - 1.5 * width).alias("__lo"), (F.col("q75") + 1.5 * width).alias("__hi"), F.col("mean").alias("__m"), F.col("std").alias("__s"))
     out = long.join(F.broadcast(bounds), F.col("feature") == F.col("__f")).groupBy("feature").agg(
@@ -123,7 +121,7 @@ def psi(df: DataFrame, value: str, is_reference: Column, bins: int = 10, eps: fl
     """
     d = df.select(clean(F.col(value).cast("double")).alias("v"), is_reference.alias("r")).where("v is not null")
     steps = [i / bins for i in range(bins + 1)]
-    edges = d.where("r").agg(F.percentile("v", F.array(*map(F.lit, steps))).alias("q")).select(F.array_distinct("q").alias("e"))
+    edges = quantiles(d.where("r"), [], "v", steps).agg(F.max("q").alias("q")).select(F.array_distinct("q").alias("e"))
     b = d.join(F.broadcast(edges), F.lit(True))  # one row
     inside = (F.col("v") >= F.element_at("e", 1)) & (F.col("v") <= F.element_at("e", -1)) & (F.size("e") > 1)
     bin_ = F.least(F.size(F.filter("e", lambda x: x <= F.col("v"))), F.size("e") - 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import count_where, ratio
 from ..functions.numeric import reasons as reasons_of
 from .checks import holes
+from .quantiles import with_quantiles
 from .ranking import preferred
 
 KEY = ("model_id", "repeat_id", "case_id", "evidence_level")
@@ -50,11 +51,11 @@ def runtime_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rates of success, parsing and valid schemas (of all, and of those that got so far), latency and tokens."""
     ok, parsed, valid = F.col("runtime_status") == "SUCCESS", F.col("json_parse_success"), F.col("schema_valid")
     n, s, p, v = F.count("*"), count_where(ok), count_where(ok & parsed), count_where(ok & parsed & valid)
-    near = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ms)")
-    return rows.groupBy(*by).agg(
+    g = rows.groupBy(*by).agg(
         n.alias("generations"), ratio(s, n).alias("success_rate"), ratio(p, n).alias("parse_rate"), ratio(v, n).alias("schema_rate"), ratio(p, s).alias("parse_rate_of_successes"), ratio(v, p).alias("schema_rate_of_parsed"),
-        F.avg("latency_ms").alias("mean_latency_ms"), near(0.95).alias("p95_latency_ms"), near(0.99).alias("p99_latency_ms"), F.coalesce(F.sum("total_token_count"), F.lit(0)).alias("tokens"),
+        F.avg("latency_ms").alias("mean_latency_ms"), F.coalesce(F.sum("total_token_count"), F.lit(0)).alias("tokens"),
     )
+    return with_quantiles(g, rows, by, "latency_ms", {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}, discrete=True)
 
 
 def contract_issues(rows: DataFrame, sections: Sequence[str]) -> DataFrame:

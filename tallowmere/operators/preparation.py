@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identity import hash_order
+from .audits import melted
+from .quantiles import quantiles
 
 RARE, MISSING, UNKNOWN = "__RARE__", "__MISSING__", "__UNKNOWN__"
 
@@ -59,7 +61,11 @@ def target_correlations(long: DataFrame, target: str, threshold: float = 0.80) -
 
 def imputation(train: DataFrame, numeric: Sequence[str], binary: Sequence[str]) -> DataFrame:
     """One row fitted on the training rows: for each numeric column its exact median, mean and sd (n) after filling; for each binary one its mode, the least of equally frequent ones."""
-    med = train.agg(*[F.percentile(c, 0.5).alias(f"{c}__fill") for c in numeric], *[F.mode(c, True).alias(f"{c}__fill") for c in binary])
+    med = train.agg(F.lit(1).alias("__one"), *[F.mode(c, True).alias(f"{c}__fill") for c in binary])
+    if numeric:
+        q = quantiles(melted(train, numeric), ["feature"], "value", [0.5])
+        med = med.join(q.agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"{c}__fill") for c in numeric]), F.lit(True))  # one row each
+    med = med.drop("__one")
     filled = train.select(*numeric).join(F.broadcast(med), F.lit(True))  # one row
     v = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__fill"))
     sd = filled.agg(*[F.avg(v(c)).alias(f"{c}__mean") for c in numeric], *[F.stddev_pop(v(c)).alias(f"{c}__sd") for c in numeric])

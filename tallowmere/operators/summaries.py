@@ -8,28 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_where, ratio
+from .quantiles import with_quantiles
 
 
 def numeric_summary(value: str) -> dict[str, Column]:
-    """planned, observed, missing, mean, sd (n - 1), minimum, q1, median, q3, maximum (linear quantiles)."""
+    """planned, observed, missing, mean, sd (n - 1), minimum and maximum; :data:`QUARTILES` go with them."""
     v = F.col(value)
-    out = {"planned": F.count("*"), "observed": F.count(v), "missing": F.count("*") - F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "minimum": F.min(v)}
-    out |= {n: F.percentile(v, p) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
-    return out | {"maximum": F.max(v)}
+    return {"planned": F.count("*"), "observed": F.count(v), "missing": F.count("*") - F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "minimum": F.min(v), "maximum": F.max(v)}
 
 
-def grouping_sets(df: DataFrame, sets: dict[str, Sequence[str]], measures: dict[str, Column]) -> DataFrame:
+#: Linear quantiles of a summary.
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def grouping_sets(df: DataFrame, sets: dict[str, Sequence[str]], measures: dict[str, Column], value: str | None = None, shares: dict[str, float] = QUARTILES) -> DataFrame:
     """The measures for several groupings in one pass: ``group_type`` names the set, columns that a set lacks are NULL.
 
     ``sets`` maps a name to its columns; a null in the data is a group of its own in the sets that use the
-    column.
+    column.  With a ``value`` its quantiles for ``shares`` are added, from a row of each set for each row.
     """
     columns = list(dict.fromkeys(c for s in sets.values() for c in s))
     bits = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s): n for n, s in sets.items()}
     g = df.groupingSets([[F.col(c) for c in s] for s in sets.values()], *[F.col(c) for c in columns])
     named = F.create_map(*[x for b, n in bits.items() for x in (F.lit(b).cast("long"), F.lit(n))])
     out = g.agg(F.grouping_id().alias("__g"), *[m.alias(n) for n, m in measures.items()])
-    return out.withColumn("group_type", named[F.col("__g")]).drop("__g")
+    out = out.withColumn("group_type", named[F.col("__g")]).drop("__g")
+    if value is None:
+        return out
+    kind = dict(df.select(*columns).dtypes)
+    each = [F.struct(F.lit(n).alias("group_type"), *[(F.col(c) if c in s else F.lit(None).cast(kind[c])).alias(c) for c in columns]) for n, s in sets.items()]
+    rows = df.select(F.explode(F.array(*each)).alias("__s"), F.col(value).alias("__value")).select("__s.*", "__value")
+    return with_quantiles(out, rows, ["group_type", *columns], "__value", shares)
 
 
 def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence[str], prefix: str = "") -> DataFrame:
@@ -62,10 +71,11 @@ def claim_summary(status: str = "status") -> dict[str, Column]:
 def macro_micro(df: DataFrame, by: Sequence[str], top: str, bottom: str) -> DataFrame:
     """macro: the mean of the rows' ratios; micro: the ratio of their sums; p10: the rows' tenth percentile."""
     r = ratio(F.col(top), F.col(bottom))
-    return df.groupBy(*by).agg(F.avg(r).alias("macro"), ratio(F.sum(top), F.sum(bottom)).alias("micro"), F.percentile(r, 0.1).alias("p10"), F.count("*").alias("rows"))
+    d = df.withColumn("__r", r)
+    g = d.groupBy(*by).agg(F.avg("__r").alias("macro"), ratio(F.sum(top), F.sum(bottom)).alias("micro"), F.count("*").alias("rows"))
+    return with_quantiles(g, d, by, "__r", {"p10": 0.1})
 
 
-def latency_summary(value: str) -> dict[str, Column]:
-    """Mean and nearest-rank percentiles."""
-    near = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return {"mean": F.avg(value), "p50": near(0.5), "p95": near(0.95), "p99": near(0.99)}
+def latency_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """By group the mean and the nearest-rank percentiles p50, p95 and p99."""
+    return with_quantiles(df.groupBy(*by).agg(F.avg(value).alias("mean")), df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, discrete=True)

@@ -16,7 +16,7 @@ from .registry import query, rounded, t
 def grouping_set_summary(spark, sf_dir):
     d = t(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 4).alias("bucket"), F.when(F.col("value") > 20, F.col("value")).alias("v"))
     sets = {"overall": [], "event_type": ["event_type"], "bucket": ["bucket"], "event_type_bucket": ["event_type", "bucket"]}
-    return rounded(summaries.grouping_sets(d, sets, summaries.numeric_summary("v")), {"mean": 6, "sd": 6, "q1": 4, "median": 4, "q3": 4})
+    return rounded(summaries.grouping_sets(d, sets, summaries.numeric_summary("v"), "v"), {"mean": 6, "sd": 6, "q1": 4, "median": 4, "q3": 4})
 
 
 @query("""
@@ -35,8 +35,7 @@ def dominant_value(spark, sf_dir):
 @query("""
     SELECT event_type, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1""")
 def latency_percentiles(spark, sf_dir):
-    m = summaries.latency_summary("value")
-    return rounded(t(spark, sf_dir, "events").groupBy("event_type").agg(*[c.alias(n) for n, c in m.items()]), {"mean": 6})
+    return rounded(summaries.latency_summary(t(spark, sf_dir, "events"), ["event_type"], "value"), {"mean": 6})
 
 
 @query("""
