@@ -36,19 +36,52 @@ def constraints(long: DataFrame, rules: DataFrame, tolerance: float = TOLERANCE)
     return j.groupBy("scenario_id", "option_id").agg(F.count("*").alias("constraints"), F.array_join(failed["criterion_id"], "|").alias("failed"), F.bool_and("ok").alias("eligible"))
 
 
-def utility(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """By scenario and option the weighted sum of min-max scaled criteria; missing where a criterion is.
+def available(long: DataFrame, weights: DataFrame, state: DataFrame) -> DataFrame:
+    """``(scenario_id, option_id, eligible, score_available)``: an option is scored where it is eligible and lacks none of the scenario's objectives.
 
-    ``weights(scenario_id, criterion_id, direction, weight)``; minimised criteria count backwards; a criterion
-    that is equal for all options scores 1.
+    ``weights(scenario_id, criterion_id, direction, weight)`` are a scenario's objectives; ``state`` has
+    ``eligible`` by scenario and option, as :func:`constraints` gives it.
     """
-    j = long.join(F.broadcast(weights), "criterion_id")
-    w = W.partitionBy("scenario_id", "criterion_id")
-    s = scaled(F.col("value"), F.min("value").over(w), F.max("value").over(w))
-    level = F.max("value").over(w) - F.min("value").over(w) <= TOLERANCE
-    s = F.when((F.col("direction") == "min") & ~level, 1 - s).otherwise(s)
-    u = j.withColumn("score", s).groupBy("scenario_id", "option_id").agg(F.sum(F.col("weight") * F.col("score")).alias("u"), F.sum("weight").alias("w"), F.bool_or(F.col("score").isNull()).alias("gap"))
-    return u.select("scenario_id", "option_id", F.when(~F.col("gap") & (F.col("w") > 0), F.col("u") / F.col("w")).alias("utility"))
+    whole = long.join(F.broadcast(weights.select("scenario_id", "criterion_id")), "criterion_id")
+    whole = whole.groupBy("scenario_id", "option_id").agg(F.bool_and(F.col("value").isNotNull()).alias("__whole"))
+    j = state.select("scenario_id", "option_id", "eligible").join(whole, ["scenario_id", "option_id"])
+    return j.select("scenario_id", "option_id", "eligible", (F.col("eligible") & F.col("__whole")).alias("score_available"))
+
+
+def utility(long: DataFrame, weights: DataFrame, state: DataFrame) -> DataFrame:
+    """By scenario and option eligible, score_available and utility, the weighted sum of min-max scaled criteria.
+
+    Each criterion is scaled between its least and greatest value among the scenario's scored options only (see
+    :func:`available`); all others have no utility.  Minimised criteria count backwards; a criterion that is
+    equal for all scored options counts 1.
+    """
+    a = available(long, weights, state)
+    j = long.join(F.broadcast(weights), "criterion_id").join(a.where("score_available").select("scenario_id", "option_id"), ["scenario_id", "option_id"])
+    # a row for each scenario and criterion: as few as the rules
+    ends = j.groupBy("scenario_id", "criterion_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    j = j.join(F.broadcast(ends), ["scenario_id", "criterion_id"])
+    level = F.col("hi") - F.col("lo") <= TOLERANCE
+    s = scaled(F.col("value"), F.col("lo"), F.col("hi"))
+    s = F.when((F.upper("direction") == "MIN") & ~level, 1 - s).otherwise(s)
+    u = j.groupBy("scenario_id", "option_id").agg(F.sum(F.col("weight") * s).alias("utility"))
+    return a.join(u, ["scenario_id", "option_id"], "left")
+
+
+def frontier(long: DataFrame, weights: DataFrame, state: DataFrame, **more) -> DataFrame:
+    """By scenario and option eligible, score_available, dominated_by, dominates and on_frontier.
+
+    Options compete within a scenario, by its objectives alone, and only those that are scored (see
+    :func:`available`); the others dominate nothing and are not on the frontier.  ``more`` goes to :func:`pareto`.
+    """
+    names = [r["criterion_id"] for r in weights.select("criterion_id").distinct().orderBy("criterion_id").collect()]  # a row for each rule
+    sign = F.when(F.upper("direction") == "MIN", -1.0).otherwise(1.0)
+    j = long.join(F.broadcast(weights), "criterion_id").withColumn("__v", F.col("value") * sign)
+    wide = j.groupBy("scenario_id", "option_id").agg(*[F.max(F.when(F.col("criterion_id") == c, F.col("__v"))).alias(c) for c in names])
+    a = available(long, weights, state).join(wide, ["scenario_id", "option_id"])
+    # criteria that are no objective of the scenario are equal for all of its options
+    point = {c: F.when(F.col("score_available"), F.coalesce(c, F.lit(0.0))) for c in names}
+    out = pareto(a.withColumns(point), "scenario_id", "option_id", names, **more)
+    return out.select("scenario_id", "option_id", "eligible", "score_available", "dominated_by", "dominates", "on_frontier")
 
 
 def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minimise: Sequence[str] = (), tolerance: float = TOLERANCE, block: int = 64) -> DataFrame:
@@ -101,17 +134,21 @@ def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minim
     return out.withColumn("on_frontier", F.col("__whole") & (F.col("dominated_by") == 0)).select(*options.columns, "dominated_by", "dominates", "on_frontier")
 
 
-def ranked(df: DataFrame, by: str, key: str) -> DataFrame:
-    """scenario_rank (frontier first, then utility), eligible_rank, pareto_rank, utility_rank and recommended.
+def ranked(df: DataFrame, by: str, key: str, tie: Sequence[Column] = (), most: int = 3) -> DataFrame:
+    """scenario_rank, eligible_rank, pareto_rank, utility_rank and role of options with eligible, score_available, on_frontier and utility.
 
-    The conditional ranks are NULL for options outside; missing utilities come last, equal ones are ordered by key.
+    Eligible options come first, of these the scored ones, of these the frontier, then by utility; ``tie`` and the
+    key settle the rest.  The ranks among the eligible, the frontier and the scored follow the same order
+    and are missing for all others.  ``role`` is PRIMARY for the first of the frontier and ALTERNATIVE for the next
+    up to ``most``.
     """
     u = F.col("utility").desc_nulls_last()
-    rank = lambda cond, *order: F.when(cond, F.row_number().over(W.partitionBy(by, cond).orderBy(*order)))
-    d = df.withColumn("scenario_rank", F.row_number().over(W.partitionBy(by).orderBy(F.col("on_frontier").desc(), F.col("eligible").desc(), u, key)))
-    d = d.withColumn("eligible_rank", rank(F.col("eligible"), u, F.col(key))).withColumn("pareto_rank", rank(F.col("on_frontier"), u, F.col(key))).withColumn("utility_rank", rank(F.col("utility").isNotNull(), u, F.col(key)))
-    best = W.partitionBy(by, F.col("eligible") & F.col("on_frontier")).orderBy(u, key)
-    return d.withColumn("recommended", F.col("eligible") & F.col("on_frontier") & (F.row_number().over(best) == 1))
+    order = [F.col("eligible").desc(), F.col("score_available").desc(), F.col("on_frontier").desc(), u, *tie, F.col(key)]
+    rank = lambda cond, *o: F.when(cond, F.row_number().over(W.partitionBy(by, cond).orderBy(*o)))
+    d = df.withColumn("scenario_rank", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+    d = d.withColumn("eligible_rank", rank(F.col("eligible"), *order)).withColumn("pareto_rank", rank(F.col("on_frontier"), *order))
+    d = d.withColumn("utility_rank", rank(F.col("score_available"), u, *tie, F.col(key)))
+    return d.withColumn("role", F.when(F.col("pareto_rank") == 1, "PRIMARY").when(F.col("pareto_rank") <= most, "ALTERNATIVE"))
 
 
 def non_inferior(bound: Column, margin: float) -> Column:

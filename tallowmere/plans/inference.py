@@ -196,44 +196,57 @@ def _options(spark, sf_dir):
 
 _OPTIONS = """
     WITH v AS (SELECT l_suppkey, count(*)::DOUBLE AS volume, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY 1),
-    o AS (SELECT s_suppkey AS option_id, s_acctbal AS balance, volume, discount FROM supplier LEFT JOIN v ON s_suppkey = l_suppkey WHERE s_nationkey < 8),
+    o AS (SELECT s_suppkey AS option_id, s_acctbal AS balance, volume, discount FROM supplier LEFT JOIN v ON s_suppkey = l_suppkey),
     l AS (SELECT option_id, 'balance' AS criterion_id, balance AS value FROM o UNION ALL SELECT option_id, 'volume', volume FROM o UNION ALL SELECT option_id, 'discount', discount FROM o),
     r(scenario_id, criterion_id, lo, hi, n) AS (VALUES ('balanced', 'volume', 350.0, NULL, 1), ('balanced', 'discount', NULL, 0.0502, 2), ('strict', 'balance', 0.0, NULL, 1), ('strict', 'volume', 380.0, NULL, 2)),
     w(scenario_id, criterion_id, direction, weight) AS (VALUES ('balanced', 'volume', 'max', 0.5::DOUBLE), ('balanced', 'discount', 'min', 0.3), ('balanced', 'balance', 'max', 0.2), ('strict', 'balance', 'max', 0.7), ('strict', 'volume', 'max', 0.3)),
     k AS (SELECT scenario_id, option_id, n, criterion_id, coalesce(value IS NOT NULL AND (lo IS NULL OR value + 1e-12 >= lo) AND (hi IS NULL OR value - 1e-12 <= hi), false) AS ok FROM l JOIN r USING (criterion_id)),
     c AS (SELECT scenario_id, option_id, count(*) AS constraints, coalesce(string_agg(criterion_id, '|' ORDER BY n) FILTER (NOT ok), '') AS failed, bool_and(ok) AS eligible FROM k GROUP BY 1, 2),
-    m AS (SELECT scenario_id, option_id, weight, direction, value, min(value) OVER g AS lo, max(value) OVER g AS hi FROM l JOIN w USING (criterion_id) WINDOW g AS (PARTITION BY scenario_id, criterion_id)),
-    x AS (SELECT scenario_id, option_id, weight, CASE WHEN value IS NULL THEN NULL WHEN hi - lo <= 1e-12 THEN 1.0 WHEN direction = 'min' THEN 1 - (value - lo) / (hi - lo) ELSE (value - lo) / (hi - lo) END AS s FROM m),
-    u AS (SELECT scenario_id, option_id, CASE WHEN count(*) = count(s) THEN sum(weight * s) / sum(weight) END AS utility FROM x GROUP BY 1, 2),
-    p AS (SELECT a.option_id, count(b.option_id) AS dominated_by FROM o a LEFT JOIN o b ON a.option_id <> b.option_id AND b.balance >= a.balance - 1e-12 AND b.volume >= a.volume - 1e-12 AND b.discount <= a.discount + 1e-12 AND (b.balance > a.balance + 1e-12 OR b.volume > a.volume + 1e-12 OR b.discount < a.discount - 1e-12) GROUP BY 1) """
+    a AS (SELECT scenario_id, option_id, any_value(eligible) AS eligible, any_value(eligible) AND count(*) = count(value) AS score_available FROM l JOIN w USING (criterion_id) JOIN c USING (scenario_id, option_id) GROUP BY 1, 2),
+    y AS (SELECT scenario_id, option_id, criterion_id, weight, direction, value FROM l JOIN w USING (criterion_id) JOIN a USING (scenario_id, option_id) WHERE score_available),
+    m AS (SELECT scenario_id, option_id, weight, direction, value, min(value) OVER g AS lo, max(value) OVER g AS hi FROM y WINDOW g AS (PARTITION BY scenario_id, criterion_id)),
+    x AS (SELECT scenario_id, option_id, weight, CASE WHEN hi - lo <= 1e-12 THEN 1.0 WHEN direction = 'min' THEN 1 - (value - lo) / (hi - lo) ELSE (value - lo) / (hi - lo) END AS s FROM m),
+    u AS (SELECT scenario_id, option_id, eligible, score_available, utility FROM a LEFT JOIN (SELECT scenario_id, option_id, sum(weight * s) AS utility FROM x GROUP BY 1, 2) USING (scenario_id, option_id)),
+    d AS (SELECT scenario_id, f.option_id AS better, g.option_id AS worse FROM (SELECT *, CASE direction WHEN 'min' THEN -value ELSE value END AS v FROM y) f JOIN (SELECT *, CASE direction WHEN 'min' THEN -value ELSE value END AS v FROM y) g USING (scenario_id, criterion_id)
+          WHERE f.option_id <> g.option_id GROUP BY ALL HAVING bool_and(f.v >= g.v - 1e-12) AND bool_or(f.v > g.v + 1e-12)),
+    p AS (SELECT scenario_id, option_id, eligible, score_available, coalesce(lost, 0) AS dominated_by, coalesce(won, 0) AS dominates, score_available AND lost IS NULL AS on_frontier
+          FROM a LEFT JOIN (SELECT scenario_id, worse AS option_id, count(*) AS lost FROM d GROUP BY 1, 2) USING (scenario_id, option_id) LEFT JOIN (SELECT scenario_id, better AS option_id, count(*) AS won FROM d GROUP BY 1, 2) USING (scenario_id, option_id)) """
+
+
+def _study(spark, sf_dir):
+    """The options' criteria in long form, the objectives, and the options' eligibility."""
+    rules = spark.createDataFrame(list(_RULES), "scenario_id string, criterion_id string, minimum_value double, maximum_value double, criterion_order int")
+    weights = spark.createDataFrame(list(_WEIGHTS), "scenario_id string, criterion_id string, direction string, weight double")
+    long = decisions.long_criteria(_options(spark, sf_dir), ["balance", "volume", "discount"])
+    return long, weights, decisions.constraints(long, rules)
 
 
 @query(_OPTIONS + "SELECT * FROM c")
 def constraint_eval(spark, sf_dir):
-    rules = spark.createDataFrame(list(_RULES), "scenario_id string, criterion_id string, minimum_value double, maximum_value double, criterion_order int")
-    return decisions.constraints(decisions.long_criteria(_options(spark, sf_dir), ["balance", "volume", "discount"]), rules)
+    return _study(spark, sf_dir)[2]
 
 
-@query(_OPTIONS + "SELECT scenario_id, option_id, round(utility, 6) AS utility FROM u")
+@query(_OPTIONS + "SELECT scenario_id, option_id, eligible, score_available, round(utility, 6) AS utility FROM u")
 def scenario_utility(spark, sf_dir):
-    w = spark.createDataFrame(list(_WEIGHTS), "scenario_id string, criterion_id string, direction string, weight double")
-    return rounded(decisions.utility(decisions.long_criteria(_options(spark, sf_dir), ["balance", "volume", "discount"]), w), {"utility": 6})
+    """Utilities of the options that are eligible and lack nothing, scaled among these."""
+    return rounded(decisions.utility(*_study(spark, sf_dir)), {"utility": 6})
 
 
-@query(_OPTIONS + "SELECT o.option_id, dominated_by, dominated_by = 0 AS on_frontier FROM o JOIN p USING (option_id)")
+@query(_OPTIONS + "SELECT * FROM p")
 def pareto_frontier(spark, sf_dir):
-    d = decisions.pareto(_options(spark, sf_dir).withColumn("g", F.lit(1)), "g", "option_id", ["balance", "volume"], ["discount"])
-    return d.select("option_id", "dominated_by", "on_frontier")
+    """Who dominates whom within each scenario, by its objectives, among the scored options."""
+    return decisions.frontier(*_study(spark, sf_dir))
 
 
 @query(_OPTIONS + """
-    , j AS (SELECT scenario_id, option_id, round(utility, 6) AS utility, eligible, dominated_by = 0 AS on_frontier FROM u JOIN c USING (scenario_id, option_id) JOIN p USING (option_id))
-    SELECT scenario_id, option_id, utility, eligible, on_frontier, row_number() OVER (PARTITION BY scenario_id ORDER BY on_frontier DESC, eligible DESC, utility DESC NULLS LAST, option_id)::INT AS scenario_rank,
-           CASE WHEN eligible THEN row_number() OVER (PARTITION BY scenario_id, eligible ORDER BY utility DESC NULLS LAST, option_id) END::INT AS eligible_rank, CASE WHEN on_frontier THEN row_number() OVER (PARTITION BY scenario_id, on_frontier ORDER BY utility DESC NULLS LAST, option_id) END::INT AS pareto_rank,
-           CASE WHEN utility IS NOT NULL THEN row_number() OVER (PARTITION BY scenario_id, utility IS NOT NULL ORDER BY utility DESC NULLS LAST, option_id) END::INT AS utility_rank, eligible AND on_frontier AND row_number() OVER (PARTITION BY scenario_id, eligible AND on_frontier ORDER BY utility DESC NULLS LAST, option_id) = 1 AS recommended FROM j""")
+    , j AS (SELECT p.scenario_id, p.option_id, p.eligible, p.score_available, on_frontier, round(utility, 6) AS utility FROM p JOIN u USING (scenario_id, option_id)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY eligible DESC, score_available DESC, on_frontier DESC, utility DESC NULLS LAST, option_id)::INT AS scenario_rank FROM j),
+    q AS (SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY scenario_id, eligible ORDER BY scenario_rank) END::INT AS eligible_rank, CASE WHEN on_frontier THEN row_number() OVER (PARTITION BY scenario_id, on_frontier ORDER BY scenario_rank) END::INT AS pareto_rank,
+                 CASE WHEN score_available THEN row_number() OVER (PARTITION BY scenario_id, score_available ORDER BY utility DESC, option_id) END::INT AS utility_rank FROM h)
+    SELECT *, CASE WHEN pareto_rank = 1 THEN 'PRIMARY' WHEN pareto_rank <= 3 THEN 'ALTERNATIVE' END AS role FROM q""")
 def scenario_rank(spark, sf_dir):
-    d = scenario_utility(spark, sf_dir).join(constraint_eval(spark, sf_dir), ["scenario_id", "option_id"]).join(pareto_frontier(spark, sf_dir), "option_id")
-    return decisions.ranked(d.drop("constraints", "failed", "dominated_by"), "scenario_id", "option_id")
+    d = pareto_frontier(spark, sf_dir).select("scenario_id", "option_id", "on_frontier").join(scenario_utility(spark, sf_dir), ["scenario_id", "option_id"])
+    return decisions.ranked(d, "scenario_id", "option_id")
 
 
 @query("""

@@ -1,15 +1,11 @@
-"""Queries over whole inputs, against SQL and brute force of their own: the registered SQL of these queries still cuts its inputs."""
+"""Queries over whole inputs, against brute force: nothing is cut, whatever its length or place."""
 
-import glob
-import os
 import re
 from collections import Counter
 
-import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from test_queries import cell
 
 from tallowmere import catalog
 from tallowmere.operators import decisions
@@ -60,24 +56,6 @@ def test_phrases_on_given_documents(spark, medium):
     assert phrase_rows(spark, medium) == best_phrases(rows("documents"), rows("benchmark"))
 
 
-def same_as_sql_without(spark, folder, name, cut):
-    """The query gives what its SQL gives once the condition that cuts the input is taken out of it."""
-    con = duckdb.connect()
-    for f in glob.glob(f"{folder}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
-    r = con.execute(catalog.ORACLE_SQL[name].replace(cut, ""))
-    own = [d[0] for d in r.description]
-    got = catalog.QUERIES[name](spark, folder).select(*own).collect()
-    assert Counter(tuple(map(cell, x)) for x in got) == Counter(tuple(map(cell, x)) for x in r.fetchall())
-    return got
-
-
-@pytest.mark.parametrize("name", ["constraint_eval", "scenario_utility", "pareto_frontier", "scenario_rank"])
-def test_all_suppliers_are_options(spark, medium, name):
-    got = same_as_sql_without(spark, medium, name, " WHERE s_nationkey < 8")
-    assert len({r.option_id for r in got}) == spark.read.parquet(f"{medium}/supplier.parquet").count()
-
-
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_pareto_in_blocks_equals_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(decisions.math, "isqrt", lambda n: 1)
@@ -89,11 +67,10 @@ def test_pareto_in_blocks_equals_all_pairs(spark, monkeypatch, block):
     assert got == {i: (lost, won, rows[i][3] is not None and lost == 0) for i, (lost, won) in right.items()}
 
 
-def test_every_item_is_a_claim(spark, medium):
-    got = same_as_sql_without(spark, medium, "claim_validation", " WHERE l_orderkey % 3 = 0 OR l_linenumber = 1")
-    assert sum(r.claims for r in got) == spark.read.parquet(f"{medium}/lineitem.parquet").count()
-
-
-def test_every_customer_is_a_descendant(spark, medium):
-    got = same_as_sql_without(spark, medium, "lineage_closure", " WHERE c_custkey < 200")
+def test_every_row_has_a_result(spark, medium):
+    n = lambda name: spark.read.parquet(f"{medium}/{name}.parquet").count()
+    assert catalog.QUERIES["claim_validation"](spark, medium).count() == n("lineitem")
+    for name in ("constraint_eval", "scenario_utility", "pareto_frontier", "scenario_rank"):
+        assert catalog.QUERIES[name](spark, medium).select("option_id").distinct().count() == n("supplier")
+    got = catalog.QUERIES["lineage_closure"](spark, medium).collect()
     assert any(int(r.node[1:]) >= 200 for r in got if r.node[0] == "c")
