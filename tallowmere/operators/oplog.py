@@ -10,52 +10,101 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 
-def closure(edges: DataFrame, roots: Sequence[object], parent: str, child: str, depth: int, downwards: bool = True) -> DataFrame:
+def _steps(edges: DataFrame, parent: str, child: str, direction: str) -> DataFrame:
+    """``(__a, __b)``: the steps that a walk may take, as texts; to children (descendants), to parents (ancestors) or both."""
+    step = lambda a, b: edges.select(F.col(a).cast("string").alias("__a"), F.col(b).cast("string").alias("__b"))
+    ways = {"descendants": [(parent, child)], "ancestors": [(child, parent)], "both": [(parent, child), (child, parent)]}[direction]
+    out = step(*ways[0])
+    for w in ways[1:]:
+        out = out.unionByName(step(*w))
+    return out.where("__a is not null and __b is not null").distinct()
+
+
+def closure(edges: DataFrame, roots: Sequence[object], parent: str, child: str, depth: int | None, direction: str = "descendants") -> DataFrame:
     """``(root, node, distance)`` of all nodes within ``depth`` steps of the given roots, the shortest distance each.
 
-    Level by level: the children of the last level's nodes that no earlier level reached.  ``depth`` bounds it,
-    and a cycle ends too, as it reaches nothing new.
+    Level by level: the neighbours of the last level's nodes that no earlier level reached, so a node is
+    met once however many paths lead to it, and a cycle ends.  Without ``depth`` the walk ends where nothing new is reached.
     """
     spark = edges.sparkSession
-    a, b = (parent, child) if downwards else (child, parent)
-    steps = staged(edges.select(F.col(a).cast("string").alias("__a"), F.col(b).cast("string").alias("__b")).distinct())
+    steps = staged(_steps(edges, parent, child, direction))
     last = spark.createDataFrame([(str(r),) for r in dict.fromkeys(roots)], "root string").select("root", F.col("root").alias("node"), F.lit(0).alias("distance"))
     reached = last = staged(last.distinct())
-    for distance in range(1, int(depth) + 1):
+    distance = 0
+    while depth is None or distance < depth:
+        distance += 1
         met = last.join(steps, F.col("node") == F.col("__a")).select("root", F.col("__b").alias("node")).distinct()
         old = reached.select(F.col("root").alias("__root"), F.col("node").alias("__node"))
-        last = staged(met.join(old, (F.col("root") == F.col("__root")) & F.col("node").eqNullSafe(F.col("__node")), "left_anti").withColumn("distance", F.lit(distance)))
+        new = met.join(old, (F.col("root") == F.col("__root")) & (F.col("node") == F.col("__node")), "left_anti")
+        last = staged(new.withColumn("distance", F.lit(distance)))
         if last.isEmpty():
             break
-        reached = reached.unionByName(last)
+        # one table again after a while, so that the plan doesn't grow with the depth
+        reached = staged(reached.unionByName(last)) if distance % 10 == 0 else reached.unionByName(last)
     return reached
 
 
-def levels(nodes: DataFrame, edges: DataFrame, node: str, before: str, after: str, most: int = 100) -> DataFrame:
-    """``(node, level)`` by Kahn's order: 0 for stages that nothing precedes, else one more than the last before them.
+def lineage(edges: DataFrame, root: object, parent: str, child: str, direction: str = "both", depth: int = 5, max_nodes: int = 200) -> tuple[DataFrame, DataFrame, bool]:
+    """The graph around one artifact: ``(node, distance, place)``, the edges between these nodes, and whether ``max_nodes`` cut it.
 
-    The graph of stages is a catalogue, not data; a cycle raises an error.  Each round is one join.
+    Breadth first: neighbours of a level are met in the order of the nodes before them, then by name, and the
+    walk stops when a further node would be more than ``max_nodes``, the root included.  The page of a graph is what
+    this bounds; :func:`closure` has no bound.
     """
-    spark = nodes.sparkSession
-    left = {r[0] for r in nodes.select(node).distinct().toLocalIterator()}
-    pairs = {(r[0], r[1]) for r in edges.select(before, after).distinct().toLocalIterator()}
-    done: list[tuple[object, int]] = []
-    for level in range(most):
-        ready = sorted(n for n in left if not any(b in left for b, a in pairs if a == n))
-        if not ready:
+    from pyspark.sql import Window as W
+
+    spark = edges.sparkSession
+    steps = staged(_steps(edges, parent, child, direction))
+    reached = last = staged(spark.createDataFrame([(str(root), 0, 1)], "node string, distance int, place int"))
+    n, truncated = 1, False
+    for distance in range(1, depth + 1):
+        met = last.join(steps, F.col("node") == F.col("__a")).groupBy(F.col("__b").alias("node")).agg(F.min("place").alias("__by"))
+        met = met.join(reached.select(F.col("node").alias("__node")), F.col("node") == F.col("__node"), "left_anti")
+        new = met.orderBy("__by", "node").limit(max_nodes - n + 1)
+        # max_nodes rows at most
+        place = F.row_number().over(W.orderBy("__by", "node")).cast("int") + n
+        last = staged(new.select("node", F.lit(distance).alias("distance"), place.alias("place")))
+        found = last.count()
+        if not found:
+            break
+        truncated = n + found > max_nodes
+        n = min(max_nodes, n + found)
+        reached = reached.unionByName(last).where(F.col("place") <= max_nodes)
+        if truncated:
             break
-        done += [(n, level) for n in ready]
-        left -= set(ready)
-    if left:
-        raise ValueError(f"a cycle, or more than {most} levels: {sorted(map(str, left))[:5]}")
-    return spark.createDataFrame(done, f"{node} {nodes.schema[node].dataType.simpleString()}, level int") if done else nodes.select(node, F.lit(0).alias("level")).limit(0)
+    names = reached.select(F.col("node").alias("__n"))
+    inside = edges.join(names, F.col(parent).cast("string") == F.col("__n"), "left_semi").join(names, F.col(child).cast("string") == F.col("__n"), "left_semi")
+    return reached, inside, truncated
 
 
-def closes_cycle(edges: DataFrame, parent: str, child: str, new_parent: object, new_child: object, depth: int = 50) -> bool:
-    """Whether an edge from ``new_parent`` to ``new_child`` would make a cycle."""
+def levels(nodes: DataFrame, edges: DataFrame, node: str, before: str, after: str) -> DataFrame:
+    """``(node, level)`` by Kahn's order: 0 for nodes that nothing precedes, else one more than the last before them.
+
+    Each round takes, by anti-joins, the nodes left that no node left precedes, stores them with their level,
+    and goes on with the rest; only whether a round found any comes to the driver.  Edges from unknown nodes
+    don't count; a cycle, an edge of a node to itself too, raises an error.
+    """
+    left = staged(nodes.select(node).where(F.col(node).isNotNull()).distinct())
+    e = edges.select(F.col(before).alias("__b"), F.col(after).alias("__a")).distinct()
+    e = staged(e.join(left, F.col("__b") == F.col(node), "left_semi"))
+    done, level = nodes.select(node, F.lit(0).alias("level")).limit(0), 0
+    while not left.isEmpty():
+        ready = staged(left.join(e.select("__a").distinct(), F.col(node) == F.col("__a"), "left_anti"))
+        if ready.isEmpty():
+            raise ValueError(f"a cycle among nodes such as {[r[0] for r in left.limit(5).collect()]}")
+        done = done.unionByName(ready.withColumn("level", F.lit(level)))
+        done = staged(done) if level % 10 == 9 else done
+        left = staged(left.join(ready.select(F.col(node).alias("__n")), F.col(node) == F.col("__n"), "left_anti"))
+        e = staged(e.join(ready, F.col("__b") == F.col(node), "left_anti"))
+        level += 1
+    return done
+
+
+def closes_cycle(edges: DataFrame, parent: str, child: str, new_parent: object, new_child: object) -> bool:
+    """Whether an edge from ``new_parent`` to ``new_child`` would make a cycle, however long."""
     if str(new_parent) == str(new_child):
         return True
-    return not closure(edges, [new_child], parent, child, depth).where(F.col("node") == str(new_parent)).isEmpty()
+    return not closure(edges, [new_child], parent, child, None).where(F.col("node") == str(new_parent)).isEmpty()
 
 
 def bad_transitions(log: DataFrame, key: str, state: str, order: Sequence[str], allowed: Sequence[tuple[str, str]]) -> DataFrame:

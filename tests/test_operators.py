@@ -210,7 +210,7 @@ def test_graphs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "p string, c string")
     got = {(r.node, r.distance) for r in oplog.closure(e, ["a"], "p", "c", 5).collect()}
     assert got == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
-    assert {r.node for r in oplog.closure(e, ["d"], "p", "c", 5, downwards=False).collect()} == {"a", "b", "c", "d"}
+    assert {r.node for r in oplog.closure(e, ["d"], "p", "c", 5, "ancestors").collect()} == {"a", "b", "c", "d"}
     acyclic = e.where("c <> 'a'")
     nodes = spark.createDataFrame([(x,) for x in "abcdz"], "n string")
     assert {r.n: r.level for r in oplog.levels(nodes, acyclic, "n", "p", "c").collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "z": 0}
