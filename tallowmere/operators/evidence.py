@@ -105,23 +105,49 @@ def accounting(local: DataFrame, key: str) -> DataFrame:
 
 
 def packages(local: DataFrame, key: str, levels: Sequence[Level] = LEVELS) -> DataFrame:
-    """``(key, evidence_level, selected, coverage, features)``: what each level selects of a case, S0 nothing.
-
-    The levels are rows of parameters; each is one pass over the ranked rows, which are partitioned by case
-    already.
+    """What each level selects of a case; S0 selects nothing.
+
+    ``(key, evidence_level, selected, coverage, features, target_met, entropy, concept_groups, mixed_concepts,
+    skeleton)``: ``target_met`` where a level aims at a share of the mass; the normalised entropy of all of the case's
+    features, the number of groups of concept and direction among the selected ones, and how many concepts have several
+    directions, for levels with groups; for levels with a skeleton the strongest feature of each group, the
+    five strongest of these, joined by ``|`` in their order.  ``local`` is ranked (see :func:`ranked_local`), with
+    ``concept``.  Ranks and running mass are made once, each row goes to the levels that select it, and all
+    sums stay in the partitions of the cases.
     """
-    cases = local.select(key).distinct()
-    whole = local.groupBy(key).agg(F.sum("abs_shap_value").alias("__w"))
-    out = None
+    w = W.partitionBy(key)
+    m = F.col("abs_shap_value")
+    whole, n = F.sum(m).over(w), F.count("*").over(w)
+    d = local.withColumn("__w", whole).withColumn("__n", n).withColumn("__c", F.sum(m).over(w.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    spread = F.sum(entropy_term(F.when(F.col("__w") > 0, m / F.col("__w")))).over(w)
+    d = d.withColumn("__e", F.when(F.col("__n") > 1, F.coalesce(spread, F.lit(0.0)) / F.ln(F.greatest("__n", F.lit(2)))).otherwise(0.0))
+    chosen = []
     for lv in levels:
         if lv.mode == "none":
-            one = cases.select(key, F.lit(0).cast("long").alias("selected"), F.lit(0.0).alias("__m"), F.lit("").alias("features"))
+            hit = F.col("rank") == 1  # so that the case has a row, which counts for nothing
+        elif lv.mode == "top":
+            hit = F.col("rank") <= lv.k
         else:
-            rows = local.where(F.col("rank") <= lv.k) if lv.mode == "top" else adaptive(local, key, lv.share, lv.least, lv.most)
-            one = rows.groupBy(key).agg(F.count("*").alias("selected"), F.sum("abs_shap_value").alias("__m"), F.array_join(F.array_sort(F.collect_list(F.struct("rank", "feature_id")))["feature_id"], "|").alias("features"))
-        one = one.withColumn("evidence_level", F.lit(lv.name))
-        out = one if out is None else out.unionByName(one)
-    return out.join(whole, key).select(key, "evidence_level", "selected", F.when(F.col("__w") > 0, F.col("__m") / F.col("__w")).otherwise(0.0).alias("coverage"), "features")
+            hit = ((F.col("__c") - m < lv.share * F.col("__w")) | (F.col("rank") <= lv.least)) & (F.col("rank") <= lv.most)
+        chosen.append(F.when(hit, F.lit(lv.name)))
+    rows = d.withColumn("evidence_level", F.explode(F.array_compact(F.array(*chosen)))).withColumn("concept", F.coalesce("concept", F.lit(NO_CONCEPT)))
+    place = F.struct("rank", "feature_id")
+    case = [F.max(f"__{c}").alias(f"__{c}") for c in "we"]
+    g = rows.groupBy(key, "evidence_level", "concept", "direction").agg(F.count("*").alias("n"), F.sum(m).alias("m"), F.min(place).alias("first"), F.collect_list(place).alias("all"), *case)
+    g = g.groupBy(key, "evidence_level", "concept").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("ways"), F.collect_list("first").alias("firsts"), F.flatten(F.collect_list("all")).alias("all"), *case)
+    g = g.groupBy(key, "evidence_level").agg(
+        F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("ways").alias("groups"), count_where(F.col("ways") > 1).alias("mixed"),
+        F.array_sort(F.flatten(F.collect_list("firsts"))).alias("firsts"), F.array_sort(F.flatten(F.collect_list("all"))).alias("all"), *case,
+    )
+    named = lambda cond: F.col("evidence_level").isin(*[lv.name for lv in levels if cond(lv)])
+    some, grouped = ~named(lambda lv: lv.mode == "none"), named(lambda lv: lv.groups)
+    share = F.when(some & (F.col("__w") > 0), F.col("m") / F.col("__w")).otherwise(0.0)
+    aim = F.coalesce(*[F.when(F.col("evidence_level") == lv.name, lv.share) for lv in levels if lv.mode == "adaptive"], F.lit(None).cast("double"))
+    return g.select(
+        key, "evidence_level", F.when(some, F.col("n")).otherwise(0).alias("selected"), share.alias("coverage"), F.when(some, F.array_join("all.feature_id", "|")).otherwise("").alias("features"),
+        (share >= aim).alias("target_met"), F.when(grouped, F.col("__e")).alias("entropy"), F.when(grouped, F.col("groups")).alias("concept_groups"), F.when(grouped, F.col("mixed")).alias("mixed_concepts"),
+        F.when(named(lambda lv: lv.skeleton), F.array_join(F.slice(F.col("firsts.feature_id"), 1, 5), "|")).alias("skeleton"),
+    )
 
 
 def readiness(probability: Column, features: Column, additivity_error: Column, missing_concepts: Column) -> Column:

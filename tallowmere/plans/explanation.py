@@ -68,12 +68,18 @@ def contribution_tiers(spark, sf_dir):
 
 @query(_LOCAL + """
     , p(lv, share, least, most, k) AS (VALUES ('S1', NULL, NULL, NULL, 10), ('S2', NULL, NULL, NULL, 10), ('S3', 0.6, 3, 10, NULL), ('S4', 0.7, 5, 20, NULL), ('S5', 0.7, 5, 20, NULL)),
-    x AS (SELECT l_orderkey, lv, feature_id, m, w, rank FROM l, p WHERE CASE WHEN k IS NOT NULL THEN rank <= k ELSE (c - m < share * w OR rank <= least) AND rank <= most END)
-    SELECT l_orderkey, lv AS evidence_level, count(*) AS selected, round(CASE WHEN max(w) > 0 THEN sum(m) / max(w) ELSE 0 END, 6) AS coverage, string_agg(feature_id, '|' ORDER BY rank) AS features FROM x GROUP BY 1, 2
-    UNION ALL SELECT DISTINCT l_orderkey, 'S0', 0, 0.0::DOUBLE, '' FROM l""")
+    x AS (SELECT l_orderkey, lv, feature_id, m, w, rank FROM l, p WHERE CASE WHEN k IS NOT NULL THEN rank <= k ELSE (c - m < share * w OR rank <= least) AND rank <= most END),
+    s AS (SELECT l_orderkey, lv, count(*) AS selected, CASE WHEN max(w) > 0 THEN sum(m) / max(w) ELSE 0 END AS coverage, string_agg(feature_id, '|' ORDER BY rank) AS features FROM x GROUP BY 1, 2),
+    e AS (SELECT l_orderkey, round(CASE WHEN count(*) > 1 THEN sum(CASE WHEN m > 0 THEN -(m / w) * ln(m / w) ELSE 0 END) / ln(count(*)) ELSE 0 END, 6) + 0.0 AS entropy FROM l GROUP BY 1),
+    g AS (SELECT x.l_orderkey, lv, coalesce(concept, 'unknown_feature_group') AS concept, direction, min(x.rank) AS rank, arg_min(x.feature_id, x.rank) AS f FROM x JOIN l ON l.l_orderkey = x.l_orderkey AND l.feature_id = x.feature_id WHERE lv IN ('S4', 'S5') GROUP BY 1, 2, 3, 4),
+    h AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, lv, concept) AS ways, row_number() OVER (PARTITION BY l_orderkey, lv ORDER BY rank) AS place FROM g),
+    k AS (SELECT l_orderkey, lv, count(*) AS concept_groups, count(DISTINCT concept) FILTER (ways > 1) AS mixed_concepts, string_agg(f, '|' ORDER BY place) FILTER (place <= 5) AS skeleton FROM h GROUP BY 1, 2)
+    SELECT l_orderkey, lv AS evidence_level, selected, round(coverage, 6) AS coverage, features, coverage >= share AS target_met, CASE WHEN lv IN ('S4', 'S5') THEN entropy END AS entropy, concept_groups, mixed_concepts, CASE WHEN lv = 'S5' THEN skeleton END AS skeleton
+    FROM s JOIN p USING (lv) JOIN e USING (l_orderkey) LEFT JOIN k USING (l_orderkey, lv)
+    UNION ALL SELECT DISTINCT l_orderkey, 'S0', 0, 0.0::DOUBLE, '', NULL, NULL, NULL, NULL, NULL FROM l""")
 def evidence_packages(spark, sf_dir):
     """What each of the six levels selects of each order."""
-    return rounded(evidence.packages(_local(spark, sf_dir), "l_orderkey"), {"coverage": 6})
+    return rounded(evidence.packages(_local(spark, sf_dir), "l_orderkey"), {"coverage": 6, "entropy": 6})
 
 
 @query("""
@@ -141,9 +147,9 @@ def _normal(spark, sf_dir):
 
 @query("""
     WITH b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark),
-    p AS (SELECT item_id, w[1] AS pk, w[2] AS f, w[3] AS k, w[1:6] AS pw, array_to_string(w[1:6], ' ') AS phrase FROM b),
+    p AS (SELECT item_id, w[1] AS pk, w[2] AS f, w[3] AS k, w AS pw, array_to_string(w, ' ') AS phrase FROM b),
     d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
-    c AS (SELECT doc_id, w[1] AS pk, w[2] AS f, w[3] AS k, w[1:40] AS tw, array_to_string(w[1:40], ' ') AS txt FROM d WHERE len(w) >= 3),
+    c AS (SELECT doc_id, w[1] AS pk, w[2] AS f, w[3] AS k, w AS tw, array_to_string(w, ' ') AS txt FROM d),
     j AS (SELECT doc_id, item_id, txt, phrase, pw, len(list_intersect(list_distinct(pw), tw)) / len(list_distinct(pw)) AS cov FROM c JOIN p ON c.pk = p.pk AND (c.f = p.f OR c.k = p.k)),
     m AS (SELECT *, CASE WHEN txt = phrase THEN 'EXACT' WHEN len(pw) >= 4 AND contains(' ' || txt || ' ', ' ' || phrase || ' ') THEN 'CONTAINED' WHEN len(pw) >= 4 AND cov >= 0.8 THEN 'HIGH_OVERLAP' ELSE 'NONE' END AS t FROM j),
     r AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY CASE t WHEN 'EXACT' THEN 0 WHEN 'CONTAINED' THEN 1 WHEN 'HIGH_OVERLAP' THEN 2 ELSE 3 END, cov DESC, item_id) AS rn FROM m)
@@ -182,7 +188,7 @@ def set_jaccard(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey < 200),
+    WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
     w AS (SELECT 'r1' AS root, 'r1' AS node, 0 AS distance UNION ALL SELECT w.root, e.b, distance + 1 FROM w JOIN e ON e.a = w.node WHERE distance < 5)
     SELECT root, node, min(distance) AS distance FROM w GROUP BY 1, 2""")
 def lineage_closure(spark, sf_dir):
@@ -225,80 +231,113 @@ def runtime_summary(spark, sf_dir):
     return rounded(generations.runtime_summary(d, ["model"]), {c: 6 for c in ("success_rate", "parse_rate", "schema_rate", "parse_rate_of_successes", "schema_rate_of_parsed", "mean_latency_ms")})
 
 
+#: What the numeric claims of an item say, by its supplier: role, unit, value.
+_SAID = (("rank", "rank", 1.0), ("prediction_score", "percent", 50.0), ("decision_threshold", "%", 50.0), ("other", "count", 3.0), ("share", "percent", 10.0))
+
+
 def _claims(spark, sf_dir):
     """Items as claims, orders as packages: every type of claim occurs, some about what their package does not show."""
     i = t(spark, sf_dir, "lineitem")
     n, k = F.col("l_linenumber"), F.col("l_partkey")
     kind = F.element_at(F.array(*map(F.lit, claims.TYPES)), (k % 13 + 1).cast("int"))
-    sub = F.when(kind == "prediction", F.when(n % 3 == 0, "THRESHOLD_COMPARISON").otherwise("LABEL")).when(kind == "distributed_evidence", F.when(n % 2 == 0, "MULTIPLE_FEATURES").otherwise("MIXED_DIRECTIONS")).when(kind == "uncertainty", "PROBABILITY_HEDGE").when(kind == "limitation", "NO_CAUSALITY").otherwise("PLAIN")
+    sub = (
+        F.when(F.col("l_suppkey") % 10 == 3, "UNRESOLVED_WORDING")
+        .when(kind == "prediction", F.when(n % 3 == 0, "THRESHOLD_COMPARISON").when(n % 4 == 0, "OVERALL_PROBABILITY").otherwise("LABEL"))
+        .when(kind == "distributed_evidence", F.when(n % 3 == 0, "MULTIPLE_FEATURES").when(n % 3 == 1, "MULTIPLE_CONCEPTS").otherwise("MIXED_DIRECTIONS"))
+        .when(kind == "uncertainty", F.when(n == 5, "CONFIDENCE_STRENGTH").when(n == 6, "EVIDENCE_SCOPE_UNCERTAINTY").otherwise("PROBABILITY_HEDGE"))
+        .when(kind == "magnitude", F.when(n == 7, "COMPARATIVE_STRENGTH").otherwise("PLAIN"))
+        .when(kind == "limitation", F.when(n % 2 == 0, "NO_CAUSALITY").otherwise("NO_ADVICE"))
+        .otherwise("PLAIN")
+    )
+    about = kind.isin("feature_presence", "feature_direction", "magnitude", "numeric") | ((kind == "ranking") & ~n.isin(5, 6))
+    said = F.element_at(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(u).alias("unit"), F.lit(v).alias("value")) for r, u, v in _SAID]), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    text = F.when(n == 4, F.when(F.col("l_quantity") < 25, "no number").otherwise("about 50,5 %")).when(n % 3 == 0, "This will certainly hold.").when(n % 3 == 1, "We cannot guarantee that it will certainly hold.").otherwise("")
     c = i.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), F.col("l_orderkey").alias("package_id"), kind.alias("claim_type"), sub.alias("claim_subtype"),
-        F.when(kind.isin("feature_presence", "feature_direction", "ranking", "magnitude") | (kind == "numeric"), F.when(n % 4 == 3, k + 1).otherwise(k).cast("string")).alias("feature_id"),
-        F.when(kind.isin("concept_presence", "concept_direction"), F.concat(F.lit("b"), (k % 25).cast("string"))).alias("concept_id"),
+        F.when(about, F.when(n % 4 == 3, k + 1).otherwise(k).cast("string")).alias("feature_id"),
+        F.when(kind.isin("concept_presence", "concept_direction") | ((kind == "ranking") & (n == 5)), F.concat(F.lit("b"), (k % 25).cast("string"))).alias("concept_id"),
         F.when(F.col("l_linestatus") == "O", "increase_risk").otherwise("decrease_risk").alias("direction"), F.when(F.col("l_quantity") < 17, "weak").when(F.col("l_quantity") < 34, "moderate").otherwise("strong").alias("magnitude"),
-        F.when(n % 2 == 0, "hedged").otherwise("probabilistic").alias("certainty"), F.when(n % 2 == 0, "causal").otherwise("associational").alias("causal_strength"), F.lit(1.0).alias("numeric_value"), F.lit("rank").alias("numeric_unit"), F.lit("rank").alias("numeric_role"), F.lit("").alias("source_text"),
+        F.when(n.isin(3, 4, 6), "deterministic").when(n % 2 == 0, "hedged").otherwise("probabilistic").alias("certainty"), F.when(n % 2 == 0, "causal").otherwise("associational").alias("causal_strength"),
+        F.when(n != 6, said["value"]).alias("numeric_value"), said["unit"].alias("numeric_unit"), said["role"].alias("numeric_role"), text.alias("source_text"),
     )
+    even = i.groupBy(F.col("l_orderkey").alias("package_id")).agg(F.collect_set(F.when(k % 2 == 0, k.cast("string"))).alias("allowed_feature_ids"))
     p = t(spark, sf_dir, "orders").where("o_orderkey % 11 <> 5").select(
         F.col("o_orderkey").alias("package_id"), F.when(F.col("o_orderkey") % 6 == 0, "S0").otherwise("S4").alias("evidence_level"), F.when(F.col("o_orderstatus") == "F", "bad").otherwise("good").alias("predicted_label"), F.lit("bad").alias("positive_label"),
         (F.col("o_totalprice") / 500000).alias("probability"), F.lit(0.5).alias("threshold"), (F.col("o_totalprice") >= 250000).alias("is_above_threshold"), (F.col("o_orderkey") % 5 == 0).alias("allow_causal_claim"), F.lit(False).alias("allow_financial_advice"), F.lit(3).cast("long").alias("selected_evidence_count"),
-        F.array().cast("array<string>").alias("allowed_feature_ids"), F.array().cast("array<string>").alias("allowed_concept_ids"),
-    )
+        F.array(*[F.lit(f"b{x}") for x in range(0, 25, 2)]).alias("allowed_concept_ids"),
+    ).join(even, "package_id", "left")
     g = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("package_id"), F.col("l_partkey").cast("string").alias("feature_id")).agg(F.concat(F.lit("b"), (F.min("l_partkey") % 25).cast("string")).alias("concept_id"), F.when(F.min("l_returnflag") == "A", "increases_risk").when(F.min("l_returnflag") == "N", "neutral").otherwise("decreases_risk").alias("direction"), F.floor(F.max("l_extendedprice") / 10000).cast("double").alias("abs_shap_value"), F.when(F.max("l_quantity") < 17, "weak").when(F.max("l_quantity") < 34, "moderate").otherwise("strong").alias("strength"))
     from pyspark.sql import Window as W
 
     return c, p, g.withColumn("rank", F.row_number().over(W.partitionBy("package_id").orderBy(F.desc("abs_shap_value"), "feature_id")))
 
 
-@query("""
-    WITH c0 AS (SELECT *, ['prediction', 'feature_presence', 'feature_direction', 'concept_presence', 'concept_direction', 'numeric', 'ranking', 'magnitude', 'uncertainty', 'distributed_evidence', 'recommendation', 'causal', 'limitation'][l_partkey % 13 + 1] AS kind FROM lineitem WHERE l_orderkey % 3 = 0 OR l_linenumber = 1),
-    c AS (SELECT l_orderkey AS pk, kind, l_linenumber AS n, CASE WHEN kind IN ('feature_presence', 'feature_direction', 'ranking', 'magnitude', 'numeric') THEN (CASE WHEN l_linenumber % 4 = 3 THEN l_partkey + 1 ELSE l_partkey END)::VARCHAR END AS f, CASE WHEN kind IN ('concept_presence', 'concept_direction') THEN 'b' || (l_partkey % 25) END AS k,
+_CLAIMS = """
+    WITH c0 AS (SELECT *, ['prediction', 'feature_presence', 'feature_direction', 'concept_presence', 'concept_direction', 'numeric', 'ranking', 'magnitude', 'uncertainty', 'distributed_evidence', 'recommendation', 'causal', 'limitation'][l_partkey % 13 + 1] AS kind FROM lineitem),
+    c AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id, l_orderkey AS pk, kind, l_linenumber AS n, l_suppkey % 5 AS said, l_suppkey % 10 = 3 AS unresolved, l_quantity AS q,
+                 CASE WHEN kind IN ('feature_presence', 'feature_direction', 'magnitude', 'numeric') OR (kind = 'ranking' AND l_linenumber NOT IN (5, 6)) THEN (CASE WHEN l_linenumber % 4 = 3 THEN l_partkey + 1 ELSE l_partkey END)::VARCHAR END AS f,
+                 CASE WHEN kind IN ('concept_presence', 'concept_direction') OR (kind = 'ranking' AND l_linenumber = 5) THEN 'b' || (l_partkey % 25) END AS k,
                  CASE WHEN l_linestatus = 'O' THEN 'increase_risk' ELSE 'decrease_risk' END AS dir, CASE WHEN l_quantity < 17 THEN 1 WHEN l_quantity < 34 THEN 2 ELSE 3 END AS mag FROM c0),
-    p AS (SELECT o_orderkey AS pk, o_orderkey % 6 = 0 AS s0, o_orderstatus = 'F' AS bad, o_totalprice >= 250000 AS above, o_orderkey % 5 = 0 AS causal FROM orders WHERE o_orderkey % 11 <> 5),
+    p AS (SELECT o_orderkey AS pk, o_orderkey % 6 = 0 AS s0, o_orderstatus = 'F' AS bad, o_totalprice >= 250000 AS above, o_totalprice / 500000 AS probability, o_orderkey % 5 = 0 AS causal FROM orders WHERE o_orderkey % 11 <> 5),
     g AS (SELECT l_orderkey AS pk, l_partkey::VARCHAR AS f, 'b' || (min(l_partkey) % 25) AS k, CASE min(l_returnflag) WHEN 'A' THEN 'increase_risk' WHEN 'N' THEN 'neutral' ELSE 'decrease_risk' END AS dir, floor(max(l_extendedprice) / 10000) AS m, CASE WHEN max(l_quantity) < 17 THEN 1 WHEN max(l_quantity) < 34 THEN 2 ELSE 3 END AS st FROM lineitem GROUP BY l_orderkey, l_partkey),
     i AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY m DESC, f) AS rank, count(*) OVER (PARTITION BY pk, m) > 1 AS tied FROM g),
-    q AS (SELECT pk, k, CASE WHEN count(DISTINCT dir) FILTER (dir <> 'neutral') > 1 THEN 'mixed' WHEN count(DISTINCT dir) = 1 THEN min(dir) ELSE 'unknown' END AS dir FROM i GROUP BY 1, 2),
-    n AS (SELECT pk, count(*) AS features FROM i GROUP BY 1), x AS (SELECT pk, bool_or(dir = 'mixed') AS mixed FROM q GROUP BY 1),
-    j AS (SELECT c.*, p.pk IS NOT NULL AS known, p.s0, p.bad, p.above, p.causal, i.f IS NOT NULL AS fs, i.dir AS fd, i.rank, i.tied, i.st, q.k IS NOT NULL AS ks, q.dir AS kd, coalesce(features, 0) AS features, coalesce(mixed, false) AS mixed
+    q0 AS (SELECT pk, k, sum(m) AS mass, CASE WHEN count(DISTINCT dir) FILTER (dir <> 'neutral') > 1 THEN 'mixed' WHEN count(DISTINCT dir) = 1 THEN min(dir) ELSE 'unknown' END AS dir FROM i GROUP BY 1, 2),
+    q AS (SELECT *, rank() OVER (PARTITION BY pk ORDER BY mass DESC) AS rank, count(*) OVER (PARTITION BY pk, mass) > 1 AS tied FROM q0),
+    n AS (SELECT pk, count(*) AS features, count(DISTINCT k) AS concepts FROM i GROUP BY 1), x AS (SELECT pk, bool_or(dir = 'mixed') AS mixed FROM q GROUP BY 1),
+    j AS (SELECT c.*, p.pk IS NOT NULL AS known, p.s0, p.bad, p.above, p.probability, p.causal, i.f IS NOT NULL AS fs, i.dir AS fd, i.rank, i.tied, i.st, q.k IS NOT NULL AS ks, q.dir AS kd, q.rank AS krank, q.tied AS ktied, coalesce(features, 0) AS features, coalesce(concepts, 0) AS concepts, coalesce(mixed, false) AS mixed
           FROM c LEFT JOIN p ON c.pk = p.pk LEFT JOIN i ON c.pk = i.pk AND c.f = i.f LEFT JOIN q ON c.pk = q.pk AND c.k = q.k LEFT JOIN n ON c.pk = n.pk LEFT JOIN x ON c.pk = x.pk),
-    r AS (SELECT kind AS claim_type, CASE WHEN NOT known THEN 'EVIDENCE_JOIN_FAILED'
+    r AS (SELECT claim_id, kind AS claim_type, CASE WHEN NOT known THEN 'EVIDENCE_JOIN_FAILED' WHEN unresolved THEN 'SEMANTIC_SUBTYPE_UNRESOLVED'
         WHEN kind = 'prediction' AND n % 3 = 0 THEN CASE WHEN (dir = 'increase_risk') <> above THEN 'PREDICTION_THRESHOLD_MISMATCH' ELSE 'EXACT_MATCH' END
+        WHEN kind = 'prediction' AND n % 4 = 0 THEN CASE WHEN q < 25 THEN 'SEMANTIC_SOURCE_UNFROZEN' WHEN abs(0.505 - probability) > 5e-5 THEN 'PREDICTION_PROBABILITY_MISMATCH' WHEN probability = 0.505 THEN 'NORMALIZED_MATCH' ELSE 'TOLERANCE_MATCH' END
         WHEN kind = 'prediction' THEN CASE WHEN (dir = 'increase_risk') <> bad THEN 'PREDICTION_LABEL_MISMATCH' ELSE 'EXACT_MATCH' END
         WHEN kind = 'feature_presence' THEN CASE WHEN s0 THEN 'FEATURE_NOT_EXPOSED' WHEN fs THEN 'EXACT_MATCH' ELSE 'FEATURE_NOT_FOUND_IN_EVIDENCE' END
         WHEN kind = 'feature_direction' THEN CASE WHEN s0 THEN 'DIRECTION_NOT_EXPOSED' WHEN NOT fs THEN 'FEATURE_NOT_FOUND_IN_EVIDENCE' WHEN fd = 'neutral' THEN 'DIRECTION_NEUTRAL' WHEN fd <> dir THEN 'DIRECTION_REVERSED' ELSE 'NORMALIZED_MATCH' END
         WHEN kind = 'concept_presence' THEN CASE WHEN s0 THEN 'CONCEPT_NOT_EXPOSED' WHEN ks THEN 'EXACT_MATCH' ELSE 'CONCEPT_NOT_FOUND_IN_EVIDENCE' END
         WHEN kind = 'concept_direction' THEN CASE WHEN s0 THEN 'DIRECTION_NOT_EXPOSED' WHEN NOT ks THEN 'CONCEPT_NOT_FOUND_IN_EVIDENCE' WHEN kd IN ('mixed', 'unknown') THEN 'DIRECTION_MIXED_OR_UNKNOWN' WHEN kd = 'neutral' THEN 'DIRECTION_NEUTRAL' WHEN kd <> dir THEN 'DIRECTION_REVERSED' ELSE 'EXACT_MATCH' END
-        WHEN kind = 'numeric' THEN CASE WHEN NOT fs THEN 'NUMERIC_SOURCE_MISSING' WHEN rank = 1 THEN 'EXACT_MATCH' ELSE 'NUMERIC_EXACT_MISMATCH' END
-        WHEN kind = 'ranking' THEN CASE WHEN s0 THEN 'RANKING_NOT_EXPOSED' WHEN NOT fs THEN 'RANKING_UNSUPPORTED' WHEN tied THEN 'RANK_TIE_AMBIGUOUS' WHEN rank = 1 THEN 'EXACT_MATCH' ELSE 'RANKING_UNSUPPORTED' END
-        WHEN kind = 'magnitude' THEN CASE WHEN s0 THEN 'MAGNITUDE_NOT_EXPOSED' WHEN NOT fs THEN 'MAGNITUDE_UNSUPPORTED' WHEN mag > st THEN 'MAGNITUDE_OVERSTATED' WHEN mag < st THEN 'MAGNITUDE_UNDERSTATED' ELSE 'MAGNITUDE_MATCH' END
-        WHEN kind = 'uncertainty' THEN CASE WHEN n % 2 = 0 THEN 'EXACT_MATCH' ELSE 'NORMALIZED_MATCH' END
-        WHEN kind = 'distributed_evidence' THEN CASE WHEN CASE WHEN n % 2 = 0 THEN features > 1 ELSE mixed END THEN 'EXACT_MATCH' ELSE 'POLICY_RULE_NOT_APPLICABLE' END
-        WHEN kind = 'recommendation' THEN 'SEMANTIC_SOURCE_UNFROZEN'
+        WHEN kind = 'numeric' AND n = 6 THEN 'NUMERIC_SOURCE_MISSING'
+        WHEN kind = 'numeric' AND said = 0 THEN CASE WHEN NOT fs THEN 'NUMERIC_SOURCE_MISSING' WHEN rank = 1 THEN 'EXACT_MATCH' ELSE 'NUMERIC_EXACT_MISMATCH' END
+        WHEN kind = 'numeric' AND said = 1 THEN CASE WHEN abs(0.5 - probability) > 5e-5 THEN 'NUMERIC_OUTSIDE_TOLERANCE' WHEN probability <> 0.5 THEN 'TOLERANCE_MATCH' ELSE 'NORMALIZED_MATCH' END
+        WHEN kind = 'numeric' THEN CASE said WHEN 2 THEN 'NORMALIZED_MATCH' WHEN 3 THEN 'EXACT_MATCH' ELSE 'NUMERIC_ROLE_UNSUPPORTED' END
+        WHEN kind = 'ranking' THEN CASE WHEN s0 THEN 'RANKING_NOT_EXPOSED' WHEN n = 6 THEN 'RANK_SOURCE_MISSING' WHEN n = 5 AND ktied THEN 'RANK_TIE_AMBIGUOUS' WHEN n = 5 THEN CASE WHEN ks AND krank = 1 THEN 'EXACT_MATCH' ELSE 'RANKING_UNSUPPORTED' END
+            WHEN NOT fs THEN 'RANKING_UNSUPPORTED' WHEN tied THEN 'RANK_TIE_AMBIGUOUS' WHEN rank = 1 THEN 'EXACT_MATCH' ELSE 'RANKING_UNSUPPORTED' END
+        WHEN kind = 'magnitude' THEN CASE WHEN s0 THEN 'MAGNITUDE_NOT_EXPOSED' WHEN n = 7 THEN 'MAGNITUDE_SEMANTICS_UNSUPPORTED' WHEN NOT fs THEN 'MAGNITUDE_UNSUPPORTED' WHEN mag > st THEN 'MAGNITUDE_OVERSTATED' WHEN mag < st THEN 'MAGNITUDE_UNDERSTATED' ELSE 'MAGNITUDE_MATCH' END
+        WHEN kind = 'uncertainty' THEN CASE WHEN n IN (3, 6) THEN 'CERTAINTY_OVERCLAIM' WHEN n = 5 THEN 'SEMANTIC_SOURCE_UNFROZEN' WHEN n = 4 THEN 'UNCERTAINTY_NOT_GROUNDED' WHEN n % 2 = 0 THEN 'EXACT_MATCH' ELSE 'NORMALIZED_MATCH' END
+        WHEN kind = 'distributed_evidence' THEN CASE WHEN CASE n % 3 WHEN 0 THEN features > 1 WHEN 1 THEN concepts > 1 ELSE mixed END THEN 'EXACT_MATCH' ELSE 'POLICY_RULE_NOT_APPLICABLE' END
+        WHEN kind = 'recommendation' THEN CASE WHEN n IN (3, 6) THEN 'GUARANTEE_OVERCLAIM' ELSE 'SEMANTIC_SOURCE_UNFROZEN' END
         WHEN kind = 'causal' THEN CASE WHEN n % 2 = 0 AND NOT causal THEN 'CAUSAL_OVERCLAIM' WHEN causal THEN 'EXACT_MATCH' ELSE 'POLICY_RULE_NOT_APPLICABLE' END
-        ELSE CASE WHEN NOT causal THEN 'EXACT_MATCH' ELSE 'POLICY_RULE_NOT_APPLICABLE' END END AS reason_code FROM j)
-    SELECT claim_type, reason_code, count(*) AS claims FROM r GROUP BY ALL""")
+        WHEN n % 2 = 0 THEN CASE WHEN NOT causal THEN 'EXACT_MATCH' ELSE 'POLICY_RULE_NOT_APPLICABLE' END ELSE 'EXACT_MATCH' END AS reason_code,
+        CASE WHEN f IS NOT NULL THEN CASE WHEN NOT fs THEN 'NOT_EXPOSED' WHEN known AND f::BIGINT % 2 = 0 THEN 'EXPOSED_ALLOWED' ELSE 'EXPOSED_FORBIDDEN' END
+             WHEN k IS NOT NULL THEN CASE WHEN NOT ks THEN 'NOT_EXPOSED' WHEN known AND substr(k, 2)::BIGINT % 2 = 0 THEN 'EXPOSED_ALLOWED' ELSE 'EXPOSED_FORBIDDEN' END
+             WHEN kind = 'ranking' THEN 'SOURCE_MISSING' ELSE 'NOT_APPLICABLE' END AS exposure_state FROM j),
+    v(reason_code, reason_family, validation_status) AS (VALUES {reasons})
+    """
+
+
+@query(_CLAIMS.format(reasons=", ".join(f"('{r}', '{f}', {f"'{s}'" if s else 'NULL'})" for r, f, s in claims.REASONS)) + """
+    SELECT claim_id, claim_type, exposure_state, reason_code, reason_family, validation_status, CASE WHEN validation_status IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS execution_status FROM r JOIN v USING (reason_code)""")
 def claim_validation(spark, sf_dir):
-    """The reasons of all claims by type: each of the thirteen types meets its own rule."""
-    return claims.validated(*_claims(spark, sf_dir)).groupBy("claim_type", "reason_code").agg(F.count("*").alias("claims"))
+    """Every item of every order as a claim, each of the thirteen types judged by its own rule."""
+    return claims.validated(*_claims(spark, sf_dir)).select("claim_id", "claim_type", "exposure_state", "reason_code", "reason_family", "validation_status", "execution_status")
 
 
 @query("""
     WITH c AS (SELECT l_orderkey AS g, l_linenumber, l_partkey % 5 AS f, l_linestatus AS d, l_partkey, l_suppkey FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY g, f, d ORDER BY l_linenumber, lpad(l_partkey::VARCHAR, 8, '0') || '-' || lpad(l_suppkey::VARCHAR, 8, '0')) AS rn FROM c)
-    SELECT g AS generation_id, count(*) AS claims, sum(l_partkey)::BIGINT AS parts FROM r WHERE rn = 1 GROUP BY 1""")
+    SELECT g AS generation_id, lpad(l_partkey::VARCHAR, 8, '0') || '-' || lpad(l_suppkey::VARCHAR, 8, '0') AS claim_id, 'feature_direction|PLAIN|' || f || '|-|' || d AS semantic_signature, row_number() OVER (PARTITION BY g ORDER BY l_linenumber, lpad(l_partkey::VARCHAR, 8, '0') || '-' || lpad(l_suppkey::VARCHAR, 8, '0'))::INT AS local_claim_index FROM r WHERE rn = 1""")
 def claim_dedupe(spark, sf_dir):
-    """Claims of one generation that say the same count once."""
+    """Claims of one generation that say the same count once; those that stay are numbered anew."""
     i = t(spark, sf_dir, "lineitem")
     none = F.lit(None).cast("string")
     c = i.select(F.col("l_orderkey").alias("generation_id"), F.concat_ws("-", F.lpad(F.col("l_partkey").cast("string"), 8, "0"), F.lpad(F.col("l_suppkey").cast("string"), 8, "0")).alias("claim_id"), F.col("l_linenumber").alias("local_claim_index"), F.lit("feature_direction").alias("claim_type"), F.lit("PLAIN").alias("claim_subtype"), (F.col("l_partkey") % 5).cast("string").alias("feature_id"), none.alias("concept_id"), F.col("l_linestatus").alias("direction"), none.alias("magnitude"), none.alias("causal_strength"), none.alias("numeric_role"), none.alias("numeric_value"), none.alias("numeric_unit"), "l_partkey")
-    return claims.deduplicated(c).groupBy("generation_id").agg(F.count("*").alias("claims"), F.sum("l_partkey").alias("parts"))
+    return claims.deduplicated(c).select("generation_id", "claim_id", "semantic_signature", "local_claim_index")
 
 
 @query("""
     WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 6 = 0 THEN 'Y' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 10 <> 7)
-    SELECT change, changed, count(*) AS claims FROM (SELECT CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.s = b.s AND a.p = b.p THEN 'same' ELSE 'changed' END AS change,
-        CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' WHEN a.s <> b.s AND a.p <> b.p THEN 's|p' WHEN a.s <> b.s THEN 's' WHEN a.p <> b.p THEN 'p' ELSE '' END AS changed FROM a FULL JOIN b ON a.k = b.k) GROUP BY ALL""")
+    SELECT k, change, changed FROM (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.s = b.s AND a.p = b.p THEN 'same' ELSE 'changed' END AS change,
+        CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' WHEN a.s <> b.s AND a.p <> b.p THEN 's|p' WHEN a.s <> b.s THEN 's' WHEN a.p <> b.p THEN 'p' ELSE '' END AS changed FROM a FULL JOIN b ON a.k = b.k)""")
 def change_log(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     a = o.where("o_orderkey % 10 <> 3").select(k.alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
     b = o.where("o_orderkey % 10 <> 7").select(k.alias("k"), F.when(k % 4 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 6 == 0, "Y").otherwise(F.col("o_orderpriority")).alias("p"))
-    return claims.change_log(a, b, "k", ["s", "p"]).groupBy("change", "changed").agg(F.count("*").alias("claims"))
+    return claims.change_log(a, b, "k", ["s", "p"])
