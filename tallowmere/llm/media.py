@@ -1,23 +1,34 @@
 """Media columns: local image descriptors that find cropped or edited copies of pictures.
 
 Corners at several scales get an orientation from the intensity around them and 128 binary tests turned
-by it.  Descriptors meet through tables of thirds of them and are verified by Hamming distance; of two
-pictures' matches, those that agree on one shift, turn and scale are counted.
+by it.  Descriptors meet through tables keyed by some of their bits, a query's keys also with one bit turned,
+and are verified by Hamming distance and by a neighbouring corner that looks alike and lies in the same
+direction; of two pictures' matches, those that agree on one shift, turn and scale are counted.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add, or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import Scratch, small_batches
 
-#: Scales of the pyramid; corners kept of a picture at each; half a patch's width.
-SCALES, CORNERS, REACH = (1.0, 0.707, 0.5), (28, 14, 7), 10
+#: Scales of the pyramid, and those at which a query is described, so that copies of sizes between are met too.
+SCALES, FINE_SCALES = (1.0, 0.707, 0.5), (1.0, 0.841, 0.707, 0.595, 0.5)
+#: A corner for so many pixels of a scale, and at least so many of a picture; half a patch's width.
+PIXELS_PER_CORNER, LEAST_CORNERS, REACH = 230, 7, 10
+#: Nearest corners of the same scale that a descriptor knows; bits of their first 64 that may differ; how far their directions may lie apart, of 256.
+NEIGHBOURS, NEAR_HAMMING, NEAR_TURN = 3, 8, 21
 #: Bits of 128 that may differ; matches that must agree; pixels that their shifts may differ.
-HAMMING, AGREE, SLACK = 8, 4, 8
+HAMMING, AGREE, SLACK = 16, 4, 8
+#: Tables are as many as find this share of the pairs that differ in so many bits.
+RECALL, DISTANCE = 0.9, 12
 
 
 def _tests(n: int = 128, seed: int = 11) -> np.ndarray:
@@ -76,16 +87,34 @@ def _corners(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return y[best], x[best]
 
 
-def describe(picture: np.ndarray) -> np.ndarray:
-    """Rows of x, y, angle, scale (of the whole picture's pixels) and the two halves of the descriptor as floats' bits.
-
-    A structured array; pictures too small or too plain for a corner have none.
+def _neighbours(x: np.ndarray, y: np.ndarray, angle: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each corner's nearest others the first halves of their descriptors, and their directions in its own frame, 9 bits each; 0 for none."""
+    n = len(x)
+    halves, turns = np.zeros((n, NEIGHBOURS), np.int64), np.zeros(n, np.int64)
+    if n < 2:
+        return halves, turns
+    far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+    np.fill_diagonal(far, np.iinfo(np.int64).max)
+    near = np.argsort(far, axis=1, kind="stable")[:, : min(NEIGHBOURS, n - 1)]
+    halves[:, : near.shape[1]] = first[near]
+    way = np.arctan2(y[near] - y[:, None], x[near] - x[:, None]) - angle[:, None]
+    steps = np.floor(way / (2 * np.pi) * 256).astype(np.int64) % 256 | 256
+    for k in range(near.shape[1]):
+        turns |= steps[:, k] << (9 * k)
+    return halves, turns
+
+
+def describe(picture: np.ndarray, scales: tuple[float, ...] = SCALES) -> np.ndarray:
+    """Rows of x, y, angle, scale (of the whole picture's pixels), the two halves of the descriptor, and what is near the corner.
+
+    A structured array; pictures too small or too plain for a corner have none.  The strongest corners count,
+    as many as the scale's area asks for.
     """
-    kind = [("x", "f4"), ("y", "f4"), ("angle", "f4"), ("scale", "f4"), ("d0", "i8"), ("d1", "i8")]
+    kind = [("x", "f4"), ("y", "f4"), ("angle", "f4"), ("scale", "f4"), ("d0", "i8"), ("d1", "i8"), *[(f"n{k}", "i8") for k in range(NEIGHBOURS)], ("turns", "i8")]
     out = []
-    for scale, most in zip(SCALES, CORNERS, strict=True):
+    for scale in scales:
         a = _blur(resized(picture.astype(float), scale), 2)
-        y, x = _corners(a, most)
+        y, x = _corners(a, max(LEAST_CORNERS, a.size // PIXELS_PER_CORNER))
         if not len(y):
             continue
         patch = a[(y[:, None] + _Y.ravel()[_DISK]), (x[:, None] + _X.ravel()[_DISK])]
@@ -98,14 +127,22 @@ def describe(picture: np.ndarray) -> np.ndarray:
         rows = np.zeros(len(y), kind)
         rows["x"], rows["y"], rows["angle"], rows["scale"] = x / scale, y / scale, angle, 1 / scale
         rows["d0"], rows["d1"] = halves[:, 0], halves[:, 1]
+        near, rows["turns"] = _neighbours(x, y, angle, halves[:, 0])
+        for k in range(NEIGHBOURS):
+            rows[f"n{k}"] = near[:, k]
         out.append(rows)
     return np.concatenate(out) if out else np.zeros(0, kind)
 
 
-def descriptors(pictures: DataFrame) -> DataFrame:
-    """``(id, corner, x, y, angle, scale, d0, d1)`` of ``pictures(id, height, width, pixels)``, 8-bit grey rows.
+NEAR = [*[f"n{k}" for k in range(NEIGHBOURS)], "turns"]
+
+
+def descriptors(pictures: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
+    """``(id, corner, x, y, angle, scale, d0, d1, n0, n1, n2, turns)`` of ``pictures(id, height, width, pixels)``, 8-bit grey rows.
 
-    A null picture, or one whose pixels are not height times width, has no descriptor.
+    A null picture, or one whose pixels are not height times width, has no descriptor; a null id is described
+    as any other.  Rows that repeat an id are each described, with corners numbered from 0 again.  No
+    rows give no rows.
     """
     small_batches(pictures.sparkSession)
 
@@ -115,52 +152,102 @@ def descriptors(pictures: DataFrame) -> DataFrame:
             for i, h, w, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if raw is None or not h or not w or len(raw) != h * w:
                     continue
-                d = describe(np.frombuffer(raw, np.uint8).reshape(h, w))
+                d = describe(np.frombuffer(raw, np.uint8).reshape(h, w), scales)
                 ids += [i] * len(d)
                 found.append((np.arange(len(d), dtype=np.int32), d))
             d = np.concatenate([x[1] for x in found]) if found else describe(np.zeros((1, 1)))
             n = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), *[pa.array(np.ascontiguousarray(d[k])) for k in d.dtype.names]], ["id", "corner", *d.dtype.names])
 
-    return pictures.select(F.col("id").cast("long"), F.col("height").cast("int"), F.col("width").cast("int"), "pixels").mapInArrow(run, "id long, corner int, x float, y float, angle float, scale float, d0 long, d1 long")
+    schema = "id long, corner int, x float, y float, angle float, scale float, d0 long, d1 long, " + ", ".join(f"{c} long" for c in NEAR)
+    return pictures.select(F.col("id").cast("long"), F.col("height").cast("int"), F.col("width").cast("int"), "pixels").mapInArrow(run, schema)
 
 
-def _parts(d0: Column, d1: Column) -> list[Column]:
-    """Thirds of a descriptor: 43, 43 and 42 bits.  Descriptors that differ in two bits at most share one."""
-    middle = F.shiftrightunsigned(d0, 43).bitwiseOR(F.shiftleft(d1.bitwiseAND(F.lit((1 << 22) - 1)), 21))
-    return [d0.bitwiseAND(F.lit((1 << 43) - 1)), middle, F.shiftrightunsigned(d1, 22)]
+def tables(rows: int, recall: float = RECALL, distance: int = DISTANCE, seed: int = 17) -> list[list[int]]:
+    """For each table the bits that key it, for an index of so many descriptors.
 
-
-def _keyed(d: DataFrame) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(_parts(F.col("d0"), F.col("d1")))])
-    return d.withColumn("__k", F.explode(parts)).select("*", F.col("__k.t").alias("t"), F.col("__k.k").alias("k")).drop("__k")
+    A key has so many bits that a few descriptors share it, whatever the size.  A query also asks for the keys
+    with one bit turned, so a pair meets in a table unless two of the key's bits differ; there are as many
+    tables as let that happen in all of them to ``1 - recall`` of the pairs of that ``distance``.
+    """
+    bits = min(40, max(14, math.ceil(math.log2(max(2, rows))) - 3))
+    p = distance / 128
+    meets = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    rng, order, out = np.random.default_rng(seed), [], []
+    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meets))):
+        while len(order) < bits:  # all bits once before any again
+            order += [b for b in rng.permutation(128).tolist() if b not in order]
+        out.append(order[:bits])
+        order = order[bits:]
+    return out
+
+
+def _keyed(d: DataFrame, keys: list[list[int]], turned: bool) -> DataFrame:
+    """A row for each table's key ``k``, and with ``turned`` for each key with one bit turned."""
+    bit = lambda b: F.shiftrightunsigned(F.col("d0" if b < 64 else "d1"), b % 64).bitwiseAND(F.lit(1))
+    whole = [reduce(add, [F.shiftleft(bit(b), i) for i, b in enumerate(bits)], F.lit(t << 40)) for t, bits in enumerate(keys)]
+    d = d.withColumn("k", F.explode(F.array(*whole)))
+    if turned:
+        d = d.withColumn("k", F.explode(F.array(F.col("k"), *[F.col("k").bitwiseXOR(F.lit(1 << i)) for i in range(len(keys[0]))])))
+    return d
+
+
+def _alike() -> Column:
+    """Whether the descriptors of a query ``q_`` and of the index are near enough and one neighbour of each looks alike in the same direction."""
+    differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    way = lambda c, k: F.shiftright(F.col(c), 9 * k).bitwiseAND(F.lit(511))
+    near = []
+    for i in range(NEIGHBOURS):
+        for j in range(NEIGHBOURS):
+            a, b = way("q_turns", i), way("turns", j)
+            near.append((a > 0) & (b > 0) & (F.pmod(a - b + NEAR_TURN, F.lit(256)) <= 2 * NEAR_TURN) & (differ(f"q_n{i}", f"n{j}") <= NEAR_HAMMING))
+    return reduce(or_, near)
+
+
+def matches(queries: DataFrame, index: DataFrame, hamming: int = HAMMING) -> DataFrame:
+    """``(query, c, id, corner)``: the descriptors of a query and of the index that match, each pair once.
+
+    Both sides are :func:`descriptors`.  At most ``hamming`` of all bits differ, and one of the corners'
+    nearest neighbours does the same; pairs are looked for through :func:`tables`.  Only what decides this
+    goes through the join, a row for each key.
+    """
+    keys = tables(index.count())
+    slim = ["d0", "d1", *NEAR]
+    q = _keyed(queries.select(F.col("id").alias("query"), F.col("corner").alias("c"), *slim), keys, True).withColumnsRenamed({c: f"q_{c}" for c in slim} | {"k": "q_k"})
+    i = _keyed(index.select("id", "corner", *slim), keys, False)
+    bits = F.bit_count(F.col("q_d0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q_d1").bitwiseXOR(F.col("d1")))
+    return q.join(i.hint("merge"), (F.col("q_k") == F.col("k")) & (bits <= hamming) & _alike()).select("query", "c", "id", "corner").distinct()
 
 
 def find_copies(queries: DataFrame, index: DataFrame, hamming: int = HAMMING, agree: int = AGREE) -> DataFrame:
     """``(query, id, agreeing)``: the pictures of ``index`` of which a query seems a cropped or edited copy.
 
-    Both sides are :func:`descriptors`.  Two descriptors match if a third is equal and at most
-    ``hamming`` of all bits differ; the first table in which they meet gives the match.  Each match says how the query lies in the picture: its turn, its scale
-    and the place of its corner; it votes for the cells of such poses around its own, and a pair stands if a
-    cell has ``agree`` corners of the query.  Nothing is capped: a part that many descriptors share is
-    joined whole, and Spark splits its partition.
+    Both sides are :func:`descriptors`, the queries' best at :data:`FINE_SCALES`.  Each of the :func:`matches` says how the
+    query lies in the picture: its turn, its scale and the place of its corner; it votes for the cells of such poses
+    around its own, and a pair stands if a cell has ``agree`` corners of the query.  Nothing is capped: a key that many
+    descriptors share is joined whole, and Spark splits its partition.  Null ids are a picture of their own on either
+    side, repeated ids one picture with all their corners.  An empty side gives no rows.
     """
-    q = _keyed(queries.select(F.col("id").alias("query"), F.col("corner").alias("c"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("angle").alias("qa"), F.col("scale").alias("qs"), F.col("d0"), F.col("d1"))).withColumnsRenamed({"d0": "q0", "d1": "q1"})
-    i = _keyed(index.select("id", "x", "y", "angle", "scale", "d0", "d1")).withColumnsRenamed({"t": "t_", "k": "k_"})
-    bits = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1")))
-    same = [a == b for a, b in zip(_parts(F.col("q0"), F.col("q1")), _parts(F.col("d0"), F.col("d1")), strict=True)]
-    first = F.coalesce(*[F.when(s, t) for t, s in enumerate(same)])
-    m = q.join(i, (F.col("t") == F.col("t_")) & (F.col("k") == F.col("k_")) & (bits <= hamming) & (F.col("t") == first))
-    turn, ratio = F.col("angle") - F.col("qa"), F.col("scale") / F.col("qs")
-    px = F.col("x") - ratio * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))
-    py = F.col("y") - ratio * (F.sin(turn) * F.col("qx") + F.cos(turn) * F.col("qy"))
-    near = lambda v, size: F.array(F.floor(v / size - 0.5), F.floor(v / size - 0.5) + 1)
-    turns = F.transform(near(F.pmod(turn, F.lit(2 * np.pi)), np.pi / 6), lambda b: F.pmod(b, F.lit(12)))
-    cells = m.select("query", "id", "c", F.round(F.log2(ratio) * 2).alias("zoom"), F.explode(turns).alias("turn"), near(px, SLACK).alias("bx"), near(py, SLACK).alias("by"))
-    cells = cells.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by"))
-    seen = cells.select("query", "id", "zoom", "turn", "bx", "by", "c").distinct()
-    votes = seen.groupBy("query", "id", "zoom", "turn", "bx", "by").agg(F.count("*").alias("n"))
-    return votes.groupBy("query", "id").agg(F.max("n").alias("agreeing")).where(F.col("agreeing") >= agree)
+    with Scratch(queries.sparkSession) as scratch:
+        m = scratch.write(matches(queries, index, hamming))
+        place = lambda d, names: d.select(*[F.col(a).alias(b) for a, b in names.items()])
+        q = place(queries, {"id": "query_", "corner": "c_", "x": "qx", "y": "qy", "angle": "qa", "scale": "qs"})
+        i = place(index, {"id": "id_", "corner": "corner_", "x": "x", "y": "y", "angle": "angle", "scale": "scale"})
+        m = m.join(q, F.col("query").eqNullSafe(F.col("query_")) & (F.col("c") == F.col("c_")))
+        m = m.join(i, F.col("id").eqNullSafe(F.col("id_")) & (F.col("corner") == F.col("corner_")))
+        turn, ratio = F.col("angle") - F.col("qa"), F.col("scale") / F.col("qs")
+        px = F.col("x") - ratio * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))
+        py = F.col("y") - ratio * (F.sin(turn) * F.col("qx") + F.cos(turn) * F.col("qy"))
+        near = lambda v, size: F.array(F.floor(v / size - 0.5), F.floor(v / size - 0.5) + 1)
+        turns = F.transform(near(F.pmod(turn, F.lit(2 * np.pi)), np.pi / 6), lambda b: F.pmod(b, F.lit(12)))
+        cells = m.select("query", "id", "c", "qx", "qy", near(F.log2(ratio), 0.5).alias("zoom"), turns.alias("turn"), near(px, SLACK).alias("bx"), near(py, SLACK).alias("by"))
+        for c in ("zoom", "turn", "bx", "by"):
+            cells = cells.withColumn(c, F.explode(c))
+        # one corner of the query may be met at two scales: it is one place
+        spot = F.struct(F.round(F.col("qx") / 4).alias("x"), F.round(F.col("qy") / 4).alias("y"))
+        seen = cells.select("query", "id", "zoom", "turn", "bx", "by", spot.alias("spot")).distinct()
+        votes = seen.groupBy("query", "id", "zoom", "turn", "bx", "by").agg(F.count("*").alias("n"))
+        return scratch.keep(votes.groupBy("query", "id").agg(F.max("n").alias("agreeing")).where(F.col("agreeing") >= agree))
 
 
 # ---- pictures for tables that hold none -------------------------------------------------------
@@ -217,13 +304,14 @@ def copy_report(vectors: DataFrame, every: int = 50) -> DataFrame:
     as any other; null ids are members of their class but no queries.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.to_json(F.struct("embedding"))).alias("seed"))
-    v, _ = written(v)
-    classes, _ = written(v.groupBy("seed").agg(F.min("vec_id").alias("id"), F.count("*").alias("members")))
-    asked = v.where(F.col("vec_id") % every == 0).select("vec_id", F.col("seed").alias("__seed"))
-    index, _ = written(descriptors(pictures_of(classes, False)))
-    query_classes = classes.join(asked.select(F.col("__seed").alias("seed")).distinct(), "seed", "left_semi")
-    queries, _ = written(descriptors(pictures_of(query_classes, True)))
-    found, _ = written(find_copies(queries, index))
+    with Scratch(vectors.sparkSession) as scratch:
+        v = scratch.keep(v)
+        classes = scratch.keep(v.groupBy("seed").agg(F.min("vec_id").alias("id"), F.count("*").alias("members")))
+        asked = v.where(F.col("vec_id") % every == 0).select("vec_id", F.col("seed").alias("__seed"))
+        index = scratch.write(descriptors(pictures_of(classes, False)))
+        query_classes = classes.join(asked.select(F.col("__seed").alias("seed")).distinct(), "seed", "left_semi")
+        queries = scratch.write(descriptors(pictures_of(query_classes, True), FINE_SCALES))
+        found = find_copies(queries, index)
     named = asked.join(classes, F.col("__seed") == F.col("seed")).select("vec_id", F.col("id").alias("class_id"))
     hits = found.select(F.col("query").alias("__query"), F.col("id").alias("copy_of"), "agreeing").join(classes.select(F.col("id").alias("copy_of"), "members"), "copy_of")
-    return named.join(hits, F.col("class_id") == F.col("__query"), "left").select("vec_id", "class_id", "copy_of", "members", "agreeing")
+    return named.join(hits, F.col("class_id").eqNullSafe(F.col("__query")), "left").select("vec_id", "class_id", "copy_of", "members", "agreeing")
