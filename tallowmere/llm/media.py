@@ -167,17 +167,18 @@ def tables(rows: int, recall: float = RECALL, distance: int = DISTANCE, seed: in
     """For each table the bits that key it, for an index of so many descriptors.
 
     A key has so many bits that a few descriptors share it, whatever the size.  A query also asks for the keys
-    with one bit turned, so a pair meets in a table unless two of the key's bits differ; there are as many
-    tables as let that happen in all of them to ``1 - recall`` of the pairs of that ``distance``.
+    with one bit turned, so a pair meets in a table unless two of the key's bits differ.  Tables are added until a share
+    ``recall`` of random pairs of that ``distance`` meet in one of them.
     """
     bits = min(40, max(14, math.ceil(math.log2(max(2, rows))) - 3))
-    p = distance / 128
-    meets = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    rng, order, out = np.random.default_rng(seed), [], []
-    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meets))):
+    rng = np.random.default_rng(seed)
+    differ = np.argsort(rng.random((4000, 128)), axis=1) < distance  # pairs by bit
+    met, order, out = np.zeros(len(differ), bool), [], []
+    while met.mean() < recall:
         while len(order) < bits:  # all bits once before any again
             order += [b for b in rng.permutation(128).tolist() if b not in order]
         out.append(order[:bits])
+        met |= differ[:, out[-1]].sum(1) <= 1
         order = order[bits:]
     return out
 

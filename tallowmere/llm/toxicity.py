@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 The n-grams of a text are hashed to ``BUCKETS``.  On the labelled sample the log of the share of toxic
-texts with an n-gram over that of others is its ratio; those of the largest log-likelihood statistic
-are kept, and a logistic regression is fitted on the kept ones.  The value of an n-gram is its ratio
-times the root of its rate in the text: a long text has many n-grams once by chance.
+texts with an n-gram over that of others is its ratio; all n-grams whose presence differs significantly
+between the classes are kept, and a logistic regression is fitted on them, as sparse vectors.  The value
+of an n-gram is its ratio times the root of its rate in the text: a long text has many n-grams once by chance.
 """
 
 from collections.abc import Iterator
@@ -13,17 +13,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .sampling import labelled_sample
 from .shared import held_out, removed, small_batches, text_of
 
 SIZES = (4, 5)
 BUCKETS = 1 << 20
-#: Labelled rows to fit on, at most; n-grams to keep, at most; added to each count.
-ROWS, KEPT, SMOOTHING = 16_000, 512, 1.0
+#: Labelled rows to fit on, at most; added to each count; penalty of the regression.
+ROWS, SMOOTHING, RIDGE = 16_000, 1.0, 2e-3
+#: The log-likelihood ratio of an n-gram worth keeping: twice this is the chi-square of one degree with p = 0.01.
+SIGNIFICANT = 3.317
 #: One place in so many characters, beside half as many for any text, is a full rate.
 DENSE = 500
 REJECT = 0.3
@@ -63,13 +66,11 @@ class Model:
         return at
 
 
-def rates(text: str, at: np.ndarray, n: int) -> np.ndarray:
-    """How dense each of the ``n`` kept n-grams is in the text, 0 to 1: the root of its places in ``DENSE`` characters."""
-    places = np.zeros(n)
-    for h in hashed_ngrams(text):
-        found = at[h]
-        places += np.bincount(found[found >= 0], minlength=n)
-    return np.sqrt(np.minimum(1.0, places * DENSE / (len(text) + DENSE / 2)))
+def rates(text: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept n-grams of the text, ascending, and how dense each is in it, 0 to 1: the root of its places in ``DENSE`` characters."""
+    found = [f[f >= 0] for f in (at[h] for h in hashed_ngrams(text))]
+    kept, places = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+    return kept, np.sqrt(np.minimum(1.0, places * DENSE / (len(text) + DENSE / 2)))
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     return part.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, kept: int = KEPT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, significant: float = SIGNIFICANT) -> Model:
     """A model from the labelled rows that are not held out, ``rows`` of them at most.
 
     With no labelled row, or none of one class, the model has no n-gram and its bias is the smoothed
@@ -111,8 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     part = lambda k, of: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) * (toxic + clean) / (F.col("toxic") + F.col("clean")) / of)).otherwise(0.0)
     gone = lambda k, of: F.when(of - F.col(k) > 0, (of - F.col(k)) * F.ln((of - F.col(k)) * (toxic + clean) / ((toxic + clean) - F.col("toxic") - F.col("clean")) / of)).otherwise(0.0)
     strength = part("toxic", toxic) + part("clean", clean) + gone("toxic", toxic) + gone("clean", clean)
-    best = c.withColumn("strength", strength).orderBy(F.desc("strength"), "bucket").limit(kept).collect()
-    best.sort(key=lambda r: r["bucket"])
+    # one row a bucket at most, whatever the size of the corpus
+    best = sorted(c.where(strength >= significant).collect(), key=lambda r: r["bucket"])
+    if not best:
+        removed(spark, path)
+        return Model(np.zeros(0, np.int64), np.zeros(0), bias)
     buckets = np.array([r["bucket"] for r in best], np.int64)
     rate = lambda k, of: np.array([(r[k] + SMOOTHING) / (of + 2 * SMOOTHING) for r in best])
     ratio = np.log(rate("toxic", toxic) / rate("clean", clean))
@@ -120,12 +124,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
 
     def run(batches):
         for b in batches:
-            x = [rates(t, at, len(ratio)) * ratio for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
-
-    rows_ = sample.select("text", "label").repartition(8).mapInArrow(run, "x array<double>, label int")
-    rows_ = rows_.select(array_to_vector("x").alias("features"), (F.col("label") > 0).cast("double").alias("label"))
-    lr = LogisticRegression(maxIter=60, regParam=2e-3, standardization=False).fit(rows_)
+            x = [rates(t, at) for t in b.column(0).to_pylist()]
+            n = b.num_rows
+            features = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(ratio), np.int32)), pa.array([k for k, _ in x], pa.list_(pa.int32())), pa.array([v * ratio[k] for k, v in x], pa.list_(pa.float64()))],
+                ["type", "size", "indices", "values"],
+            )
+            yield pa.RecordBatch.from_arrays([features, b.column(1)], ["features", "label"])
+
+    schema = StructType([StructField("features", VectorUDT()), StructField("label", DoubleType())])
+    rows_ = sample.select("text", (F.col("label") > 0).cast("double").alias("label")).repartition(8).mapInArrow(run, schema)
+    lr = LogisticRegression(maxIter=60, regParam=RIDGE, standardization=False).fit(rows_)
     removed(spark, path)
     return Model(buckets, lr.coefficients.toArray() * ratio, float(lr.intercept))
 
@@ -137,18 +146,22 @@ def score(model: Model, column: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at = model.places()
         for texts in batches:
-            z = np.array([model.weights @ rates(t, at, len(model.weights)) for t in texts]) + model.bias
+            z = np.array([model.weights[k] @ v for k, v in (rates(t, at) for t in texts)], float) + model.bias
             yield pd.Series(1 / (1 + np.exp(-z)))
 
     return run(F.coalesce(column.cast("string"), F.lit("")))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted (score at or above 0.3) for every row of ``docs``."""
+    """doc_id, held_out, score and predicted (score at or above 0.3) for every row of ``docs``.
+
+    Each row is scored by its own text alone, so repeated rows and ids have a row each.  A null text is empty and
+    scores as one without any kept n-gram; a null id is held out.  No rows give no rows.
+    """
     s = docs.select("doc_id", held_out().alias("held_out"), score(fit(docs, labels, rows=rows), F.col("text")).alias("score"))
     return s.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """``docs`` without the rows that score at or above 0.3, all columns as they were."""
+    """``docs`` without the rows that score at or above 0.3, all columns as they were; odd rows are as in :func:`toxicity_report`."""
     return docs.where(score(fit(docs, labels, rows=rows), F.col("text")) < REJECT)

@@ -1,6 +1,7 @@
 """The two classifiers: what they may learn from, what they give, and how well they do on held-out rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,6 +86,97 @@ def test_normal_equations_of_partitions_add_up(spark):
     assert np.allclose(a, phi.T @ phi) and np.allclose(b, phi.T @ y)
 
 
+def flat_then_up(x, y):
+    """Isotonic regression by pooling neighbours that fall: (values of x, level) of the ends of each pool."""
+    pools = []
+    for v in np.unique(x):
+        pools.append([v, v, y[x == v].sum(), (x == v).sum()])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            b = pools.pop()
+            a = pools[-1]
+            a[1], a[2], a[3] = b[1], a[2] + b[2], a[3] + b[3]
+    ends = [(e, s / n) for lo, hi, s, n in pools for e in ((lo, hi) if hi > lo else (lo,))]
+    return np.array(ends).T
+
+
+def test_quality_scores_equal_an_independent_fit(spark, small):
+    """Standardised statistics, cosines, ridge and isotonic steps, all by numpy on the rows that may teach."""
+    d, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in texts}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in texts}
+    teach = sorted(i for i in truth if fold[i] != 2)
+    x = np.array([quality.statistics(texts[i]) for i in teach])
+    y = np.array([float(truth[i] > 0) for i in teach])
+    mean, sd = x.mean(0), x.std(0)
+    sd = np.where(sd > 1e-9, sd, 1.0)
+    rng = np.random.default_rng(quality.SEED)
+    directions, phases = rng.normal(0, 1 / quality.WIDTH, (x.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+
+    def phi(v):
+        return np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - mean) / sd, -8, 8) @ directions + phases), np.ones((len(v), 1))])
+
+    fits = np.array([fold[i] != quality.CALIBRATES for i in teach])
+    a = phi(x[fits])
+    w = np.linalg.solve(a.T @ a + quality.RIDGE * max(1.0, fits.sum()) * np.eye(a.shape[1]) / a.shape[1] ** 0.5, a.T @ y[fits])
+    steps, values = flat_then_up(phi(x[~fits]) @ w, y[~fits])
+    got = {r.doc_id: r.score for r in quality.quality_report(d, labels).collect()}
+    raw = phi(np.array([quality.statistics(texts[i]) for i in got])) @ w
+    want = np.clip(0.999 * np.interp(raw, steps, values) + 0.001 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
+    assert np.allclose(list(got.values()), want, atol=2e-3)
+
+
+def test_toxicity_equals_an_independent_fit(spark):
+    """Counts, significance, ratios and regression, all by plain Python and numpy."""
+    rng = np.random.default_rng(4)
+    good, bad = "calm river stone garden music paper light window".split(), "awful stupid rotten vile nasty".split()
+    texts = [" ".join(rng.choice(good, 12)) + (" " + " ".join(rng.choice(bad, 2)) if i % 3 == 0 else "") for i in range(160)]
+    teach = [i for i in range(160) if zlib.crc32(str(i).encode()) % 4 != 2]
+    y = np.array([i % 3 == 0 for i in teach])
+    grams = [Counter(np.concatenate(list(toxicity.hashed_ngrams(texts[i]))).tolist()) for i in range(160)]
+    n1, n0 = y.sum(), (~y).sum()
+    n = n1 + n0
+    kept, ratio = [], []
+    for g in sorted(set().union(*(grams[i] for i in teach))):
+        c = np.array([[sum(g in grams[i] for i, t in zip(teach, y, strict=True) if t == k) for k in (True, False)]])
+        table = np.vstack([c, np.array([[n1, n0]]) - c])
+        expected = table.sum(1, keepdims=True) * table.sum(0) / n
+        if (table[table > 0] * np.log(table[table > 0] / expected[table > 0])).sum() >= toxicity.SIGNIFICANT:
+            kept.append(g)
+            ratio.append(np.log((c[0, 0] + 1) / (n1 + 2)) - np.log((c[0, 1] + 1) / (n0 + 2)))
+    ratio = np.array(ratio)
+    value = lambda i: np.array([np.sqrt(min(1.0, grams[i][g] * toxicity.DENSE / (len(texts[i]) + toxicity.DENSE / 2))) for g in kept]) * ratio
+    x = np.hstack([np.array([value(i) for i in teach]), np.ones((len(teach), 1))])
+    w, penalty = np.zeros(x.shape[1]), np.append(np.full(len(kept), toxicity.RIDGE), 0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / n + np.diag(penalty) + 1e-12 * np.eye(len(w)), x.T @ (p - y) / n + penalty * w)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_report(docs(spark, list(enumerate(texts))), labelled(spark, [(i, 0, int(i % 3 == 0)) for i in range(160)])).collect()}
+    want = 1 / (1 + np.exp(-np.hstack([np.array([value(i) for i in got]), np.ones((160, 1))]) @ w))
+    assert np.allclose(list(got.values()), want, atol=0.01)
+    model = toxicity.fit(docs(spark, list(enumerate(texts))), labelled(spark, [(i, 0, int(i % 3 == 0)) for i in range(160)]))
+    assert model.buckets.tolist() == kept
+
+
+def test_a_repeated_id_adds_one_row_to_the_sample(spark):
+    from tallowmere.llm.sampling import labelled_sample
+
+    d = docs(spark, [(1, f"text {i}") for i in range(50)] + [(3, "other"), (3, "other")])
+    rows = labelled_sample(d, labelled(spark, [(1, 1, 1), (3, 0, 0), (3, 1, 0)]), "quality", 100)[0].collect()
+    assert sorted(r.label for r in rows) == [1, 1] and len({r.text for r in rows}) == 2
+
+
+def test_a_text_of_20_mb_goes_through(spark):
+    """Beside small ones, through the operators that read whole texts in Python workers."""
+    from tallowmere.llm import licenses, simhash
+
+    big = "some words of a very long text, released under the MIT license. " * 320_000
+    d = docs(spark, [(1, big), (2, "short"), (3, None)])
+    labels = labelled(spark, [(i, i % 2, i % 2) for i in (1, 2, 3)])
+    for report in (simhash.near_report(d), licenses.license_report(d), toxicity.toxicity_report(d, labels), quality.quality_report(d, labels)):
+        assert report.count() == 3
+
+
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
     text = "Some text, with Ünïcode and more " * 40
     whole = np.unique(np.concatenate(list(toxicity.hashed_ngrams(text))))
