@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audit, entities, explanation, inference, modeling, summary  # noqa: F401
+from .plans import audit, entities, explanation, inference, mart, modeling, summary  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

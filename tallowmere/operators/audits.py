@@ -91,7 +91,15 @@ def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
     out = long.join(F.broadcast(bounds), F.col("feature") == F.col("__f")).groupBy("feature").agg(
         count_where((v < F.col("__lo")) | (v > F.col("__hi"))).alias("iqr_outliers"), count_where((F.col("__s") > 0) & (F.abs(v - F.col("__m")) > 3 * F.col("__s"))).alias("z_outliers")
     )  # a row a feature: the columns of one table
-    return s.join(out, "feature")
+    s = s.join(out, "feature").withColumn("iqr", width).withColumn("value_range", F.col("maximum") - F.col("minimum"))
+    s = s.withColumn("positive_rate", F.when(F.col("present") > 0, 1 - F.col("zero_rate") - F.col("negative_rate")))
+    s = s.withColumns({f"{k}_rate": F.when(F.col("present") > 0, F.col(k) / F.col("present")) for k in ("iqr_outliers", "z_outliers")})
+    if target is None:
+        return s
+    sides = quantiles(long.where(F.col(target).isin(0, 1)), ["feature", target], "value", [0.5])
+    median = lambda k: F.max(F.when(F.col(target) == k, F.col("q")[0])).alias(f"median_{k}")
+    s = s.join(sides.groupBy("feature").agg(median(1), median(0)), "feature", "left")
+    return s.withColumn("mean_difference", F.col("mean_1") - F.col("mean_0")).withColumn("median_difference", F.col("median_1") - F.col("median_0"))
 
 
 def warnings(stats: DataFrame) -> DataFrame:
@@ -106,6 +114,23 @@ def warnings(stats: DataFrame) -> DataFrame:
     return stats.withColumn("warnings", F.array_join(w, "|")).withColumn("n_warnings", F.size(w))
 
 
+def dataset_audit(stats: DataFrame) -> DataFrame:
+    """One row over :func:`numeric_stats`: features, rows, missing cells and their rate, constant and skewed features, features with many outliers."""
+    n = F.count("*")
+    missing = F.sum(F.col("rows") - F.col("present"))
+    return stats.agg(
+        n.alias("features"), F.max("rows").alias("rows"), missing.alias("missing_cells"), F.when(F.sum("rows") > 0, missing / F.sum("rows")).alias("missing_rate"),
+        count_where(F.col("distinct") <= 1).alias("constant"), count_where(F.abs("skewness") > 2).alias("skewed"), count_where(F.col("iqr_outliers") > 0.05 * F.col("present")).alias("many_outliers"),
+        F.avg(F.abs("skewness")).alias("mean_abs_skewness"), F.max(F.abs("skewness")).alias("max_abs_skewness"),
+    )
+
+
+def concept_audit(stats: DataFrame, concepts: DataFrame) -> DataFrame:
+    """By concept (a null one is a group) of ``concepts(feature, concept)``: features, mean and largest size of the skewness, largest size of the correlation with the target."""
+    j = stats.join(concepts, "feature", "left")
+    return j.groupBy("concept").agg(F.count("*").alias("features"), F.avg(F.abs("skewness")).alias("mean_abs_skewness"), F.max(F.abs("skewness")).alias("max_abs_skewness"), F.max(F.abs("target_corr")).alias("max_abs_target_corr"))
+
+
 def category_frequency(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """feature, category, rows, positives, negatives, rate: null categories are their own, named ``__MISSING__``."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias("category")) for c in columns])

@@ -42,6 +42,15 @@ LEVELS = (
 PRIMARY, SUPPORTING = 8, 12
 
 
+#: From these sizes on an attribution is strong, or moderate.
+STRONG, MODERATE = 0.10, 0.03
+
+
+def strength(size: Column) -> Column:
+    """strong, moderate or weak by the size of an attribution; a missing one is weak."""
+    return F.when(size >= STRONG, "strong").when(size >= MODERATE, "moderate").otherwise("weak")
+
+
 def local_rows(cases: DataFrame, key: str, features: str = "features", values: str = "values") -> DataFrame:
     """``(key, feature_id, shap_value, abs_shap_value, rank, direction)`` from two arrays of one length."""
     d = cases.select(key, F.explode(F.arrays_zip(features, values)).alias("z")).select(key, F.col(f"z.{features}").alias("feature_id"), F.col(f"z.{values}").alias("shap_value"))

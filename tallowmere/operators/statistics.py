@@ -1,6 +1,7 @@
 """Statistics: repeated-measures decomposition, paired tests, resampled intervals, agreement."""
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -93,6 +94,10 @@ def signed_rank(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 # ---- decomposition ---------------------------------------------------------------------------
 
 
+#: F where the error's mean square is 0.
+LARGEST = sys.float_info.max
+
+
 def rm_anova(cells: DataFrame, subject: str, a: str, b: str, y: str) -> DataFrame:
     """Sums of squares, degrees of freedom, mean squares, F and partial eta squared of a balanced two-way design.
 
@@ -117,8 +122,10 @@ def rm_anova(cells: DataFrame, subject: str, a: str, b: str, y: str) -> DataFram
     na, nb, ns = c("na") - 1, c("nb") - 1, c("ns") - 1
     rows = F.array(*[F.struct(F.lit(n).alias("source"), c(ss).alias("ss"), df.alias("df"), c(e).alias("ss_error"), (df * ns).alias("df_error")) for n, ss, df, e in (("a", "ss_a", na, "e_a"), ("b", "ss_b", nb, "e_b"), ("a:b", "ss_ab", na * nb, "e_ab"))])
     r = g.select(F.explode(rows).alias("r")).select("r.*")
-    r = r.withColumn("f", ratio(ratio(c("ss"), c("df")), ratio(c("ss_error"), c("df_error"))))
-    return r.withColumn("partial_eta_squared", ratio(c("ss"), c("ss") + c("ss_error")))
+    effect, error = ratio(c("ss"), c("df")), ratio(c("ss_error"), c("df_error"))
+    # without error the effect is as large as a number can be, or there is none
+    r = r.withColumn("f", F.when(error > 0, effect / error).when(effect > 0, LARGEST).when(effect.isNotNull() & error.isNotNull(), 0.0))
+    return r.withColumn("partial_eta_squared", ratio(c("ss"), c("ss") + c("ss_error"), otherwise=0.0))
 
 
 def covariances(cells: DataFrame, subject: str, condition: str, y: str) -> DataFrame:

@@ -68,6 +68,32 @@ def claim_summary(status: str = "status") -> dict[str, Column]:
     }
 
 
+def claim_group_summary(status: str, match: str, eligible: Column, exposed: Column) -> dict[str, Column]:
+    """Counts and rates of a group of claims: by status, and by the best match of those claims that could match a phrase."""
+    is_ = lambda s: count_where(F.col(status) == s)
+    s, u, c, v, n = is_("SUPPORTED"), is_("UNSUPPORTED"), is_("CONTRADICTED"), is_("NOT_VERIFIABLE"), is_("NOT_APPLICABLE")
+    resolved, applicable, could = s + u + c, s + u + c + v, count_where(eligible)
+    out = {
+        "claims": F.count("*"), "applicable": applicable, "resolved": resolved, "supported": s, "not_verifiable": v, "unsupported": u, "contradicted": c, "not_applicable": n,
+        "resolved_faithfulness": ratio(s, resolved), "verifiability": ratio(resolved, applicable), "conservative_faithfulness": ratio(s, applicable),
+        "not_verifiable_rate": ratio(v, applicable), "unsupported_rate": ratio(u, applicable), "contradiction_rate": ratio(c, applicable), "resolved_error_rate": ratio(u + c, resolved),
+        "exposed": count_where(exposed), "eligible": could, "matched_rate": ratio(count_where(eligible & (F.col(match) != "NONE")), could),
+    }
+    for kind in ("EXACT", "CONTAINED", "HIGH_OVERLAP", "NONE"):
+        k = count_where(eligible & (F.coalesce(F.col(match), F.lit("NONE")) == kind))
+        out |= {f"best_{kind.lower()}": k, f"best_{kind.lower()}_rate": ratio(k, could)}
+    return out
+
+
+def generation_group_summary(losses: Sequence[str] = ("yield_share", "pipeline_loss", "not_verifiable_loss", "unsupported_loss", "contradiction_loss")) -> dict[str, Column]:
+    """Of a group of planned generations: how many, how many usable, and the means of the losses, of resolved errors and of all losses."""
+    usable = count_where(F.col("usable"))
+    out = {"planned": F.count("*"), "usable": usable, "unusable": F.count("*") - usable, "usability_rate": ratio(usable, F.count("*"))}
+    out |= {f"mean_{c}": F.avg(c) for c in losses}
+    error = F.col("unsupported_loss") + F.col("contradiction_loss")
+    return out | {"mean_resolved_error_loss": F.avg(error), "mean_claim_quality_loss": F.avg(error + F.col("not_verifiable_loss")), "mean_total_loss": F.avg(1 - F.col("yield_share")), "mean_claims": F.avg("claim_count")}
+
+
 def macro_micro(df: DataFrame, by: Sequence[str], top: str, bottom: str) -> DataFrame:
     """macro: the mean of the rows' ratios; micro: the ratio of their sums; p10: the rows' tenth percentile."""
     r = ratio(F.col(top), F.col(bottom))
