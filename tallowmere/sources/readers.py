@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -16,12 +19,22 @@ def positional_schema(width: int, prefix: str = "c") -> StructType:
     return StructType([StructField(f"{prefix}{i}", StringType()) for i in range(width)])
 
 
-def csv(spark: SparkSession, path: str, schema: StructType | str, columns: Sequence[str] | None = None, **options: str) -> DataFrame:
-    """Comma-separated rows with a header, quoted by ``"``; only ``columns`` are parsed where given.  Malformed rows fail."""
-    d = spark.read.options(**({"header": "true", "quote": '"', "escape": '"', "multiLine": "false", "mode": "FAILFAST"} | options)).schema(schema).csv(path)
+def csv(spark: SparkSession, path: str, schema: StructType | str, columns: Sequence[str] | None = None, line_feeds: bool = False, **options: str) -> DataFrame:
+    """Comma-separated rows with a header, quoted by ``"``; only ``columns`` are parsed where given.  Malformed rows fail.
+
+    With ``line_feeds`` quoted values may hold them; such files cannot be split, so a task reads a whole one.
+    """
+    own = {"header": "true", "quote": '"', "escape": '"', "multiLine": str(line_feeds).lower(), "mode": "FAILFAST"}
+    d = spark.read.options(**(own | options)).schema(schema).csv(path)
     return d.select(*columns) if columns else d
 
 
+def shape(spark: SparkSession, path: str, line_feeds: bool = False) -> DataFrame:
+    """One row: how many ``columns`` the header of comma-separated files names, and how many ``rows`` follow, in all files below ``path``."""
+    d = spark.read.options(recursiveFileLookup="true", header="true", quote='"', escape='"', multiLine=str(line_feeds).lower()).csv(path)
+    return d.agg(F.lit(len(d.columns)).alias("columns"), F.count("*").alias("rows"))
+
+
 def piped(spark: SparkSession, path: str, width: int, columns: dict[int, str] | None = None) -> DataFrame:
     """Rows of ``width`` fields separated by ``|`` without header, as text; ``columns`` picks and names positions."""
     d = spark.read.schema(positional_schema(width)).options(sep="|", header="false", quote="").csv(path)
@@ -58,48 +71,116 @@ def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return d.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of files."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return d.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Files up to so many bytes are read by Spark as one value; larger ones are read in pieces of ``PIECE`` bytes by a task each.
+WHOLE, PIECE = 64 << 20, 8 << 20
+
+
+def _opened(path: str):
+    """A file as Python workers reach it, by its URI; it can be sought."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
+    system, inside = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inside)
+
+
+def _files(spark: SparkSession, path: str, pattern: str, whole: int) -> DataFrame:
+    """``(path, length, content)`` of files; content only of those up to ``whole`` bytes."""
+    d = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=pattern).load(path)
+    small = d.where(F.col("length") <= whole).select("path", "length", "content")
+    large = d.where(F.col("length") > whole).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    # a task for each file: a large one takes as long as all of a partition of small ones
+    return small.unionByName(large.repartition("path"))
+
+
+def digests(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """``(path, bytes, sha256)`` of files of any size: no more than ``whole`` bytes, or a piece, of one are in memory."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for where, content in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h = hashlib.sha256(content or b"")
+                if content is None:
+                    with _opened(where) as f:
+                        while piece := f.read(PIECE):
+                            h.update(piece)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["path", "bytes", "sha256"])
+
+    return _files(spark, path, "*", whole).mapInArrow(run, "path string, bytes long, sha256 string")
+
+
+def _entries(f, where: str = ""):
+    """``(name, info, opened entry)`` of an archive's entries and of those of archives within; an entry is read as it is unpacked."""
+    with zipfile.ZipFile(f) as z:
+        for info in z.infolist():
+            if info.is_dir():
+                continue
+            name = f"{where}!{info.filename}" if where else info.filename
+            with z.open(info) as e:
+                if info.filename.lower().endswith(".zip"):
+                    yield from _entries(e, name)
+                else:
+                    yield name, info, e
+
+
+def _archive(where: str, content: bytes | None):
+    return _opened(where) if content is None else io.BytesIO(content)
 
 
-def nested_zip_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
+def nested_zip_lines(spark: SparkSession, path: str, member: str, whole: int = WHOLE) -> DataFrame:
     """``(archive, entry, line_number, line)`` of the text entries whose name contains ``member``, in archives or archives within these.
 
-    An archive cannot be split, so a task reads a whole one, and its lines are given out in batches; write the
-    result as Parquet once and work on that.
+    An archive cannot be split, so a task reads a whole one, as a stream: neither it nor an entry is held in
+    memory, and its lines are given out in batches; write the result as Parquet once and work on that.
     """
-    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.zip").load(path).select("path", "content")
-
-    def entries(raw: bytes, where: str):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            for info in z.infolist():
-                name = f"{where}!{info.filename}"
-                if info.is_dir():
-                    continue
-                if info.filename.lower().endswith(".zip"):
-                    yield from entries(z.read(info), name)
-                elif member in info.filename:
-                    with z.open(info) as f:
-                        for number, line in enumerate(f):
-                            yield name.partition("!")[2], number, line.rstrip(b"\r\n").decode("utf-8", "replace")
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for archive, raw in zip(pdf["path"], pdf["content"], strict=True):
+        for b in batches:
+            for where, content in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 rows: list = []
-                for e in entries(bytes(raw), ""):
-                    rows.append((archive, *e))
-                    if len(rows) == 50_000:
-                        yield pd.DataFrame(rows, columns=["archive", "entry", "line_number", "line"])
-                        rows = []
+                with _archive(where, content) as f:
+                    for name, info, e in _entries(f):
+                        if member not in info.filename:
+                            continue
+                        for number, line in enumerate(e):
+                            rows.append((where, name, number, line.rstrip(b"\r\n").decode("utf-8", "replace")))
+                            if len(rows) == 20_000:
+                                yield _batch(rows, ["archive", "entry", "line_number", "line"])
+                                rows = []
+                if rows:
+                    yield _batch(rows, ["archive", "entry", "line_number", "line"])
+
+    return _files(spark, path, "*.zip", whole).mapInArrow(run, "archive string, entry string, line_number long, line string")
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+
+def zip_members(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """``(archive, entry, bytes, compressed, lines, sha256)`` of every entry, those of archives within too, read in pieces.
+
+    A damaged archive or entry fails.  Compare ``entry`` with the names that must be there by ``checks.holes``.
+    """
+
+    def run(batches):
+        for b in batches:
+            for where, content in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                rows = []
+                with _archive(where, content) as f:
+                    for name, info, e in _entries(f):
+                        h, size, lines, last = hashlib.sha256(), 0, 0, b""
+                        while piece := e.read(PIECE):
+                            h.update(piece)
+                            size, lines, last = size + len(piece), lines + piece.count(b"\n"), piece[-1:]
+                        rows.append((where, name, size, info.compress_size, lines + (last not in (b"", b"\n")), h.hexdigest()))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "entry", "line_number", "line"])
+                    yield _batch(rows, ["archive", "entry", "bytes", "compressed", "lines", "sha256"])
 
-    return files.mapInPandas(run, "archive string, entry string, line_number long, line string")
+    return _files(spark, path, "*.zip", whole).mapInArrow(run, "archive string, entry string, bytes long, compressed long, lines long, sha256 string")
 
 
 def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:

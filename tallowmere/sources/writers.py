@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +37,10 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, bytes, sha256)`` of the data files below ``path``, by content and not by place."""
-    d = digests(spark, path).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return d.where(~F.col("name").rlike(r"^[._]")).select("name", "bytes", "sha256")
+    """``(name, bytes, sha256)`` of the data files below ``path``, each by its place below it: equal names in two folders are two files."""
+    base = re.sub("^[A-Za-z0-9]+:/*", "/", path).rstrip("/")
+    d = digests(spark, path).withColumn("name", F.regexp_replace("path", f"^.*?{re.escape(base)}/", ""))
+    return d.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^[._]")).select("name", "bytes", "sha256")
 
 
 def drift(locked: DataFrame, now: DataFrame) -> DataFrame:

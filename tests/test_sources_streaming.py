@@ -1,5 +1,6 @@
 """Readers, writers and manifests on files, and the streaming forms."""
 
+import hashlib
 import io
 import zipfile
 
@@ -49,6 +50,42 @@ def test_nested_archives(spark, tmp_path):
     assert sorted((r.entry, r.line_number, r.line) for r in got) == [("perf_top.txt", 0, "t"), ("q1.zip!perf_q1.txt", 0, "l1"), ("q1.zip!perf_q1.txt", 1, "l2")]
 
 
+@pytest.mark.parametrize("whole", [10**9, 10])
+def test_members_and_digests_are_read_in_pieces(spark, tmp_path, monkeypatch, whole):
+    """Alike whether a file is one value for Spark or a stream."""
+    monkeypatch.setattr(readers, "PIECE", 7)
+    rows = "".join(f"line {i}\n" for i in range(50_000)).encode()
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("perf.txt", rows)
+        z.writestr("empty.txt", b"")
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "outer one.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("q1.zip", inner.getvalue())
+        z.writestr("note.txt", b"no line end")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.entry: (r.bytes, r.lines, r.sha256) for r in readers.zip_members(spark, f"{tmp_path}/in", whole).collect()}
+    assert got == {"q1.zip!perf.txt": (len(rows), 50_000, sha(rows)), "q1.zip!empty.txt": (0, 0, sha(b"")), "note.txt": (11, 1, sha(b"no line end"))}
+    lines = readers.nested_zip_lines(spark, f"{tmp_path}/in", "perf", whole)
+    assert lines.count() == 50_000 and lines.where("line <> concat('line ', line_number)").count() == 0
+    whole_file = (tmp_path / "in" / "outer one.zip").read_bytes()
+    assert [(r.bytes, r.sha256) for r in readers.digests(spark, f"{tmp_path}/in", whole).collect()] == [(len(whole_file), sha(whole_file))]
+    (tmp_path / "in" / "bad.zip").write_bytes(whole_file[:200])
+    with pytest.raises(Exception, match="(?i)zip"):
+        readers.zip_members(spark, f"{tmp_path}/in", whole).collect()
+
+
+def test_names_below_a_folder_and_quoted_line_feeds(spark, tmp_path):
+    for d in ("a", "b"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        (tmp_path / "in" / d / "x.csv").write_text(f'id,name\n1,"{d}\n2"\n2,c\n')
+    names = {r.name for r in writers.manifest(spark, f"file://{tmp_path}/in").collect()}
+    assert names == {"a/x.csv", "b/x.csv"} == {r.path.rpartition("/in/")[2] for r in readers.listing(spark, f"{tmp_path}/in", ".csv").collect()}
+    got = readers.csv(spark, f"{tmp_path}/in/a", "id int, name string", line_feeds=True).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a\n2"), (2, "c")]
+    assert tuple(readers.shape(spark, f"{tmp_path}/in", line_feeds=True).first()) == (2, 4)
+
+
 def test_writers_and_manifests(spark, tmp_path):
     d = spark.createDataFrame([(1, 1 / 3, None), (2, 2.0, "x")], "id int, v double, t string").coalesce(1)
     writers.csv(d, f"{tmp_path}/csv")
