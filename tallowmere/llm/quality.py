@@ -135,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             x = [statistics(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.compute.cast(b.column(1), pa.float64()), b.column(2)], ["x", "label", "fold"])
 
+    # the sample is bounded by ``rows``, and so are its partitions
     x, at = written(sample.select("text", (F.col("label") > 0).cast("int").alias("label"), "fold").repartition(8).mapInArrow(run, "x array<double>, label double, fold int"))
     removed(spark, path)
     each = [F.col("x")[i] for i in range(N_STATISTICS)]
@@ -175,6 +176,10 @@ def score(model: Model, column: Column) -> Column:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted (score at or above 0.7) for every row of ``docs``."""
+    """doc_id, held_out, score and predicted (score at or above 0.7) for every row of ``docs``.
+
+    Each row is scored by its own text alone, so repeated rows and ids have a row each.  A null text is empty and
+    has the score of one; a null id is held out.  No rows give no rows.
+    """
     s = docs.select("doc_id", held_out().alias("held_out"), score(fit(docs, labels, rows=rows), F.col("text")).alias("score"))
     return s.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
