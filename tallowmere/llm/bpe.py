@@ -24,7 +24,7 @@ from .shared import small_batches, text_of
 #: No pair of tokens: greater than any rank.
 NONE = 1 << 62
 #: Words a worker remembers in each of two generations; the older one is forgotten when the newer is full.
-WORDS = 250_000
+WORDS = 500_000
 
 
 #: First and last of the letters and digits that are new in Unicode 16.0.  The tokenizers know them.
@@ -146,6 +146,8 @@ class WordBpe:
         self.last = [self.vocab.get(self.letter[b] + self.end) for b in range(256)]
         # texts with characters that only newer Unicode knows are cut by a slower pattern, the same but for these
         self.later = re.compile(f"[{later}]") if (later := later_characters()) else None
+        # most texts have no character as high as these: a range is looked for much faster than a large class
+        self.high = re.compile(f"[{later.partition('-')[0]}-\U0010ffff]") if later else None
         self.exact = regex.compile(
             rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{later}]]+|[\p{{N}}--[{later}]]|(?:[{later}]|[^\s\p{{L}}\p{{N}}])+" if later else self.WORD.pattern
         )
@@ -184,7 +186,8 @@ class WordBpe:
                 words = self.PLAIN.findall(part.lower())
             else:
                 part = self.normal(part)
-                words = (self.exact if self.later and self.later.search(part) else self.WORD).findall(part)
+                later = self.later and self.high.search(part) and self.later.search(part)
+                words = (self.exact if later else self.WORD).findall(part)
             out += [get(w) or known(w) for w in words]
         return out
 
