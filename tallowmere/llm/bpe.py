@@ -216,6 +216,12 @@ class WordBpe:
         return " ".join(out + ([bytes(word).decode(errors="replace")] if word else []))
 
 
+@lru_cache(1)
+def of_worker(source: str) -> WordBpe:
+    """The tokenizer that a Python worker keeps for all of its tasks, with the words it remembers."""
+    return WordBpe(source)
+
+
 def encoded(docs: DataFrame, tokenizer: str, carry: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """``carry`` columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids of each whole text.
 
@@ -235,7 +241,7 @@ def encoded(docs: DataFrame, tokenizer: str, carry: tuple[str, ...] = ("doc_id",
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
 
     def run(batches):
-        bpe = WordBpe(source.value)
+        bpe = of_worker(source.value)
         for b in batches:
             n, a, c, lists = [], [], [], []
             for text in b.column(len(carry)).to_pylist():
@@ -267,7 +273,7 @@ def decoded(rows: DataFrame, tokenizer: str, column: str = "token_ids") -> DataF
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = WordBpe(source.value)
+        bpe = of_worker(source.value)
         for s in batches:
             yield s.map(lambda x: None if x is None else bpe.decode(x.tolist()))
 
