@@ -304,13 +304,13 @@ def results_reconciled(spark, sf_dir):
 @query("""
     SELECT o_orderkey, CASE WHEN o_totalprice / 1e6 >= 0.10 THEN 'strong' WHEN o_totalprice / 1e6 >= 0.03 THEN 'moderate' ELSE 'weak' END AS strength,
            CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'not_ready' WHEN o_orderkey % 3 > 0 OR o_orderkey % 5 * 3 < 5 THEN 'ready_with_warnings' ELSE 'ready' END AS readiness,
-           round(0.35 * (1 - least(abs(o_totalprice / 1e6 - 0.25) / 0.25, 1)) + 0.30 * least(o_orderkey % 11 / 10, 1) + 0.20 * (o_orderkey % 3 / 4) + 0.15 * least(o_orderkey % 30 / 20, 1), 6) AS difficulty FROM orders""")
+           round(0.35 * (1 - least(abs(o_totalprice / 1e6 - 0.25) / 0.25, 1)) + 0.30 * least(o_orderkey % 11 / 10, 1) + 0.20 * (o_orderkey % 3 / 4) + 0.15 * least(o_orderkey % 30 / 20, 1), 10) AS difficulty FROM orders""")
 def case_readiness(spark, sf_dir):
     """Orders as cases: strength, readiness and difficulty."""
     k, p = F.col("o_orderkey"), F.col("o_totalprice") / 1e6
     ready = evidence.readiness(F.when(k % 7 != 0, p), k % 5 * 3, F.lit(0.0), k % 3)
     hard = evidence.difficulty(p - 0.25, k % 11 / 10.0, k % 3 / 4.0, k % 30)
-    return rounded(t(spark, sf_dir, "orders").select("o_orderkey", evidence.strength(p).alias("strength"), ready.alias("readiness"), hard.alias("difficulty")), {"difficulty": 6})
+    return rounded(t(spark, sf_dir, "orders").select("o_orderkey", evidence.strength(p).alias("strength"), ready.alias("readiness"), hard.alias("difficulty")), {"difficulty": 10})
 
 
 @query(ORACLE_SQL["safe_phrase_match"].rpartition("    SELECT doc_id AS claim_id")[0] + """
