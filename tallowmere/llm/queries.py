@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, licenses, media, mixing, quality, simhash, toxicity, urls
+from . import bpe, chat, exact_dedup, licenses, media, mixing, quality, search, simhash, substrings, toxicity, trie, urls
 from .shared import table
 
 
@@ -49,7 +49,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_media_copies, op3_licenses, op4_url_filter, op5_toxicity, op6_bpe, op7_mixing, op8_chat_format, op9_exact_dedup, op10_simhash)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_quality_classifier, op2_media_copies, op3_licenses, op4_url_filter, op5_toxicity, op6_bpe, op7_mixing, op8_chat_format, op9_exact_dedup, op10_simhash,
+    op11_conversation_trie, op12_ranked_search, op13_substring_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op4_url_filter": r"""
@@ -164,4 +180,46 @@ ORACLE_SQL = {
                coalesce(n.copies, 0)::BIGINT AS copies
         FROM u LEFT JOIN n ON u.source IS NOT DISTINCT FROM n.source AND u.k = n.k AND u.upto = n.upto
                           AND u.doc_id IS NOT DISTINCT FROM n.doc_id""",
+    "op11_conversation_trie": r"""
+        WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS d,
+                          strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '') AS turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        bits(n, x) AS (SELECT n, list_reduce([n::UBIGINT] || range(8)::UBIGINT[], lambda r, _: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END) FROM range(256) t(n)),
+        crc AS (SELECT list(x ORDER BY n) AS t FROM bits),
+        h AS (SELECT c, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, 1 + length(c::VARCHAR)), lambda i: ascii(substr(c::VARCHAR, i, 1))::UBIGINT), lambda r, b: xor(t[(xor(r, b) & 255)::INT + 1], r >> 8)), 4294967295::UBIGINT) % 4 AS h
+              FROM (SELECT DISTINCT c FROM o), crc),
+        r AS (SELECT h.c, o.d, turn, words FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.d <= h.h UNION ALL SELECT c, d, turn, words FROM o JOIN h USING (c) WHERE d > h),
+        q AS (SELECT c, row_number() OVER w AS d, words, string_agg(md5(turn), '') OVER (w ROWS UNBOUNDED PRECEDING) AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY d)),
+        p AS (SELECT c, d, words, md5(k) AS k FROM q UNION ALL SELECT c, 0, 0, '' FROM h),
+        last AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+        n AS (SELECT k, p.d, min(p.c) AS conv, count(*) AS n_convs, any_value(words) AS words,
+                     sha256(coalesce(string_agg(CASE WHEN l.d = p.d THEN p.c::VARCHAR END, ',' ORDER BY p.c), '')) AS ends FROM p JOIN last l USING (c) GROUP BY k, p.d),
+        up AS (SELECT n.k, n.d, q.k AS parent FROM n LEFT JOIN p q ON q.c = n.conv AND q.d = n.d - 1),
+        kids AS (SELECT parent AS k, count(*) AS kids FROM up WHERE parent IS NOT NULL GROUP BY parent),
+        own AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (k)),
+        below AS (SELECT a.k, sum((own.kids = 0)::BIGINT) AS leaves, sum((own.n_convs - 1) * own.words) AS saved FROM own JOIN p a ON a.c = own.conv AND a.d <= own.d GROUP BY a.k)
+        SELECT own.conv AS conv_id, own.d::BIGINT AS depth, f.conv AS parent_conv_id, own.n_convs, own.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, own.ends AS ends_sha256
+        FROM own JOIN up USING (k) JOIN below USING (k) LEFT JOIN n f ON f.k = up.parent""",
+    "op12_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        s AS (SELECT count(*)::BIGINT AS N, sum(len(ts))::BIGINT AS L FROM d WHERE len(ts) > 0),
+        f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+        m AS (SELECT r, doc_id, 100 - 50 + (50 * len(ts)::BIGINT * N) // L AS m FROM d, s WHERE len(ts) > 0),
+        x AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r)
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank, doc_id, score FROM x JOIN m USING (r) WHERE score > 0)
+        WHERE rank <= 50""",
+    "op13_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT r, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+        f AS (SELECT k, min(coalesce(doc_id, 9223372036854775807)) AS least FROM s GROUP BY k HAVING count(*) > 1),
+        x AS (SELECT r, i FROM s JOIN f USING (k) WHERE least < coalesce(doc_id, 9223372036854775807)),
+        g AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM x),
+        c AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+        u AS (SELECT r, i, ws[i] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE r IN (SELECT r FROM c))),
+        t AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN g USING (r, i) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+        FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
 }
