@@ -47,12 +47,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to a new folder under ``spark.checkpoint.dir``, which driver and executors share, and read back: it is computed once and its lineage ends.
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def staged_path(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; :func:`released` deletes it, or else the driver's end.
 
     Only where the setting is absent and Spark runs in one process, a folder of this machine.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -61,5 +63,29 @@ def staged(df: DataFrame) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="tallowmere-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tallowmere-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    _STAGED.append((spark, path))
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a folder of :func:`staged_path` and read back: it is computed once and its lineage ends."""
+    path = staged_path(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held() -> int:
+    """How many tables operators have stored so far on their way."""
+    return len(_STAGED)
+
+
+def released(since: int = 0) -> None:
+    """Delete the tables that operators stored, those after the first ``since``; call it once their results are stored."""
+    while len(_STAGED) > since:
+        spark, path = _STAGED.pop()
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

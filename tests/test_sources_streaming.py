@@ -149,3 +149,75 @@ def test_windows_over_a_stream(spark, tmp_path):
     assert sorted(r.id for r in run(windows.once(s(), "id", "ts", "1 minute"), "once")) == [1, 2, 3, 4]
     slid = run(windows.sliding(s(), "ts", "kind", "10 minutes", "5 minutes", "1 minute"), "sliding")
     assert sum(r.rows for r in slid if r.kind == "a") == 6
+
+
+def _quarter(n, method=zipfile.ZIP_DEFLATED):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w", method) as z:
+        z.writestr(f"orig_{n}.txt", "".join(f"{n}|{i}\n" for i in range(300)))
+        z.writestr(f"perf_{n}.txt", "".join(f"{n}|{i}|x\r\n" for i in range(9000)) + "last")
+    return inner.getvalue()
+
+
+def test_an_archive_is_read_by_a_task_for_each_entry(spark, tmp_path):
+    """Four stored archives of two entries in one: eight tasks; a deflated archive is one."""
+    from tallowmere.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "outer one.zip", "w") as z:
+        for n in range(4):
+            z.writestr(f"q{n}.zip", _quarter(n))
+    with zipfile.ZipFile(tmp_path / "packed.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("q9.zip", _quarter(9))
+        z.writestr("deep/empty.txt", "")
+        z.writestr("deep/note.txt", "a\n\nb")
+    one, other = (f"file://{tmp_path}/{x}" for x in ("outer one.zip", "packed.zip"))
+    d = archives.archive_lines(spark, [one])
+    assert d.rdd.getNumPartitions() == 8
+    assert {r.entry: r["count"] for r in d.groupBy("entry").count().collect()} == {f"q{n}.zip!{k}_{n}.txt": c for n in range(4) for k, c in (("orig", 300), ("perf", 9001))}
+    rows = archives.archive_lines(spark, [one, other], "^perf|note|empty").where("entry not like 'q0%'").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.entry, {})[r.line_number] = r.line
+    assert got.keys() == {"q1.zip!perf_1.txt", "q2.zip!perf_2.txt", "q3.zip!perf_3.txt", "q9.zip!perf_9.txt", "deep/note.txt"}
+    assert got["deep/note.txt"] == {0: "a", 1: "", 2: "b"} and got["q9.zip!perf_9.txt"][8999] == "9|8999|x" and got["q9.zip!perf_9.txt"][9000] == "last"
+
+
+def test_archives_fail_closed(spark, tmp_path):
+    from tallowmere.sources import archives
+
+    inner = _quarter(1, zipfile.ZIP_STORED)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("q1.zip", inner)
+    path, names = f"file://{tmp_path}/a.zip", ["q1.zip!orig_1.txt", "q1.zip!perf_1.txt"]
+    sha = {n: hashlib.sha256(zipfile.ZipFile(io.BytesIO(inner)).read(n.split("!")[1])).hexdigest() for n in names}
+    read = lambda **more: archives.archive_lines(spark, [path], **more)
+    assert read(sha256=sha, names=names).count() == 9301
+    with pytest.raises(Exception, match="SHA-256"):
+        read(sha256=sha | {names[0]: "0" * 64}).count()
+    with pytest.raises(Exception, match="SHA-256"):
+        read(sha256={names[0]: sha[names[0]]}).count()
+    with pytest.raises(Exception, match="missing"):
+        read(names=[*names, "q2.zip!perf_2.txt"]).count()
+    with pytest.raises(Exception, match="must not be there"):
+        read(names=names[:1]).count()
+    whole = (tmp_path / "a.zip").read_bytes()
+    for bad in (whole.replace(b"1|17\n", b"1|71\n"), whole[:-30], whole[:4000] + whole[4100:]):
+        assert bad != whole
+        (tmp_path / "a.zip").write_bytes(bad)
+        with pytest.raises(Exception, match="(?i)crc|zip"):
+            read().count()
+
+
+def test_stored_tables_go_when_released(spark, small):
+    from pathlib import Path
+
+    from tallowmere import catalog, session
+
+    session.released()
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, n = set(base.iterdir()), session.held()
+    for name in ("lineage_closure", "topo_levels", "pareto_frontier", "macro_micro_ratio", "perturbed_scores"):
+        catalog.QUERIES[name](spark, small).count()
+    assert set(base.iterdir()) - before and session.held() > n
+    session.released()
+    assert set(base.iterdir()) == before
