@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, Scratch, removed, setting, shared_dir, text_of, written
+from .shared import BLANKS, Scratch, free, least_of_each, removed, repeated, setting, shared_dir, text_of, written
 
 
 def normalised(column: str = "text"):
@@ -36,7 +36,8 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or shared_dir(spark, lasting=True)
-        note = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_buckets")
+        self._restore()
+        note = self._at("/_buckets")
         fs = note.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(note):
             stream = fs.open(note)
@@ -50,6 +51,24 @@ class DigestIndex:
         self.name = f"digest_index_{uuid.uuid4().hex}"
         self._table(self.name, self.path)
 
+    def _at(self, suffix: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}{suffix}")
+
+    def _restore(self) -> None:
+        """What a compaction that broke off has set aside comes back."""
+        fs = self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(self._at()) and fs.exists(self._at("-old")):
+            self._rename(self._at("-old"), self._at())
+
+    def _rename(self, a, b) -> None:
+        """A rename that fails where the file system only says so."""
+        if not a.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(a, b):
+            raise OSError(f"{a} was not renamed to {b}")
+
+    def last(self) -> int:
+        """The greatest number of a batch, -1 of an empty index."""
+        return self.rows().agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
     def _table(self, name: str, path: str) -> None:
         self.spark.sql(
             f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch INT) USING parquet "
@@ -88,20 +107,30 @@ class DigestIndex:
         return own.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
     def compact(self) -> None:
-        """Merge the files of each bucket into one.  The whole index is written anew beside the old, then takes its place."""
+        """Merge the files of each bucket into one.
+
+        The whole index is written anew beside the old, then takes its place; the old one is deleted last.  If a rename fails the old
+        one stays or comes back, at the latest when the index is opened again.
+        """
         beside, path = f"{self.name}_compact", shared_dir(self.spark)
         self._table(beside, path)
         # as plain files: of a bucketed table Spark would leave out the shuffle, and then the buckets too
         self._append(self.spark.read.schema(self.rows().schema).parquet(self.path), beside)
         self.spark.sql(f"DROP TABLE {beside}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        stream = fs.create(at(f"{path}/_buckets"))  # the new index is whole before the old one moves
+        stream.writeInt(self.buckets)
+        stream.close()
         self.drop()
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        old = f"{self.path}-old"
-        fs.rename(fs_path(self.path), fs_path(old))
-        fs.rename(fs_path(f"{old}/_buckets"), fs_path(f"{path}/_buckets"))
-        fs.rename(fs_path(path), fs_path(self.path))
-        removed(self.spark, old)
+        self._rename(self._at(), self._at("-old"))
+        try:
+            self._rename(at(path), self._at())
+        except Exception:
+            self._restore()
+            self._table(self.name, self.path)
+            raise
+        removed(self.spark, f"{self.path}-old")
         self._table(self.name, self.path)
 
     def drop(self, delete: bool = False) -> None:
@@ -125,9 +154,9 @@ def _ranges(d: DataFrame, batches: int) -> list:
 
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
-    """``(doc_id, digest, copies, keep_id, group_size)``: a row for each id and text of ``docs``.
+    """``(doc_id, digest, copies, keep_id, group_size, new)``: a row for each id and text of ``docs``.
 
-    The rows enter the index in ``batches`` runs by ascending id, as a growing corpus would, so of
+    ``new``: the index had not had the text before this call.  The rows enter the index in ``batches`` runs by ascending id, as a growing corpus would, so of
     equal texts the least id stays.  ``group_size`` counts the rows of ``docs``, repeated ones too;
     against an index with older data ``keep_id`` may be a document of an earlier run.  Without an
     ``index`` one is made, reopened for each run as another session would, and deleted at the end.  A third of all
@@ -138,17 +167,18 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batches: int
     with Scratch(spark) as scratch:
         d = scratch.keep(digests(docs))
         own = None if index else DigestIndex(spark)
+        first = (index or own).last() + 1
         for number, rows in enumerate(_ranges(d, batches)):
             if own and number:
                 # as the next run would find it
                 own.drop()
                 own = DigestIndex(spark, own.path)
-            (index or own).add(d.where(rows), number)
+            (index or own).add(d.where(rows), first + number)
         sizes = d.groupBy("digest").agg(F.sum("copies").alias("group_size"))
-        kept = scratch.keep((index or own).rows().select("digest", "keep_id").hint("merge").join(sizes, "digest"))
+        kept = scratch.keep((index or own).rows().select("digest", "keep_id", (F.col("batch") >= first).alias("new")).hint("merge").join(sizes, "digest"))
         if own:
             own.drop(delete=True)
-    return d.join(kept, "digest").select("doc_id", "digest", "copies", "keep_id", "group_size")
+    return d.join(kept, "digest").select("doc_id", "digest", "copies", "keep_id", "group_size", "new")
 
 
 def exact_dedup_report(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
@@ -156,34 +186,37 @@ def exact_dedup_report(docs: DataFrame, index: DigestIndex | None = None, batche
 
     Texts are equal if identical after each run of blanks became one space; null is empty.  Rows that
     repeat id and text each give a row, of which one is kept.  Null ids come last: one of them is
-    kept only where no document of the group has an id.  No rows give no rows.
+    kept only where no document of the group has an id.  Of a text that an older ``index`` knows no row is kept, and its
+    ``keep_id`` is the one of then.  No rows give no rows.
     """
     g = exact_groups(docs, index, batches)
-    one = g.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    one = repeated(g, "copies", "copy")
     return one.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
-    """``docs`` without the rows that repeat a text, all columns as they were.
+    """``docs`` without the rows that repeat a text, all columns as they were, whatever their names.
 
-    The row with the least id stays, a null id only where no copy has one; of rows with one id and text one
-    stays.  Null is the empty text.  No rows give no rows.
+    The row with the least id stays, a null id only where no copy has one; of rows with one id and text the one with the
+    least hash of all its columns stays, so reruns agree.  Of a text that an older ``index`` knows no row stays.  Null is the empty text.
+    No rows give no rows.
     """
     with Scratch(docs.sparkSession) as scratch:
-        g = exact_groups(docs, index, batches).where("doc_id <=> keep_id").select("doc_id", "digest", "copies")
+        g = exact_groups(docs, index, batches).where("new and doc_id <=> keep_id").select("doc_id", "digest", "copies")
         g = scratch.keep(g)
-    names = {c: f"__{c}" for c in ("doc_id", "digest", "copies")}
-    g = g.withColumnsRenamed(names)
-    d = docs.withColumn("__own", F.unhex(F.sha2(normalised(), 256)))
-    on = (d["__own"] == g["__digest"]) & d["doc_id"].cast("long").eqNullSafe(g["__doc_id"])
-    once = d.join(g.where("__copies = 1"), on, "left_semi")
-    if not g.where("__copies > 1").isEmpty():
-        more = d.join(g.where("__copies > 1"), on, "left_semi").dropDuplicates(["__own", "doc_id"])
-        once = once.unionByName(more)
-    return once.drop("__own")
+    own = free("own", docs)
+    k = {c: free(f"kept_{c}", docs) for c in ("doc_id", "digest", "copies")}
+    g = g.withColumnsRenamed(k)
+    d = docs.withColumn(own, F.unhex(F.sha2(normalised(), 256)))
+    on = (d[own] == g[k["digest"]]) & d["doc_id"].cast("long").eqNullSafe(g[k["doc_id"]])
+    once = d.join(g.where(F.col(k["copies"]) == 1), on, "left_semi")
+    several = g.where(F.col(k["copies"]) > 1)
+    if not several.isEmpty():
+        once = once.unionByName(least_of_each(d.join(several, on, "left_semi"), [own, "doc_id"]))
+    return once.drop(own)

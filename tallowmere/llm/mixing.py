@@ -5,8 +5,8 @@ source's words so far, its own included, over the source's target; a source that
 has starts over.  Sorted by ranges of finish time, all sources progress in proportion to their targets,
 and the mix is the longest beginning of that order whose words fit the total budget.
 
-Running totals are made in blocks: each block is summed, the sums are totalled level by level in groups
-of ``FAN``, and the rows of a block go on from where it starts.
+Running totals are made in ranges of the order: each range is summed, the sums are totalled level by level in
+groups of ``FAN``, and the rows of a range go on from where it starts.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import NOT_BLANKS, Scratch, text_of
+from .shared import NOT_BLANKS, Scratch, free, least_of_each, repeated, row_hash, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SALT = "mix"
-#: Rows of a block of a running total; blocks that are totalled at a time.
-BLOCK, FAN = 2_000, 1_000
+#: Parts of a running total that are added up at a time.
+FAN = 1_000
 
 
 def words(column: str = "text") -> Column:
@@ -84,37 +84,42 @@ def _running(rows: DataFrame, group: list[str], bucket: str, buckets: int, order
 
 
 def _units(docs: DataFrame) -> DataFrame:
+    """Rows alike in all columns once, with their number."""
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"),
-        F.xxhash64(text_of()).alias("text_hash"), shuffle_key().alias("key"),
+        F.xxhash64(text_of()).alias("text_hash"), row_hash(docs).alias("row"), shuffle_key().alias("key"),
     )
-    return d.groupBy("doc_id", "source", "size", "text_hash", "key").agg(F.count("*").alias("alike"))
+    return d.groupBy("doc_id", "source", "size", "text_hash", "row", "key").agg(F.count("*").alias("alike"))
 
 
-UNIT = ("source", "doc_id", "size", "text_hash", "nth")
+UNIT = ("source", "doc_id", "size", "text_hash", "row", "nth")
+
+
+def _in_ranges(rows: DataFrame, order: list[Column], columns: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
+    """``rows`` in ranges of the order, ``part`` numbers them as they follow each other; and how many there may be.
+
+    The order ends in what tells rows apart, so rows that share an id, a text or everything are spread over ranges too.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    return scratch.write(ranged.select(*columns, "part")), parts
 
 
 def _schedule(docs: DataFrame, weights: tuple[float, ...], repeats: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Every row with its source's target and its running total; the copies in the mix, each with its finish time and ``end``, the mix's words up to it; and the budget."""
-    spark = docs.sparkSession
     u = scratch.write(_units(docs))
     sources = scratch.keep(targets(u.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size")), weights, repeats))
-    total, rows = u.agg(F.coalesce(F.sum(F.col("size") * F.col("alike")), F.lit(0)), F.coalesce(F.sum("alike"), F.lit(0))).first()
-    blocks = max(1, -(-rows // BLOCK))
+    total = u.agg(F.coalesce(F.sum(F.col("size") * F.col("alike")), F.lit(0))).first()[0]
     named = sources.select(F.col("source").alias("__s"), "source_size", "target")
-    one = u.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))))
-    # blocks of the shuffled order: the leading digits of the key, as even as a hash is
-    one = one.withColumn("block", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * blocks / F.lit(1 << 28)))
-    one = _running(one, ["source"], "block", blocks, [F.col("key"), F.col("size"), F.col("text_hash"), F.col("nth")], "size", "upto")
-    one = scratch.keep(one.join(named, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "block"))
+    own = [F.col("key"), F.col("size"), F.col("text_hash"), F.col("row"), F.col("nth")]
+    one, parts = _in_ranges(repeated(u, "alike", "nth"), [F.col("source").asc_nulls_last(), *own], [*UNIT, "key", "alike"], scratch)
+    one = _running(one, ["source"], "part", parts, own, "size", "upto")
+    one = scratch.keep(one.join(named, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "part"))
     times = F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(repeats)).cast("int")
     offered = one.where("size > 0 and target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), times - 1)))
     offered = offered.withColumn("finish", (F.col("upto") + F.col("pass") * F.col("source_size")) / F.col("target"))
-    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("text_hash"), F.col("nth")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges of the order, numbered as they follow each other
-    ranged = offered.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    ranged = scratch.write(ranged.select(*UNIT, "key", "alike", "finish", "part"))
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), *own]
+    ranged, parts = _in_ranges(offered, order, [*UNIT, "key", "alike", "finish"], scratch)
     chosen = _running(ranged, [], "part", parts, order, "size", "end").where(F.col("end") <= total)
     return one, scratch.keep(chosen.select(*UNIT, "alike", "finish", "end")), total
 
@@ -126,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     that the mix takes, repeats counted), copies (how often it takes the whole document), finish
     (virtual time of its first copy; null for sources without target).  Documents are taken whole, at
     most ``repeats`` times, so a source ends within a document of its target.  Equal ids of one source
-    are ordered by size and a hash of the text, and rows alike in all of these are interchangeable.
+    are ordered by size, a hash of the text and one of the whole row; only rows alike in all columns are interchangeable.
     Documents without words take none.  No rows give no rows; reruns agree.
     """
     with Scratch(docs.sparkSession) as scratch:
@@ -148,14 +153,20 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
     """
     with Scratch(docs.sparkSession) as scratch:
         _, chosen, total = _schedule(docs, weights, repeats, scratch)
-    m = chosen.select(*[F.col(k).alias(f"__{k}") for k in ("doc_id", "source", "text_hash", "alike", "end")])
-    d = docs.withColumn("__hash", F.xxhash64(text_of()))
-    on = d["doc_id"].cast("long").eqNullSafe(m["__doc_id"]) & d["source"].cast("string").eqNullSafe(m["__source"]) & (d["__hash"] == m["__text_hash"])
-    out = d.join(m.where("__alike = 1"), on)
-    several = m.where("__alike > 1")
+    k = {c: free(f"mix_{c}", docs) for c in ("doc_id", "source", "row", "alike", "end")}
+    m = chosen.select(*[F.col(c).alias(name) for c, name in k.items()])
+    own = free("own", docs)
+    d = docs.withColumn(own, row_hash(docs))
+
+    def same(a: DataFrame) -> Column:
+        return a["doc_id"].cast("long").eqNullSafe(m[k["doc_id"]]) & a["source"].cast("string").eqNullSafe(m[k["source"]]) & (a[own] == m[k["row"]])
+
+    out = d.join(m.where(F.col(k["alike"]) == 1), same(d))
+    several = m.where(F.col(k["alike"]) > 1)
     if not several.isEmpty():
-        # rows alike in id, source and text stand for each other: one of them is repeated as often as all are taken
-        out = out.unionByName(d.join(several, on, "left_semi").dropDuplicates(["doc_id", "source", "__hash"]).join(several, on))
+        # rows alike in all columns: one of them is repeated as often as all are taken
+        one = least_of_each(d.join(several, same(d), "left_semi"), ["doc_id", "source", own])
+        out = out.unionByName(one.join(several, same(one)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.least(F.floor(F.col("__end") * parts / F.lit(max(1, total))), F.lit(parts - 1)).cast("int")
-    return out.repartitionById(parts, slot).sortWithinPartitions("__end").select(docs.columns)
+    slot = F.least(F.floor(F.col(k["end"]) * parts / F.lit(max(1, total))), F.lit(parts - 1)).cast("int")
+    return out.repartitionById(parts, slot).sortWithinPartitions(k["end"]).select(*[F.col(f"`{c}`") for c in docs.columns])

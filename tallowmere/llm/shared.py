@@ -130,6 +130,44 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH, size: int = B
             spark.conf.set(key, str(most))
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """``name``, or with as many underscores behind it as it takes to be no column of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, which settles ties alike in each run; maps and variants, which have no hash, by their JSON."""
+    plain = lambda kind: not any(x in kind for x in ("map<", "variant"))
+    cols = [F.col(f"`{c}`") if plain(kind) else F.to_json(F.struct(F.col(f"`{c}`"))) for c, kind in df.dtypes]
+    # a null leaves a running hash as it was, so that a value could move to the next column unseen
+    return F.xxhash64(*[x for c in cols for x in (c, c.isNull())])
+
+
+#: Rows that one row is made to by a task; more of them are dealt to others first.
+CHUNK = 10_000
+
+
+def repeated(df: DataFrame, times: str, name: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 1 in ``name``; no array is longer than its root, and a row of many copies is shared out."""
+    few = df.where(F.col(times) <= CHUNK).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    chunk = free("chunk", df)
+    many = df.where(F.col(times) > CHUNK).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
+    many = many.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    last = F.least(F.col(times), (F.col(chunk) + 1) * CHUNK)
+    many = many.withColumn(name, F.explode(F.sequence(F.col(chunk) * CHUNK + 1, last))).drop(chunk)
+    return few.unionByName(many)
+
+
+def least_of_each(df: DataFrame, by: list[str]) -> DataFrame:
+    """Of the rows that agree in ``by`` the one with the least hash of all its columns; a group of any size is reduced where it lies first."""
+    whole = df.withColumn(h := free("hash", df), row_hash(df))
+    kept = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.col(h)).alias("row")
+    return whole.groupBy(*by).agg(kept).select("row.*")
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

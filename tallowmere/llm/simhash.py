@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .golay import codeword_keys
-from .shared import Scratch, removed, small_batches, text_of, written
+from .shared import Scratch, free, least_of_each, removed, small_batches, text_of, written
 
 SEED = 42
 SHIFTS, WIDTHS = (0, 22, 43), (22, 21, 21)
@@ -142,11 +142,12 @@ def near_report(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with one row of each group of near copies, all columns as they were.
+    """``docs`` with one row of each group of near copies, all columns as they were, whatever their names.
 
     Rows are told apart by id and text, so rows that share an id but not a text are judged each on its
     own.  The row with the least id stays, of several with that id the one with the least hash of its
-    text; a null id comes last.  Of rows alike in id and text one stays.  No rows give no rows.
+    text; a null id comes last.  Of rows alike in id and text the one with the least hash of all its columns
+    stays, so reruns agree.  No rows give no rows.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
@@ -161,10 +162,13 @@ def near_dedup(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataF
         # what leaves, and what repeats: both are few beside the rows that stay as they are
         odd = judged.where("not __stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__stays")
         odd = scratch.keep(odd)
-    own = docs.withColumn("__own", F.xxhash64(text_of()))
-    match = own["doc_id"].cast("long").eqNullSafe(odd["__id"]) & (own["__own"] == odd["__hash"])
-    left = own.join(odd, match, "left_anti")
-    if not odd.where("__stays").isEmpty():
-        again = own.join(odd.where("__stays"), match, "left_semi")
-        left = left.unionByName(again.dropDuplicates(["doc_id", "__own"]))
-    return left.drop("__own")
+    own = free("own", docs)
+    k = {c: free(f"odd_{c}", docs) for c in odd.columns}
+    odd = odd.withColumnsRenamed(k)
+    d = docs.withColumn(own, F.xxhash64(text_of()))
+    match = d["doc_id"].cast("long").eqNullSafe(odd[k["__id"]]) & (d[own] == odd[k["__hash"]])
+    left = d.join(odd, match, "left_anti")
+    repeats = odd.where(F.col(k["__stays"]))
+    if not repeats.isEmpty():
+        left = left.unionByName(least_of_each(d.join(repeats, match, "left_semi"), ["doc_id", own]))
+    return left.drop(own)

@@ -56,6 +56,86 @@ def test_exact_index_persists_and_lets_only_new_texts_in(spark, tmp_path):
         assert again.rows().count() == 3
 
 
+def test_known_texts_are_not_let_in_again(spark, tmp_path):
+    """The same rows given twice, one without id among them: the second time none stays."""
+    path = f"file://{tmp_path}/index"
+    d = docs(spark, [(1, "a b"), (None, "no id"), (2, "c")])
+    with exact_dedup.DigestIndex(spark, path, buckets=3) as index:
+        assert exact_dedup.exact_dedup(d, index).count() == 3
+    with exact_dedup.DigestIndex(spark, path) as index:
+        assert exact_dedup.exact_dedup(d, index).count() == 0
+        got = exact_dedup.exact_dedup_report(docs(spark, [(1, "a\tb"), (None, "no id"), (7, "new"), (7, "new")]), index).collect()
+        assert sorted((r.doc_id or 0, r.keep_id, r.kept) for r in got) == [(0, None, False), (1, 1, False), (7, 7, False), (7, 7, True)]
+        assert index.last() > 0
+
+
+class Refuses:
+    """A place on a file system that says no instead of raising."""
+
+    def getFileSystem(self, _):
+        return self
+
+    def rename(self, *_):
+        return False
+
+
+def test_a_compaction_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    with exact_dedup.DigestIndex(spark, path, buckets=2) as index:
+        exact_dedup.exact_groups(docs(spark, [(i, f"text {i}") for i in range(20)]), index)
+        before = sorted(map(tuple, index.rows().collect()))
+        rename, calls = index._rename, []
+
+        def second_fails(a, b):
+            calls.append(a)
+            if len(calls) == 2:
+                raise OSError("not renamed")
+            rename(a, b)
+
+        monkeypatch.setattr(index, "_rename", second_fails)
+        with pytest.raises(OSError, match="not renamed"):
+            index.compact()
+        assert sorted(map(tuple, index.rows().collect())) == before
+        monkeypatch.setattr(index, "_rename", rename)
+        with pytest.raises(OSError, match="was not renamed"):
+            index._rename(Refuses(), index._at("-else"))
+        index.compact()
+        assert sorted(map(tuple, index.rows().collect())) == before
+    (tmp_path / "index").rename(tmp_path / "index-old")  # the driver died between the two renames
+    with exact_dedup.DigestIndex(spark, path) as again:
+        assert again.buckets == 2 and sorted(map(tuple, again.rows().collect())) == before
+
+
+NAMES = ("__own", "own", "own_", "kept_doc_id", "odd___id", "hash", "chunk", "new")
+
+
+@pytest.mark.parametrize("dedup", [exact_dedup.exact_dedup, simhash.near_dedup])
+def test_no_name_of_a_column_is_lost(spark, dedup):
+    d = docs(spark, [(1, "a b"), (2, "a b"), (3, "c"), (3, "c"), (None, "d")], **{n: f"mine {n}" for n in NAMES})
+    out = dedup(d)
+    assert out.columns == d.columns
+    got = out.collect()
+    assert {r.doc_id for r in got} == {1, 3, None} and len(got) == 3
+    assert all(r[n] == f"mine {n}" for r in got for n in NAMES)
+
+
+@pytest.mark.parametrize("dedup", [exact_dedup.exact_dedup, simhash.near_dedup])
+def test_ties_do_not_depend_on_the_order_of_rows(spark, dedup):
+    """Rows alike in id and text, not in lang and source, and for exact dedup texts that differ in blanks only."""
+    rows = [(3, "same text here", lang, source, n) for n, (lang, source) in enumerate([("en", "a"), ("fr", "b"), ("de", None), (None, "c")])]
+    if dedup is exact_dedup.exact_dedup:
+        rows += [(3, "same\ttext here", "en", "a", 9)]
+    got = {tuple(map(tuple, dedup(spark.createDataFrame(x, SCHEMA).coalesce(1)).collect())) for x in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(got) == 1 and len(next(iter(got))) == 1
+
+
+def test_a_text_of_20_mb_is_kept_once(spark):
+    text = "word " * 4_000_000
+    for dedup in (exact_dedup.exact_dedup, simhash.near_dedup):
+        out = dedup(docs(spark, [(1, text), (2, text), (3, "x y z")]))
+        assert sorted((r.doc_id, len(r.text)) for r in out.collect()) == [(1, 20_000_000), (3, 5)]
+
+
 def test_index_is_read_by_sorted_buckets(spark, tmp_path):
     """No exchange of the index ever; no sort of it either while each bucket is one file, as after compaction."""
     path = f"file://{tmp_path}/index"

@@ -7,6 +7,7 @@ from helpers import ODD, SCHEMA, docs, mix
 from pyspark.sql import functions as F
 
 from tallowmere.llm import mixing, queries
+from tallowmere.llm.shared import Scratch
 
 
 def compare(got, rows):
@@ -29,8 +30,7 @@ def test_query_equals_brute_force(spark, small):
     assert all(r.taken <= 3 * r.size for r in got)
 
 
-def test_odd_rows_hot_source_and_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 20)
+def test_odd_rows_and_a_hot_source(spark):
     rows = [(i, ["a", "b", None, "", "d"][i % 5] if i % 3 else "hot", "w " * (1 + i * 7 % 23)) for i in range(300)]
     rows += [(1000 + i, "odd", t) for i, t in enumerate(ODD)] + [(1, "hot", "one id again"), (1, "hot", "one id again"), (None, "a", "no id"), (5, "zero", None), (6, "zero", " ")]
     got = mixing.mix(docs(spark, [(i, t, s) for i, s, t in rows], block=1, upto=2, size=3, step=4)).collect()
@@ -91,3 +91,37 @@ def test_empty_table_and_no_words(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).count() == 0
     got = mixing.mix(docs(spark, [(1, None), (2, "  ")])).collect()
     assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * 2
+
+
+NAMES = ("__hash", "__doc_id", "__text_hash", "__end", "__alike", "own", "mix_row", "mix_end", "hash", "row", "part", "chunk")
+
+
+def test_no_name_of_a_column_is_lost(spark):
+    d = docs(spark, [(1, "a b", "x"), (2, "c", "y"), (2, "c", "y")], **{n: f"mine {n}" for n in NAMES})
+    out = mixing.mixed(d)
+    assert out.columns == d.columns and out.count() > 0
+    assert all(r[n] == f"mine {n}" for r in out.collect() for n in NAMES)
+
+
+def test_rows_that_differ_in_one_column_are_rows_of_their_own(spark):
+    """Rows alike in id, source and text, not in lang: each is taken as often, whatever the order of the input."""
+    rows = [(1, "a b c", lang, "s", 5) for lang in ("en", "fr", "de")] + [(2, "d", "en", "s", 1)]
+    seen = [Counter(r.lang for r in mixing.mixed(spark.createDataFrame(x, SCHEMA)).collect() if r.doc_id == 1) for x in (rows, rows[::-1])]
+    assert seen[0] == seen[1] == {"en": 1, "fr": 1, "de": 1}
+
+
+def test_null_ids_and_rows_alike_are_spread(spark):
+    """A third of the rows without id, another third alike in everything: no range holds many more than its share."""
+    with Scratch(spark) as scratch:
+        i = F.col("id")
+        n = 60_000
+        d = spark.range(n).select(F.when(i % 3 == 0, i).alias("doc_id"), F.when(i % 3 == 2, "same").otherwise(F.concat(F.lit("w "), i.cast("string"))).alias("text"), F.lit("s").alias("source"))
+        one, parts = mixing._in_ranges(mixing.repeated(mixing._units(d), "alike", "nth"), [F.col(c) for c in ("source", "key", "size", "text_hash", "row", "nth")], ["nth"], scratch)
+        sizes = [r["count"] for r in one.groupBy("part").count().collect()]
+        assert sum(sizes) == n and max(sizes) < 1.5 * n / parts
+
+
+def test_a_text_of_20_mb_is_mixed_whole(spark):
+    text = "word " * 4_000_000
+    out = mixing.mixed(docs(spark, [(1, text, "s"), (2, "a b", "s")])).select("doc_id", F.length("text").alias("n")).collect()
+    assert {r.doc_id: r.n for r in out} == {1: 20_000_000, 2: 3}
