@@ -72,16 +72,23 @@ ORACLE_SQL = {
         WITH RECURSIVE r(own, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
                                                  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         p AS (SELECT row_number() OVER () AS n, page_id, url, html FROM pages),
-        tags AS (SELECT n, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
+        tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|$)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|$)', ' ', 'g'), '(?is)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM p),
+        attributes AS (
+            SELECT url, lower(tag[2:5]) AS kind, list_transform(found, lambda x: lower(regexp_extract(x, '^[^\s=]+'))) AS names,
+                   list_transform(found, lambda x: regexp_replace(regexp_extract(x, '(?s)^[^\s=]+\s*=\s*(.*)$', 1), '(?s)^(?:"(.*)"|''(.*)'')$', '\1\2')) AS vals
+            FROM (SELECT url, tag, regexp_extract_all(regexp_replace(tag, '(?i)^<(link|meta)|>$', ' ', 'g'), '(?is)[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?') AS found FROM tags)),
         named AS (
             SELECT url, CASE
-                WHEN regexp_matches(tag, '(?is)^<link\b.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])')
-                THEN concat(regexp_extract(tag, h, 1), regexp_extract(tag, h, 2), regexp_extract(tag, h, 3))
-                WHEN regexp_matches(tag, '(?is)^<meta\b.*\shttp-equiv\s*=\s*["'']?refresh["''\s/>]')
-                THEN regexp_extract(concat(regexp_extract(tag, c, 1), regexp_extract(tag, c, 2), regexp_extract(tag, c, 3)), '(?is)(?:^|[\s;,])url\s*=\s*["'']?([^\s"'']+)', 1) END AS target
-            FROM (SELECT url, tag, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))' AS h,
-                         '(?is)\scontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))' AS c FROM tags)),
-        links AS (SELECT url, replace(trim(target, ' '), '&amp;', '&') AS t FROM named WHERE trim(coalesce(target, ''), ' ') <> ''),
+                WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(vals[list_position(names, 'rel')]), '\s+'), 'canonical') THEN vals[list_position(names, 'href')]
+                WHEN kind = 'meta' AND lower(trim(vals[list_position(names, 'http-equiv')])) = 'refresh' THEN regexp_extract(vals[list_position(names, 'content')], '(?is)(?:^|[\s;,])url\s*=\s*["'']?([^\s"'']+)', 1) END AS target
+            FROM attributes),
+        refs AS (
+            SELECT url, regexp_split_to_array(target, '&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});') AS texts,
+                   list_transform(regexp_extract_all(target, '&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});', 1), lambda r: CASE
+                       WHEN regexp_matches(r, '^#[xX]') THEN chr(('0x' || r[3:])::INT) WHEN starts_with(r, '#') THEN chr(r[2:]::INT)
+                       ELSE coalesce(list_value('&', '&', '<', '>', '"', '''', '/', ':', '?', '#', '=', '.', '%', '+', '@', '_')[list_position(list_value('amp', 'AMP', 'lt', 'gt', 'quot', 'apos', 'sol', 'colon', 'quest', 'num', 'equals', 'period', 'percnt', 'plus', 'commat', 'lowbar'), r)], '&' || r || ';') END) AS chars
+            FROM named WHERE target IS NOT NULL),
+        links AS (SELECT * FROM (SELECT url, trim(array_to_string(list_transform(texts, lambda x, i: x || coalesce(chars[i], '')), '')) AS t FROM refs) WHERE t <> ''),
         local AS (
             SELECT *, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) AS scheme, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS host,
                    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
@@ -100,7 +107,7 @@ ORACLE_SQL = {
             FROM local),
         urls AS (SELECT url FROM p UNION SELECT t FROM whole WHERE t IS NOT NULL),
         nodes AS (
-            SELECT url, CASE WHEN host <> '' THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) END AS node
+            SELECT url, CASE WHEN host <> '' THEN scheme || '://' || regexp_replace(host, CASE scheme WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '') || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) END AS node
             FROM (SELECT url, translate(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme,
                          translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM urls)),

@@ -33,13 +33,14 @@ class Rule:
 #: The rules of the registered query.
 RULES = tuple(Rule.parse(*r) for r in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")))
 
-#: A tag that may link; what makes it a canonical link or a refresh; the values that it names.
-_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-_CANONICAL = r"""(?is)^<link\b.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
-_REFRESH = r"""(?is)^<meta\b.*\shttp-equiv\s*=\s*["']?refresh["'\s/>]"""
-_HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_CONTENT = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: What a browser doesn't read as tags; a tag that may link, with quoted values whole; an attribute; the url of a refresh.
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|$)"
+_TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_ATTRIBUTE = r"""(?is)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
 _URL = r"""(?is)(?:^|[\s;,])url\s*=\s*["']?([^\s"']+)"""
+#: A character reference, and the names of those that urls are written with.
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
+_NAMED = {"amp": "&", "AMP": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sol": "/", "colon": ":", "quest": "?", "num": "#", "equals": "=", "period": ".", "percnt": "%", "plus": "+", "commat": "@", "lowbar": "_"}
 
 
 def host_of(url: Column) -> Column:
@@ -63,12 +64,15 @@ def query_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What tells urls apart: the whole url without its fragment, scheme and host lower-cased, an empty path as ``/``.  Null without a host.
+    """What tells urls apart: the whole url without its fragment, scheme and host lower-cased, without the scheme's own port (80 of http, 443 of
+    https), an empty path as ``/``.  Null without a host.
 
     Nothing else is made equal: variants are aliases only if a redirect or a canonical link says so.
     """
     path = path_of(url)
-    whole = F.concat(scheme_of(url), F.lit("://"), host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query_of(url))
+    scheme, host = scheme_of(url), host_of(url)
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(path), query_of(url))
     return F.when(host_of(url) != "", whole)
 
 
@@ -125,16 +129,53 @@ def with_rules(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return pages.join(best, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left").drop("__h", "__p")
 
 
+def _once(value: Column, name: str) -> Column:
+    """The value as a column that later expressions refer to; else Spark would write it into each of them, again and again."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def decoded(text: Column) -> Column:
+    """The text with its character references as characters: numeric ones, and :data:`_NAMED`; others stay as they are."""
+    found, between = F.regexp_extract_all(text, F.lit(_REFERENCE), 1), F.split(text, _REFERENCE, -1)
+
+    def one(ref: Column) -> Column:
+        digits = F.when(ref.rlike("^#[xX]"), F.substr(ref, F.lit(3))).when(ref.startswith("#"), F.conv(F.substr(ref, F.lit(2)), 10, 16))
+        code = F.conv(digits, 16, 10).cast("long")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        # big-endian, a character every four bytes
+        value = F.when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        for name, what in _NAMED.items():
+            value = value.when(ref == name, what)
+        return F.coalesce(value, F.concat(F.lit("&"), ref, F.lit(";")))
+
+    whole = F.transform(between, lambda part, i: F.concat(part, F.coalesce(one(F.get(found, i)), F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(whole, "")).otherwise(text)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """``(u, v)``: the node of a page and one that its html names, an edge for each canonical link and each refresh.
 
-    Values may be quoted or not; relative ones are resolved, ``&amp;`` is a ``&``.  A ``>`` ends a tag, in a value too.
+    What stands in comments, scripts and styles is no tag.  Values may be quoted or not, and only quotes end quoted ones; of an attribute that
+    is there twice the first counts.  Character references are decoded, relative urls resolved.
     """
-    value = lambda tag, p: F.concat(*[F.regexp_extract(tag, p, i) for i in (1, 2, 3)])
-    tags = pages.select("url", F.explode(F.regexp_extract_all(F.col("html"), F.lit(_TAG), F.lit(0))).alias("tag"))
-    named = F.when(F.col("tag").rlike(_CANONICAL), value(F.col("tag"), _HREF)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract(value(F.col("tag"), _CONTENT), _URL, 1))
-    e = tags.select("url", F.replace(F.trim(named), F.lit("&amp;"), F.lit("&")).alias("to")).where("`to` <> ''")
-    return e.select(node_of(F.col("url")).alias("u"), node_of(resolved(F.col("url"), F.col("to"))).alias("v")).where("u <> v")
+    html = F.when(F.col("html").rlike("(?i)<!--|<script|<style"), F.regexp_replace("html", _HIDDEN, " ")).otherwise(F.col("html"))
+    tags = pages.select("url", F.explode(F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))).alias("tag"))
+    inside = F.regexp_replace("tag", "(?i)^<(link|meta)|>$", " ")
+    parts = [F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(i)) for i in (1, 2, 3, 4)]
+    found = F.struct(F.lower(F.substr("tag", F.lit(2), F.lit(4))).alias("kind"), F.transform(parts[0], F.lower).alias("names"), *[p.alias(f"v{i}") for i, p in enumerate(parts[1:])])
+    tags = tags.select("url", _once(found, "x")).select("url", "x.*")
+
+    def value(name: str) -> Column:
+        at = F.array_position("names", F.lit(name)).cast("int") - 1
+        return F.when(at >= 0, F.concat(*[F.get(f"v{i}", at) for i in range(3)]))
+
+    canonical = (F.col("kind") == "link") & F.array_contains(F.split(F.lower(value("rel")), r"\s+"), "canonical")
+    refresh = (F.col("kind") == "meta") & (F.lower(F.trim(value("http-equiv"))) == "refresh")
+    named = F.when(canonical, value("href")).when(refresh, F.regexp_extract(value("content"), _URL, 1))
+    e = tags.select("url", _once(named, "raw")).where("raw <> ''").select("url", _once(decoded(F.col("raw")), "text"))
+    e = e.select("url", _once(F.regexp_replace("text", r"^\s+|\s+$", ""), "to")).where("`to` <> ''")
+    e = e.select("url", _once(resolved(F.col("url"), F.col("to")), "target"))
+    return e.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")).where("u <> v")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
