@@ -57,16 +57,39 @@ def _blur(a: np.ndarray, times: int = 1) -> np.ndarray:
     return a
 
 
+#: Rows of a picture, and corners, that are worked on at once: memory beside the picture itself doesn't grow with it.
+BAND, CORNERS = 256, 2048
+
+
+def _bands(height: int, margin: int):
+    """Rows lo to hi of each band, and the rows around them that what is computed from them needs."""
+    for lo in range(0, height, BAND):
+        hi = min(height, lo + BAND)
+        yield lo, hi, max(0, lo - margin), min(height, hi + margin)
+
+
 def resized(a: np.ndarray, scale: float) -> np.ndarray:
     """Bilinear, about the pictures' upper left corners."""
     if scale == 1.0:
-        return a
+        return a.astype(float)
     h, w = max(1, int(a.shape[0] * scale)), max(1, int(a.shape[1] * scale))
     y, x = np.minimum(np.arange(h) / scale, a.shape[0] - 1), np.minimum(np.arange(w) / scale, a.shape[1] - 1)
     y0, x0 = y.astype(int), x.astype(int)
     y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
     fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    return (a[np.ix_(y0, x0)] * (1 - fx) + a[np.ix_(y0, x1)] * fx) * (1 - fy) + (a[np.ix_(y1, x0)] * (1 - fx) + a[np.ix_(y1, x1)] * fx) * fy
+    out = np.empty((h, w))
+    for lo, hi, _, _ in _bands(h, 0):
+        up, down, f = y0[lo:hi], y1[lo:hi], fy[lo:hi]
+        out[lo:hi] = (a[np.ix_(up, x0)] * (1 - fx) + a[np.ix_(up, x1)] * fx) * (1 - f) + (a[np.ix_(down, x0)] * (1 - fx) + a[np.ix_(down, x1)] * fx) * f
+    return out
+
+
+def _blurred(a: np.ndarray, times: int) -> np.ndarray:
+    """:func:`_blur` band by band."""
+    out = np.empty_like(a)
+    for lo, hi, start, end in _bands(len(a), times):
+        out[lo:hi] = _blur(a[start:end], times)[lo - start : hi - start]
+    return out
 
 
 def _corners(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,28 +97,57 @@ def _corners(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     e = REACH + 1
     if min(a.shape) <= 2 * e:
         return np.zeros(0, int), np.zeros(0, int)
-    gy, gx = np.gradient(a)
-    xx, yy, xy = _blur(gx * gx, 2), _blur(gy * gy, 2), _blur(gx * gy, 2)
-    r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-    p = np.pad(r, 1, mode="constant", constant_values=-np.inf)
-    around = np.max([p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], 0)
-    peak = (r >= around) & (r > 1e-3)
-    peak[:e] = peak[-e:] = False
-    peak[:, :e] = peak[:, -e:] = False
-    y, x = np.nonzero(peak)
-    best = np.argsort(-r[y, x], kind="stable")[:most]
+    found = []
+    for lo, hi, start, end in _bands(len(a), 5):
+        gy, gx = np.gradient(a[start:end])
+        xx, yy, xy = _blur(gx * gx, 2), _blur(gy * gy, 2), _blur(gx * gy, 2)
+        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+        p = np.pad(r, 1, mode="constant", constant_values=-np.inf)
+        around = r
+        for i in (0, 1, 2):
+            for j in (0, 1, 2):
+                around = np.maximum(around, p[i : i + r.shape[0], j : j + r.shape[1]])
+        peak = (r >= around) & (r > 1e-3)
+        peak[:, :e] = peak[:, -e:] = False
+        y, x = np.nonzero(peak[max(lo, e) - start : max(0, min(hi, len(a) - e) - start)])
+        y += max(lo, e) - start
+        found.append((y + start, x, r[y, x]))
+    y, x, r = (np.concatenate(c) for c in zip(*found, strict=True))
+    best = np.argsort(-r, kind="stable")[:most]
     return y[best], x[best]
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Of each corner the places of its ``k`` nearest others, of equally near ones the first.
+
+    Corners in the order of y are looked at in strips, which widen until they hold the nearest of all theirs.
+    """
+    order = np.argsort(y, kind="stable")
+    ys, out = y[order], np.empty((len(x), k), np.int64)
+    reach = max(8, int(2 * math.sqrt((np.ptp(x) + 1) * (np.ptp(y) + 1) / len(x))))
+    for i in range(0, len(x), BAND):
+        todo, wide = order[i : i + BAND], reach
+        while len(todo):
+            near = np.sort(order[np.searchsorted(ys, y[todo].min() - wide) : np.searchsorted(ys, y[todo].max() + wide, "right")])
+            if len(near) > k:
+                far = (x[todo, None] - x[near]) ** 2 + (y[todo, None] - y[near]) ** 2
+                far[todo[:, None] == near] = np.iinfo(np.int64).max
+                # distance first, then place: the order of a stable sort of all
+                best = np.argsort(far, axis=1, kind="stable")[:, :k]
+                sure = (np.take_along_axis(far, best[:, -1:], 1)[:, 0] < wide * wide) | (len(near) == len(x))
+                out[todo[sure]] = near[best[sure]]
+                todo = todo[~sure]
+            wide *= 2
+    return out
+
+
 def _neighbours(x: np.ndarray, y: np.ndarray, angle: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each corner's nearest others the first halves of their descriptors, and their directions in its own frame, 9 bits each; 0 for none."""
     n = len(x)
     halves, turns = np.zeros((n, NEIGHBOURS), np.int64), np.zeros(n, np.int64)
     if n < 2:
         return halves, turns
-    far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
-    np.fill_diagonal(far, np.iinfo(np.int64).max)
-    near = np.argsort(far, axis=1, kind="stable")[:, : min(NEIGHBOURS, n - 1)]
+    near = _nearest(x, y, min(NEIGHBOURS, n - 1))
     halves[:, : near.shape[1]] = first[near]
     way = np.arctan2(y[near] - y[:, None], x[near] - x[:, None]) - angle[:, None]
     steps = np.floor(way / (2 * np.pi) * 256).astype(np.int64) % 256 | 256
@@ -104,6 +156,17 @@ def _neighbours(x: np.ndarray, y: np.ndarray, angle: np.ndarray, first: np.ndarr
     return halves, turns
 
 
+def _tested(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners' orientations and descriptors, two halves each."""
+    patch = a[(y[:, None] + _Y.ravel()[_DISK]), (x[:, None] + _X.ravel()[_DISK])]
+    patch = patch - patch.mean(1, keepdims=True)
+    angle = np.arctan2(patch @ _Y.ravel()[_DISK], patch @ _X.ravel()[_DISK])
+    c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
+    at = lambda u, v: a[np.clip(y[:, None] + np.round(s * u + c * v).astype(int), 0, a.shape[0] - 1), np.clip(x[:, None] + np.round(c * u - s * v).astype(int), 0, a.shape[1] - 1)]
+    bits = at(_TESTS[:, 0], _TESTS[:, 1]) > at(_TESTS[:, 2], _TESTS[:, 3])
+    return angle, np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
 def describe(picture: np.ndarray, scales: tuple[float, ...] = SCALES) -> np.ndarray:
     """Rows of x, y, angle, scale (of the whole picture's pixels), the two halves of the descriptor, and what is near the corner.
 
@@ -113,17 +176,11 @@ def describe(picture: np.ndarray, scales: tuple[float, ...] = SCALES) -> np.ndar
     kind = [("x", "f4"), ("y", "f4"), ("angle", "f4"), ("scale", "f4"), ("d0", "i8"), ("d1", "i8"), *[(f"n{k}", "i8") for k in range(NEIGHBOURS)], ("turns", "i8")]
     out = []
     for scale in scales:
-        a = _blur(resized(picture.astype(float), scale), 2)
+        a = _blurred(resized(picture, scale), 2)
         y, x = _corners(a, max(LEAST_CORNERS, a.size // PIXELS_PER_CORNER))
         if not len(y):
             continue
-        patch = a[(y[:, None] + _Y.ravel()[_DISK]), (x[:, None] + _X.ravel()[_DISK])]
-        patch = patch - patch.mean(1, keepdims=True)
-        angle = np.arctan2(patch @ _Y.ravel()[_DISK], patch @ _X.ravel()[_DISK])
-        c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        at = lambda u, v: a[np.clip(y[:, None] + np.round(s * u + c * v).astype(int), 0, a.shape[0] - 1), np.clip(x[:, None] + np.round(c * u - s * v).astype(int), 0, a.shape[1] - 1)]
-        bits = at(_TESTS[:, 0], _TESTS[:, 1]) > at(_TESTS[:, 2], _TESTS[:, 3])
-        halves = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        angle, halves = (np.concatenate(c) for c in zip(*[_tested(a, y[i : i + CORNERS], x[i : i + CORNERS]) for i in range(0, len(y), CORNERS)], strict=True))
         rows = np.zeros(len(y), kind)
         rows["x"], rows["y"], rows["angle"], rows["scale"] = x / scale, y / scale, angle, 1 / scale
         rows["d0"], rows["d1"] = halves[:, 0], halves[:, 1]

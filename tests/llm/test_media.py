@@ -161,3 +161,34 @@ def test_equal_vectors_are_one_class(spark):
     assert set(got) == {0, 50, 100, 150}
     assert got[0] == got[50] == (0, 0, 3) and got[100] == (100, 100, 2) and got[150][0] == 7
     assert media.copy_report(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_a_photo_of_12_megapixels_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    picture = np.clip(media.resized(rng.integers(0, 256, (431, 574)).astype(float), 7.0)[:3000, :4000], 0, 255).astype(np.uint8)
+    tracemalloc.start()
+    found = media.describe(picture)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(found) > 50_000 and most < 500 << 20
+
+
+def test_bands_and_strips_change_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    picture = np.clip(media.resized(rng.integers(0, 256, (50, 60)).astype(float), 7.0)[:300, :400], 0, 255).astype(np.uint8)
+    small = media.describe(picture, media.FINE_SCALES)
+    monkeypatch.setattr(media, "BAND", 10_000)
+    monkeypatch.setattr(media, "CORNERS", 10_000)
+    assert len(small) > 500 and np.array_equal(small, media.describe(picture, media.FINE_SCALES))
+
+
+def test_nearest_corners_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(media, "BAND", 7)
+    rng = np.random.default_rng(7)
+    for n, side in ((4, 50), (60, 12), (300, 900)):
+        x, y = rng.integers(0, side, (2, n))
+        far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+        np.fill_diagonal(far, 1 << 60)
+        assert np.array_equal(media._nearest(x, y, 3), np.argsort(far, axis=1, kind="stable")[:, :3])
