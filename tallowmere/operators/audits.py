@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean, count_where, drift_band, is_infinite
+from ..session import staged
 from .quantiles import quantiles
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -72,7 +73,7 @@ def melted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> D
 def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
     """By ``feature`` of :func:`melted` rows: counts, moments, quantiles (linear), corrected skewness and kurtosis, rates, outliers.
 
-    Outliers are counted in a second pass against the first one's bounds.
+    The rows are read for the moments and to count equal values; quantiles, outliers and medians come from these counts.
     """
     v, n = F.col("value"), F.count("value")
     g1, g2, k = F.skewness("value"), F.kurtosis("value"), n.cast("double")
@@ -83,21 +84,24 @@ def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
         F.when(n > 3, (k - 1) / F.greatest((k - 2) * (k - 3), F.lit(1.0)) * ((k + 1) * g2 + 6)).alias("kurtosis"),
         (count_where(v == 0) / F.greatest(n, F.lit(1))).alias("zero_rate"), (count_where(v < 0) / F.greatest(n, F.lit(1))).alias("negative_rate"), *more,
     )
-    q = quantiles(long, ["feature"], "value", QUANTILES).select("feature", "distinct", "q")
+    side = [] if target is None else [F.col(target).alias("__side")]
+    counts = staged(long.where(F.col("value").isNotNull()).groupBy("feature", *side, "value").agg(F.count("*").alias("__n")))
+    q = quantiles(counts, ["feature"], "value", QUANTILES, times="__n").select("feature", "distinct", "q")
     s = s.join(q, "feature", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
     s = s.withColumns({f"q{round(100 * p):02d}": F.col("q")[i] for i, p in enumerate(QUANTILES)}).drop("q")
     width = F.col("q75") - F.col("q25")
     bounds = s.select(F.col("feature").alias("__f"), (F.col("q25") - 1.5 * width).alias("__lo"), (F.col("q75") + 1.5 * width).alias("__hi"), F.col("mean").alias("__m"), F.col("std").alias("__s"))
-    out = long.join(F.broadcast(bounds), F.col("feature") == F.col("__f")).groupBy("feature").agg(
-        count_where((v < F.col("__lo")) | (v > F.col("__hi"))).alias("iqr_outliers"), count_where((F.col("__s") > 0) & (F.abs(v - F.col("__m")) > 3 * F.col("__s"))).alias("z_outliers")
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("__n"))), F.lit(0))
+    out = counts.join(F.broadcast(bounds), F.col("feature") == F.col("__f")).groupBy("feature").agg(
+        many((v < F.col("__lo")) | (v > F.col("__hi"))).alias("iqr_outliers"), many((F.col("__s") > 0) & (F.abs(v - F.col("__m")) > 3 * F.col("__s"))).alias("z_outliers")
     )  # a row a feature: the columns of one table
-    s = s.join(out, "feature").withColumn("iqr", width).withColumn("value_range", F.col("maximum") - F.col("minimum"))
+    s = s.join(out, "feature", "left").fillna(0, ["iqr_outliers", "z_outliers"]).withColumn("iqr", width).withColumn("value_range", F.col("maximum") - F.col("minimum"))
     s = s.withColumn("positive_rate", F.when(F.col("present") > 0, 1 - F.col("zero_rate") - F.col("negative_rate")))
     s = s.withColumns({f"{k}_rate": F.when(F.col("present") > 0, F.col(k) / F.col("present")) for k in ("iqr_outliers", "z_outliers")})
     if target is None:
         return s
-    sides = quantiles(long.where(F.col(target).isin(0, 1)), ["feature", target], "value", [0.5])
-    median = lambda k: F.max(F.when(F.col(target) == k, F.col("q")[0])).alias(f"median_{k}")
+    sides = quantiles(counts.where(F.col("__side").isin(0, 1)), ["feature", "__side"], "value", [0.5], times="__n")
+    median = lambda k: F.max(F.when(F.col("__side") == k, F.col("q")[0])).alias(f"median_{k}")
     s = s.join(sides.groupBy("feature").agg(median(1), median(0)), "feature", "left")
     return s.withColumn("mean_difference", F.col("mean_1") - F.col("mean_0")).withColumn("median_difference", F.col("median_1") - F.col("median_0"))
 
@@ -159,3 +163,11 @@ def psi(df: DataFrame, value: str, is_reference: Column, bins: int = 10, eps: fl
     out = x.agg(F.sum((pb - pa) * F.ln(pb / pa)).alias("psi"), F.count("*").alias("bins"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     value_ = F.when((F.col("na") == 0) | (F.col("nb") == 0), F.lit(None).cast("double")).when(F.col("bins") < 2, 0.0).otherwise(F.col("psi"))
     return out.select("bins", value_.alias("psi")).withColumn("drift", drift_band(F.col("psi")))
+
+
+def dictionary(df: DataFrame) -> DataFrame:
+    """Of each column its place, name and type, and how many rows have a value; the counts are one pass."""
+    cols = df.schema.fields
+    one = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(cols)])
+    each = [F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.col("rows"), F.col(f"n{i}").alias("present")) for i, f in enumerate(cols)]
+    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")

@@ -14,17 +14,18 @@ from ..session import staged
 SMALL = 1_000_000
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], discrete: bool = False, small: int = SMALL) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], discrete: bool = False, small: int = SMALL, times: str | None = None) -> DataFrame:
     """``by``, ``present``, ``distinct`` and ``q``: how many values, how many different ones, and the quantiles for ``shares``.
 
     Quantiles are linear between neighbours, or with ``discrete`` the least value whose share is reached.  Missing
-    values don't count; a group without values has no row.  Equal values are counted first.  Beyond
+    values don't count; a group without values has no row.  Equal values are counted first; rows that are counts already
+    name the column of their ``times``.  Beyond
     ``small`` of them the counts are sorted by ranges of group and value, each range is totalled from where it
     starts, and no task has more than a range: one group may hold all rows.
     """
     by = list(by)
     v = F.col(value) if discrete else F.col(value).cast("double")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, v.alias("__v")).agg((F.sum(times) if times else F.count("*")).alias("__n"))
     counts = staged(counts)
     if counts.count() <= small:
         group = W.partitionBy(*by)
@@ -53,9 +54,9 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[flo
     return d.groupBy(*by).agg(F.sum("__n").alias("present"), F.count("*").alias("distinct"), F.array(*found).alias("q"))
 
 
-def with_quantiles(groups: DataFrame, df: DataFrame, by: Sequence[str], value: str, names: Mapping[str, float], discrete: bool = False) -> DataFrame:
+def with_quantiles(groups: DataFrame, df: DataFrame, by: Sequence[str], value: str, names: Mapping[str, float], discrete: bool = False, times: str | None = None) -> DataFrame:
     """``groups``, a row for each group of ``df``, with a quantile of ``value`` under each name; missing where the group has no value."""
-    q = quantiles(df, by, value, list(names.values()), discrete)
+    q = quantiles(df, by, value, list(names.values()), discrete, times=times)
     q = q.select(*[F.col(c).alias(f"__{c}") for c in by], *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
     # without groups both sides have one row at most

@@ -25,7 +25,7 @@ def grouping_sets(df: DataFrame, sets: dict[str, Sequence[str]], measures: dict[
     """The measures for several groupings in one pass: ``group_type`` names the set, columns that a set lacks are NULL.
 
     ``sets`` maps a name to its columns; a null in the data is a group of its own in the sets that use the
-    column.  With a ``value`` its quantiles for ``shares`` are added, from a row of each set for each row.
+    column.  With a ``value`` its quantiles for ``shares`` are added, from a row of each set for each distinct row.
     """
     columns = list(dict.fromkeys(c for s in sets.values() for c in s))
     bits = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s): n for n, s in sets.items()}
@@ -37,8 +37,10 @@ def grouping_sets(df: DataFrame, sets: dict[str, Sequence[str]], measures: dict[
         return out
     kind = dict(df.select(*columns).dtypes)
     each = [F.struct(F.lit(n).alias("group_type"), *[(F.col(c) if c in s else F.lit(None).cast(kind[c])).alias(c) for c in columns]) for n, s in sets.items()]
-    rows = df.select(F.explode(F.array(*each)).alias("__s"), F.col(value).alias("__value")).select("__s.*", "__value")
-    return with_quantiles(out, rows, ["group_type", *columns], "__value", shares)
+    # equal rows are counted before each count becomes one of every set
+    counts = df.where(F.col(value).isNotNull()).groupBy(*columns, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    rows = counts.select(F.explode(F.array(*each)).alias("__s"), "__value", "__n").select("__s.*", "__value", "__n")
+    return with_quantiles(out, rows, ["group_type", *columns], "__value", shares, times="__n")
 
 
 def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence[str], prefix: str = "") -> DataFrame:
@@ -68,6 +70,44 @@ def claim_summary(status: str = "status") -> dict[str, Column]:
     }
 
 
+def validation_summary(generations: DataFrame, results: DataFrame) -> DataFrame:
+    """Every generation with the counts of its claims' results; unusable ones stay, without claims, with their reasons.
+
+    ``generations(generation_id, ..., usable, unusable_reasons)``; ``results(generation_id, validation_status, execution_status, reason_family, hard_safety)``.
+    ``families`` counts the results by reason family, as a map in the order of names.
+    """
+    is_ = lambda s: count_where(F.col("validation_status") == s)
+    names = ("SUPPORTED", "UNSUPPORTED", "CONTRADICTED", "NOT_VERIFIABLE", "NOT_APPLICABLE")
+    by = results.groupBy("generation_id", F.coalesce("reason_family", F.lit("NONE")).alias("family")).agg(
+        F.count("*").alias("total_claims"), *[is_(s).alias(f"{s.lower()}_count") for s in names], count_where(F.col("execution_status") == "ERROR").alias("execution_error_count"), count_where(F.col("hard_safety")).alias("hard_safety_count"),
+    )
+    counts = [c for c in by.columns if c not in ("generation_id", "family")]
+    g = by.groupBy("generation_id").agg(*[F.sum(c).alias(c) for c in counts], F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "total_claims")))).alias("families"))
+    j = generations.join(g, "generation_id", "left")
+    own = [F.when(F.col("usable"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).alias(c) for c in counts]
+    kept = [c for c in generations.columns if c != "unusable_reasons"]
+    reason = F.when(~F.col("usable"), F.array_join("unusable_reasons", "|"))
+    return j.select(*kept, *own, F.when(F.col("usable"), F.coalesce("families", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))).alias("families"), reason.alias("failure_reason"))
+
+
+def design_summary(packages: DataFrame, items: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Evidence packages as they were designed: by package counts of items, features, concepts, allowed ones and those outside the contract, then means by group.
+
+    ``items(package_id, item_type, feature_id, concept_id, allowed, out_of_contract, abs_shap_value)``; distinct ids are counted from (package, id) rows.
+    A package without items counts with zeros.
+    """
+    i = items.groupBy("package_id").agg(
+        F.count("*").alias("items"), count_where(F.col("item_type") == "feature").alias("feature_items"), count_where(F.col("item_type") == "concept").alias("concept_items"),
+        count_where(F.col("allowed")).alias("allowed_items"), count_where(F.col("out_of_contract")).alias("out_of_contract_items"), F.sum("abs_shap_value").alias("shap_sum"), F.max("abs_shap_value").alias("shap_max"),
+    )
+    ids = items.select("package_id", F.explode(F.array(F.struct(F.lit("f").alias("k"), F.col("feature_id").cast("string").alias("v")), F.struct(F.lit("c").alias("k"), F.col("concept_id").cast("string").alias("v")))).alias("x")).where("x.v is not null").groupBy("package_id", "x").agg(F.lit(1).alias("one"))
+    d = ids.groupBy("package_id").agg(count_where(F.col("x.k") == "f").alias("distinct_features"), count_where(F.col("x.k") == "c").alias("distinct_concepts"))
+    j = packages.join(i, "package_id", "left").join(d, "package_id", "left")
+    counts = ["items", "feature_items", "concept_items", "allowed_items", "out_of_contract_items", "distinct_features", "distinct_concepts"]
+    j = j.fillna(0, counts)
+    return j.groupBy(*by).agg(F.count("*").alias("packages"), *[F.avg(c).alias(f"mean_{c}") for c in counts], F.avg("shap_sum").alias("mean_shap_sum"), F.max("shap_max").alias("max_shap"))
+
+
 def claim_group_summary(status: str, match: str, eligible: Column, exposed: Column) -> dict[str, Column]:
     """Counts and rates of a group of claims: by status, and by the best match of those claims that could match a phrase."""
     is_ = lambda s: count_where(F.col(status) == s)
