@@ -57,13 +57,19 @@ def inconsistent(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(n.alias("values")).where("values > 1")
 
 
+#: Rows of a dimension of a design, but for the first, at most.
+DIMENSION = 10_000
+
+
 def expected_cells(*dims: DataFrame) -> DataFrame:
     """Every combination of the rows of small dimensions: the cells that a design plans.
 
-    The dimensions are lists of a design (models, levels, repeats), never data.
+    The dimensions after the first are lists of a design (models, levels, repeats), never data; one of more than :data:`DIMENSION` rows fails.
     """
     out = dims[0]
     for d in dims[1:]:
+        if d.limit(DIMENSION + 1).count() > DIMENSION:
+            raise ValueError(f"a dimension of a design has more than {DIMENSION} rows")
         out = out.join(F.broadcast(d), F.lit(True))
     return out
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.identity import draw
+from ..session import staged
 from ..functions.numeric import count_where, ratio
 from .ranking import average_rank
 
@@ -190,10 +191,26 @@ def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("contrast_id",)) -> DataFram
     return g.withColumn("t", signed_rank("ds")).select(*by, "t.statistic", "t.p")
 
 
+def places(df: DataFrame, value: str) -> DataFrame:
+    """``(value, rank)`` of each distinct value over the whole table, equal ones on their average rank; missing ones have none.
+
+    Equal values are counted, the counts sorted by ranges, and each range goes on from where it starts, so no task has more than a range.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(counts.repartitionByRange(parts, value).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum("__n").alias("__sum"))
+    before = F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # a row for each range
+    starts = sums.select(F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__start"))
+    own = F.sum("__n").over(W.partitionBy("__part").orderBy(value))
+    r = ranged.withColumn("__own", own).join(starts, F.col("__part") == F.col("__p"))
+    return r.select(value, (F.col("__start") + F.col("__own") - (F.col("__n") - 1) / 2).alias("rank"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row, ``rho``, over the rows that have both; average ranks, so the rows are an aggregate's, not a table's."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = d.withColumn("rx", average_rank((), F.col(x))).withColumn("ry", average_rank((), F.col(y)))
+    """One row, ``rho``, over the rows that have both; average ranks by :func:`places`."""
+    d = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("__x"), F.col(y).alias("__y")))
+    r = d.join(places(d, "__x").withColumnRenamed("rank", "rx"), "__x").join(places(d, "__y").withColumnRenamed("rank", "ry"), "__y")
     return r.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("pairs"))
 
 
@@ -204,15 +221,14 @@ def resamples(cases: DataFrame, case: str, iterations: int, seed: str) -> DataFr
     """``(iteration, case, weight)``: how often each resample with replacement draws a case.
 
     Draws are hashes of seed, iteration and draw, so they are alike in every run and for every condition: one
-    set of draws keeps the conditions' dependence.  The cases are a study's subjects, which are numbered.
+    set of draws keeps the conditions' dependence.  The cases are numbered by ranges; each draw is a row, so for many cases see :mod:`resampling`.
     """
-    w = W.orderBy(case)
-    numbered = cases.select(case).distinct().withColumn("__i", F.row_number().over(w) - 1)
-    n = cases.agg(F.count_distinct(case).alias("__n"))
+    numbered = staged(places(cases.select(case).distinct(), case).select(case, (F.col("rank") - 1).cast("int").alias("__i")))
+    n = numbered.agg(F.count("*").alias("__n"))
     its = cases.sparkSession.range(iterations).withColumnRenamed("id", "iteration")
     draws = its.join(F.broadcast(n), F.lit(True)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     draws = draws.withColumn("__i", draw(seed, F.col("__n"), F.col("iteration"), F.col("k")).cast("int"))
-    return draws.groupBy("iteration", "__i").agg(F.count("*").alias("weight")).join(F.broadcast(numbered), "__i").select("iteration", case, "weight")
+    return draws.groupBy("iteration", "__i").agg(F.count("*").alias("weight")).join(numbered, "__i").select("iteration", case, "weight")
 
 
 def bootstrap_means(facts: DataFrame, weights: DataFrame, case: str, condition: str, y: str) -> DataFrame:

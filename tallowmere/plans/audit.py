@@ -10,11 +10,13 @@ _STATS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @query("""
-    SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority', 'o_totalprice']) AS column_name, count(*) AS rows, unnest([count(*) - count(o_orderkey), count(*) - count(o_custkey), count(*) - count(o_orderstatus), count(*) - count(o_orderpriority), count(*) - count(o_totalprice)]) AS missing,
-           unnest([count(DISTINCT o_orderkey), count(DISTINCT o_custkey), count(DISTINCT o_orderstatus), count(DISTINCT o_orderpriority), count(DISTINCT o_totalprice)]) AS "distinct", 0.0::DOUBLE AS missing_rate
-    FROM orders""")
+    WITH x AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority', 'o_totalprice', 'o_third']) AS column_name, unnest([o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority, o_totalprice::VARCHAR, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END]) AS v FROM orders),
+    c AS (SELECT column_name, v, count(*) AS n FROM x GROUP BY ALL)
+    SELECT column_name, CASE WHEN column_name IN ('o_orderkey', 'o_custkey') THEN 'bigint' WHEN column_name = 'o_totalprice' THEN 'double' ELSE 'string' END AS data_type, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (v IS NULL), 0)::BIGINT AS missing, count(v) AS "distinct", missing / rows AS missing_rate,
+           arg_min(v, struct_pack(a := -n, b := v)) FILTER (v IS NOT NULL) AS most_common, max(n) FILTER (v IS NOT NULL) AS most_common_count FROM c GROUP BY 1""")
 def column_profile(spark, sf_dir):
-    return audits.column_profile(t(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"])
+    o = t(spark, sf_dir, "orders").withColumn("o_third", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")))
+    return audits.column_profile(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_third"])
 
 
 @query("""
