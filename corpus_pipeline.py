@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tallowmere.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from tallowmere.llm.shared import held, released, removed, shared_dir, table, written
 
-#: The tokenizer's file; the driver reads it and broadcasts its text.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The tokenizer's file name; the driver reads it and broadcasts its text.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents with one text, the one with the least id.
 
     A null text is empty.  A row without id stays only where no copy has one; of rows alike in id and text
-    one stays.  No rows give no rows.
+    the one with the least hash of all its columns stays.  No rows give no rows.
     """
     return exact_dedup.exact_dedup(docs)
 
@@ -40,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents whose fingerprints link at two or fewer bits, the one with the least id.
 
     Fingerprints are those of ``op10_simhash``: words in threes, two bits of 64.  Rows are told apart by id and
-    text, a tie goes to the least hash of the text, a null id comes last.  Texts without a word are one
+    text, a tie goes to the least hash of the text, then of the whole row, a null id comes last.  Texts without a word are one
     group, null ones among them.  No rows give no rows.
     """
     return simhash.near_dedup(docs)
@@ -60,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row for each row, repeated ones too; a null text is empty and has no tokens.  No rows give no rows.
     """
-    return bpe.encoded(docs, TOKENIZER, ("doc_id", "source"))
+    return bpe.encoded(docs, public_tokenizers.path(TOKENIZER), ("doc_id", "source"))
 
 
 STAGES = [("toxicity", toxic), ("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mix), ("bpe", tokens)]
