@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,14 +55,30 @@ def registry(features: DataFrame, rules: Sequence[tuple[str, str, str, str]], na
     return features.withColumn("__r", F.coalesce(*hit, none)).select(*features.columns, "__r.*")
 
 
-def origins(numeric: Sequence[str], levels: Mapping[str, Sequence[str]], spark) -> DataFrame:
-    """``(feature, original, level)``: from which column each preprocessed feature comes, and for one-hot ones from which level."""
-    import re
+def registered(tables: Mapping[str, DataFrame], rules: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """The columns of several tables with what :func:`registry` knows of them, and what they hold: table, feature, data_type, rows, present, concept, unit, kind, status.
 
-    rows = [(c, c, None) for c in numeric]
-    for c, ls in levels.items():
-        rows += [(f"{c}__{re.sub(r'[^A-Za-z0-9]+', '_', v).strip('_').lower()}", c, v) for v in ls]
-    return spark.createDataFrame(rows, "feature string, original string, level string")
+    ``status``: UNKNOWN of a column that no rule names, EMPTY of one without a value, else KNOWN.  Each table is read once.
+    """
+    from .audits import dictionary
+
+    parts = [dictionary(df).select(F.lit(n).alias("table"), F.col("column_name").alias("feature"), "data_type", "rows", "present") for n, df in tables.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    status = F.when(F.col("concept") == "unknown", "UNKNOWN").when(F.col("present") == 0, "EMPTY").otherwise("KNOWN")
+    return registry(every, rules).withColumn("status", status)
+
+
+def origins(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """``(feature, original, level, rows)``: from which column each preprocessed feature comes, for one-hot ones from which level, and how many rows have it.
+
+    Levels are counted where the rows lie and stay in the cluster.  Two levels whose names become alike are two rows.
+    """
+    name = F.regexp_replace(F.regexp_replace(F.lower("level"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    pairs = [F.struct(F.lit(c).alias("original"), F.when(F.col(c).isNotNull(), F.lit("")).alias("level"), F.lit(False).alias("coded")) for c in numeric]
+    pairs += [F.struct(F.lit(c).alias("original"), F.col(c).cast("string").alias("level"), F.lit(True).alias("coded")) for c in categorical]
+    n = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("level is not null").groupBy("original", "level", "coded").agg(F.count("*").alias("rows"))
+    feature = F.when(F.col("coded"), F.concat("original", F.lit("__"), name)).otherwise(F.col("original"))
+    return n.select(feature.alias("feature"), "original", F.when(F.col("coded"), F.col("level")).alias("level"), "rows")
 
 
 def coded(options: DataFrame, scenario: str, eligible: Column, high: Mapping[str, str], low: Mapping[str, str], fixed: Sequence[tuple[str, Column]] = ()) -> DataFrame:

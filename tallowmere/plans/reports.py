@@ -59,27 +59,33 @@ def sensitivity_summary(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']) AS feature)
-    SELECT feature, CASE WHEN feature IN ('l_quantity', 'l_extendedprice') THEN 'size' WHEN feature IN ('l_discount', 'l_tax') THEN 'terms' WHEN feature IN ('l_returnflag', 'l_linestatus', 'l_shipdate') THEN 'state' ELSE 'unknown' END AS concept,
-           CASE WHEN feature = 'l_extendedprice' THEN 'money' WHEN feature = 'l_quantity' THEN 'count' WHEN feature IN ('l_discount', 'l_tax') THEN 'share' WHEN feature IN ('l_returnflag', 'l_linestatus') THEN 'code' WHEN feature = 'l_shipdate' THEN 'date' ELSE 'unknown' END AS unit,
-           CASE WHEN feature IN ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax') THEN 'numeric' WHEN feature IN ('l_returnflag', 'l_linestatus', 'l_shipdate') THEN 'categorical' ELSE 'unknown' END AS kind FROM c""")
+    WITH d(t, feature, data_type, "rows", present) AS (
+        SELECT 'orders', c.n, c.k, count(*), count(CASE c.n WHEN 'o_orderkey' THEN o_orderkey::VARCHAR WHEN 'o_totalprice' THEN o_totalprice::VARCHAR WHEN 'o_orderstatus' THEN o_orderstatus END) FROM orders, (VALUES ('o_orderkey', 'bigint'), ('o_totalprice', 'double'), ('o_orderstatus', 'string'), ('o_nothing', 'string')) c(n, k) GROUP BY ALL
+        UNION ALL SELECT 'customer', c.n, c.k, count(*), count(CASE c.n WHEN 'c_custkey' THEN c_custkey::VARCHAR WHEN 'c_acctbal' THEN c_acctbal::VARCHAR ELSE c_mktsegment END) FROM customer, (VALUES ('c_custkey', 'bigint'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) c(n, k) GROUP BY ALL
+        UNION ALL SELECT 'lineitem', c.n, c.k, count(*), count(CASE c.n WHEN 'l_orderkey' THEN l_orderkey::VARCHAR WHEN 'l_discount' THEN l_discount::VARCHAR ELSE l_returnflag END) FROM lineitem, (VALUES ('l_orderkey', 'bigint'), ('l_discount', 'double'), ('l_returnflag', 'string')) c(n, k) GROUP BY ALL)
+    SELECT t AS "table", feature, data_type, "rows", present, CASE WHEN feature IN ('o_totalprice', 'c_acctbal') THEN 'size' WHEN feature = 'l_discount' THEN 'terms' WHEN feature IN ('o_orderstatus', 'l_returnflag', 'c_mktsegment', 'o_nothing') THEN 'state' ELSE 'unknown' END AS concept,
+           CASE WHEN feature IN ('o_totalprice', 'c_acctbal') THEN 'money' WHEN feature = 'l_discount' THEN 'share' WHEN feature IN ('o_orderstatus', 'l_returnflag', 'c_mktsegment', 'o_nothing') THEN 'code' ELSE 'unknown' END AS unit,
+           CASE WHEN feature IN ('o_totalprice', 'c_acctbal', 'l_discount') THEN 'numeric' WHEN feature IN ('o_orderstatus', 'l_returnflag', 'c_mktsegment', 'o_nothing') THEN 'categorical' ELSE 'unknown' END AS kind,
+           CASE WHEN feature IN ('o_orderkey', 'c_custkey', 'l_orderkey') THEN 'UNKNOWN' WHEN present = 0 THEN 'EMPTY' ELSE 'KNOWN' END AS status FROM d""")
 def feature_registry(spark, sf_dir):
-    """Concept, unit and kind of columns by their names' beginnings."""
-    names = spark.createDataFrame([(c,) for c in t(spark, sf_dir, "lineitem").columns], "feature string")
+    """The columns of three tables: what the registry knows of their names, and how many rows have a value."""
     rules = (
-        ("l_quantity", "size", "count", "numeric"), ("l_extended", "size", "money", "numeric"), ("l_discount", "terms", "share", "numeric"), ("l_tax", "terms", "share", "numeric"),
-        ("l_return", "state", "code", "categorical"), ("l_linestatus", "state", "code", "categorical"), ("l_ship", "state", "date", "categorical"),
+        ("o_total", "size", "money", "numeric"), ("c_acct", "size", "money", "numeric"), ("l_discount", "terms", "share", "numeric"), ("o_orderstatus", "state", "code", "categorical"),
+        ("l_return", "state", "code", "categorical"), ("c_mkt", "state", "code", "categorical"), ("o_nothing", "state", "code", "categorical"),
     )
-    return reports.registry(names, rules)
+    return reports.registered({
+        "orders": t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.lit(None).cast("string").alias("o_nothing")),
+        "customer": t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "lineitem": t(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_returnflag"),
+    }, rules)
 
 
 @query("""
-    SELECT 'o_totalprice' AS feature, 'o_totalprice' AS original, NULL::VARCHAR AS level UNION ALL
-    SELECT 'o_orderpriority__' || trim(regexp_replace(lower(p), '[^a-z0-9]+', '_', 'g'), '_'), 'o_orderpriority', p FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)""")
+    SELECT 'o_totalprice' AS feature, 'o_totalprice' AS original, NULL::VARCHAR AS level, count(o_totalprice) AS "rows" FROM orders UNION ALL
+    SELECT 'o_orderpriority__' || trim(regexp_replace(lower(p), '[^a-z0-9]+', '_', 'g'), '_'), 'o_orderpriority', p, n FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1) UNION ALL
+    SELECT 'o_orderstatus__' || trim(regexp_replace(lower(p), '[^a-z0-9]+', '_', 'g'), '_'), 'o_orderstatus', p, n FROM (SELECT o_orderstatus AS p, count(*) AS n FROM orders GROUP BY 1)""")
 def feature_origins(spark, sf_dir):
     """From which column and level each preprocessed feature comes."""
-    levels = [r[0] for r in t(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect()]  # the levels of a column
-    return reports.origins(["o_totalprice"], {"o_orderpriority": sorted(levels)}, spark)
+    return reports.origins(t(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderpriority", "o_orderstatus"])
 
 
 @query(_OPTIONS + """
