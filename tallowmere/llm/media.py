@@ -28,7 +28,7 @@ NEIGHBOURS, NEAR_HAMMING, NEAR_TURN = 3, 8, 21
 #: Bits of 128 that may differ; matches that must agree; pixels that their shifts may differ.
 HAMMING, AGREE, SLACK = 16, 4, 8
 #: Tables are as many as find this share of the pairs that differ in so many bits.
-RECALL, DISTANCE = 0.9, 12
+RECALL, DISTANCE = 0.9, HAMMING
 
 
 def _tests(n: int = 128, seed: int = 11) -> np.ndarray:
@@ -231,7 +231,8 @@ def tables(rows: int, recall: float = RECALL, distance: int = DISTANCE, seed: in
     rng = np.random.default_rng(seed)
     differ = np.argsort(rng.random((4000, 128)), axis=1) < distance  # pairs by bit
     met, order, out = np.zeros(len(differ), bool), [], []
-    while met.mean() < recall:
+    sure = recall + 2 * math.sqrt(recall * (1 - recall) / len(differ))  # these pairs are a sample too
+    while met.mean() < sure:
         while len(order) < bits:  # all bits once before any again
             order += [b for b in rng.permutation(128).tolist() if b not in order]
         out.append(order[:bits])
