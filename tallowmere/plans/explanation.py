@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import case_id, digest
 from ..functions.numeric import direction, geometric_mean, jaccard
 from ..functions.texts import ascii_normal, content_metrics, language_signal, mentions, overclaims, percentages
-from ..operators import claims, evidence, generations, matching, oplog, ranking
+from ..operators import claims, evidence, generations, matching, mutations, oplog, ranking
 from .registry import query, rounded, t
 
 
@@ -341,3 +341,21 @@ def change_log(spark, sf_dir):
     a = o.where("o_orderkey % 10 <> 3").select(k.alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
     b = o.where("o_orderkey % 10 <> 7").select(k.alias("k"), F.when(k % 4 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 6 == 0, "Y").otherwise(F.col("o_orderpriority")).alias("p"))
     return claims.change_log(a, b, "k", ["s", "p"])
+
+
+#: Changes that a validator must notice, or (the last two) must let pass.
+_MUTATIONS = (
+    mutations.Mutation("DIRECTION_FLIPPED", "claim_type IN ('feature_direction', 'concept_direction', 'prediction')", {"direction": "CASE direction WHEN 'increase_risk' THEN 'decrease_risk' ELSE 'increase_risk' END"}),
+    mutations.Mutation("FEATURE_SWAPPED", "claim_type IN ('feature_presence', 'feature_direction') AND feature_id IS NOT NULL", {"feature_id": "concat('no such ', feature_id)"}),
+    mutations.Mutation("NUMBER_MOVED", "claim_type = 'numeric' AND numeric_value IS NOT NULL", {"numeric_value": "numeric_value + 1000"}),
+    mutations.Mutation("CONCEPT_SWAPPED", "claim_type IN ('concept_presence', 'concept_direction') AND concept_id IS NOT NULL", {"concept_id": "concat('no such ', concept_id)"}),
+    mutations.Mutation("CAUSAL_WHERE_ALLOWED", "claim_type = 'causal'", {"causal_strength": "'causal'"}, caught=("SUPPORTED",)),
+    mutations.Mutation("ID_ONLY", "true", {}, caught=("SUPPORTED",)),
+)
+
+
+@query()
+def validator_sensitivity(spark, sf_dir):
+    """All claims with their mutants through the validator: how many of each mutation are caught; the rules have their SQL in ``claim_validation``."""
+    c, packages, items = _claims(spark, sf_dir)
+    return mutations.sensitivity(c, _MUTATIONS, lambda d: claims.validated(d, packages, items))

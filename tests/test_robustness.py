@@ -78,3 +78,25 @@ def test_the_knee_and_where_there_is_none(spark):
     rows = [("k", "S1", 0, 0), ("k", "S2", 10, 8), ("k", "S3", 50, 9), ("k", "S4", 100, 10), ("tie", "S2", 5, 1), ("tie", "S1", 0, 0), ("tie", "S3", 10, 2), ("same cost", "S1", 1, 1), ("same cost", "S2", 1, 2), ("flat", "S1", 1, 3), ("flat", "S2", 2, 3), ("gap", "S1", 1, None), ("gap", "S2", 2, 3), ("one", "S1", 1, 1)]
     got = {r.g: (r.points, r.item, r.distance) for r in suites.knee(spark.createDataFrame(rows, "g string, item string, x int, y int"), "g", "item", "x", "y").collect()}
     assert got == {"k": (4, "S2", pytest.approx(0.7)), "tie": (3, "S1", 0.0), "same cost": (2, None, None), "flat": (2, None, None), "gap": (2, None, None), "one": (1, None, None)}
+
+
+def test_a_validator_that_misses_a_mutation_shows_it(spark):
+    from tallowmere.operators import mutations
+
+    rows = [(1, "up", 5.0), (2, "up", 6.0), (3, "down", 7.0), (4, "up", None)]
+    d = spark.createDataFrame(rows, "claim_id int, direction string, v double")
+    right = F.create_map(*[F.lit(x) for k, x in ((1, "up"), (2, "up"), (3, "up"), (4, "up")) for x in (str(k), x)])
+    check = lambda c: c.withColumn("validation_status", F.when(F.col("direction") == right[F.col("__of")], "SUPPORTED").otherwise("CONTRADICTED"))
+    own = (
+        mutations.Mutation("flip", "true", {"direction": "CASE direction WHEN 'up' THEN 'down' ELSE 'up' END"}), mutations.Mutation("more", "v IS NOT NULL", {"v": "v + 1"}),
+        mutations.Mutation("never", "v > 99", {"v": "0"}), mutations.Mutation("same", "direction = 'up'", {}, caught=("SUPPORTED",)),
+    )
+    assert mutations.mutated(d, own).select("claim_id").distinct().count() == 4 + 4 + 3 + 3
+    got = {r.mutation: (r.mutants, r.caught, r.changed, r.rate) for r in mutations.sensitivity(d, own, check).collect()}
+    assert got == {"flip": (3, 3, 3, 1.0), "more": (2, 0, 0, 0.0), "never": (0, 0, 0, None), "same": (3, 3, 0, 1.0)}
+
+
+def test_the_validator_catches_every_mutation(spark, small):
+    got = {r.mutation: r for r in catalog.QUERIES["validator_sensitivity"](spark, small).collect()}
+    assert len(got) == 6 and all(r.mutants > 0 and r.rate == 1.0 for r in got.values())
+    assert got["ID_ONLY"].changed == 0 and got["NUMBER_MOVED"].changed == got["NUMBER_MOVED"].mutants
