@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from ..functions.numeric import clean, count_where, drift_band, is_infinite
 from ..session import staged
@@ -70,45 +72,72 @@ def anomaly_audit(df: DataFrame, rules: dict[str, tuple[str, Column]]) -> DataFr
     return _long(df.agg(*aggs), list(rules), measures).withColumn("rule", names[F.col("column_name")])
 
 
-def melted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``feature`` and ``value`` (double) in long form, with the columns to keep."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), clean(F.col(c).cast("double")).alias("value")) for c in columns])
-    return df.select(*keep, F.explode(pairs).alias("__p")).select(*keep, "__p.feature", "__p.value")
+def melted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), infinite: bool = False) -> DataFrame:
+    """``feature`` and ``value`` (double) in long form, with the columns to keep, and where asked for whether the value was ``infinite``."""
+    raw = lambda c: F.col(c).cast("double")
+    more = lambda c: [is_infinite(raw(c)).alias("infinite")] if infinite else []
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), clean(raw(c)).alias("value"), *more(c)) for c in columns])
+    return df.select(*keep, F.explode(pairs).alias("__p")).select(*keep, "__p.*")
 
 
 def numeric_stats(long: DataFrame, target: str | None = None) -> DataFrame:
     """By ``feature`` of :func:`melted` rows: counts, moments, quantiles (linear), corrected skewness and kurtosis, rates, outliers.
 
-    The rows are read for the moments and to count equal values; quantiles, outliers and medians come from these counts.
+    The rows are read once, to count equal values of a feature and side of the target; everything else comes from these counts.
+    Rates are of all rows, missing ones among them, and missing where no value is present; what compares the sides of the
+    target is missing where a feature has fewer than two values.  A constant has no skewness: 0.
     """
-    v, n = F.col("value"), F.count("value")
-    g1, g2, k = F.skewness("value"), F.kurtosis("value"), n.cast("double")
-    more = [] if target is None else [F.corr("value", F.col(target).cast("double")).alias("target_corr"), F.avg(F.when(F.col(target) == 1, v)).alias("mean_1"), F.avg(F.when(F.col(target) == 0, v)).alias("mean_0")]
-    s = long.groupBy("feature").agg(
-        F.count("*").alias("rows"), n.alias("present"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("minimum"), F.max("value").alias("maximum"),
-        F.when(n > 2, g1 * F.sqrt(k * (k - 1)) / F.greatest(k - 2, F.lit(1.0))).alias("skewness"),
-        F.when(n > 3, (k - 1) / F.greatest((k - 2) * (k - 3), F.lit(1.0)) * ((k + 1) * g2 + 6)).alias("kurtosis"),
-        (count_where(v == 0) / F.greatest(n, F.lit(1))).alias("zero_rate"), (count_where(v < 0) / F.greatest(n, F.lit(1))).alias("negative_rate"), *more,
+    v, y, k = F.col("value"), F.col("__side"), F.col("__n")
+    side = [(F.lit(None) if target is None else F.col(target)).cast("double").alias("__side")]
+    inf = F.col("infinite") if "infinite" in long.columns else F.lit(False)
+    counts = staged(long.groupBy("feature", *side, "value", inf.alias("__inf")).agg(F.count("*").alias("__n")))
+    many = lambda c: F.coalesce(F.sum(F.when(c, k)), F.lit(0))
+    mean = lambda c: F.sum(F.when(c, v * k)) / F.sum(F.when(c & v.isNotNull(), k))
+    every, pair = F.lit(True), y.isNotNull()
+    s = counts.groupBy("feature").agg(
+        F.sum(k).alias("rows"), many(v.isNotNull()).alias("present"), many(v.isNull()).alias("missing"), many(F.col("__inf")).alias("infinite"),
+        F.min("value").alias("minimum"), F.max("value").alias("maximum"), mean(every).alias("mean"), mean(y == 1).alias("mean_1"), mean(y == 0).alias("mean_0"),
+        *[many(c).alias(f"{n}_count") for n, c in (("zero", v == 0), ("negative", v < 0), ("positive", v > 0))],
+        mean(pair).alias("__mv"), (F.sum(F.when(v.isNotNull(), y * k)) / F.sum(F.when(pair & v.isNotNull(), k))).alias("__my"),
     )
-    side = [] if target is None else [F.col(target).alias("__side")]
-    counts = staged(long.where(F.col("value").isNotNull()).groupBy("feature", *side, "value").agg(F.count("*").alias("__n")))
     q = quantiles(counts, ["feature"], "value", QUANTILES, times="__n").select("feature", "distinct", "q")
     s = s.join(q, "feature", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
     s = s.withColumns({f"q{round(100 * p):02d}": F.col("q")[i] for i, p in enumerate(QUANTILES)}).drop("q")
     width = F.col("q75") - F.col("q25")
-    bounds = s.select(F.col("feature").alias("__f"), (F.col("q25") - 1.5 * width).alias("__lo"), (F.col("q75") + 1.5 * width).alias("__hi"), F.col("mean").alias("__m"), F.col("std").alias("__s"))
-    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("__n"))), F.lit(0))
-    out = counts.join(F.broadcast(bounds), F.col("feature") == F.col("__f")).groupBy("feature").agg(
-        many((v < F.col("__lo")) | (v > F.col("__hi"))).alias("iqr_outliers"), many((F.col("__s") > 0) & (F.abs(v - F.col("__m")) > 3 * F.col("__s"))).alias("z_outliers")
-    )  # a row a feature: the columns of one table
-    s = s.join(out, "feature", "left").fillna(0, ["iqr_outliers", "z_outliers"]).withColumn("iqr", width).withColumn("value_range", F.col("maximum") - F.col("minimum"))
-    s = s.withColumn("positive_rate", F.when(F.col("present") > 0, 1 - F.col("zero_rate") - F.col("negative_rate")))
-    s = s.withColumns({f"{k}_rate": F.when(F.col("present") > 0, F.col(k) / F.col("present")) for k in ("iqr_outliers", "z_outliers")})
+    s = staged(s.withColumn("iqr", width).withColumn("value_range", F.col("maximum") - F.col("minimum")))
+    own = s.select(F.col("feature").alias("__f"), F.col("present").alias("__k"), *[F.col(c).alias(n) for c, n in (("q25", "__q25"), ("q75", "__q75"), ("iqr", "__w"), ("mean", "__m"))], "__mv", "__my")
+    c = counts.where(v.isNotNull()).join(F.broadcast(own), F.col("feature") == F.col("__f"))  # a row a feature: the columns of one table
+    d, dv, dy = v - F.col("__m"), F.when(pair, v - F.col("__mv")), y - F.col("__my")
+    power = lambda p: F.sum(k * p)
+    m = c.groupBy("feature").agg(
+        power(d * d).alias("__m2"), power(d * d * d).alias("__m3"), power(d * d * d * d).alias("__m4"), power(dv * dy).alias("__cov"), power(dv * dv).alias("__vv"), power(F.when(pair, dy * dy)).alias("__yy"),
+        many((v < F.col("__q25") - 1.5 * F.col("__w")) | (v > F.col("__q75") + 1.5 * F.col("__w"))).alias("iqr_outliers"),
+    )
+    m = staged(m)
+    spread = m.join(own, F.col("feature") == F.col("__f")).select(F.col("feature").alias("__f"), "__m", F.sqrt(F.when(F.col("__k") > 1, F.col("__m2") / (F.col("__k") - 1))).alias("__s"))
+    far = counts.where(v.isNotNull()).join(F.broadcast(spread), F.col("feature") == F.col("__f")).groupBy("feature").agg(many((F.col("__s") > 0) & (F.abs(v - F.col("__m")) > 3 * F.col("__s"))).alias("z_outliers"))
+    s = s.join(m, "feature", "left").join(far, "feature", "left").fillna(0, ["iqr_outliers", "z_outliers"])
+    n = F.col("present").cast("double")
+    flat = F.col("__m2") <= 0
+    g1 = F.when(flat, 0.0).otherwise(F.col("__m3") / n / F.pow(F.when(~flat, F.col("__m2")) / n, F.lit(1.5)))
+    g2 = F.col("__m4") * n / F.pow(F.when(~flat, F.col("__m2")), F.lit(2.0)) - 3
+    s = s.withColumns({
+        "variance": F.when(n > 1, F.col("__m2") / (n - 1)), "std": F.sqrt(F.when(n > 1, F.col("__m2") / (n - 1))),
+        "skewness": F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.greatest(n - 2, F.lit(1.0))),
+        "kurtosis": F.when(n > 3, F.when(flat, 0.0).otherwise((n - 1) / F.greatest((n - 2) * (n - 3), F.lit(1.0)) * ((n + 1) * g2 + 6))),
+        **{f"{r}_rate": F.when(n > 0, F.col(c) / F.col("rows")) for r, c in (("zero", "zero_count"), ("negative", "negative_count"), ("positive", "positive_count"), ("iqr_outliers", "iqr_outliers"), ("z_outliers", "z_outliers"))},
+        "missing_rate": F.when(F.col("rows") > 0, F.col("missing") / F.col("rows")),
+    })
+    g = F.col("skewness")
+    s = s.withColumn("skew_direction", F.when(n == 0, "all_missing").when(g.isNull(), "unknown").when(g > 0.5, "right_skewed").when(g < -0.5, "left_skewed").otherwise("approximately_symmetric"))
+    corr = F.when((F.col("__vv") > 0) & (F.col("__yy") > 0), F.col("__cov") / F.sqrt(F.col("__vv") * F.col("__yy")))
+    hidden = [x for x in s.columns if x.startswith("__")]
     if target is None:
-        return s
-    sides = quantiles(counts.where(F.col("__side").isin(0, 1)), ["feature", "__side"], "value", [0.5], times="__n")
-    median = lambda k: F.max(F.when(F.col("__side") == k, F.col("q")[0])).alias(f"median_{k}")
-    s = s.join(sides.groupBy("feature").agg(median(1), median(0)), "feature", "left")
+        return s.drop(*hidden, "mean_0", "mean_1")
+    sides = quantiles(counts.where(y.isin(0, 1)), ["feature", "__side"], "value", [0.5], times="__n")
+    median = lambda x: F.max(F.when(y == x, F.col("q")[0])).alias(f"median_{x}")
+    s = s.withColumn("target_corr", corr).join(sides.groupBy("feature").agg(median(1), median(0)), "feature", "left").drop(*hidden)
+    s = s.withColumns({x: F.when(F.col("distinct") > 1, F.col(x)) for x in ("mean_1", "mean_0", "median_1", "median_0")})
     return s.withColumn("mean_difference", F.col("mean_1") - F.col("mean_0")).withColumn("median_difference", F.col("median_1") - F.col("median_0"))
 
 
@@ -177,3 +206,82 @@ def dictionary(df: DataFrame) -> DataFrame:
     one = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(cols)])
     each = [F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.col("rows"), F.col(f"n{i}").alias("present")) for i, f in enumerate(cols)]
     return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+#: Parts of names that mark a column of days.
+DAYS = ("DAYS", "DATE")
+
+
+def missing_audit(df: DataFrame, high_missing: float = 40.0, many: int = 50, rare: float = 0.01) -> DataFrame:
+    """By column: data_type, rows, missing, missing_percentage, is_high_missing, is_day_column, and of a column that is no number its
+    categories: how many (unique_count), whether more than ``many`` (is_high_cardinality), and rare_categories, those below ``rare`` of the values.
+
+    Numbers are counted by one aggregate; only the other columns' values are counted one by one, where the rows lie.  Without rows the percentage is 0.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    texts = [c for c, d in fields.items() if not isinstance(d, NumericType)]
+    present = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(fields)])
+    each = [F.struct(F.lit(c).alias("column_name"), F.lit(d.simpleString()).alias("data_type"), (F.col("rows") - F.col(f"n{i}")).alias("missing"), F.lit(any(x in c.upper() for x in DAYS)).alias("is_day_column")) for i, (c, d) in enumerate(fields.items())]
+    out = present.select("rows", F.explode(F.array(*each)).alias("x")).select("rows", "x.*")
+    share = F.when(F.col("rows") > 0, F.round(100 * F.col("missing") / F.col("rows"), 4)).otherwise(0.0)
+    out = out.withColumn("missing_percentage", share).withColumn("is_high_missing", F.col("missing_percentage") >= high_missing)
+    none = {"unique_count": "bigint", "is_high_cardinality": "boolean", "rare_categories": "bigint"}
+    if not texts:
+        return out.withColumns({c: (F.lit(False) if d == "boolean" else F.lit(None)).cast(d) for c, d in none.items()})
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in texts])).alias("p")
+    counts = df.select(pair).where("p.v is not null").groupBy(F.col("p.c").alias("__c"), "p.v").agg(F.count("*").alias("__k"))
+    sizes = F.broadcast(out.select(F.col("column_name").alias("__c"), (F.col("rows") - F.col("missing")).alias("__all")))  # a row a column
+    found = counts.join(sizes, "__c").groupBy("__c").agg(F.count("*").alias("__u"), count_where(F.col("__k") < rare * F.col("__all")).alias("__r"))
+    is_text = F.col("column_name").isin(texts)
+    out = out.join(found, F.col("column_name") == F.col("__c"), "left").withColumns({"unique_count": F.when(is_text, F.coalesce("__u", F.lit(0))), "rare_categories": F.when(is_text, F.coalesce("__r", F.lit(0)))})
+    return out.withColumn("is_high_cardinality", F.coalesce(F.col("unique_count") > many, F.lit(False))).drop("__c", "__u", "__r")
+
+
+def target_audit(df: DataFrame, key: str, target: str) -> DataFrame:
+    """One row: rows, target_0, target_1, target_1_ratio (of all rows, 0 without any), target_missing, other_values, repeated_keys (rows whose key
+    another row has), keys_with_several_targets (a missing one is a value), imbalance and status.
+
+    ``status`` is target_audit_passed if every row has 0 or 1 and no key two of them, else blocked.  Rows of one key are counted before they meet.
+    """
+    y = F.col(target).cast("double")
+    by = df.groupBy(F.col(key).alias("__k"), y.alias("__y")).agg(F.count("*").alias("__n"))
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("__n"))), F.lit(0))
+    v = F.col("__y")
+    keys = by.groupBy("__k").agg(part(F.lit(True)).alias("n"), part(v == 0).alias("n0"), part(v == 1).alias("n1"), part(v.isNull()).alias("nn"), F.count("*").alias("targets"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = keys.agg(
+        total("n").alias("rows"), total("n0").alias("target_0"), total("n1").alias("target_1"), total("nn").alias("target_missing"),
+        total(F.col("n") - 1).alias("repeated_keys"), count_where(F.col("__k").isNotNull() & (F.col("targets") > 1)).alias("keys_with_several_targets"),
+    )
+    out = out.withColumn("other_values", F.col("rows") - F.col("target_0") - F.col("target_1") - F.col("target_missing"))
+    out = out.withColumn("target_1_ratio", F.when(F.col("rows") > 0, F.round(F.col("target_1") / F.col("rows"), 6)).otherwise(0.0))
+    out = out.withColumn("imbalance", F.when(F.col("target_1_ratio") < 0.2, "class_imbalance_expected_and_significant").otherwise("class_imbalance_mild_or_moderate"))
+    good = (F.col("target_missing") == 0) & (F.col("other_values") == 0) & (F.col("keys_with_several_targets") == 0)
+    return out.withColumn("status", F.when(good, "target_audit_passed").otherwise("blocked"))
+
+
+def matrix_audit(df: DataFrame, features: Sequence[str], key: str, target: str | None, by: Sequence[str] = ()) -> DataFrame:
+    """By ``by`` (splits, pipelines): rows, features, positives, negatives and their rate, missing and infinite cells, and from the
+    schema the features that are no numbers, repeated names, and whether key or target are among the features.
+
+    One aggregate over all features; a NaN is a missing cell.  Without a target its counts are missing.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    distinct = list(dict.fromkeys(features))
+    other = [c for c in features if not isinstance(types[c], NumericType)]
+    times = {c: list(features).count(c) for c in distinct}
+    real = [c for c in distinct if isinstance(types[c], (DoubleType, FloatType))]
+    gone = lambda c: F.col(c).isNull() | F.isnan(c) if c in real else F.col(c).isNull()
+    cells = lambda cs, f: reduce(lambda a, b: a + b, [F.when(f(c), times[c]).otherwise(0) for c in cs], F.lit(0))
+    y = F.lit(None) if target is None else F.col(target)
+    positive, negative = count_where(y == 1), count_where(y == 0)
+    known = lambda c: c if target is not None else F.lit(None).cast("bigint")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    out = df.groupBy(*by).agg(
+        F.count("*").alias("rows"), known(positive).alias("positives"), known(negative).alias("negatives"),
+        total(cells(distinct, gone)).alias("missing_cells"), total(cells(real, lambda c: is_infinite(F.col(c).cast("double")))).alias("infinite_cells"),
+    )
+    return out.withColumns({
+        "features": F.lit(len(features)), "positive_rate": F.when(F.col("rows") > 0, F.col("positives") / F.col("rows")), "object_columns": F.lit(len(other)),
+        "object_sample": F.lit(", ".join(other[:20])), "repeated_columns": F.lit(len(features) - len(distinct)), "key_in_features": F.lit(key in distinct), "target_in_features": F.lit(target in distinct),
+    })

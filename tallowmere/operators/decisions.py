@@ -8,11 +8,11 @@ from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import scaled, sigmoid
 from ..session import staged
+from .ranking import SMALL, running_counts
 
 TOLERANCE = 1e-12
 
@@ -134,20 +134,18 @@ def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minim
     return out.withColumn("on_frontier", F.col("__whole") & (F.col("dominated_by") == 0)).select(*options.columns, "dominated_by", "dominates", "on_frontier")
 
 
-def ranked(df: DataFrame, by: str, key: str, tie: Sequence[Column] = (), most: int = 3) -> DataFrame:
+def ranked(df: DataFrame, by: str, key: str, tie: Sequence[Column] = (), most: int = 3, small: int = SMALL) -> DataFrame:
     """scenario_rank, eligible_rank, pareto_rank, utility_rank and role of options with eligible, score_available, on_frontier and utility.
 
     Eligible options come first, of these the scored ones, of these the frontier, then by utility; ``tie`` and the
     key settle the rest.  The ranks among the eligible, the frontier and the scored follow the same order
     and are missing for all others.  ``role`` is PRIMARY for the first of the frontier and ALTERNATIVE for the next
-    up to ``most``.
+    up to ``most``.  Beyond ``small`` options they are numbered by ranges.
     """
     u = F.col("utility").desc_nulls_last()
     order = [F.col("eligible").desc(), F.col("score_available").desc(), F.col("on_frontier").desc(), u, *tie, F.col(key)]
-    rank = lambda cond, *o: F.when(cond, F.row_number().over(W.partitionBy(by, cond).orderBy(*o)))
-    d = df.withColumn("scenario_rank", F.row_number().over(W.partitionBy(by).orderBy(*order)))
-    d = d.withColumn("eligible_rank", rank(F.col("eligible"), *order)).withColumn("pareto_rank", rank(F.col("on_frontier"), *order))
-    d = d.withColumn("utility_rank", rank(F.col("score_available"), u, *tie, F.col(key)))
+    d = running_counts(df, [by], order, {"scenario_rank": F.lit(True), "eligible_rank": F.col("eligible"), "pareto_rank": F.col("on_frontier")}, small)
+    d = running_counts(d, [by], [u, *tie, F.col(key)], {"utility_rank": F.col("score_available")}, small)
     return d.withColumn("role", F.when(F.col("pareto_rank") == 1, "PRIMARY").when(F.col("pareto_rank") <= most, "ALTERNATIVE"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import positive_part, sum0
+from ..functions.numeric import count_where, positive_part, ratio, sum0
 
 
 def onto_spine(spine: DataFrame, history: DataFrame, key: str, has: str, zero: Sequence[str] = ()) -> DataFrame:
@@ -45,3 +45,26 @@ def positive_measures(c: Column, name: str) -> dict[str, Column]:
     """Count, sum, mean and maximum over the positive values only."""
     p = positive_part(c)
     return {f"{name}_count": F.count(p), f"{name}_sum": sum0(p), f"{name}_mean": F.avg(p), f"{name}_max": F.max(p)}
+
+
+def amounts(c: Column, name: str, kinds: Sequence[str]) -> dict[str, Column]:
+    """The named measures of an amount, of ``total`` (0 where all are missing), ``mean``, ``max`` and ``min``."""
+    every = {"total": sum0(c), "mean": F.avg(c), "max": F.max(c), "min": F.min(c)}
+    return {f"{name}_{k}": every[k] for k in kinds}
+
+
+def status_counts(c: Column, names: dict[str, object]) -> dict[str, Column]:
+    """By name how many rows have the status; a missing one is none of them."""
+    return {f"{n}_count": count_where(c == F.lit(v)) for n, v in names.items()}
+
+
+def history(spine: DataFrame, child: DataFrame, key: str, has: str, measures: dict[str, Column], ratios: dict[str, tuple[str, str | float]], zero: Sequence[str]) -> DataFrame:
+    """The whole profile of a history: its ``measures`` by key in one aggregate, then ``ratios`` of these (missing unless the denominator is
+    positive; a number is a constant one), onto each entity of the spine; ``zero`` measures are 0 and ``has`` is 0 where there is no history.
+
+    Ratios are taken before entities without history come in, so theirs are missing, not 0.
+    """
+    h = profile(child, key, measures)
+    below = lambda b: F.col(b) if isinstance(b, str) else F.lit(float(b))
+    h = h.withColumns({n: ratio(F.col(a), below(b)) for n, (a, b) in ratios.items()})
+    return onto_spine(spine, h, key, has, zero)

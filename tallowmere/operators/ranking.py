@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
+
+#: Up to this number of rows a window numbers each group; more are numbered by ranges, whatever groups they belong to.
+SMALL = 1_000_000
+
 
 def average_rank(by: Sequence[str], value: Column) -> Column:
     """The mean of the places that equal values share, from 1."""
@@ -113,3 +118,53 @@ def until_share(df: DataFrame, by: str, mass: Column, order: Sequence[Column], s
     d = d.withColumn("__c", F.sum("__m").over(order_.rowsBetween(W.unboundedPreceding, 0)))
     keep = ((F.col("__c") - F.col("__m") < share * F.col("__w")) | (F.col("place") <= least)) & (F.col("place") <= most)
     return d.where(keep).withColumn("coverage", F.when(F.col("__w") > 0, F.col("__c") / F.col("__w")).otherwise(0.0)).drop("__m", "__w", "__c")
+
+
+def running_counts(df: DataFrame, by: Sequence[str], order: Sequence[Column], names: dict[str, Column], small: int = SMALL) -> DataFrame:
+    """For each name how many rows of the group meet its condition up to and with this one in ``order``; missing where this row doesn't meet it.
+
+    ``order`` must end in what is unique within a group.  Beyond ``small`` rows they are sorted by ranges of group and order,
+    and each range goes on from where it starts, so one group may hold all rows.
+    """
+    by = list(by)
+    d = staged(df)
+    count = lambda c, w: F.count(F.when(c, 1)).over(w)
+    if d.count() <= small:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return d.withColumns({n: F.when(c, count(c, w)).cast("int") for n, c in names.items()})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(d.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "__part").agg(*[F.count(F.when(c, 1)).alias(f"__s_{n}") for n, c in names.items()])
+    before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row for each group and range
+    starts = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in names])
+    w = W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    on = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]]
+    own = ranged.withColumns({f"__own_{n}": count(c, w) for n, c in names.items()}).join(starts, on)
+    return own.select(*df.columns, *[F.when(c, F.col(f"__own_{n}") + F.col(f"__before_{n}")).cast("int").alias(n) for n, c in names.items()])
+
+
+def searched(df: DataFrame, searches: dict[str, tuple[dict[str, object], dict[str, tuple[object, object]], Sequence[object] | None]], order: Sequence[str], size: int) -> DataFrame:
+    """Several filtered searches of one table in one pass: ``search``, ``place`` from 1 and ``has_more`` with the columns of each search's page.
+
+    A search is (equal values by column, where None filters nothing; ranges by column, from inclusively and to exclusively, None
+    open; the values of ``order`` after which its page begins, or None for the first).  Pages come in ``order`` descending, missing values last;
+    it ends in a unique column.  A page ends after ``size`` rows.  A row goes to the searches whose filters it meets, and of a search only the first
+    ``size`` + 1 of each partition are shuffled.
+    """
+    found = []
+    for name, (equal, ranges, after) in searches.items():
+        on = [F.col(c) == F.lit(v) for c, v in equal.items() if v is not None]
+        for c, (low, high) in ranges.items():
+            on += [F.col(c) >= F.lit(low)] * (low is not None) + [F.col(c) < F.lit(high)] * (high is not None)
+        if after is not None:
+            past, same = [], F.lit(True)
+            for c, v in zip(order, after, strict=True):
+                if v is not None:  # missing values come last, so they lie after every value
+                    past.append(same & ((F.col(c) < F.lit(v)) | F.col(c).isNull()))
+                same = same & F.col(c).eqNullSafe(F.lit(v))
+            on.append(reduce(lambda a, b: a | b, past, F.lit(False)))
+        found.append(F.when(reduce(lambda a, b: a & b, on, F.lit(True)), name))
+    d = df.select(F.explode(F.array_compact(F.array(*found))).alias("search"), *df.columns)
+    w = W.partitionBy("search").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    page = d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size + 1)
+    return page.withColumn("has_more", F.max("place").over(W.partitionBy("search")) > size).where(F.col("place") <= size)

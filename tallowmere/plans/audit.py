@@ -199,3 +199,80 @@ def check_registry(spark, sf_dir):
         ("no_null_key", F.lit(0), F.count(F.when(F.col("o_custkey").isNull(), 1))),
         ("no_cheap_order", F.lit(0), F.count(F.when(F.col("o_totalprice") < 2000, 1))),
     ])
+
+
+# ---- whole audits ----------------------------------------------------------------------------
+
+_GAPPY = """
+    WITH d AS (SELECT l_linestatus, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'N' THEN 0 END AS y, CASE WHEN l_linenumber > 2 THEN l_quantity END AS quantity,
+                      CASE WHEN l_tax = 0 THEN 'infinity'::DOUBLE ELSE round(l_discount / l_tax, 6) END AS relief, l_extendedprice - 50000 AS margin, 1.0::DOUBLE AS one, NULL::DOUBLE AS nothing FROM lineitem)"""
+
+
+def _gappy(spark, sf_dir):
+    """Items with a missing, an infinite, a negative, a constant and an empty column, and a target that is missing for some."""
+    y = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 0)
+    relief = F.when(F.col("l_tax") == 0, float("inf")).otherwise(F.round(F.col("l_discount") / F.when(F.col("l_tax") != 0, F.col("l_tax")), 6))
+    return t(spark, sf_dir, "lineitem").select(
+        "l_linestatus", y.alias("y"), F.when(F.col("l_linenumber") > 2, F.col("l_quantity")).alias("quantity"), relief.alias("relief"),
+        (F.col("l_extendedprice") - 50000).alias("margin"), F.lit(1.0).alias("one"), F.lit(None).cast("double").alias("nothing"),
+    )
+
+
+@query(_GAPPY + """,
+    l AS (SELECT y, unnest(['quantity', 'relief', 'margin', 'one', 'nothing']) AS feature, unnest([quantity, relief, margin, one, nothing]) AS raw FROM d),
+    v AS (SELECT *, CASE WHEN NOT isinf(raw) THEN raw END AS value FROM l),
+    s AS (SELECT feature, count(*) AS rows, count(value) AS present, count(*) - count(value) AS missing, count(*) FILTER (isinf(raw)) AS infinite, count(DISTINCT value) AS "distinct", avg(value) AS mean, var_samp(value) AS variance,
+                 min(value) AS minimum, max(value) AS maximum, quantile_cont(value, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS q,
+                 count(*) FILTER (value = 0) AS zero_count, count(*) FILTER (value < 0) AS negative_count, count(*) FILTER (value > 0) AS positive_count,
+                 avg(value) FILTER (y = 1) AS a1, avg(value) FILTER (y = 0) AS a0, quantile_cont(value, 0.5) FILTER (y = 1) AS b1, quantile_cont(value, 0.5) FILTER (y = 0) AS b0 FROM v GROUP BY 1),
+    k AS (SELECT feature, CASE WHEN count(DISTINCT value) > 1 THEN skewness(value) WHEN count(value) > 2 THEN 0 END AS skewness, CASE WHEN count(DISTINCT value) > 1 THEN kurtosis(value) WHEN count(value) > 3 THEN 0 END AS kurtosis,
+                 CASE WHEN count(DISTINCT value) > 1 THEN corr(value, y) END AS target_corr FROM v GROUP BY 1),
+    o AS (SELECT feature, count(*) FILTER (value < q[4] - 1.5 * (q[6] - q[4]) OR value > q[6] + 1.5 * (q[6] - q[4])) AS iqr_outliers, count(*) FILTER (variance > 0 AND abs(value - mean) > 3 * sqrt(variance)) AS z_outliers FROM v JOIN s USING (feature) GROUP BY 1)
+    SELECT feature, rows, present, missing, infinite, "distinct", round(missing / rows, 6) AS missing_rate, round(mean, 4) AS mean, round(sqrt(variance), 4) AS std, round(variance, 2) AS variance, minimum, maximum, round(maximum - minimum, 4) AS value_range,
+           round(q[1], 4) AS q01, round(q[2], 4) AS q05, round(q[3], 4) AS q10, round(q[4], 4) AS q25, round(q[5], 4) AS q50, round(q[6], 4) AS q75, round(q[7], 4) AS q90, round(q[8], 4) AS q95, round(q[9], 4) AS q99, round(q[6] - q[4], 4) AS iqr,
+           round(skewness, 5) + 0.0 AS skewness, CASE WHEN present = 0 THEN 'all_missing' WHEN skewness > 0.5 THEN 'right_skewed' WHEN skewness < -0.5 THEN 'left_skewed' ELSE 'approximately_symmetric' END AS skew_direction, round(kurtosis, 5) + 0.0 AS kurtosis,
+           zero_count, negative_count, positive_count, CASE WHEN present > 0 THEN round(zero_count / rows, 6) END AS zero_rate, CASE WHEN present > 0 THEN round(negative_count / rows, 6) END AS negative_rate, CASE WHEN present > 0 THEN round(positive_count / rows, 6) END AS positive_rate,
+           iqr_outliers, z_outliers, CASE WHEN present > 0 THEN round(iqr_outliers / rows, 6) END AS iqr_outliers_rate, CASE WHEN present > 0 THEN round(z_outliers / rows, 6) END AS z_outliers_rate, round(target_corr, 6) + 0.0 AS target_corr,
+           CASE WHEN "distinct" > 1 THEN round(a1, 4) END AS mean_1, CASE WHEN "distinct" > 1 THEN round(a0, 4) END AS mean_0, CASE WHEN "distinct" > 1 THEN round(a1 - a0, 4) + 0.0 END AS mean_difference,
+           CASE WHEN "distinct" > 1 THEN round(b1, 4) END AS median_1, CASE WHEN "distinct" > 1 THEN round(b0, 4) END AS median_0, CASE WHEN "distinct" > 1 THEN round(b1 - b0, 4) + 0.0 END AS median_difference
+    FROM s JOIN k USING (feature) JOIN o USING (feature)""")
+def numeric_feature_audit(spark, sf_dir):
+    """Every measure of numeric features, by the target too, with missing, infinite, constant and empty columns."""
+    s = audits.numeric_stats(audits.melted(_gappy(spark, sf_dir), ["quantity", "relief", "margin", "one", "nothing"], ["y"], infinite=True), "y")
+    four = ["mean", "std", "value_range", "q01", "q05", "q10", "q25", "q50", "q75", "q90", "q95", "q99", "iqr", "mean_1", "mean_0", "mean_difference", "median_1", "median_0", "median_difference"]
+    six = ["missing_rate", "zero_rate", "negative_rate", "positive_rate", "iqr_outliers_rate", "z_outliers_rate", "target_corr"]
+    return rounded(s, dict.fromkeys(four, 4) | dict.fromkeys(six, 6) | {"variance": 2, "skewness": 5, "kurtosis": 5})
+
+
+@query(_GAPPY + """
+    SELECT l_linestatus, count(*) AS rows, 5 AS features, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives, round(count(*) FILTER (y = 1) / count(*), 6) AS positive_rate,
+           5 * count(*) - count(quantity) - count(relief) - count(margin) - count(one) - count(nothing) AS missing_cells, count(*) FILTER (isinf(relief)) AS infinite_cells, 0 AS object_columns, '' AS object_sample,
+           0 AS repeated_columns, false AS key_in_features, false AS target_in_features FROM d GROUP BY 1""")
+def matrix_audit(spark, sf_dir):
+    """The items of each line status as a matrix with its target."""
+    return rounded(audits.matrix_audit(_gappy(spark, sf_dir), ["quantity", "relief", "margin", "one", "nothing"], "l_orderkey", "y", ["l_linestatus"]), {"positive_rate": 6})
+
+
+@query("""
+    WITH l AS (SELECT unnest(['doc_id', 'lang', 'source', 'n_chars', 'quality', 'toxic']) AS column_name, unnest(['bigint', 'string', 'string', 'bigint', 'int', 'int']) AS data_type, unnest([doc_id::VARCHAR, lang, source, n_chars::VARCHAR, quality::VARCHAR, toxic::VARCHAR]) AS v FROM documents LEFT JOIN labels USING (doc_id)),
+    n AS (SELECT column_name, data_type, count(*) AS rows, count(*) - count(v) AS missing FROM l GROUP BY ALL),
+    c AS (SELECT column_name, count(*) AS k FROM l WHERE v IS NOT NULL GROUP BY column_name, v),
+    u AS (SELECT column_name, count(*) AS u, count(*) FILTER (k < 0.01 * (rows - missing)) AS r FROM c JOIN n USING (column_name) GROUP BY 1)
+    SELECT column_name, data_type, rows, missing, round(100 * missing / rows, 4) AS missing_percentage, round(100 * missing / rows, 4) >= 40 AS is_high_missing, false AS is_day_column,
+           CASE WHEN data_type = 'string' THEN u END AS unique_count, data_type = 'string' AND u > 50 AS is_high_cardinality, CASE WHEN data_type = 'string' THEN r END AS rare_categories FROM n LEFT JOIN u USING (column_name)""")
+def missing_audit(spark, sf_dir):
+    """Missing values and categories of the labelled documents."""
+    return audits.missing_audit(t(spark, sf_dir, "documents").drop("text").join(t(spark, sf_dir, "labels"), "doc_id", "left"))
+
+
+@query("""
+    WITH d AS (SELECT o_custkey AS k, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS y FROM orders),
+    k AS (SELECT k, count(*) AS n, count(DISTINCT y) + (count(*) > count(y))::INT AS targets FROM d GROUP BY 1),
+    a AS (SELECT count(*) AS rows, count(*) FILTER (y = 0) AS target_0, count(*) FILTER (y = 1) AS target_1, count(*) FILTER (y IS NULL) AS target_missing, count(*) FILTER (y NOT IN (0, 1)) AS other_values FROM d)
+    SELECT a.*, round(target_1 / rows, 6) AS target_1_ratio, (SELECT sum(n - 1) FROM k)::BIGINT AS repeated_keys, (SELECT count(*) FROM k WHERE k IS NOT NULL AND targets > 1) AS keys_with_several_targets,
+           CASE WHEN round(target_1 / rows, 6) < 0.2 THEN 'class_imbalance_expected_and_significant' ELSE 'class_imbalance_mild_or_moderate' END AS imbalance,
+           CASE WHEN target_missing = 0 AND other_values = 0 AND (SELECT count(*) FROM k WHERE k IS NOT NULL AND targets > 1) = 0 THEN 'target_audit_passed' ELSE 'blocked' END AS status FROM a""")
+def target_audit(spark, sf_dir):
+    """Whether an order's status could be a customer's target."""
+    o = t(spark, sf_dir, "orders").withColumn("y", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0))
+    return audits.target_audit(o, "o_custkey", "y")

@@ -159,3 +159,66 @@ def running_values(spark, sf_dir):
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
     d = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sum("o_totalprice").over(w).alias("running"), F.max("o_totalprice").over(w).alias("highest"))
     return rounded(d, {"running": 2})
+
+
+# ---- whole profiles --------------------------------------------------------------------------
+
+_CREDIT = ("record_count", "loan_count", "active_count", "closed_count", "sold_count", "late_count", "overdue_count", "recent_count", "credit_total", "debt_total", "limit_total", "overdue_total")
+
+
+@query("""
+    WITH l AS (SELECT o_custkey, l_linenumber, l_returnflag, l_linestatus, l_extendedprice AS credit, CASE WHEN l_discount > 0 THEN l_extendedprice * l_discount END AS debt, CASE WHEN l_linestatus = 'O' THEN l_quantity * 1000 END AS lim, CASE WHEN l_tax > 0.04 THEN l_extendedprice * l_tax END AS over,
+                      -date_diff('day', l_shipdate::DATE, DATE '2002-01-01') AS days, greatest(date_diff('day', o_orderdate::DATE, l_shipdate::DATE) - 60, 0) AS late FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_quantity > 40),
+    h AS (SELECT o_custkey AS c_custkey, count(l_linenumber) AS record_count, count(l_linenumber) AS loan_count, count(*) FILTER (l_returnflag = 'A') AS active_count, count(*) FILTER (l_returnflag = 'N') AS closed_count, count(*) FILTER (l_returnflag = 'R') AS sold_count, count(*) FILTER (l_linestatus = 'F') AS late_count,
+                 count(*) FILTER (late > 0) AS overdue_count, max(late) AS days_overdue_max, avg(late) AS days_overdue_mean, coalesce(sum(credit), 0) AS credit_total, avg(credit) AS credit_mean, max(credit) AS credit_max, coalesce(sum(debt), 0) AS debt_total, avg(debt) AS debt_mean, max(debt) AS debt_max,
+                 coalesce(sum(lim), 0) AS limit_total, avg(lim) AS limit_mean, coalesce(sum(over), 0) AS overdue_total, max(over) AS overdue_max, avg(days) AS days_mean, min(days) AS days_min, max(days) AS days_max, count(*) FILTER (days >= -365) AS recent_count FROM l GROUP BY 1)
+    SELECT c_custkey, coalesce(record_count, 0) AS record_count, coalesce(loan_count, 0) AS loan_count, coalesce(active_count, 0) AS active_count, coalesce(closed_count, 0) AS closed_count, coalesce(sold_count, 0) AS sold_count, coalesce(late_count, 0) AS late_count, coalesce(overdue_count, 0) AS overdue_count, coalesce(recent_count, 0) AS recent_count,
+           days_overdue_max, round(days_overdue_mean, 6) AS days_overdue_mean, round(coalesce(credit_total, 0), 2) AS credit_total, round(credit_mean, 8) AS credit_mean, credit_max, round(coalesce(debt_total, 0), 6) AS debt_total, round(debt_mean, 8) AS debt_mean, round(debt_max, 4) AS debt_max, coalesce(limit_total, 0) AS limit_total, round(limit_mean, 8) AS limit_mean,
+           round(coalesce(overdue_total, 0), 6) AS overdue_total, round(overdue_max, 4) AS overdue_max, round(days_mean, 6) AS days_mean, days_min, days_max, round(CASE WHEN credit_total > 0 THEN debt_total / credit_total END, 6) AS debt_to_credit, round(-days_min / 30, 6) AS history_months, (h.c_custkey IS NOT NULL)::INT AS has_credit_history
+    FROM customer LEFT JOIN h USING (c_custkey)""")
+def credit_history_profile(spark, sf_dir):
+    """23 measures and 2 ratios of each customer's large urgent items; many customers have none."""
+    o = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", "o_orderdate")
+    i = profiles.mapped_to_parent(t(spark, sf_dir, "lineitem").where("l_quantity > 40").withColumnRenamed("l_orderkey", "o_orderkey"), o, "o_orderkey").withColumnRenamed("o_custkey", "c_custkey")
+    days, late, price = -F.datediff(F.lit("2002-01-01").cast("date"), F.col("l_shipdate").cast("date")).cast("long"), F.greatest(F.datediff("l_shipdate", "o_orderdate").cast("long") - 60, F.lit(0)), F.col("l_extendedprice")
+    m = {"record_count": F.count("l_linenumber"), "loan_count": F.count("l_linenumber"), **profiles.status_counts(F.col("l_returnflag"), {"active": "A", "closed": "N", "sold": "R"}), **profiles.status_counts(F.col("l_linestatus"), {"late": "F"})}
+    m |= {"overdue_count": count_where(late > 0), "recent_count": count_where(days >= -365)} | profiles.amounts(late, "days_overdue", ["max", "mean"]) | profiles.amounts(price, "credit", ["total", "mean", "max"])
+    m |= profiles.amounts(F.when(F.col("l_discount") > 0, price * F.col("l_discount")), "debt", ["total", "mean", "max"]) | profiles.amounts(F.when(F.col("l_linestatus") == "O", F.col("l_quantity") * 1000), "limit", ["total", "mean"])
+    m |= profiles.amounts(F.when(F.col("l_tax") > 0.04, price * F.col("l_tax")), "overdue", ["total", "max"]) | profiles.amounts(days, "days", ["mean", "min", "max"]) | {"__past": -F.min(days)}
+    out = profiles.history(t(spark, sf_dir, "customer").select("c_custkey"), i, "c_custkey", "has_credit_history", m, {"debt_to_credit": ("debt_total", "credit_total"), "history_months": ("__past", 30)}, _CREDIT).drop("__past")
+    return rounded(out, {"days_overdue_mean": 6, "credit_total": 2, "credit_mean": 8, "debt_total": 6, "debt_mean": 8, "debt_max": 4, "limit_mean": 8, "overdue_total": 6, "overdue_max": 4, "days_mean": 6, "debt_to_credit": 6, "history_months": 6})
+
+
+@query("""
+    WITH h AS (SELECT l_suppkey AS s_suppkey, count(*) AS application_count, count(*) FILTER (l_returnflag = 'N') AS approved_count, count(*) FILTER (l_returnflag = 'R') AS refused_count, count(*) FILTER (l_returnflag = 'A') AS canceled_count, count(*) FILTER (l_returnflag = 'U') AS unused_count,
+                 avg(l_extendedprice) AS credit_mean, max(l_extendedprice) AS credit_max, sum(l_extendedprice) AS credit_total, avg(l_quantity) AS annuity_mean, max(l_quantity) AS annuity_max, avg(l_extendedprice * (1 - l_discount)) AS asked_mean, sum(l_extendedprice * (1 - l_discount)) AS asked_total,
+                 avg(-date_diff('day', l_shipdate::DATE, DATE '2002-01-01')) AS decision_mean, count(*) FILTER (date_diff('day', l_shipdate::DATE, DATE '2002-01-01') <= 365) AS recent_count, count(*) FILTER (l_linenumber = 1) AS cash_count, count(*) FILTER (l_linenumber = 2) AS consumer_count, count(*) FILTER (l_linenumber = 3) AS revolving_count FROM lineitem GROUP BY 1)
+    SELECT s_suppkey, application_count, approved_count, refused_count, canceled_count, unused_count, round(credit_mean, 8) AS credit_mean, credit_max, round(credit_total, 2) AS credit_total, round(annuity_mean, 6) AS annuity_mean, annuity_max, round(asked_mean, 8) AS asked_mean, round(asked_total, 6) AS asked_total,
+           round(decision_mean, 6) AS decision_mean, recent_count, cash_count, consumer_count, revolving_count, round(approved_count / application_count, 6) AS approval_ratio, round(refused_count / application_count, 6) AS refusal_ratio, round(canceled_count / application_count, 6) AS canceled_ratio, round(credit_total / asked_total, 6) AS credit_to_asked,
+           1 AS has_application_history FROM supplier JOIN h USING (s_suppkey)""")
+def application_history_profile(spark, sf_dir):
+    """17 measures and 4 ratios of the items that each supplier sold."""
+    i, price = t(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey"), F.col("l_extendedprice")
+    days, asked = -F.datediff(F.lit("2002-01-01").cast("date"), F.col("l_shipdate").cast("date")), F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    m = {"application_count": F.count("*"), **profiles.status_counts(F.col("l_returnflag"), {"approved": "N", "refused": "R", "canceled": "A", "unused": "U"}), **profiles.status_counts(F.col("l_linenumber"), {"cash": 1, "consumer": 2, "revolving": 3})}
+    m |= profiles.amounts(price, "credit", ["mean", "max", "total"]) | profiles.amounts(F.col("l_quantity"), "annuity", ["mean", "max"]) | profiles.amounts(asked, "asked", ["mean", "total"]) | profiles.amounts(days, "decision", ["mean"]) | {"recent_count": count_where(days >= -365)}
+    ratios = {"approval_ratio": ("approved_count", "application_count"), "refusal_ratio": ("refused_count", "application_count"), "canceled_ratio": ("canceled_count", "application_count"), "credit_to_asked": ("credit_total", "asked_total")}
+    zero = [c for c in m if c.endswith(("_count", "_total"))]
+    out = profiles.history(t(spark, sf_dir, "supplier").select("s_suppkey"), i, "s_suppkey", "has_application_history", m, ratios, zero)
+    return rounded(out, {"credit_mean": 8, "credit_total": 2, "annuity_mean": 6, "asked_mean": 8, "asked_total": 6, "decision_mean": 6} | dict.fromkeys(ratios, 6))
+
+
+@query("""
+    WITH l AS (SELECT *, CASE WHEN l_tax > 0 THEN l_discount / l_tax END AS relief, CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity END AS unit FROM lineitem),
+    h AS (SELECT l_partkey, count(l_linenumber) AS months, avg(l_extendedprice) AS balance_mean, max(l_extendedprice) AS balance_max, min(l_extendedprice) AS balance_min, avg(relief) AS relief_mean, max(relief) AS relief_max, min(relief) AS relief_min, avg(unit) AS unit_mean, max(unit) AS unit_max,
+                 sum(l_quantity) AS drawings_total, avg(l_quantity) AS drawings_mean, count(*) FILTER (l_discount > 0.05) AS late_count, count(*) FILTER (l_returnflag = 'R') AS returned_count FROM l GROUP BY 1)
+    SELECT p_partkey, coalesce(months, 0) AS months, round(balance_mean, 8) AS balance_mean, balance_max, balance_min, round(relief_mean, 6) AS relief_mean, round(relief_max, 6) AS relief_max, round(relief_min, 6) AS relief_min, round(unit_mean, 8) AS unit_mean, round(unit_max, 4) AS unit_max, coalesce(drawings_total, 0) AS drawings_total,
+           round(drawings_mean, 6) AS drawings_mean, coalesce(late_count, 0) AS late_count, coalesce(returned_count, 0) AS returned_count, round(late_count / months, 6) AS late_ratio, (months IS NOT NULL)::INT AS has_card_history FROM part LEFT JOIN h ON p_partkey = l_partkey""")
+def utilisation_profile(spark, sf_dir):
+    """Ratios of each item, then their mean, greatest and least by part; an item whose denominator is not positive has none."""
+    i = t(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    i = i.withColumns({"relief": ratio(F.col("l_discount"), F.col("l_tax")), "unit": ratio(F.col("l_extendedprice"), F.col("l_quantity"))})
+    m = {"months": F.count("l_linenumber"), **profiles.amounts(F.col("l_extendedprice"), "balance", ["mean", "max", "min"]), **profiles.amounts(F.col("relief"), "relief", ["mean", "max", "min"]), **profiles.amounts(F.col("unit"), "unit", ["mean", "max"])}
+    m |= profiles.amounts(F.col("l_quantity"), "drawings", ["total", "mean"]) | {"late_count": count_where(F.col("l_discount") > 0.05)} | profiles.status_counts(F.col("l_returnflag"), {"returned": "R"})
+    out = profiles.history(t(spark, sf_dir, "part").select("p_partkey"), i, "p_partkey", "has_card_history", m, {"late_ratio": ("late_count", "months")}, ["months", "drawings_total", "late_count", "returned_count"])
+    return rounded(out, {"balance_mean": 8, "relief_mean": 6, "relief_max": 6, "relief_min": 6, "unit_mean": 8, "unit_max": 4, "drawings_mean": 6, "late_ratio": 6})

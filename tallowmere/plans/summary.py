@@ -204,3 +204,38 @@ def set_algebra(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     k = lambda c: o.where(c).select("o_custkey")
     return k("o_orderstatus = 'F'").intersect(k("o_orderpriority = '1-URGENT'")).subtract(k("o_totalprice > 480000"))
+
+
+@query("""
+    WITH s AS (SELECT 'errors' AS search, * FROM events WHERE event_type = 'error'
+               UNION ALL SELECT 'january', * FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09' AND value >= 10
+               UNION ALL SELECT 'of_one', * FROM events WHERE user_id = 8 AND (ts < TIMESTAMP '2024-01-20' OR ts = TIMESTAMP '2024-01-20' AND event_id < 5000)
+               UNION ALL SELECT 'all', * FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY ts DESC, event_id DESC)::INT AS place, count(*) OVER (PARTITION BY search) > 20 AS has_more FROM s)
+    SELECT search, event_id, event_type, place, has_more FROM r WHERE place <= 20""")
+def log_searches(spark, sf_dir):
+    """Four searches of the log at once: by type, by time and value, a further page of one user's, and everything."""
+    import datetime
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    e = t(spark, sf_dir, "events")
+    found = ranking.searched(e, {
+        "errors": ({"event_type": "error", "user_id": None}, {}, None),
+        "january": ({}, {"ts": (day(5), day(9)), "value": (10.0, None)}, None),
+        "of_one": ({"user_id": 8}, {}, (day(20), 5000)),
+        "all": ({}, {}, None),
+    }, ["ts", "event_id"], 20)
+    return found.select("search", "event_id", "event_type", "place", "has_more")
+
+
+@query("""
+    WITH s AS (SELECT 'urgent' AS search, * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
+               UNION ALL SELECT 'cheap', * FROM orders WHERE o_totalprice < 5000 UNION ALL SELECT 'of_customer', * FROM orders WHERE o_custkey = 17),
+    r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS place, count(*) OVER (PARTITION BY search) > 10 AS has_more FROM s)
+    SELECT search, o_orderkey, place, has_more FROM r WHERE place <= 10""")
+def order_searches(spark, sf_dir):
+    """Three searches of the orders, newest first."""
+    found = ranking.searched(t(spark, sf_dir, "orders"), {
+        "urgent": ({"o_orderpriority": "1-URGENT", "o_orderstatus": "F"}, {}, None), "cheap": ({"o_orderstatus": None}, {"o_totalprice": (None, 5000.0)}, None), "of_customer": ({"o_custkey": 17}, {}, None),
+    }, ["o_orderdate", "o_orderkey"], 10)
+    return found.select("search", "o_orderkey", "place", "has_more")
