@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, audit, entities, explanation, finalization, inference, mart, modeling, release, reports, robustness, summary  # noqa: F401
+from .plans import answers, audit, entities, exhibits, explanation, finalization, inference, mart, modeling, release, reports, robustness, summary  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

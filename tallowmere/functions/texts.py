@@ -128,3 +128,15 @@ def json_in(text: Column) -> Column:
 def safe_name(c: Column) -> Column:
     """A name of a-z, 0-9 and ``_``."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def technical_terms(text: Column, names: Sequence[str] = ()) -> Column:
+    """How many words (runs without white space) hold an underscore, two capitals A-Z in a row or, in any case, one of the names."""
+    found = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w.contains("_") | w.rlike("[A-Z]{2,}") | F.array_contains(F.array(*[F.lower(w).contains(n.lower()) for n in names] or [F.lit(False)]), True))
+    return F.size(found).cast("long")
+
+
+def heavy_prose(text: Column, lexicon: Sequence[str], least: int = 5) -> Column:
+    """Whether at least ``least`` of the text's words (runs of a-z in lower case, repeats counted) are in the lexicon."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), 0)
+    return F.size(F.filter(words, lambda w: w.isin(list(lexicon)))) >= least

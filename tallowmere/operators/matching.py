@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.texts import coverage, match_priority, pair_match, tokens
 
+from ..functions.numeric import count_where
+
 
 def candidates(claims: DataFrame, phrases: DataFrame) -> DataFrame:
     """Pairs of one package with one feature or one concept (missing ones never match), as a union of two equi-joins.
@@ -44,3 +48,57 @@ def repeat_similarity(sets: DataFrame, group: str, repeat: str, items: str) -> D
     b = sets.select(group, F.col(repeat).alias("__j"), F.col(items).alias("__b"))
     j = a.join(b, group).where(F.col("__i") < F.col("__j"))
     return j.groupBy(group).agg(F.count("*").alias("pairs"), F.avg(jaccard(F.col("__a"), F.col("__b"))).alias("mean_jaccard"))
+
+
+def evidence_mentions(outputs: DataFrame, items: DataFrame, ranks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """Which of its package's evidence each output mentions: counts and rates of features and concepts, rates of the first ``ranks`` features, and valid and invalid declarations.
+
+    ``outputs(output_id, package_id, text, declared_features, declared_concepts)``: ``text`` normalised, null where there is no output, which mentions
+    and declares nothing.  ``items(package_id, item_order, feature_id, aliases, concept_id, concept_aliases)``: a package's items are a few dozen and
+    become one row; aliases are normalised, those under three characters don't count.  A feature or concept is mentioned if the output
+    declares it or contains an alias.  Rates of nothing are missing; an output without a package has counts of 0.
+    """
+    item = F.struct("item_order", "feature_id", "aliases", "concept_id", "concept_aliases")
+    p = items.groupBy("package_id").agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    o = outputs.join(p, "package_id", "left").withColumn("__items", F.coalesce("__items", F.array().cast(p.schema["__items"].dataType)))
+    some = lambda c: F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False))))
+    spoken = F.col("text").isNotNull()
+    o = o.withColumns({c: F.when(spoken, some(F.col(c))).otherwise(F.array().cast("array<string>")) for c in ("declared_features", "declared_concepts")})
+    stands = lambda xs: F.exists(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.coalesce((F.length(x) >= 3) & F.col("text").contains(x), F.lit(False)))
+    has = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
+    o = o.withColumn("__seen", F.transform("__items", lambda x: spoken & (has(F.col("declared_features"), x["feature_id"]) | stands(x["aliases"]))))
+    concepts = some(F.transform("__items", lambda x: x["concept_id"]))
+    o = o.withColumn("__concepts", concepts)
+    spells = lambda k: F.exists("__items", lambda x: (x["concept_id"] == k) & stands(x["concept_aliases"]))
+    o = o.withColumn("__known", F.filter("__concepts", lambda k: spoken & (has(F.col("declared_concepts"), k) | F.coalesce(spells(k), F.lit(False)))))
+    n, k = F.size("__items"), F.size("__concepts")
+    hits = lambda xs: F.size(F.filter(xs, lambda b: b))
+    rate = lambda a, b: F.when(b > 0, a / b)
+    out = {"selected_features": n, "mentioned_features": hits(F.col("__seen")), "feature_mention_rate": rate(hits(F.col("__seen")), n)}
+    out |= {f"top{r}_mention_rate": rate(hits(F.slice("__seen", 1, r)), F.least(n, F.lit(r))) for r in ranks}
+    out |= {"exposed_concepts": k, "mentioned_concepts": F.size("__known"), "concept_mention_rate": rate(F.size("__known"), k)}
+    allowed = {"features": some(F.transform("__items", lambda x: x["feature_id"])), "concepts": F.col("__concepts")}
+    for what, ids in allowed.items():
+        declared = F.col(f"declared_{what}")
+        valid = F.size(F.array_intersect(declared, ids))
+        out |= {f"n_declared_{what}": F.size(declared), f"valid_{what}": valid, f"invalid_{what}": F.size(declared) - valid}
+    return o.select("output_id", "package_id", *[c.alias(name) for name, c in out.items()])
+
+
+def repeat_stability(repeats: DataFrame, by: Sequence[str], repeat: str) -> DataFrame:
+    """By group: repeats, usable ones, share with a valid schema, deviation (n) of the usable ones' lengths and factor counts, and the mean Jaccard similarity of
+    the features and concepts of all pairs of usable repeats.
+
+    ``repeats`` has ``usable``, ``schema_valid``, ``length``, ``factors``, ``features`` and ``concepts`` (arrays); a group's repeats are a handful.
+    Without a usable repeat the deviations are missing, with one the similarities.
+    """
+    ok = F.coalesce(F.col("usable"), F.lit(False))
+    g = repeats.groupBy(*by).agg(
+        F.count("*").alias("repeats"), count_where(ok).alias("usable_repeats"), (count_where(F.col("schema_valid")) / F.count("*")).alias("schema_stability_rate"),
+        F.stddev_pop(F.when(ok, F.col("length"))).alias("length_sd"), F.stddev_pop(F.when(ok, F.col("factors"))).alias("factors_sd"),
+    )
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    usable, g = repeats.where(ok).withColumn("__g", key), g.withColumn("__g", key)
+    for what in ("features", "concepts"):
+        g = g.join(repeat_similarity(usable, "__g", repeat, what).select("__g", F.col("mean_jaccard").alias(f"{what}_jaccard")), "__g", "left")
+    return g.drop("__g")

@@ -109,3 +109,42 @@ def nesting(packages: DataFrame, key: str, inner: str, outer: str) -> DataFrame:
     j = a.join(b, F.col(key) == F.col("__k"), "left")
     lacking = F.size(F.array_except("f", F.coalesce("g", F.array().cast("array<string>"))))
     return j.select(key, lacking.alias("missing")).where("missing > 0")
+
+
+# ---- tables of a release ---------------------------------------------------------------------
+
+
+def reconciled(table: DataFrame, certified: DataFrame, id_: Column, value: str, tolerance: float = 1e-12) -> DataFrame:
+    """``table`` with ``report_number_id``, its rows' number among ``certified(report_number_id, value)``.
+
+    It fails closed: a row whose number is not certified once, or differs from it by more than ``tolerance``, raises an error when it is computed.  Two missing values agree.
+    """
+    c = certified.groupBy(F.col("report_number_id").alias("__id")).agg(F.count("*").alias("__times"), F.max(F.col("value").cast("double")).alias("__v"))
+    j = table.withColumn("report_number_id", id_).join(c, F.col("report_number_id") == F.col("__id"), "left")
+    x = F.col(value).cast("double")
+    same = F.coalesce(F.abs(x - F.col("__v")) <= tolerance, x.isNull() & F.col("__v").isNull())
+    good = (F.coalesce("__times", F.lit(0)) == 1) & same
+    error = F.raise_error(F.concat(F.lit("not certified: "), F.coalesce("report_number_id", F.lit("a row without a number"))))
+    # the error stands in a column that is returned, so that no plan can leave it out
+    return j.withColumn("report_number_id", F.when(good, F.col("report_number_id")).otherwise(error.cast("string"))).select(*table.columns, "report_number_id")
+
+
+def across(first: DataFrame, second: DataFrame, key: str, columns: Sequence[str], names: tuple[str, str], flag: str | None = None) -> DataFrame:
+    """What both studies have by ``key``: the columns under each study's name, and ``both_<flag>`` where a flag is named (an unknown one is false)."""
+    side = lambda d, n: d.select(key, *[F.col(c).alias(f"{n}_{c}") for c in columns])
+    j = side(first, names[0]).join(side(second, names[1]), key)
+    if flag is None:
+        return j
+    return j.withColumn(f"both_{flag}", F.coalesce(F.col(f"{names[0]}_{flag}") & F.col(f"{names[1]}_{flag}"), F.lit(False)))
+
+
+def case_index(generations: DataFrame, by: Sequence[str], usable: Column, claims: Column) -> DataFrame:
+    """By case: generations, usable ones, claims (0 of none) and whether the case is complete: every generation usable."""
+    g = generations.groupBy(*by).agg(F.count("*").alias("generations"), F.count(F.when(usable, 1)).alias("usable_generations"), F.coalesce(F.sum(claims), F.lit(0)).alias("claims"))
+    return g.withColumn("complete_case", F.col("usable_generations") == F.col("generations"))
+
+
+def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(table_name, column_name, place, data_type)`` of several tables, from their schemas alone."""
+    rows = [(n, f.name, i, f.dataType.simpleString()) for n, d in sorted(tables.items()) for i, f in enumerate(d.schema.fields)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, column_name string, place int, data_type string")

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -272,3 +272,39 @@ def class_report(df: DataFrame, truth: str, predicted: str, classes: Sequence[st
     r = one.select(F.explode(rows).alias("r")).select("r.*")
     r = r.withColumn("precision", ratio(F.col("tp"), F.col("predicted"), 0.0)).withColumn("recall", ratio(F.col("tp"), F.col("support"), 0.0))
     return r.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0)).drop("tp", "predicted")
+
+
+def class_summary(df: DataFrame, truth: str, predicted: str, classes: Sequence[str], accepted: str) -> DataFrame:
+    """One row: macro_f1 over the classes, false_accept_rate (of what is not ``accepted``, how much is predicted so) and false_reject_rate
+    (of what is, how much is not).  Rates are 0 without a denominator; rows that lack either label count as another class.
+    """
+    f1 = class_report(df, truth, predicted, classes).agg(F.avg("f1").alias("macro_f1"))
+    is_ = lambda c: F.coalesce(F.col(c).cast("string") == accepted, F.lit(False))
+    t, p = is_(truth), is_(predicted)
+    rates = df.agg(count_where(~t & p).alias("a"), count_where(~t).alias("na"), count_where(t & ~p).alias("r"), count_where(t).alias("nr"))
+    return f1.join(F.broadcast(rates), F.lit(True)).select("macro_f1", ratio(F.col("a"), F.col("na"), 0.0).alias("false_accept_rate"), ratio(F.col("r"), F.col("nr"), 0.0).alias("false_reject_rate"))
+
+
+def planned_contrasts(spark: SparkSession, models: Sequence[str], levels: Sequence[str], baseline: str) -> DataFrame:
+    """The contrast table of a design of models and evidence levels: ``(contrast_id, family, first, second)``, conditions named ``model|level``.
+
+    All pairs of models within each level, then each model's levels against its ``baseline``: 18 and 15 for three models and six levels.
+    """
+    if baseline not in levels:
+        raise ValueError(f"the baseline {baseline} is not among the levels")
+    name = lambda m, e: f"{m}|{e}"
+    pairs = [("model_within_level", name(a, e), name(b, e)) for e in levels for i, a in enumerate(models) for b in models[i + 1 :]]
+    pairs += [("level_against_baseline", name(m, e), name(m, baseline)) for m in models for e in levels if e != baseline]
+    return spark.createDataFrame([(f"{a} - {b}", f, a, b) for f, a, b in pairs], "contrast_id string, family string, first string, second string")
+
+
+def planned_summary(facts: DataFrame, case: str, model: str, level: str, y: str, design: DataFrame) -> DataFrame:
+    """Each contrast of :func:`planned_contrasts` with its family, the cases planned, those with both values (pairs) and their differences.
+
+    A contrast without a pair is a row too, with 0 pairs.
+    """
+    f = facts.withColumn("__c", F.concat_ws("|", F.col(model), F.col(level)))
+    planned = f.agg(F.count_distinct(case).alias("planned_pairs"))  # one row
+    s = contrast_summary(paired(f, case, "__c", y, design.select("contrast_id", "first", "second"))).drop("first", "second")
+    out = design.join(s, "contrast_id", "left").join(F.broadcast(planned), F.lit(True))
+    return out.fillna(0, ["pairs", "positive", "negative", "zero"])
