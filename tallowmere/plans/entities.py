@@ -212,7 +212,7 @@ def application_history_profile(spark, sf_dir):
     WITH l AS (SELECT *, CASE WHEN l_tax > 0 THEN l_discount / l_tax END AS relief, CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity END AS unit FROM lineitem),
     h AS (SELECT l_partkey, count(l_linenumber) AS months, avg(l_extendedprice) AS balance_mean, max(l_extendedprice) AS balance_max, min(l_extendedprice) AS balance_min, avg(relief) AS relief_mean, max(relief) AS relief_max, min(relief) AS relief_min, avg(unit) AS unit_mean, max(unit) AS unit_max,
                  sum(l_quantity) AS drawings_total, avg(l_quantity) AS drawings_mean, count(*) FILTER (l_discount > 0.05) AS late_count, count(*) FILTER (l_returnflag = 'R') AS returned_count FROM l GROUP BY 1)
-    SELECT p_partkey, coalesce(months, 0) AS months, round(balance_mean, 8) AS balance_mean, balance_max, balance_min, round(relief_mean, 6) AS relief_mean, round(relief_max, 9) AS relief_max, round(relief_min, 9) AS relief_min, round(unit_mean, 6) AS unit_mean, round(unit_max, 9) AS unit_max, coalesce(drawings_total, 0) AS drawings_total,
+    SELECT p_partkey, coalesce(months, 0) AS months, round(balance_mean, 8) AS balance_mean, balance_max, balance_min, round(relief_mean, 9) AS relief_mean, round(relief_max, 9) AS relief_max, round(relief_min, 9) AS relief_min, round(unit_mean, 6) AS unit_mean, round(unit_max, 9) AS unit_max, coalesce(drawings_total, 0) AS drawings_total,
            round(drawings_mean, 6) AS drawings_mean, coalesce(late_count, 0) AS late_count, coalesce(returned_count, 0) AS returned_count, round(late_count / months, 6) AS late_ratio, (months IS NOT NULL)::INT AS has_card_history FROM part LEFT JOIN h ON p_partkey = l_partkey""")
 def utilisation_profile(spark, sf_dir):
     """Ratios of each item, then their mean, greatest and least by part; an item whose denominator is not positive has none."""
@@ -221,4 +221,4 @@ def utilisation_profile(spark, sf_dir):
     m = {"months": F.count("l_linenumber"), **profiles.amounts(F.col("l_extendedprice"), "balance", ["mean", "max", "min"]), **profiles.amounts(F.col("relief"), "relief", ["mean", "max", "min"]), **profiles.amounts(F.col("unit"), "unit", ["mean", "max"])}
     m |= profiles.amounts(F.col("l_quantity"), "drawings", ["total", "mean"]) | {"late_count": count_where(F.col("l_discount") > 0.05)} | profiles.status_counts(F.col("l_returnflag"), {"returned": "R"})
     out = profiles.history(t(spark, sf_dir, "part").select("p_partkey"), i, "p_partkey", "has_card_history", m, {"late_ratio": ("late_count", "months")}, ["months", "drawings_total", "late_count", "returned_count"])
-    return rounded(out, {"balance_mean": 8, "relief_mean": 6, "relief_max": 9, "relief_min": 9, "unit_mean": 6, "unit_max": 9, "drawings_mean": 6, "late_ratio": 6})
+    return rounded(out, {"balance_mean": 8, "relief_mean": 9, "relief_max": 9, "relief_min": 9, "unit_mean": 6, "unit_max": 9, "drawings_mean": 6, "late_ratio": 6})
