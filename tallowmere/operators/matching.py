@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.texts import coverage, match_priority, pair_match, tokens
-
 from ..functions.numeric import count_where
+from ..functions.texts import coverage, match_priority, pair_match, tokens
+from ..session import staged
 
 
 def candidates(claims: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -57,9 +57,10 @@ def evidence_mentions(outputs: DataFrame, items: DataFrame, ranks: Sequence[int]
     and declares nothing.  ``items(package_id, item_order, feature_id, aliases, concept_id, concept_aliases)``: a package's items are a few dozen and
     become one row; aliases are normalised, those under three characters don't count.  A feature or concept is mentioned if the output
     declares it or contains an alias.  Rates of nothing are missing; an output without a package has counts of 0.
+    The packages are stored first, so that Spark knows their size: small ones go to where the outputs lie, and for large ones it splits a package with very many outputs.
     """
     item = F.struct("item_order", "feature_id", "aliases", "concept_id", "concept_aliases")
-    p = items.groupBy("package_id").agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    p = staged(items.groupBy("package_id").agg(F.array_sort(F.collect_list(item)).alias("__items")))
     o = outputs.join(p, "package_id", "left").withColumn("__items", F.coalesce("__items", F.array().cast(p.schema["__items"].dataType)))
     some = lambda c: F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False))))
     spoken = F.col("text").isNotNull()
