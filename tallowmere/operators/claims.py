@@ -73,18 +73,39 @@ def concept_view(items: DataFrame) -> DataFrame:
 
     Directions of a concept's features are one, or mixed; the strongest feature gives its strength.
     """
+    return _by_concept(items).where("concept_id is not null")
+
+
+def _by_concept(items: DataFrame, *more: Column) -> DataFrame:
+    """:func:`concept_view` with a row for the items without concept, which no rank counts, and ``more`` aggregates."""
+    from pyspark.sql import Window as W
+
     d = singular(F.col("direction"))
     # counts and extremes instead of distinct counts, for each of which Spark would repeat the rows
     several = (count_where(d == "increase_risk") > 0) & (count_where(d == "decrease_risk") > 0)
     mixed = several | (count_where(d == "mixed") > 0)
-    g = items.where("concept_id is not null").groupBy("package_id", "concept_id").agg(
+    g = items.groupBy("package_id", "concept_id").agg(
         F.when(mixed, "mixed").when(F.min(d) == F.max(d), F.min(d)).otherwise("unknown").alias("c_direction"),
-        F.sum("abs_shap_value").alias("c_mass"), F.count("*").alias("c_features"), F.max_by("strength", F.struct("abs_shap_value", "feature_id")).alias("c_strength"),
+        F.sum("abs_shap_value").alias("c_mass"), F.count("*").alias("c_features"), F.max_by("strength", F.struct("abs_shap_value", "feature_id")).alias("c_strength"), *more,
     )
+    none = F.col("concept_id").isNull()
+    return g.withColumn("c_rank", F.rank().over(W.partitionBy("package_id", none).orderBy(F.desc("c_mass")))).withColumn("c_tied", F.count("*").over(W.partitionBy("package_id", none, "c_mass")) > 1)
+
+
+def shown(items: DataFrame) -> DataFrame:
+    """``(package_id, p_features, p_items, p_concepts)``: what a package shows, its features and its concepts, in one row.
+
+    Items are dealt by package once; all that follows stays where they lie.  A package is what an author was shown, so it fits a row.
+    """
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("package_id")
-    return g.withColumn("c_rank", F.rank().over(w.orderBy(F.desc("c_mass")))).withColumn("c_tied", F.count("*").over(W.partitionBy("package_id", "c_mass")) > 1)
+    i = items.withColumn("p_features", F.count("*").over(W.partitionBy("package_id")))
+    d = singular(F.col("direction"))
+    item = F.struct("feature_id", F.lower("feature_id").alias("lower"), "abs_shap_value", d.alias("direction"), (F.col("direction") != d).alias("normalised"), "rank", "strength")
+    g = _by_concept(i, F.collect_list(item).alias("__items"), F.max("p_features").alias("p_features"))
+    names = ("direction", "features", "strength", "rank", "tied")
+    concept = F.when(F.col("concept_id").isNotNull(), F.struct("concept_id", *[F.col(f"c_{n}").alias(n) for n in names]))
+    return g.groupBy("package_id").agg(F.max("p_features").alias("p_features"), F.flatten(F.collect_list("__items")).alias("p_items"), F.collect_list(concept).alias("p_concepts"))
 
 
 def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataFrame:
@@ -95,30 +116,33 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
     evidence_level, predicted_label, positive_label, probability, threshold, is_above_threshold,
     allow_causal_claim, allow_financial_advice, selected_evidence_count, allowed_feature_ids,
     allowed_concept_ids)``; ``items(package_id, feature_id, concept_id, direction, abs_shap_value, rank,
-    strength)``, what the package shows.  Each claim joins its package and at most one feature and one
-    concept; a claim without package gets the status of a failed check, and no claim is lost.
+    strength)``, what the package shows.  Each claim joins its package, where at most one feature and one
+    concept are its own; a claim without package gets the status of a failed check, and no claim is lost.
     """
-    from pyspark.sql import Window as W
-
-    by_value = F.count("*").over(W.partitionBy("package_id", "abs_shap_value")) > 1
-    f = items.withColumn("__tied", by_value).select("package_id", "feature_id", singular(F.col("direction")).alias("f_direction"), (F.col("direction") != singular(F.col("direction"))).alias("f_normalised"), F.col("rank").alias("f_rank"), F.col("strength").alias("f_strength"), F.col("__tied").alias("f_tied"), F.lit(True).alias("f_shown"))
-    aliases = items.groupBy("package_id").agg(F.collect_set(F.lower("feature_id")).alias("p_lower"), F.count("*").alias("p_features"), F.size(F.collect_set("concept_id")).alias("p_concepts"))
-    c = concept_view(items).withColumn("c_shown", F.lit(True))
-    mixed = c.groupBy("package_id").agg(F.bool_or(F.col("c_direction") == "mixed").alias("p_mixed"))
-    p = packages.join(aliases, "package_id", "left").join(mixed, "package_id", "left").withColumn("p_known", F.lit(True))
-    own = [x for x in p.columns if x != "package_id" and x in claims.columns]
-    j = claims.join(p.drop(*own), "package_id", "left").join(f, ["package_id", "feature_id"], "left").join(c, ["package_id", "concept_id"], "left")
+    own = [x for x in packages.columns if x != "package_id" and x in claims.columns]
+    p = packages.drop(*own).withColumn("p_known", F.lit(True))
+    # what the rules take from texts goes along instead of these, and packages and what they show meet the claims in one deal of these
+    over, guarded = r"(?i)\b(will certainly|guarantees?( that)?|absolutely accurate)\b", r"(?i)\b(not|cannot|can't|no)\b[^.]{0,40}\b(guarantee|certain|accurate)"
+    c = claims.withColumn("__said", F.replace(F.regexp_extract("source_text", r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(","), F.lit(".")).try_cast("double") / 100)
+    c = c.withColumn("__over", F.col("source_text").rlike(over) & ~F.col("source_text").rlike(guarded))
+    j = c.join(p, "package_id", "left").join(shown(items), "package_id", "left")
+    # one feature and one concept at most
+    j = j.withColumn("__f", F.get(F.filter("p_items", lambda x: x["feature_id"] == F.col("feature_id")), 0)).withColumn("__c", F.get(F.filter("p_concepts", lambda x: x["concept_id"] == F.col("concept_id")), 0))
+    j = j.withColumns({f"f_{n}": F.col("__f")[n] for n in ("direction", "normalised", "rank", "strength")} | {f"c_{n}": F.col("__c")[n] for n in ("direction", "features", "strength", "rank", "tied")})
+    alike = F.size(F.filter("p_items", lambda x: x["abs_shap_value"].eqNullSafe(F.col("__f")["abs_shap_value"])))
+    j = j.withColumns({"f_tied": alike > 1, "f_shown": F.when(F.col("__f").isNotNull(), True), "c_shown": F.when(F.col("__c").isNotNull(), True)})
+    j = j.withColumns({"p_alias": F.exists("p_items", lambda x: x["lower"] == F.lower("feature_id")), "p_mixed": F.exists("p_concepts", lambda x: x["direction"] == "mixed"), "p_n_concepts": F.size("p_concepts")})
     col = F.col
     s0 = col("evidence_level") == "S0"
     feature = col("feature_id").isNotNull()
     claimed_label = F.when(col("direction") == "increase_risk", True).when(col("direction") == "decrease_risk", False)
     label = _reason((col("predicted_label").isNull() | claimed_label.isNull(), "PREDICTION_VALUE_UNAVAILABLE"), (claimed_label != (col("predicted_label") == col("positive_label")), "PREDICTION_LABEL_MISMATCH"), otherwise="EXACT_MATCH")
-    said = F.replace(F.regexp_extract("source_text", r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(","), F.lit(".")).try_cast("double") / 100
+    said = col("__said")
     off = F.abs(said - col("probability"))
     score = _reason((said.isNull(), "SEMANTIC_SOURCE_UNFROZEN"), (off > 5e-05, "PREDICTION_PROBABILITY_MISMATCH"), (off == 0, "NORMALIZED_MATCH"), otherwise="TOLERANCE_MATCH")
     threshold = _reason((claimed_label.isNull(), "PREDICTION_VALUE_UNAVAILABLE"), (claimed_label != col("is_above_threshold"), "PREDICTION_THRESHOLD_MISMATCH"), otherwise="EXACT_MATCH")
     prediction = F.when(col("claim_subtype") == "OVERALL_PROBABILITY", score).when(col("claim_subtype") == "THRESHOLD_COMPARISON", threshold).otherwise(label)
-    feature_presence = _reason((s0, "FEATURE_NOT_EXPOSED"), (col("f_shown"), "EXACT_MATCH"), (F.array_contains("p_lower", F.lower("feature_id")), "FEATURE_ALIAS_UNRESOLVED"), otherwise="FEATURE_NOT_FOUND_IN_EVIDENCE")
+    feature_presence = _reason((s0, "FEATURE_NOT_EXPOSED"), (col("f_shown"), "EXACT_MATCH"), (col("p_alias"), "FEATURE_ALIAS_UNRESOLVED"), otherwise="FEATURE_NOT_FOUND_IN_EVIDENCE")
     feature_direction = _reason((s0, "DIRECTION_NOT_EXPOSED"), (col("f_shown").isNull(), "FEATURE_NOT_FOUND_IN_EVIDENCE"), otherwise=_compared(col("direction"), col("f_direction"), col("f_normalised")))
     concept_presence = _reason((s0, "CONCEPT_NOT_EXPOSED"), (col("c_shown"), "EXACT_MATCH"), otherwise="CONCEPT_NOT_FOUND_IN_EVIDENCE")
     concept_direction = _reason((s0, "DIRECTION_NOT_EXPOSED"), (col("c_shown").isNull(), "CONCEPT_NOT_FOUND_IN_EVIDENCE"), otherwise=_compared(col("direction"), col("c_direction"), F.lit(False)))
@@ -142,11 +166,9 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
         (s0, "MAGNITUDE_NOT_EXPOSED"), (col("claim_subtype").isin("COMPARATIVE_STRENGTH", "OVERALL_BALANCE"), "MAGNITUDE_SEMANTICS_UNSUPPORTED"), (seen.isNull(), "MAGNITUDE_UNSUPPORTED"),
         (~F.coalesce(shown_strength.isin(*STRENGTHS), F.lit(False)), "MAGNITUDE_SOURCE_MISSING"), (more > 0, "MAGNITUDE_OVERSTATED"), (more < 0, "MAGNITUDE_UNDERSTATED"), otherwise="MAGNITUDE_MATCH",
     )
-    sure = col("certainty") == "deterministic"
-    over, guarded = r"(?i)\b(will certainly|guarantees?( that)?|absolutely accurate)\b", r"(?i)\b(not|cannot|can't|no)\b[^.]{0,40}\b(guarantee|certain|accurate)"
-    overclaim = col("source_text").rlike(over) & ~col("source_text").rlike(guarded)
+    sure, overclaim = col("certainty") == "deterministic", col("__over")
     uncertainty = _reason((sure & overclaim, "CERTAINTY_OVERCLAIM"), (col("claim_subtype") == "CONFIDENCE_STRENGTH", "SEMANTIC_SOURCE_UNFROZEN"), ((col("claim_subtype") == "EVIDENCE_SCOPE_UNCERTAINTY") & ~s0, "UNCERTAINTY_NOT_GROUNDED"), ((col("claim_subtype") == "PROBABILITY_HEDGE") & (col("certainty") == "probabilistic"), "NORMALIZED_MATCH"), ((col("claim_subtype") == "PROBABILITY_HEDGE") & (col("certainty") != "hedged"), "UNCERTAINTY_NOT_GROUNDED"), otherwise="EXACT_MATCH")
-    grounded = F.when(col("claim_subtype") == "MULTIPLE_FEATURES", col("p_features") > 1).when(col("claim_subtype") == "MULTIPLE_CONCEPTS", col("p_concepts") > 1).when(col("claim_subtype") == "MIXED_DIRECTIONS", F.coalesce("p_mixed", F.lit(False)))
+    grounded = F.when(col("claim_subtype") == "MULTIPLE_FEATURES", col("p_features") > 1).when(col("claim_subtype") == "MULTIPLE_CONCEPTS", col("p_n_concepts") > 1).when(col("claim_subtype") == "MIXED_DIRECTIONS", F.coalesce("p_mixed", F.lit(False)))
     distributed = _reason((grounded, "EXACT_MATCH"), (~grounded, "POLICY_RULE_NOT_APPLICABLE"), otherwise="SEMANTIC_SOURCE_UNFROZEN")
     recommendation = _reason((sure & overclaim, "GUARANTEE_OVERCLAIM"), otherwise="SEMANTIC_SOURCE_UNFROZEN")
     allowed = F.coalesce("allow_causal_claim", F.lit(False))

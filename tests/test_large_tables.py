@@ -29,3 +29,10 @@ def test_parts_with_one_name_are_one_feature(spark, long_keys, name):
     key = lambda x: tuple(map(str, x))
     got = sorted((tuple(map(cell, x)) for x in df.select(*names).collect()), key=key)
     assert got == sorted((tuple(map(cell, x)) for x in r), key=key)
+
+
+@pytest.mark.parametrize(("name", "most"), [("claim_validation", 4), ("claim_type_counts", 4), ("claim_group_summary", 5), ("claim_type_profile", 7)])
+def test_claims_and_evidence_are_dealt_once(spark, small, name, most):
+    """Lines as items, lines as claims, packages and what they allow: one deal each, and what few rows of results need."""
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= most
