@@ -37,14 +37,14 @@ def mutated(claims: DataFrame, mutations: Sequence[Mutation], key: str = "claim_
     return claims.select(F.explode(F.array_compact(F.array(*each))).alias("r")).select("r.*")
 
 
-def sensitivity(claims: DataFrame, mutations: Sequence[Mutation], validate: Callable[[DataFrame], DataFrame], status: str = "validation_status", key: str = "claim_id") -> DataFrame:
+def sensitivity(claims: DataFrame, mutations: Sequence[Mutation], validate: Callable[[DataFrame], DataFrame], status: str = "validation_status", key: str = "claim_id", within: Sequence[str] = ()) -> DataFrame:
     """``(mutation, mutants, caught, changed, rate)``: how many supported claims were changed, how many of these were caught, and how many verdicts changed.
 
     ``validate`` adds ``status`` to claims and keeps their columns.  Only mutants of claims that were SUPPORTED count; a mutation that no such claim has gets
-    zeros and no rate.
+    zeros and no rate.  ``within`` names columns that no mutation changes: where ``validate`` leaves the claims dealt by these, verdicts meet where they lie.
     """
-    v = validate(mutated(claims, mutations, key)).select("mutation", "__of", F.col(status).alias("verdict"))
-    g = v.groupBy("__of").agg(F.max(F.when(F.col("mutation").isNull(), F.col("verdict"))).alias("own"), F.collect_list(F.when(F.col("mutation").isNotNull(), F.struct("mutation", "verdict"))).alias("m"))
+    v = validate(mutated(claims, mutations, key)).select("mutation", "__of", *within, F.col(status).alias("verdict"))
+    g = v.groupBy(*within, "__of").agg(F.max(F.when(F.col("mutation").isNull(), F.col("verdict"))).alias("own"), F.collect_list(F.when(F.col("mutation").isNotNull(), F.struct("mutation", "verdict"))).alias("m"))
     m = g.where("own = 'SUPPORTED'").select(F.explode("m").alias("m")).select("m.*")
     table = claims.sparkSession.createDataFrame([(x.name, list(x.caught)) for x in mutations], "mutation string, __caught array<string>")
     j = table.join(m, "mutation", "left")

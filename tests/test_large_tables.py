@@ -31,7 +31,7 @@ def test_parts_with_one_name_are_one_feature(spark, long_keys, name):
     assert got == sorted((tuple(map(cell, x)) for x in r), key=key)
 
 
-@pytest.mark.parametrize(("name", "most"), [("claim_validation", 4), ("claim_type_counts", 4), ("claim_group_summary", 5), ("claim_type_profile", 7)])
+@pytest.mark.parametrize(("name", "most"), [("claim_validation", 4), ("claim_type_counts", 4), ("claim_group_summary", 5), ("claim_type_profile", 7), ("validator_sensitivity", 6)])
 def test_claims_and_evidence_are_dealt_once(spark, small, name, most):
     """Lines as items, lines as claims, packages and what they allow: one deal each, and what few rows of results need."""
     plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
