@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence, models, preparation, trees
 from ..operators.quantiles import quantiles
+from ..session import staged
 from .registry import query, rounded, t
 
 #: A linear score of an order: its lines' quantity, mean discount and number.
@@ -50,7 +51,7 @@ def model_scores(spark, sf_dir):
     """Scores of a logistic regression with balanced weights, fitted on the training split: returned flags from a line's numbers."""
     names = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     d = t(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"), *[F.col(n).cast("double").alias(n) for n in names], (F.col("l_returnflag") == "R").cast("int").alias("label"))
-    d = preparation.stratified_split(d, "case_id", "label", "model")
+    d = staged(preparation.stratified_split(d, "case_id", "label", "model"))  # read by the imputation, the fit and the scores
     fitted = preparation.imputation(d.where("split = 'train'"), names, [])
     x = models.assembled(preparation.with_balanced_weight(preparation.imputed_scaled(d, fitted, names), "label"), names)
     model = models.classifiers()["logistic_regression"].fit(x.where("split = 'train'"))

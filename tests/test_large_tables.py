@@ -36,3 +36,8 @@ def test_claims_and_evidence_are_dealt_once(spark, small, name, most):
     """Lines as items, lines as claims, packages and what they allow: one deal each, and what few rows of results need."""
     plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= most
+
+
+def test_scores_read_the_split_that_the_model_was_fitted_on(spark, small):
+    """The hashes that split the lines are made once, not again for each reader."""
+    assert "md5(" not in catalog.QUERIES["model_scores"](spark, small)._jdf.queryExecution().executedPlan().toString()
