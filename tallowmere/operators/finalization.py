@@ -82,7 +82,7 @@ def split_numbers(claims: DataFrame) -> DataFrame:
     more = [x for x in claims.columns if x not in CLAIM]
 
     def row(change: dict[str, Column], rule: Column) -> Column:
-        fields = [change.get(k, F.col(k)).cast(claims.schema[k].dataType).alias(k) for k in (*CLAIM, *more) if k != "rules"]
+        fields = [change.get(k, F.col(k)).cast(claims.schema[k].dataType).alias(k) for k in (*CLAIM[1:], *more) if k != "rules"]
         return F.struct(*fields, F.array_compact(F.array_union(F.coalesce("rules", F.array().cast("array<string>")), F.array(rule))).alias("rules"))
 
     if "rules" not in claims.columns:
@@ -91,18 +91,18 @@ def split_numbers(claims: DataFrame) -> DataFrame:
     rows = F.when(carried, F.array(row(bare, F.lit("NUMBER_SPLIT_OFF")), row(derived, F.lit("DERIVED_NUMERIC")))).otherwise(
         F.array(F.when(numeric & F.col("__at").isNotNull(), row(place, F.when(moved, "MINIMIZE_NUMERIC_SOURCE"))).otherwise(row({}, F.lit(None).cast("string"))))
     )
-    return c.select(F.explode(rows).alias("r")).select("r.*")
+    return c.select("generation_id", F.explode(rows).alias("r")).select("generation_id", "r.*")  # a generation's rows stay where they lie
 
 
 def count_facts(sections: DataFrame) -> DataFrame:
     """Counts that texts state: ``generation_id, target, value, source_section, source_factor_id, source_text, start, end``.
 
     ``sections(generation_id, source_section, source_factor_id, start, text)``.  Of one target and value the first place counts.  Places come
-    from the lengths of what lies before them, added up by section.
+    from the lengths of what lies before them, added up by section.  Sections that state a count are dealt once, by generation.
     """
     pattern = rf"(?i)(\d+)\s+({COUNTED})(?=\s|[.,;:)]|$)"
-    sections = sections.select("generation_id", "source_section", "source_factor_id", "start", "text").distinct()
-    s = sections.withColumn("__n", F.regexp_extract_all("text", F.lit(pattern), 0)).where(F.size("__n") > 0)
+    sections = sections.select("generation_id", "source_section", "source_factor_id", "start", "text").where(F.col("text").rlike(pattern))
+    s = sections.repartition("generation_id").distinct().withColumn("__n", F.regexp_extract_all("text", F.lit(pattern), 0))
     parts = F.arrays_zip(F.col("__n").alias("whole"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("digits"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("noun"), F.split("text", pattern, -1).alias("before"))
     e = s.select("generation_id", "source_section", "source_factor_id", "start", F.posexplode(parts).alias("place", "p")).where("p.whole is not null")
     so_far = W.partitionBy("generation_id", "source_section", "source_factor_id", "start").orderBy("place")
@@ -131,31 +131,40 @@ def with_counts(claims: DataFrame, facts: DataFrame) -> DataFrame:
 
     A fact belongs to the numeric claims with its value at its place, if there are none to those with its value and target; these take its form.
     Else a claim is added after the model of the least claim around its place, in its section, or of its generation.
-    A generation without claims gets none.
+    A generation without claims gets none.  A generation's facts are one row, which meets its claims where they lie; all else is windows over
+    generations, so claims are dealt once.
     """
-    names = ("target", "value", "source_section", "source_factor_id", "source_text", "start", "end")
-    f = facts.select("generation_id", *[F.col(x).alias(f"__{x}") for x in names])
-    fact = {x: F.col(f"__{x}") for x in names}
-    c = claims.withColumn("__key", digest(*[F.col(x).cast("string") for x in CLAIM]))
-    here = (F.col("source_span_start") == fact["start"]) & (F.col("source_span_end") == fact["end"])
-    numeric = c.where("claim_type = 'numeric'").select("generation_id", "__key", "source_span_start", "source_span_end", "numeric_value", F.col("target").alias("__own"))
-    met = numeric.join(f, "generation_id").where(F.col("numeric_value") == fact["value"]).withColumn("__tier", F.when(here, 0).when(F.col("__own") == fact["target"], 1)).where("__tier is not null")
-    best = met.groupBy("generation_id", "__target", "__value").agg(F.min("__tier").alias("__best"))
-    met = met.join(best, ["generation_id", "__target", "__value"]).where("__tier = __best")
-    one = least_row(met.select("__key", *fact.values()), ["__key"], ["__start", "__target"])
-    whole = lambda base, rule: [
-        *[_as_count(fact).get(x, F.col(x)).cast(base.schema[x].dataType).alias(x) for x in base.columns if x not in ("rules", "__key")],
-        F.array_union("rules", F.array(F.lit(rule))).alias("rules"),
-    ]
-    marked = c.join(one, "__key", "left")
-    taken = marked.where("__start is not null").select(*whole(c, "COUNT_FACT_CANONICALIZATION"))
-    others = marked.where("__start is null").select(*[x for x in c.columns if x not in ("rules", "__key")], "rules")
-    left = f.join(best, ["generation_id", "__target", "__value"], "left_anti")
-    around = (F.col("source_section") == fact["source_section"]) & F.col("source_factor_id").eqNullSafe(fact["source_factor_id"])
-    tier = F.when(around & (F.col("source_span_start") <= fact["start"]) & (F.col("source_span_end") >= fact["end"]), 0).when(around, 1).otherwise(2)
-    model = c.join(left, "generation_id").withColumn("__tier", tier)
-    model = least_row(model, ["generation_id", "__target", "__value"], ["__tier", "source_span_start", "local_claim_index", "__key"])
-    return others.unionByName(taken).unionByName(model.select(*whole(c, "COUNT_FACT_ADDED")))
+    g = W.partitionBy("generation_id")
+    names = ("start", "target", "value", "source_section", "source_factor_id", "source_text", "end")
+    f = facts.groupBy("generation_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__facts"))
+    c = claims.join(f, "generation_id", "left").withColumn("__facts", F.coalesce("__facts", F.array().cast(f.schema["__facts"].dataType)))
+    numeric = F.coalesce(F.col("claim_type") == "numeric", F.lit(False))
+    here = lambda x: (F.col("source_span_start") == x["start"]) & (F.col("source_span_end") == x["end"])
+    same = lambda x: F.coalesce(numeric & (F.col("numeric_value") == x["value"]), F.lit(False))
+    # facts have one target and value, so they are told apart by their place in the list
+    at = lambda test: F.filter(F.transform("__facts", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    c = c.withColumns({"__here": at(lambda x: same(x) & F.coalesce(here(x), F.lit(False))), "__alike": at(lambda x: same(x) & F.coalesce(F.col("target") == x["target"], F.lit(False)))})
+    some = lambda x: F.when(F.size(x) > 0, F.col(x))
+    place = F.struct("source_span_start", "local_claim_index")
+    c = c.withColumns({"__met": F.array_distinct(F.flatten(F.collect_list(some("__here")).over(g))), "__named": F.array_distinct(F.flatten(F.collect_list(some("__alike")).over(g))), "__first": F.min(place).over(g)})
+    mine = F.array_distinct(F.array_union("__here", F.array_except("__alike", "__met")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__facts") - 1), F.array_union("__met", "__named"))
+    c = c.withColumns({"__one": F.array_min(F.transform(mine, lambda i: F.get("__facts", i))), "__left": F.when(F.size("__facts") > 0, left)})
+    # beyond its section a fact takes the first claim of all, so no other one competes there
+    around = lambda x: F.coalesce(F.col("source_section") == x["source_section"], F.lit(False)) & F.col("source_factor_id").eqNullSafe(x["source_factor_id"])
+    tier = lambda x: F.when(around(x) & (F.col("source_span_start") <= x["start"]) & (F.col("source_span_end") >= x["end"]), 0).when(around(x), 1).when(place.eqNullSafe(F.col("__first")), 2)
+    added = F.filter(F.transform("__left", lambda i: F.struct(i.alias("i"), tier(F.get("__facts", i)).alias("tier"), F.get("__facts", i).alias("fact"))), lambda x: x["tier"].isNotNull())
+    kind = claims.schema
+    row = F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("tier"), F.col("__one").alias("fact"))
+    c = c.withColumn("__key", F.when(F.size("__left") > 0, digest(*[F.col(x).cast("string") for x in CLAIM])))
+    c = c.withColumn("__row", F.explode(F.concat(F.array(row), F.coalesce(added, F.array().cast("array<struct<i:int,tier:int,fact:struct<" + ",".join(f"{x}:{f.schema['__facts'].dataType.elementType[x].dataType.simpleString()}" for x in names) + ">>>")))))
+    order = W.partitionBy("generation_id", "__row.i").orderBy("__row.tier", "source_span_start", "local_claim_index", "__key")
+    c = c.withColumn("__place", F.row_number().over(order)).where("__row.i is null or __place = 1")
+    fact = {x: F.col("__row.fact")[x] for x in names}
+    as_count, stated = _as_count(fact), F.col("__row.fact").isNotNull()
+    rule = F.when(F.col("__row.i").isNotNull(), "COUNT_FACT_ADDED").otherwise("COUNT_FACT_CANONICALIZATION")
+    whole = {x: F.when(stated, as_count[x].cast(kind[x].dataType)).otherwise(F.col(x)).alias(x) for x in as_count}
+    return c.select(*[whole.get(x, F.col(x)) for x in claims.columns if x != "rules"], F.when(stated, F.array_union("rules", F.array(rule))).otherwise(F.col("rules")).alias("rules"))
 
 
 def signature() -> Column:
@@ -178,9 +187,9 @@ def finalized(claims: DataFrame, sections: DataFrame) -> DataFrame:
     """Final claims: numbers split off, counts stated, duplicates gone, ids from content, indices from 1 by place.
 
     Adds ``semantic_signature`` and ``rules`` (what was done to a claim).  ``claim_id`` is the digest of generation and signature, so running
-    it on its own result changes no row but empties ``rules``.
+    it on its own result changes no row but empties ``rules``.  Claims are dealt once, by generation, whose claims come in one task's order.
     """
-    base = claims.select(*CLAIM)
+    base = claims.select(*CLAIM).repartition("generation_id")
     c = with_counts(split_numbers(base), count_facts(sections)).withColumn("semantic_signature", signature())
     order = ["source_span_start", "source_span_end", "local_claim_index", "claim_id"]
     c = least_row(c, ["generation_id", "semantic_signature"], order)

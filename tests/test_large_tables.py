@@ -41,3 +41,9 @@ def test_claims_and_evidence_are_dealt_once(spark, small, name, most):
 def test_scores_read_the_split_that_the_model_was_fitted_on(spark, small):
     """The hashes that split the lines are made once, not again for each reader."""
     assert "md5(" not in catalog.QUERIES["model_scores"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_final_claims_are_dealt_once(spark, small):
+    """Claims and the sections that state counts, by generation; numbers, facts, models, duplicates and places need no deal of their own."""
+    plan = catalog.QUERIES["claims_finalized"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 2
