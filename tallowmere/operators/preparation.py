@@ -106,12 +106,12 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
 def with_balanced_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """``name``: n / (k n_c) for k classes present, the weight that gives each class the same total; NULL without a label.
 
-    The classes are counted and their few rows joined back; no task holds a class.
+    The classes are counted and their few rows go to where the others lie; no task holds a class.
     """
     n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__n"))
     k = n.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))
     w = n.join(k, F.lit(True)).select(F.col(label).alias("__label"), (F.col("__all") / (F.col("__k") * F.col("__n"))).alias(name))
-    return df.join(w, F.col(label) == F.col("__label"), "left").drop("__label")
+    return df.join(F.broadcast(w), F.col(label) == F.col("__label"), "left").drop("__label")  # a row for each class
 
 
 def kinds(df: DataFrame) -> dict[str, str]:

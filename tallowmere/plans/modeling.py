@@ -116,7 +116,7 @@ def refitted_tree_attribution(spark, sf_dir):
 @query()
 def boosted_attribution(spark, sf_dir):
     """Exact attributions of boosted trees fitted on the training split, for every line: margins, with the check that they add up."""
-    d = preparation.stratified_split(_lines(spark, sf_dir), "case_id", "label", "model")
+    d = staged(preparation.stratified_split(_lines(spark, sf_dir), "case_id", "label", "model"))  # read by the fit and the attributions
     x = models.assembled(preparation.with_balanced_weight(d, "label"), _NAMES)
     model = models.GBTClassifier(labelCol="label", weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.1, seed=42).fit(x.where("split = 'train'"))
     return trees.tree_attributions(d, "case_id", _NAMES, trees.node_table(model))

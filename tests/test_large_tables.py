@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tallowmere import catalog
+from tallowmere.operators import preparation
 
 from test_queries import cell
 
@@ -47,3 +48,16 @@ def test_final_claims_are_dealt_once(spark, small):
     """Claims and the sections that state counts, by generation; numbers, facts, models, duplicates and places need no deal of their own."""
     plan = catalog.QUERIES["claims_finalized"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_rows_with_a_weight_are_not_dealt_by_their_class(spark):
+    """Two classes would be two tasks; the weights go to the rows instead, even where Spark broadcasts nothing by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = spark.range(1000).selectExpr("id", "cast(id % 10 = 0 as int) as label")
+        got = preparation.with_balanced_weight(d, "label")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.label, round(r.weight, 9), r["count"]) for r in got.groupBy("label", "weight").count().collect()} == {(0, round(1000 / 1800, 9), 900), (1, 5.0, 100)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
