@@ -105,7 +105,7 @@ def shapley(x: np.ndarray, ensemble: Sequence[Leaf]) -> tuple[np.ndarray, np.nda
             out += leaf.value
             continue
         v = x[:, leaf.features]
-        inside = (~(v <= leaf.low) & ((v <= leaf.high) | np.isinf(leaf.high))).astype(float)
+        inside = ((~(v <= leaf.low) | np.isneginf(leaf.low)) & ((v <= leaf.high) | np.isinf(leaf.high))).astype(float)
         out += leaf.value * inside.prod(1)
         at, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
         at, weight = (at + 1) / 2, weight / 2
@@ -117,30 +117,38 @@ def shapley(x: np.ndarray, ensemble: Sequence[Leaf]) -> tuple[np.ndarray, np.nda
     return phi, out
 
 
+def attributed(x: np.ndarray, ensemble: Sequence[Leaf], most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shapley` of all rows: those between the same limits of the ensemble in every feature are alike, and are worked on once, ``most`` at a time."""
+    cell = np.zeros(len(x), np.int64)
+    for k in range(x.shape[1]):
+        limits = np.unique([v for leaf in ensemble for f, low, high in zip(leaf.features, leaf.low, leaf.high, strict=True) if f == k for v in (low, high) if np.isfinite(v)])
+        if len(limits):
+            # a missing value is sorted behind all limits, as it goes right
+            cell = np.unique(cell * (len(limits) + 1) + np.searchsorted(limits, x[:, k]), return_inverse=True)[1]
+    _, first, cell = np.unique(cell, return_index=True, return_inverse=True)
+    parts = [shapley(x[first[at : at + most]], ensemble) for at in range(0, len(first), most)]
+    phi, out = (np.concatenate([p[k] for p in parts]) if parts else np.zeros((0, x.shape[1])[: 2 - k]) for k in (0, 1))
+    return phi[cell], out[cell]
+
+
 def tree_attributions(df: DataFrame, key: str, features: Sequence[str], nodes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """``(key, feature_id, shap_value, base_value, model_output, additivity_error, additive)`` of each row and feature.
 
     ``features`` are the ensemble's, in its order.  ``additive``: the values add up to the output less the base within ``tolerance``.
-    Boosted trees give margins.  A row is worked on in its batch; only the ensemble is in every task.
+    Boosted trees give margins.  A row is worked on in its batch; only the ensemble is in every task, and only numbers go to Python and back.
     """
     ensemble, names = leaves(nodes), list(features)
     base = base_value(ensemble)
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, len(b), 2000):
-                pdf = b.iloc[at : at + 2000]
-                phi, out = shapley(pdf[names].to_numpy(float), ensemble)
-                error = np.abs(base + phi.sum(1) - out)
-                n = len(names)
-                yield pd.DataFrame({
-                    key: np.repeat(pdf[key].to_numpy(), n), "feature_id": names * len(pdf), "shap_value": phi.ravel(), "base_value": base,
-                    "model_output": np.repeat(out, n), "additivity_error": np.repeat(error, n), "additive": np.repeat(error <= tolerance, n),
-                })
-
-    more = "feature_id string, shap_value double, base_value double, model_output double, additivity_error double, additive boolean"
-    return df.select(key, *names).mapInPandas(run, f"`{key}` {kind}, {more}")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        phi, out = attributed(rows.to_numpy(float), ensemble)
+        return pd.DataFrame({f"v{k}": phi[:, k] for k in range(phi.shape[1])} | {"out": out, "error": np.abs(base + phi.sum(1) - out)})
+
+    kind = ", ".join([*[f"v{k} double" for k in range(len(names))], "out double", "error double"])
+    x = F.pandas_udf(run, kind)(F.struct(*[F.col(n).cast("double").alias(f"x{k}") for k, n in enumerate(names)]))
+    each = F.array(*[F.struct(F.lit(n).alias("feature_id"), F.col(f"__x.v{k}").alias("shap_value")) for k, n in enumerate(names)])
+    d = df.select(key, x.alias("__x")).select(key, F.explode(each).alias("v"), F.col("__x.out").alias("model_output"), F.col("__x.error").alias("additivity_error"))
+    return d.select(key, "v.feature_id", "v.shap_value", F.lit(base).alias("base_value"), "model_output", "additivity_error", (F.col("additivity_error") <= tolerance).alias("additive"))
 
 
 def refitted(df: DataFrame, features: Sequence[str], label: str, splits: Sequence[tuple[int, int, int, float, int, int]], weights: Sequence[float]) -> DataFrame:

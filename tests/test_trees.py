@@ -85,3 +85,15 @@ def test_missing_features_go_right(spark):
 def test_boosted_attributions_add_up(spark, small):
     got = catalog.QUERIES["boosted_attribution"](spark, small)
     assert got.where("not additive").isEmpty() and got.count() == 3 * spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
+def test_alike_rows_are_worked_on_once(monkeypatch):
+    """Rows between the same limits, on them and missing ones get what they get by themselves, from few rows."""
+    ensemble = [trees.Leaf((0, 1), np.array([-np.inf, 2.0]), np.array([1.0, np.inf]), np.array([0.4, 0.5]), 3.0), trees.Leaf((1,), np.array([-np.inf]), np.array([2.0]), np.array([0.5]), -1.0), trees.Leaf((0,), np.array([1.0]), np.array([np.inf]), np.array([0.6]), 0.5)]
+    x = np.array([[a, b, c] for a in (0.0, 1.0, 1.5, np.nan, np.inf, -np.inf) for b in (1.9, 2.0, 2.1, np.nan) for c in range(50)], float)
+    whole = trees.shapley(x, ensemble)
+    seen, one = [], trees.shapley
+    monkeypatch.setattr(trees, "shapley", lambda rows, e: seen.append(len(rows)) or one(rows, e))
+    phi, out = trees.attributed(x, ensemble)
+    assert np.allclose(phi, whole[0], atol=1e-12) and np.allclose(out, whole[1], atol=1e-12) and sum(seen) == 4
+    assert trees.attributed(x[:0], ensemble)[0].shape == (0, 3)
