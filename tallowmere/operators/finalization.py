@@ -7,6 +7,7 @@ numeric_value, numeric_unit, numeric_role, claim_origin, target.  Spans count ch
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -211,23 +212,24 @@ def classified(claims: DataFrame, rules: Sequence[tuple], needs: dict[str, Colum
 
     ``rules``: (claim_type, need, wordings, final_type, subtype) in their order; ``need`` names a condition of ``needs`` (None: none), ``wordings`` are
     tried on the plain text: a tuple of phrases, one of which it holds, an expression that it matches, or None.
-    A rule's id is its place from 1.  All rules are one expression; a claim that fits none has NULLs.
+    A rule's id is its place from 1.  All rules are one expression, in which a claim only meets those of its type; one that fits none has NULLs.
     """
     text = F.col("__text")
 
-    def fits(kind: str, need: str | None, words) -> Column:
-        tests = [F.col("claim_type") == kind]
+    def fits(need: str | None, words) -> Column:
+        tests = [F.lit(True)]
         if need:
             tests.append(F.coalesce(needs[need], F.lit(False)))
-        if isinstance(words, str):
-            tests.append(text.rlike(words))
-        elif words:
-            tests.append(reduce(Column.__or__, [text.contains(w) for w in words]))
+        if words:
+            tests.append(text.rlike(words if isinstance(words, str) else "|".join(map(re.escape, words))))
         return reduce(Column.__and__, tests)
 
-    hit = F.lit(None).cast("int")
+    by_type: dict[str, Column] = {}
     for i, (kind, need, words, *_) in reversed(list(enumerate(rules, 1))):
-        hit = F.when(fits(kind, need, words), i).otherwise(hit)
+        by_type[kind] = F.when(fits(need, words), i).otherwise(by_type.get(kind, F.lit(None).cast("int")))
+    hit = F.lit(None).cast("int")
+    for kind, found in by_type.items():
+        hit = F.when(F.col("claim_type") == kind, found).otherwise(hit)
     names = F.create_map(*[x for i, r in enumerate(rules, 1) for x in (F.lit(i), F.struct(F.lit(r[3]).alias("final_type"), F.lit(r[4]).alias("claim_subtype")))])
     c = claims.withColumn("__text", plain(F.coalesce("source_text", F.lit("")))).withColumn("rule_id", hit).drop("__text")
     return c.withColumn("__n", F.try_element_at(names, "rule_id")).select("*", "__n.final_type", "__n.claim_subtype").drop("__n")
@@ -241,17 +243,15 @@ def incompatible(claims: DataFrame, table: Sequence[tuple], fields: Sequence[str
     """
     if len({r[:2] for r in table}) < len(table):
         raise ValueError("a type and subtype have several rules")
-    spark = claims.sparkSession
-    t = spark.createDataFrame(list(table), "final_type string, claim_subtype string, __sections string, __required string, __forbidden string, __subjects string")
+    lists = [(*r[:2], *[x.split() for x in r[2:]]) for r in table]
+    t = claims.sparkSession.createDataFrame(lists, "final_type string, claim_subtype string, __sections array<string>, __required array<string>, __forbidden array<string>, __subjects array<string>")
     c = claims.join(F.broadcast(t), ["final_type", "claim_subtype"], "left")  # a table of rules, given as a list
-    there = F.create_map(*[x for f in fields for x in (F.lit(f), F.nullif(F.col(f).cast("string"), F.lit("")).isNotNull())])
-    words = lambda name: F.filter(F.split(f"__{name}", " "), lambda x: x != "")
-    wrong = lambda code, name, bad: F.transform(F.filter(words(name), bad), lambda x: F.struct(F.lit(code).alias("code"), x.alias("field")))
-    single = lambda code, name, field: F.when(~F.array_contains(words(name), F.coalesce(F.col(field), F.lit("-"))), F.array(F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"))))
-    none = F.array().cast("array<struct<code:string,field:string>>")
-    found = F.concat(
-        F.coalesce(single("SECTION", "sections", "source_section"), none), F.coalesce(single("SUBJECT", "subjects", "subject_type"), none),
-        wrong("REQUIRED", "required", lambda x: ~F.coalesce(F.try_element_at(there, x), F.lit(False))), wrong("FORBIDDEN", "forbidden", lambda x: F.coalesce(F.try_element_at(there, x), F.lit(False))),
+    named = lambda k: sorted({x for r in lists for x in r[k]})
+    there = lambda x: F.nullif(F.col(x).cast("string"), F.lit("")).isNotNull() if x in fields else F.lit(False)
+    fault = lambda code, field, bad: F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
+    single = lambda code, name, field: fault(code, field, ~F.array_contains(f"__{name}", F.coalesce(F.col(field), F.lit("-"))))
+    every = F.array(
+        fault("NO_RULE", "claim_subtype", F.col("__sections").isNull()), single("SECTION", "sections", "source_section"), single("SUBJECT", "subjects", "subject_type"),
+        *[fault("REQUIRED", x, F.array_contains("__required", x) & ~there(x)) for x in named(3)], *[fault("FORBIDDEN", x, F.array_contains("__forbidden", x) & there(x)) for x in named(4)],
     )
-    every = F.when(F.col("__sections").isNull(), F.array(F.struct(F.lit("NO_RULE").alias("code"), F.lit("claim_subtype").alias("field")))).otherwise(found)
-    return c.select(key, F.explode(every).alias("x")).select(key, "x.code", "x.field")
+    return c.select(key, F.explode(F.array_compact(every)).alias("x")).select(key, "x.code", "x.field")

@@ -108,9 +108,8 @@ _FIELDS = ("claim_subtype", "direction", "magnitude", "causal_strength", "featur
 def needs():
     """The conditions that rules name."""
     role = F.col("numeric_role")
-    says = [F.contains(fin.plain(F.col("source_text")), F.lit(w)) for w in LABELS]
     return {
-        "says_label": F.array_contains(F.array(*says), True), "feature": F.coalesce("feature_id", F.lit("")) != "", "concept": F.coalesce("concept_id", F.lit("")) != "",
+        "says_label": fin.plain(F.col("source_text")).rlike("|".join(LABELS)), "feature": F.coalesce("feature_id", F.lit("")) != "", "concept": F.coalesce("concept_id", F.lit("")) != "",
         "mixed": F.col("direction") == "mixed", "role_score": role == "prediction_score", "role_threshold": role == "decision_threshold", "role_rank": role == "rank",
         "role_value": role == "feature_value", "role_value_of_concept": (role == "feature_value") & (F.coalesce("concept_id", F.lit("")) != ""), "role_count": (role == "other") & (F.col("numeric_unit") == "count"),
     }
