@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +21,16 @@ class Field:
     most: float | None = None
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _kind(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s == "BIGINT", "integer").when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
-        .when(s == "VOID", "null").when(s.rlike("^ARRAY"), "list").when(s.rlike("^OBJECT"), "object").otherwise("other")
+    return _let(
+        F.schema_of_variant(v),
+        lambda s: F.when(s == "BIGINT", "integer").when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
+        .when(s == "VOID", "null").when(s.rlike("^ARRAY"), "list").when(s.rlike("^OBJECT"), "object").otherwise("other"),
     )
 
 
@@ -33,28 +38,41 @@ def _fault(path: Column, code: Column | str) -> Column:
     return F.struct(path.alias("path"), (F.lit(code) if isinstance(code, str) else code).alias("code"))
 
 
-_NONE = "array<struct<path:string,code:string>>"
+def _faulty(path: Column) -> Callable[[Column], Column]:
+    return lambda code: _fault(path, code)
 
 
 def _item_faults(item: Column, at: Column, fields: Sequence[Field]) -> Column:
     """The faults of one item; what is no object has that fault alone."""
     # a map of variants cannot be compared, so the keys come from the item's JSON
     keys = F.coalesce(F.json_object_keys(F.to_json(item)), F.array().cast("array<string>"))
-    found = [F.transform(F.filter(keys, lambda k: ~k.isin([f.name for f in fields])), lambda k: _fault(F.concat(at, F.lit("."), k), "UNEXPECTED_FIELD"))]
-    for f in fields:
-        here, kinds = F.array_contains(keys, f.name), f.kinds + (("integer",) if "number" in f.kinds else ())
-        v, path = F.variant_get(item, f"$.{f.name}", "variant"), F.concat(at, F.lit(f".{f.name}"))
-        kind = F.coalesce(_kind(v), F.lit("null"))
-        code = F.when(~kind.isin(*kinds), "WRONG_KIND")
+    return F.when(_kind(item) == "object", _let(keys, lambda k: _object_faults(item, k, at, fields))).otherwise(F.array(_fault(at, "NOT_AN_OBJECT")))
+
+
+def _code(item: Column, f: Field) -> Callable[[Column], Column]:
+    """What is wrong with a field that is there, by its kind."""
+    kinds = f.kinds + (("integer",) if "number" in f.kinds else ())
+
+    def code(kind: Column) -> Column:
+        c = F.when(~kind.isin(*kinds), "WRONG_KIND")
         if f.values is not None:
-            code = code.when((kind == "string") & ~F.try_variant_get(item, f"$.{f.name}", "string").isin(*f.values), "UNKNOWN_VALUE")
+            c = c.when((kind == "string") & ~F.try_variant_get(item, f"$.{f.name}", "string").isin(*f.values), "UNKNOWN_VALUE")
         number = F.try_variant_get(item, f"$.{f.name}", "double")
         outside = [number < f.least] * (f.least is not None) + [number > f.most] * (f.most is not None)
         for x in outside:
-            code = code.when(kind.isin("integer", "number") & x, "OUT_OF_RANGE")
-        code = F.when(here, code).when(F.lit(f.required), "MISSING")
-        found.append(F.when(code.isNotNull(), F.array(_fault(path, code))).otherwise(F.array().cast(_NONE)))
-    return F.when(_kind(item) == "object", F.concat(*found)).otherwise(F.array(_fault(at, "NOT_AN_OBJECT")))
+            c = c.when(kind.isin("integer", "number") & x, "OUT_OF_RANGE")
+        return c
+
+    return code
+
+
+def _object_faults(item: Column, keys: Column, at: Column, fields: Sequence[Field]) -> Column:
+    found = [F.transform(F.filter(keys, lambda k: ~k.isin([f.name for f in fields])), lambda k: _fault(F.concat(at, F.lit("."), k), "UNEXPECTED_FIELD"))]
+    for f in fields:
+        kind = F.coalesce(_kind(F.variant_get(item, f"$.{f.name}", "variant")), F.lit("null"))
+        code = F.when(F.array_contains(keys, f.name), _let(kind, _code(item, f))).when(F.lit(f.required), "MISSING")
+        found.append(F.transform(F.array_compact(F.array(code)), _faulty(F.concat(at, F.lit(f".{f.name}")))))
+    return F.concat(*found)
 
 
 def _place(items: str, i: Column) -> Column:

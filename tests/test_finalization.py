@@ -115,3 +115,16 @@ def test_every_fault_of_a_payload(spark):
 def test_every_code_occurs_in_the_query(spark, medium):
     codes = {r.code for r in catalog.QUERIES["payload_violations"](spark, medium).select("code").distinct().collect()}
     assert codes == {"NOT_JSON", "NOT_AN_OBJECT", "NOT_A_LIST", "MISSING", "WRONG_KIND", "UNKNOWN_VALUE", "OUT_OF_RANGE", "UNEXPECTED_FIELD"}
+
+
+def test_rules_and_payloads_are_taken_apart_once(spark, small):
+    """An item's keys are made once for all fields, a rule's words are lists before they meet the claims."""
+    at = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(at)
+    spark.conf.set(at, "10000")
+    try:
+        assert payloads._item_faults(F.col("x"), F.lit("$"), FIELDS)._jc.toString().count("json_object_keys") == 1
+        plan = catalog.QUERIES["incompatible_claims"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "source_section" in plan and "split(" not in plan
+    finally:
+        spark.conf.set(at, before)
