@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -84,14 +84,13 @@ def frontier(long: DataFrame, weights: DataFrame, state: DataFrame, **more) -> D
     return out.select("scenario_id", "option_id", "eligible", "score_available", "dominated_by", "dominates", "on_frontier")
 
 
-def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minimise: Sequence[str] = (), tolerance: float = TOLERANCE, block: int = 64) -> DataFrame:
+def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minimise: Sequence[str] = (), tolerance: float = TOLERANCE, block: int = 2048) -> DataFrame:
     """``dominated_by``, ``dominates`` (counts) and ``on_frontier`` of the options of each group.
 
     One option dominates another if it is as good in every criterion and better in one, up to the tolerance.
     Options that lack a criterion take no part: they neither dominate nor are on the frontier.  Equal
-    options are one point with a count.  Points are cut into blocks by quantiles of every criterion, ``block``
-    or the root of their number each: the least and greatest values of two blocks mostly tell whether all of one
-    dominate all of the other or none can, and only points of the rest are compared, in an equi-join on blocks.
+    options are one point with a count.  Those as good as a point are counted without being paired (see :func:`_as_good`),
+    ``block`` or fewer of a group excepted; less those that are alike up to the tolerance, they are the ones that dominate it.
     """
     c = [*maximise, *minimise]
     v = [f"__v{k}" for k in range(len(c))]
@@ -101,39 +100,86 @@ def pareto(options: DataFrame, by: str, key: str, maximise: Sequence[str], minim
     # greater is better in all of them; no negative zeros
     values = [(F.col(x).cast("double") * (1.0 if x in maximise else -1.0) + 0.0).alias(n) for x, n in zip(c, v, strict=True)]
     base = staged(options.select("*", whole.alias("__whole"), *values))
-    points = staged(base.where("__whole").groupBy(by, *v).agg(F.count("*").alias("__n")))
-    n = points.count()
-    cuts = math.ceil((n / max(block, math.isqrt(n))) ** (1 / len(c))) if n else 1
-    edges = points.approxQuantile(v, [k / cuts for k in range(1, cuts)], 0.01) if cuts > 1 else [[] for _ in v]
-    cell = [sum(((F.col(x) > e).cast("int") for e in es), F.lit(0)) for x, es in zip(v, edges, strict=True)]
-    points = points.withColumn("__block", F.array(*cell))
-    bounds = [f(col).alias(f"{col}_{name}") for col in v for name, f in (("lo", F.min), ("hi", F.max))]
-    blocks = staged(points.groupBy(by, "__block").agg(F.sum("__n").alias("__n"), *bounds))
-    side = lambda d, p: d.select(F.col(by).alias(f"{p}by"), *[F.col(x).alias(p + x) for x in d.columns if x != by])
-    gap = lambda high, low: [F.col(f"b{x}{high}") - F.col(f"a{x}{low}") for x in v]
-    every = lambda ds: reduce(and_, [d >= -tolerance for d in ds])
-    some = lambda ds: reduce(or_, [d > tolerance for d in ds])
-    sure, may = gap("_lo", "_hi"), gap("_hi", "_lo")
-    met = side(blocks, "a").join(side(blocks, "b"), (F.col("aby") == F.col("bby")) & every(may) & some(may))
-    met = staged(met.select("aby", "a__block", "a__n", "b__block", "b__n", (every(sure) & some(sure)).alias("sure")))
-    near = met.where("not sure").select(F.col("aby").alias("by"), F.col("a__block").alias("ablock"), F.col("b__block").alias("bblock"))
-    near = near.join(side(points, "a"), (F.col("by") == F.col("aby")) & (F.col("ablock") == F.col("a__block")))
-    near = near.join(side(points, "b"), (F.col("by") == F.col("bby")) & (F.col("bblock") == F.col("b__block")) & every(gap("", "")) & some(gap("", "")))
-
-    def total(p: str, other: str, name: str) -> tuple[DataFrame, DataFrame]:
-        of_blocks = met.where("sure").groupBy(F.col("aby").alias(by), F.col(f"{p}__block").alias("__block")).agg(F.sum(f"{other}__n").alias(f"{name}_sure"))
-        of_points = near.groupBy(F.col("by").alias(by), *[F.col(p + x).alias(x) for x in v]).agg(F.sum(f"{other}__n").alias(f"{name}_near"))
-        return of_blocks, of_points
-
-    counted = points.drop("__n")
-    for p, other, name in (("a", "b", "dominated_by"), ("b", "a", "dominates")):
-        of_blocks, of_points = total(p, other, name)
-        counted = counted.join(of_blocks, [by, "__block"], "left").join(of_points, [by, *v], "left")
-        counted = counted.withColumn(name, F.coalesce(f"{name}_sure", F.lit(0)) + F.coalesce(f"{name}_near", F.lit(0)))
+    points = base.where("__whole").groupBy(by, *v).agg(F.count("*").alias("__n"))
+    points = staged(points.withColumn("__id", F.monotonically_increasing_id()))
+    worse = points.select(by, *[(-F.col(x)).alias(x) for x in v], "__n", "__id")
+    counted = points.join(_alike(points, by, v, tolerance), "__id")
+    for name, side in (("dominated_by", points), ("dominates", worse)):
+        counted = counted.join(_as_good(side, by, v, tolerance, block), "__id").withColumn(name, F.col("__good") - F.col("__alike")).drop("__good")
     out = base.join(counted.select(by, *v, "dominated_by", "dominates"), [by, *v], "left").fillna(0, ["dominated_by", "dominates"])
     return out.withColumn("on_frontier", F.col("__whole") & (F.col("dominated_by") == 0)).select(*options.columns, "dominated_by", "dominates", "on_frontier")
 
 
+def _paired(data: DataFrame, asked: DataFrame, on: Sequence[str], by: str, v: Sequence[str], fit: Callable[[Column], Column]) -> DataFrame:
+    """``(__id, __n)``: for each point of ``asked`` the counts of those of ``data`` with the same ``on`` whose values less its own all ``fit``."""
+    side = lambda d, p: d.select(*[F.col(x).alias(p + x) for x in (by, *on, *v, "__n", "__id")])
+    same = [F.col(f"a{x}") == F.col(f"b{x}") for x in (by, *on)]
+    # an estimate of what was multiplied is too low, and few bytes are many pairs: no broadcast
+    j = side(data, "a").hint("merge").join(side(asked, "b"), reduce(and_, [*same, *[fit(F.col(f"a{x}") - F.col(f"b{x}")) for x in v]]))
+    return j.select(F.col("b__id").alias("__id"), F.col("a__n").alias("__n"))
+
+
+def _alike(points: DataFrame, by: str, v: Sequence[str], tolerance: float) -> DataFrame:
+    """``(__id, __alike)``: how many options are equal to a point in every value, up to the tolerance; itself counts."""
+    if tolerance <= 0:
+        return points.select("__id", F.col("__n").alias("__alike"))
+    width, k = 1024 * tolerance, [f"__k{x}" for x in v]
+    place = lambda x, d: F.rint((F.col(x) + d * tolerance) / width) + 0.0
+    data, asked = points, points
+    for x, n in zip(v, k, strict=True):
+        data = data.withColumn(n, place(x, 0))
+        asked = asked.withColumn(n, F.explode(F.array_distinct(F.array(place(x, -2), place(x, 2)))))
+    return _paired(data, asked, k, by, v, lambda gap: gap.between(-tolerance, tolerance)).groupBy("__id").agg(F.sum("__n").alias("__alike"))
+
+
+def _as_good(points: DataFrame, by: str, v: Sequence[str], tolerance: float, block: int) -> DataFrame:
+    """``(__id, __good)``: how many options have no value less than the point's by more than the tolerance; itself counts.
+
+    Quantiles cut each value into numbered cells, a value that is frequent being a cell of its own.  All in a greater cell
+    than the point's are as good, and of two different numbers the greater one has a 1 where the other has a 0, behind the
+    same leading bits: a node of a binary tree, of which there are as many as the number has bits.  So an option is listed under the nodes of its
+    1s, a point asks at those of its 0s, in all values at once, and a node has but a count.  Only options in the point's cell are compared with it.
+    The cells grow in number with the points, so the pairs compared grow as these do.
+    """
+    sizes = points.groupBy(by).count()
+    n, m = (x or 0 for x in sizes.agg(F.max("count"), F.sum("count")).first())
+    # at most about 512 nodes a point
+    cuts = 2 ** min(math.ceil(math.log2(max(1, n / block))), math.floor(2 * (512 ** (1 / len(v)) - 1)))
+    edges = points.join(sizes.where(F.col("count") > block), by).groupBy(by).agg(*[F.percentile_approx(x, [k / cuts for k in range(1, cuts + 1)], max(10_000, 8 * cuts)).alias(f"__e{x}") for x in v])
+    d = points.join(edges, by, "left")
+    repeated = lambda es: F.array_distinct(F.filter(es, lambda e, i: (i > 0) & (F.get(es, i - 1) == e)))
+    for x in v:
+        every = F.coalesce(f"__e{x}", F.array().cast("array<double>"))
+        d = d.withColumn(f"__h{x}", repeated(every)).withColumn(f"__e{x}", F.array_distinct(every))
+    below = lambda x, edge, frequent: F.size(F.filter(f"__e{x}", edge)) + F.size(F.filter(f"__h{x}", frequent)) + 1
+
+    def placing(x: str) -> list[Column]:
+        less = lambda e: e - F.col(x) < -tolerance
+        own, least = below(x, lambda e: e < F.col(x), lambda e: e <= F.col(x)), below(x, less, less)
+        return [own.alias(f"__p{x}"), least.alias(f"__q{x}"), F.length(F.bin(F.size(f"__e{x}") + F.size(f"__h{x}") + 1)).alias(f"__b{x}")]
+
+    d = staged(d.select(by, *v, "__n", "__id", *[c for x in v for c in placing(x)])).repartition(math.ceil(m / 4096) or 1, "__id")
+    k = [f"__k{x}" for x in v]
+
+    def places(x: str, number: str, bit: int) -> Column:
+        c = F.col(f"__{number}{x}")
+        levels = F.filter(F.sequence(F.lit(0), F.col(f"__b{x}") - 1), lambda i: F.getbit(c, i) == bit)
+        return F.concat(F.transform(levels, lambda i: i * (1 << 20) + F.call_function("shiftright", c, i + 1)), F.array(-c))
+
+    def listed(number: str, bit: int) -> DataFrame:
+        out = d
+        for x, name in zip(v, k, strict=True):
+            out = out.withColumn(name, F.explode(places(x, number, bit)))
+        return out.select(by, *v, "__n", "__id", *k)
+
+    data, asked = listed("p", 1), listed("q", 0)
+    equal = reduce(or_, [F.col(x) < 0 for x in k])
+    nodes = data.where(~equal).groupBy(by, *k).agg(F.sum("__n").alias("__n"))
+    sure = asked.where(~equal).select(by, *k, "__id").hint("merge").join(nodes, [by, *k]).select("__id", "__n")
+    near = _paired(data.where(equal), asked.where(equal), k, by, v, lambda gap: gap >= -tolerance)
+    return sure.unionByName(near).groupBy("__id").agg(F.sum("__n").alias("__good"))
+
+
 def ranked(df: DataFrame, by: str, key: str, tie: Sequence[Column] = (), most: int = 3, small: int = SMALL) -> DataFrame:
     """scenario_rank, eligible_rank, pareto_rank, utility_rank and role of options with eligible, score_available, on_frontier and utility.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import count_where, wilson
 from ..operators import decisions, evaluation, ranking, statistics
+from ..session import staged
 from .registry import query, rounded, t
 
 #: Customers' priorities in two years as conditions of a study: the contrast table of its planned comparisons.
@@ -214,10 +215,10 @@ _OPTIONS = """
 
 
 def _study(spark, sf_dir):
-    """The options' criteria in long form, the objectives, and the options' eligibility."""
+    """The options' criteria in long form, the objectives, and the options' eligibility; lines are read once."""
     rules = spark.createDataFrame(list(_RULES), "scenario_id string, criterion_id string, minimum_value double, maximum_value double, criterion_order int")
     weights = spark.createDataFrame(list(_WEIGHTS), "scenario_id string, criterion_id string, direction string, weight double")
-    long = decisions.long_criteria(_options(spark, sf_dir), ["balance", "volume", "discount"])
+    long = decisions.long_criteria(staged(_options(spark, sf_dir)), ["balance", "volume", "discount"])
     return long, weights, decisions.constraints(long, rules)
 
 
@@ -245,7 +246,9 @@ def pareto_frontier(spark, sf_dir):
                  CASE WHEN score_available THEN row_number() OVER (PARTITION BY scenario_id, score_available ORDER BY utility DESC, option_id) END::INT AS utility_rank FROM h)
     SELECT *, CASE WHEN pareto_rank = 1 THEN 'PRIMARY' WHEN pareto_rank <= 3 THEN 'ALTERNATIVE' END AS role FROM q""")
 def scenario_rank(spark, sf_dir):
-    d = pareto_frontier(spark, sf_dir).select("scenario_id", "option_id", "on_frontier").join(scenario_utility(spark, sf_dir), ["scenario_id", "option_id"])
+    study = _study(spark, sf_dir)
+    used = rounded(decisions.utility(*study), {"utility": 6})
+    d = decisions.frontier(*study).select("scenario_id", "option_id", "on_frontier").join(used, ["scenario_id", "option_id"])
     return decisions.ranked(d, "scenario_id", "option_id")
 
 

@@ -3,9 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tallowmere import catalog
 from tallowmere.operators import decisions
@@ -67,6 +69,42 @@ def test_pareto_in_blocks_equals_all_pairs(spark, monkeypatch, block):
     assert got == {i: (lost, won, rows[i][3] is not None and lost == 0) for i, (lost, won) in right.items()}
 
 
+def options_at_random(n):
+    """Options of three criteria: one continuous, one with half of its values alike, one the same for a group; some alike up to 1e-12."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 5 // 4, float(x), 0.0 if i % 2 else float(y), float(z) if i % 5 < 4 else 0.0) for i, (x, y, z) in enumerate(rng.normal(size=(n, 3)))]
+    return rows + [(n + k, g, x + 4e-13, y, z) for k, (_, g, x, y, z) in enumerate(rows[:40])]
+
+
+@pytest.mark.parametrize("block", [4, 100])
+def test_pareto_with_frequent_values_equals_all_pairs(spark, block):
+    rows = options_at_random(1200)
+    d = spark.createDataFrame(rows, "id long, g int, x double, y double, z double")
+    got = {r.id: (r.dominated_by, r.dominates) for r in decisions.pareto(d, "g", "id", ["x", "y"], ["z"], block=block).collect()}
+    for g in (0, 1):
+        ids = [r[0] for r in rows if r[1] == g]
+        p = np.array([(r[2], r[3], -r[4]) for r in rows if r[1] == g])
+        gap = p[:, None] - p[None]  # the first less the second
+        better = (gap >= -1e-12).all(2) & (gap > 1e-12).any(2)
+        assert [got[i] for i in ids] == list(zip(better.sum(0).tolist(), better.sum(1).tolist(), strict=True))
+
+
+def test_pareto_pairs_few_of_its_options(spark, monkeypatch):
+    """Of 4,800 options of one group some 8 million pairs dominate; no more are made than there are options times the size of a cell."""
+    made = []
+    own = decisions._paired
+
+    def paired(*args):
+        made.append(own(*args))
+        return made[-1]
+
+    monkeypatch.setattr(decisions, "_paired", paired, raising=False)
+    d = spark.range(4800).selectExpr("id", "1 AS g", "id * 7919 % 4801 / 1.0D AS x", "id * 104729 % 4801 / 1.0D AS y")
+    out = decisions.pareto(d, "g", "id", ["x", "y"], block=64)
+    assert out.agg(F.sum("dominates") - F.sum("dominated_by")).first()[0] == 0
+    assert len(made) == 3 and sum(x.count() for x in made) < 4800 * 64 * 4
+
+
 def test_every_row_has_a_result(spark, medium):
     n = lambda name: spark.read.parquet(f"{medium}/{name}.parquet").count()
     assert catalog.QUERIES["claim_validation"](spark, medium).count() == n("lineitem")
