@@ -5,6 +5,7 @@ import pytest
 
 from tallowmere import catalog
 from tallowmere.operators import preparation
+from tallowmere.plans import inference
 
 from test_queries import cell
 
@@ -61,3 +62,11 @@ def test_rows_with_a_weight_are_not_dealt_by_their_class(spark):
         assert {(r.label, round(r.weight, 9), r["count"]) for r in got.groupBy("label", "weight").count().collect()} == {(0, round(1000 / 1800, 9), 900), (1, 5.0, 100)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ranks_read_the_lines_once(spark, small, monkeypatch):
+    """Utility and frontier share the options: these are made from the lines, which are the whole input, once."""
+    made, own = [], inference._options
+    monkeypatch.setattr(inference, "_options", lambda *a: made.append(a) or own(*a))
+    plan = catalog.QUERIES["scenario_rank"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and "l_suppkey" not in plan
