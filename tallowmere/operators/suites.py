@@ -1,7 +1,7 @@
 """Sensitivity suites as data: a table of scenarios, all evaluated in one pass over the rows.
 
-A scenario names the population, the claim types that it leaves out, the metric and the margin.  Each row carries the scenarios that it belongs to,
-so that one aggregate serves all of them, and their conclusions are compared with the primary one's.
+A scenario names the population, the claim types that it leaves out, the metric and the margin.  A unit is one row of sums, those of each
+scenario beside each other, so that one aggregate serves all of them, and their conclusions are compared with the primary one's.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 @dataclass(frozen=True)
 class Scenario:
@@ -31,24 +33,29 @@ def evaluated(claims: DataFrame, unit: str, option: str, kind: str, populations:
     expressions of these sums.  A scenario that leaves out types of which there is none isn't evaluated.
     A unit without a claim left has no value.  The first scenario is the primary one.
     """
-    there = F.lit(False)
-    rows = []
-    for i, s in enumerate(scenarios):
-        keep = populations[s.population] & ~F.coalesce(F.col(kind).isin(*s.excluded) if s.excluded else there, F.lit(False))
-        rows.append(F.when(F.coalesce(keep, F.lit(False)), F.lit(i)))
-    d = claims.select(F.col(unit).alias("__u"), F.col(option).alias("option"), *[c.alias(f"__{n}") for n, c in counted.items()], F.explode(F.array_compact(F.array(*rows))).alias("__i"))
-    u = d.groupBy("__i", "option", "__u").agg(*[F.sum(f"__{n}").alias(n) for n in counted], F.count("*").alias("__claims"))
+    none, names = F.lit(False), list(counted)
+    left_out = [F.coalesce(F.col(kind).isin(*s.excluded), none) if s.excluded else none for s in scenarios]
+    # scenarios with the same population and types add up the same rows
+    cases = list(dict.fromkeys((s.population, s.excluded) for s in scenarios))
+    at = [cases.index((s.population, s.excluded)) for s in scenarios]
+    kept = [F.coalesce(populations[scenarios[at.index(k)].population] & ~left_out[at.index(k)], none).alias(f"__keep{k}") for k in range(len(cases))]
+    held = [left_out[at.index(k)].alias(f"__held{k}") for k in range(len(cases))]
+    d = claims.select(F.col(unit).alias("__u"), F.col(option).alias("option"), *[c.alias(f"__{n}") for n, c in counted.items()], *kept, *held)
+    sums = [s for k in range(len(cases)) for s in (*[F.sum(F.when(F.col(f"__keep{k}"), F.col(f"__{n}"))).alias(f"__{k}_{n}") for n in names], F.count_if(f"__keep{k}").alias(f"__claims{k}"), F.max(f"__held{k}").alias(f"__held{k}"))]
+    u = d.groupBy("option", "__u").agg(*sums)
+    rows = [F.struct(F.lit(i).alias("__i"), *[F.col(f"__{k}_{n}").alias(n) for n in names], F.col(f"__claims{k}").alias("__claims"), (F.col(f"__held{k}") if scenarios[i].excluded else F.lit(True)).alias("__held")) for i, k in enumerate(at)]
+    u = u.select("option", F.explode(F.array(*rows)).alias("__r")).select("option", "__r.*")
     value = F.lit(None).cast("double")
     for i, s in enumerate(scenarios):
-        value = F.when(F.col("__i") == i, metrics[s.metric]).otherwise(value)
-    o = u.withColumn("__v", value).groupBy("__i", "option").agg(F.count("__v").alias("units"), F.sum("__claims").alias("claims"), F.avg("__v").alias("value"))
-    # rows from here on are options of scenarios
+        value = F.when((F.col("__i") == i) & (F.col("__claims") > 0), metrics[s.metric]).otherwise(value)
+    o = u.withColumn("__v", value).groupBy("__i", "option").agg(F.count("__v").alias("units"), F.sum("__claims").alias("claims"), F.avg("__v").alias("value"), F.max("__held").alias("__held"))
+    # rows from here on are options of scenarios, stored for all that compare them
+    o = staged(o)
+    known = o.groupBy("__i").agg(F.max("__held").alias("__h")).where("__h").select("__i")
+    o = o.drop("__held").where("claims > 0")
     o = o.withColumn("rank", F.rank().over(W.partitionBy("__i").orderBy(F.desc_nulls_last(F.round("value", 12)))))
-    kinds = claims.select(F.col(kind).alias("__k")).distinct()
-    table = claims.sparkSession.createDataFrame([(i, s.suite, s.name, s.margin, list(s.excluded)) for i, s in enumerate(scenarios)], "__i int, suite string, scenario string, margin double, __out array<string>")
-    held = table.select("__i", F.explode("__out").alias("__k")).join(kinds, "__k", "left_semi").select("__i").distinct()
-    known = table.where("size(__out) = 0").select("__i").unionByName(held)
-    return o.join(table.drop("__out"), "__i").join(known, "__i", "left_semi")
+    table = claims.sparkSession.createDataFrame([(i, s.suite, s.name, s.margin) for i, s in enumerate(scenarios)], "__i int, suite string, scenario string, margin double")
+    return o.join(table, "__i").join(known, "__i", "left_semi")
 
 
 def compared(values: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallowmere import catalog
-from tallowmere.operators import preparation
+from tallowmere.operators import preparation, suites
 from tallowmere.plans import inference
 
 from test_queries import cell
@@ -70,3 +71,20 @@ def test_ranks_read_the_lines_once(spark, small, monkeypatch):
     monkeypatch.setattr(inference, "_options", lambda *a: made.append(a) or own(*a))
     plan = catalog.QUERIES["scenario_rank"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert len(made) == 1 and "l_suppkey" not in plan
+
+
+@pytest.mark.parametrize(("name", "column"), [("sensitivity_suites", "l_returnflag"), ("sensitivity_conclusions", "l_returnflag")])
+def test_claims_are_added_up_once_for_all_scenarios(spark, small, name, column):
+    """Ranks, the primary scenario and the best options come from stored sums; the claims aren't read again for each."""
+    assert column not in catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_unit_is_one_row_whatever_the_scenarios(spark, monkeypatch):
+    """What is added up by unit has a row for each unit, not for each unit and scenario."""
+    seen, own = [], suites.staged
+    monkeypatch.setattr(suites, "staged", lambda d: seen.append(d._jdf.queryExecution().optimizedPlan().toString()) or own(d))
+    d = spark.createDataFrame([(1, "a", "t1", 1), (1, "a", "t2", 0), (2, "a", "t2", None)], "u int, o string, k string, ok int")
+    many = [suites.Scenario("P", f"s{i}", "ALL", "share", ("t2",) * (i % 2)) for i in range(6)]
+    got = suites.evaluated(d, "u", "o", "k", {"ALL": F.lit(True)}, {"ok": F.col("ok"), "n": F.lit(1)}, {"share": F.col("ok") / F.col("n")}, many).collect()
+    assert {(r.scenario, r.units, r.claims, r.value) for r in got} == {(f"s{i}", 1, 1, 1.0) if i % 2 else (f"s{i}", 1, 3, 0.5) for i in range(6)}
+    assert seen[0].count("Generate") == 1 and seen[0].index("Generate") < seen[0].rindex("Aggregate")
