@@ -22,10 +22,17 @@ _STEPS = [round((1 << 28) * sum(exp(-1) / factorial(i) for i in range(k + 1))) f
 
 def draws(seed: str, *keys: Column) -> Column:
     """A Poisson number of mean 1, the same for the same seed and keys; 10 at most, which one case in 100 million exceeds."""
-    h = F.conv(F.substring(hash_order(seed, *keys), 1, 7), 16, 10).cast("long")
+    return _drawn(_hashed(seed, *keys))
+
+
+def _hashed(seed: str, *keys: Column) -> Column:
+    return F.substring(hash_order(seed, *keys), 1, 7)
+
+
+def _drawn(h: Column) -> Column:
     out = F.lit(len(_STEPS))
     for k, step in reversed(list(enumerate(_STEPS))):
-        out = F.when(h < step, k).otherwise(out)
+        out = F.when(h < f"{step:07x}", k).otherwise(out)  # seven digits compare as their numbers do
     return out
 
 
@@ -33,13 +40,17 @@ def resampled_means(values: DataFrame, by: Sequence[str], stratum: str, case: st
     """``(by, iteration, mean)``: the mean of ``value`` by group in each resample of the cases within their strata.
 
     A case has one weight in a resample, whatever group it is in, so groups stay comparable.  A stratum of which nothing is drawn
-    counts with its plain mean.  Missing values and cases don't count.
+    counts with its plain mean.  Missing values and cases don't count.  A case's values are added up by group before it is drawn, and it is drawn
+    once for all of its groups.
     """
     by = list(by)
     d = values.where(F.col(value).isNotNull() & F.col(case).isNotNull()).select(*by, F.col(stratum).alias("__s"), F.col(case).alias("__c"), F.col(value).cast("double").alias("__v"))
+    d = d.groupBy("__c", *by, "__s").agg(F.sum("__v").alias("__t"), F.count("*").alias("__k")).groupBy("__c").agg(F.collect_list(F.struct(*by, "__s", "__t", "__k")).alias("__g"))
     d = d.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
-    w = draws(seed, F.col("iteration"), F.col("__c"))
-    s = d.groupBy(*by, "__s", "iteration").agg(F.sum(w).alias("__w"), F.sum(w * F.col("__v")).alias("__wv"), F.count("*").alias("__n"), F.avg("__v").alias("__m"))
+    d = d.select("iteration", "__g", _hashed(seed, F.col("iteration"), F.col("__c")).alias("__h"))  # a column of its own: made once, not for each step
+    d = d.select("iteration", _drawn(F.col("__h")).alias("__d"), F.explode("__g").alias("__g")).select("iteration", "__d", "__g.*")
+    w = F.col("__d")
+    s = d.groupBy(*by, "__s", "iteration").agg(F.sum(w * F.col("__k")).alias("__w"), F.sum(w * F.col("__t")).alias("__wv"), F.sum("__k").alias("__n"), (F.sum("__t") / F.sum("__k")).alias("__m"))
     m = F.when(F.col("__w") > 0, F.col("__wv") / F.col("__w")).otherwise(F.col("__m"))
     return s.groupBy(*by, "iteration").agg((F.sum(m * F.col("__n")) / F.sum("__n")).alias("mean"))
 

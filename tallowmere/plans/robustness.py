@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import resampling, suites
+from ..session import staged
 from .registry import query, rounded, t
 
 _ITERATIONS, _SEED = 100, "strata"
@@ -46,8 +47,9 @@ def stratified_noninferiority(spark, sf_dir):
            CASE WHEN s1 <> 0 AND s1 = s2 THEN 'REPLICATED' WHEN s1 <> 0 AND s2 <> 0 THEN 'CONFLICT' WHEN sign(f) * sign(g) > 0 THEN 'DIRECTIONALLY_CONSISTENT' ELSE 'INCONCLUSIVE' END AS replication FROM y""")
 def differences_across_studies(spark, sf_dir):
     """The same contrasts in two studies, even and odd customers, and the interval of their difference, resample by resample."""
-    d = _differences(spark, sf_dir).withColumn("half", F.col("c_custkey") % 2)
+    d = staged(_differences(spark, sf_dir).withColumn("half", F.col("c_custkey") % 2))
     means = resampling.resampled_means(d, ["p", "half"], "c_mktsegment", "c_custkey", "d", _ITERATIONS, "studies")
+    means = staged(means)
     first, second = (means.where(F.col("half") == k) for k in (0, 1))
     observed = d.groupBy("p").agg(F.avg(F.when(F.col("half") == 0, F.col("d"))).alias("first"), F.avg(F.when(F.col("half") == 1, F.col("d"))).alias("second"))
     out = resampling.across_studies(first, second, "p", observed)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallowmere import catalog
-from tallowmere.operators import preparation, suites
+from tallowmere.operators import preparation, resampling, suites
 from tallowmere.plans import inference
 
 from test_queries import cell
@@ -88,3 +88,12 @@ def test_a_unit_is_one_row_whatever_the_scenarios(spark, monkeypatch):
     got = suites.evaluated(d, "u", "o", "k", {"ALL": F.lit(True)}, {"ok": F.col("ok"), "n": F.lit(1)}, {"share": F.col("ok") / F.col("n")}, many).collect()
     assert {(r.scenario, r.units, r.claims, r.value) for r in got} == {(f"s{i}", 1, 1, 1.0) if i % 2 else (f"s{i}", 1, 3, 0.5) for i in range(6)}
     assert seen[0].count("Generate") == 1 and seen[0].index("Generate") < seen[0].rindex("Aggregate")
+
+
+def test_a_case_is_drawn_once_for_all_of_its_groups(spark):
+    """The hash of a draw is made once by case and iteration, not for each group and number of draws."""
+    d = spark.createDataFrame([(i, "s", g, 1.0) for i in range(5) for g in "abc"], "c long, s string, g string, v double")
+    got = resampling.resampled_means(d, ["g"], "s", "c", "v", 10, "x")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.index("md5(") < plan.index("collect_list")
+    assert got.count() == 30
