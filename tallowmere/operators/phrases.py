@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.texts import HIGH_OVERLAP, ascii_normal, coverage, match_priority, pair_match, tokens
+from ..functions.texts import HIGH_OVERLAP, LEAST_TOKENS, ascii_normal, match_priority, tokens
 
 
 def from_packages(packages: DataFrame, package: str, evidence: str, field: str) -> DataFrame:
@@ -38,11 +38,19 @@ def candidates(texts: DataFrame, text_id: str, phrases: DataFrame, key: list[str
 
 
 def matches(texts: DataFrame, text_id: str, phrases: DataFrame, key: list[str]) -> DataFrame:
-    """``(text_id, key, match_type, coverage)`` of all pairs that match: EXACT, CONTAINED or HIGH_OVERLAP."""
-    pairs = candidates(texts, text_id, phrases, key)
-    j = pairs.join(phrases.select(*key, F.col("text").alias("__phrase")), key).join(texts.select(text_id, "text"), text_id)
-    kind, cov = pair_match(F.col("text"), F.col("__phrase")), coverage(tokens(F.col("text")), tokens(F.col("__phrase")))
-    return j.select(text_id, *key, kind.alias("match_type"), cov.alias("coverage")).where("match_type <> 'NONE'")
+    """``(text_id, key, match_type, coverage)`` of all pairs that match: EXACT, CONTAINED or HIGH_OVERLAP.
+
+    A phrase's words are looked for in the text as it stands, which is not cut into words for each pair; what shares too few is dropped first.
+    """
+    said = phrases.select(*key, F.col("text").alias("__phrase"), F.array_distinct(tokens(F.col("text"))).alias("__said"))
+    stands = texts.select(text_id, "text", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("__whole"))
+    j = candidates(texts, text_id, phrases, key).join(said, key).join(stands, text_id)
+    found = F.filter("__said", lambda w: F.col("__whole").contains(F.concat(F.lit(" "), w, F.lit(" "))))
+    j = j.withColumn("coverage", F.size(found) / F.size("__said")).where(F.col("coverage") >= HIGH_OVERLAP)
+    whole = F.col("__whole").contains(F.concat(F.lit(" "), F.col("__phrase"), F.lit(" ")))
+    long = F.size(tokens(F.col("__phrase"))) >= LEAST_TOKENS
+    kind = F.when(F.col("text") == F.col("__phrase"), "EXACT").when(long & whole, "CONTAINED").when(long, "HIGH_OVERLAP").otherwise("NONE")
+    return j.select(text_id, *key, kind.alias("match_type"), "coverage").where("match_type <> 'NONE'")
 
 
 def best(found: DataFrame, text_id: str, key: list[str]) -> DataFrame:

@@ -45,6 +45,14 @@ def test_a_common_word_lists_no_phrase_that_has_rarer_ones(spark):
     assert [r.id for r in phrases.candidates(d, "id", p, ["k"]).collect()] == [99]
 
 
+def test_texts_are_not_cut_into_words_for_each_pair(spark):
+    d = spark.createDataFrame([(i, "the odd phrase stands here") for i in range(3)], "id int, text string")
+    p = spark.createDataFrame([(1, "the odd phrase stands"), (2, "phrase the here odd not"), (3, "here the"), (4, "odd phrases stands the here here")], "k int, text string")
+    got = phrases.matches(d, "id", p, ["k"])
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.k, r.match_type, r.coverage) for r in got.collect()} == {(1, "CONTAINED", 1.0), (2, "HIGH_OVERLAP", 0.8), (4, "HIGH_OVERLAP", 0.8)}
+
+
 def test_phrases_come_out_of_nested_evidence(spark):
     d = spark.createDataFrame([("a", [("One, two!", 1), ("", 2), ("THREE", 3)]), ("b", [])], "pkg string, items array<struct<said:string,n:int>>")
     assert [tuple(r) for r in phrases.from_packages(d, "pkg", "items", "said").orderBy("place").collect()] == [("a", 0, "one two"), ("a", 2, "three")]
