@@ -146,12 +146,17 @@ def _as_good(points: DataFrame, by: str, v: Sequence[str], tolerance: float, blo
     # at most about 512 nodes a point
     cuts = 2 ** min(math.ceil(math.log2(max(1, n / block))), math.floor(2 * (512 ** (1 / len(v)) - 1)))
     edges = points.join(sizes.where(F.col("count") > block), by).groupBy(by).agg(*[F.percentile_approx(x, [k / cuts for k in range(1, cuts + 1)], max(10_000, 8 * cuts)).alias(f"__e{x}") for x in v])
-    d = points.join(edges, by, "left")
     repeated = lambda es: F.array_distinct(F.filter(es, lambda e, i: (i > 0) & (F.get(es, i - 1) == e)))
-    for x in v:
-        every = F.coalesce(f"__e{x}", F.array().cast("array<double>"))
-        d = d.withColumn(f"__h{x}", repeated(every)).withColumn(f"__e{x}", F.array_distinct(every))
-    below = lambda x, edge, frequent: F.size(F.filter(f"__e{x}", edge)) + F.size(F.filter(f"__h{x}", frequent)) + 1
+    own_edges = {f"__h{x}": repeated(F.col(f"__e{x}")) for x in v} | {f"__e{x}": F.array_distinct(f"__e{x}") for x in v}
+    # made by group, not again for each point
+    d = points.join(staged(edges.withColumns(own_edges)), by, "left").withColumns({n: F.coalesce(n, F.array().cast("array<double>")) for n in own_edges})
+
+    def first(es: str, less: Callable[[Column], Column]) -> Column:
+        """How many of the ascending ``es`` are ``less``, by halving: a point meets as many of them as their number has bits."""
+        bits = F.sequence(F.length(F.bin(F.size(es))) - 1, F.lit(0), F.lit(-1))
+        return F.aggregate(bits, F.lit(0), lambda a, i: a + F.when(less(F.get(es, a + F.call_function("shiftleft", F.lit(1), i) - 1)), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
+
+    below = lambda x, edge, frequent: first(f"__e{x}", edge) + first(f"__h{x}", frequent) + 1
 
     def placing(x: str) -> list[Column]:
         less = lambda e: e - F.col(x) < -tolerance

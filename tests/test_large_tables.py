@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallowmere import catalog
-from tallowmere.operators import preparation, resampling, suites
+from tallowmere.operators import decisions, preparation, resampling, suites
 from tallowmere.plans import inference
 
 from test_queries import cell
@@ -73,6 +73,16 @@ def test_ranks_read_the_lines_once(spark, small, monkeypatch):
     assert len(made) == 1 and "l_suppkey" not in plan
 
 
+def test_a_point_meets_few_of_the_edges(spark, monkeypatch):
+    """Edges grow in number with the points, so a point must neither go through all of its group's nor make them anew."""
+    seen, own = [], decisions.staged
+    monkeypatch.setattr(decisions, "staged", lambda d: seen.append(d._jdf.queryExecution().optimizedPlan().toString()) or own(d))
+    d = spark.range(600).selectExpr("id", "1 AS g", "id * 7919 % 601 / 1.0D AS x", "id * 104729 % 601 / 1.0D AS y")
+    assert decisions.pareto(d, "g", "id", ["x", "y"], block=16).agg(F.sum("dominates") - F.sum("dominated_by")).first()[0] == 0
+    placed = [p for p in seen if "AS __p__v0" in p]
+    assert len(placed) == 2 and not any("array_distinct(" in p or "filter(__" in p for p in placed)
+
+
 @pytest.mark.parametrize(("name", "column"), [("sensitivity_suites", "l_returnflag"), ("sensitivity_conclusions", "l_returnflag")])
 def test_claims_are_added_up_once_for_all_scenarios(spark, small, name, column):
     """Ranks, the primary scenario and the best options come from stored sums; the claims aren't read again for each."""
