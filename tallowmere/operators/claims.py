@@ -73,39 +73,41 @@ def concept_view(items: DataFrame) -> DataFrame:
 
     Directions of a concept's features are one, or mixed; the strongest feature gives its strength.
     """
-    return _by_concept(items).where("concept_id is not null")
-
-
-def _by_concept(items: DataFrame, *more: Column) -> DataFrame:
-    """:func:`concept_view` with a row for the items without concept, which no rank counts, and ``more`` aggregates."""
     from pyspark.sql import Window as W
 
     d = singular(F.col("direction"))
     # counts and extremes instead of distinct counts, for each of which Spark would repeat the rows
     several = (count_where(d == "increase_risk") > 0) & (count_where(d == "decrease_risk") > 0)
     mixed = several | (count_where(d == "mixed") > 0)
-    g = items.groupBy("package_id", "concept_id").agg(
+    g = items.where("concept_id is not null").groupBy("package_id", "concept_id").agg(
         F.when(mixed, "mixed").when(F.min(d) == F.max(d), F.min(d)).otherwise("unknown").alias("c_direction"),
-        F.sum("abs_shap_value").alias("c_mass"), F.count("*").alias("c_features"), F.max_by("strength", F.struct("abs_shap_value", "feature_id")).alias("c_strength"), *more,
+        F.sum("abs_shap_value").alias("c_mass"), F.count("*").alias("c_features"), F.max_by("strength", F.struct("abs_shap_value", "feature_id")).alias("c_strength"),
     )
-    none = F.col("concept_id").isNull()
-    return g.withColumn("c_rank", F.rank().over(W.partitionBy("package_id", none).orderBy(F.desc("c_mass")))).withColumn("c_tied", F.count("*").over(W.partitionBy("package_id", none, "c_mass")) > 1)
+    return g.withColumn("c_rank", F.rank().over(W.partitionBy("package_id").orderBy(F.desc("c_mass")))).withColumn("c_tied", F.count("*").over(W.partitionBy("package_id", "c_mass")) > 1)
 
 
 def shown(items: DataFrame) -> DataFrame:
-    """``(package_id, p_features, p_items, p_concepts)``: what a package shows, its features and its concepts, in one row.
+    """``(package_id, p_features, p_items, p_concepts, p_n_concepts, p_mixed)``: what a package shows, its features and its concepts, in one row.
 
-    Items are dealt by package once; all that follows stays where they lie.  A package is what an author was shown, so it fits a row.
+    Items are dealt and collected by package once; its concepts, as in :func:`concept_view` with ``mass`` instead of ranks, are made
+    within the row.  A package is what an author was shown, so it fits a row.
     """
-    from pyspark.sql import Window as W
+    i = items.withColumn("__d", singular(F.col("direction")))
+    item = F.struct("feature_id", "concept_id", F.col("abs_shap_value").cast("double").alias("abs_shap_value"), F.col("__d").alias("direction"), (F.col("direction") != F.col("__d")).alias("normalised"), "rank", "strength")
+    g = i.groupBy("package_id").agg(F.collect_list(item).alias("p_items"))
+    names = F.array_distinct(F.filter(F.col("p_items")["concept_id"], lambda k: k.isNotNull()))
+    own = F.transform(names, lambda k: F.struct(k.alias("concept_id"), F.filter("p_items", lambda x: x["concept_id"] == k).alias("own")))
+    own = F.transform(own, lambda c: F.struct(c["concept_id"].alias("concept_id"), c["own"].alias("own"), F.array_distinct(F.filter(c["own"]["direction"], lambda d: d.isNotNull())).alias("ways")))
 
-    i = items.withColumn("p_features", F.count("*").over(W.partitionBy("package_id")))
-    d = singular(F.col("direction"))
-    item = F.struct("feature_id", F.lower("feature_id").alias("lower"), "abs_shap_value", d.alias("direction"), (F.col("direction") != d).alias("normalised"), "rank", "strength")
-    g = _by_concept(i, F.collect_list(item).alias("__items"), F.max("p_features").alias("p_features"))
-    names = ("direction", "features", "strength", "rank", "tied")
-    concept = F.when(F.col("concept_id").isNotNull(), F.struct("concept_id", *[F.col(f"c_{n}").alias(n) for n in names]))
-    return g.groupBy("package_id").agg(F.max("p_features").alias("p_features"), F.flatten(F.collect_list("__items")).alias("p_items"), F.collect_list(concept).alias("p_concepts"))
+    def concept(c: Column) -> Column:
+        has = lambda d: F.array_contains(c["ways"], d)
+        direction = F.when((has("increase_risk") & has("decrease_risk")) | has("mixed"), "mixed").when(F.size(c["ways"]) == 1, F.get(c["ways"], 0)).otherwise("unknown")
+        mass = F.aggregate(c["own"]["abs_shap_value"], F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x, a, x))
+        strongest = F.array_max(F.transform(c["own"], lambda x: F.struct(x["abs_shap_value"], x["feature_id"], x["strength"].alias("strength"))))
+        return F.struct(c["concept_id"].alias("concept_id"), direction.alias("direction"), mass.alias("mass"), F.size(c["own"]).cast("long").alias("features"), strongest["strength"].alias("strength"))
+
+    g = g.withColumn("p_concepts", F.transform(own, concept))
+    return g.select("package_id", F.size("p_items").cast("long").alias("p_features"), "p_items", "p_concepts", F.size("p_concepts").alias("p_n_concepts"), F.array_contains(F.col("p_concepts")["direction"], "mixed").alias("p_mixed"))
 
 
 def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataFrame:
@@ -123,16 +125,24 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
     p = packages.drop(*own).withColumn("p_known", F.lit(True))
     # what the rules take from texts goes along instead of these, and packages and what they show meet the claims in one deal of these
     over, guarded = r"(?i)\b(will certainly|guarantees?( that)?|absolutely accurate)\b", r"(?i)\b(not|cannot|can't|no)\b[^.]{0,40}\b(guarantee|certain|accurate)"
-    c = claims.withColumn("__said", F.replace(F.regexp_extract("source_text", r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(","), F.lit(".")).try_cast("double") / 100)
-    c = c.withColumn("__over", F.col("source_text").rlike(over) & ~F.col("source_text").rlike(guarded))
+    # only where a rule asks for it: texts are searched for each claim, and a text without number is no number
+    sure = F.col("certainty") == "deterministic"
+    number = F.nullif(F.regexp_extract("source_text", r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(""))
+    c = claims.withColumn("__said", F.when((F.col("claim_type") == "prediction") & (F.col("claim_subtype") == "OVERALL_PROBABILITY"), F.replace(number, F.lit(","), F.lit(".")).try_cast("double") / 100))
+    c = c.withColumn("__over", F.when(sure & F.col("claim_type").isin("uncertainty", "recommendation"), F.col("source_text").rlike(over) & ~F.col("source_text").rlike(guarded)))
     j = c.join(p, "package_id", "left").join(shown(items), "package_id", "left")
     # one feature and one concept at most
-    j = j.withColumn("__f", F.get(F.filter("p_items", lambda x: x["feature_id"] == F.col("feature_id")), 0)).withColumn("__c", F.get(F.filter("p_concepts", lambda x: x["concept_id"] == F.col("concept_id")), 0))
-    j = j.withColumns({f"f_{n}": F.col("__f")[n] for n in ("direction", "normalised", "rank", "strength")} | {f"c_{n}": F.col("__c")[n] for n in ("direction", "features", "strength", "rank", "tied")})
-    alike = F.size(F.filter("p_items", lambda x: x["abs_shap_value"].eqNullSafe(F.col("__f")["abs_shap_value"])))
-    j = j.withColumns({"f_tied": alike > 1, "f_shown": F.when(F.col("__f").isNotNull(), True), "c_shown": F.when(F.col("__c").isNotNull(), True)})
-    j = j.withColumns({"p_alias": F.exists("p_items", lambda x: x["lower"] == F.lower("feature_id")), "p_mixed": F.exists("p_concepts", lambda x: x["direction"] == "mixed"), "p_n_concepts": F.size("p_concepts")})
-    col = F.col
+    found = lambda name, rows: F.when(F.col(name).isNotNull(), F.get(F.col(rows), (F.array_position(F.col(rows)[name], F.col(name)) - 1).cast("int")))
+    j = j.withColumns({"__f": found("feature_id", "p_items"), "__c": found("concept_id", "p_concepts")})
+    # within the rules, not columns: what a package shows would be copied with the claim for each step, and searched for claims whose rule doesn't ask.
+    # Searches also keep the rules out of one generated method, which would be too long for Java to compile
+    alike = lambda rows, x, y: F.size(F.filter(rows, lambda r: r[y].eqNullSafe(F.col(x)[y])))
+    own = F.col("__c")["mass"]
+    ahead = F.size(F.filter("p_concepts", lambda r: F.coalesce(r["mass"] > own, r["mass"].isNotNull() & own.isNull())))
+    made = {f"f_{n}": F.col("__f")[n] for n in ("direction", "normalised", "rank", "strength")} | {f"c_{n}": F.col("__c")[n] for n in ("direction", "features", "strength")}
+    made |= {"f_shown": F.when(F.col("__f").isNotNull(), True), "c_shown": F.when(F.col("__c").isNotNull(), True), "p_alias": F.exists("p_items", lambda x: F.lower(x["feature_id"]) == F.lower("feature_id"))}
+    made |= {"f_tied": alike("p_items", "__f", "abs_shap_value") > 1, "c_tied": alike("p_concepts", "__c", "mass") > 1, "c_rank": ahead + 1}
+    col = lambda n: made.get(n, F.col(n))
     s0 = col("evidence_level") == "S0"
     feature = col("feature_id").isNotNull()
     claimed_label = F.when(col("direction") == "increase_risk", True).when(col("direction") == "decrease_risk", False)
@@ -166,7 +176,7 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
         (s0, "MAGNITUDE_NOT_EXPOSED"), (col("claim_subtype").isin("COMPARATIVE_STRENGTH", "OVERALL_BALANCE"), "MAGNITUDE_SEMANTICS_UNSUPPORTED"), (seen.isNull(), "MAGNITUDE_UNSUPPORTED"),
         (~F.coalesce(shown_strength.isin(*STRENGTHS), F.lit(False)), "MAGNITUDE_SOURCE_MISSING"), (more > 0, "MAGNITUDE_OVERSTATED"), (more < 0, "MAGNITUDE_UNDERSTATED"), otherwise="MAGNITUDE_MATCH",
     )
-    sure, overclaim = col("certainty") == "deterministic", col("__over")
+    overclaim = col("__over")
     uncertainty = _reason((sure & overclaim, "CERTAINTY_OVERCLAIM"), (col("claim_subtype") == "CONFIDENCE_STRENGTH", "SEMANTIC_SOURCE_UNFROZEN"), ((col("claim_subtype") == "EVIDENCE_SCOPE_UNCERTAINTY") & ~s0, "UNCERTAINTY_NOT_GROUNDED"), ((col("claim_subtype") == "PROBABILITY_HEDGE") & (col("certainty") == "probabilistic"), "NORMALIZED_MATCH"), ((col("claim_subtype") == "PROBABILITY_HEDGE") & (col("certainty") != "hedged"), "UNCERTAINTY_NOT_GROUNDED"), otherwise="EXACT_MATCH")
     grounded = F.when(col("claim_subtype") == "MULTIPLE_FEATURES", col("p_features") > 1).when(col("claim_subtype") == "MULTIPLE_CONCEPTS", col("p_n_concepts") > 1).when(col("claim_subtype") == "MIXED_DIRECTIONS", F.coalesce("p_mixed", F.lit(False)))
     distributed = _reason((grounded, "EXACT_MATCH"), (~grounded, "POLICY_RULE_NOT_APPLICABLE"), otherwise="SEMANTIC_SOURCE_UNFROZEN")

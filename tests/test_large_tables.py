@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallowmere import catalog
-from tallowmere.operators import decisions, preparation, resampling, suites
+from tallowmere.operators import claims, decisions, preparation, resampling, suites
 from tallowmere.plans import inference
 
 from test_queries import cell
@@ -41,6 +41,20 @@ def test_claims_and_evidence_are_dealt_once(spark, small, name, most):
     assert 0 < plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= most
 
 
+def test_what_a_package_shows_is_collected_once(spark):
+    """Its concepts are made within its row: items, dealt before, are neither grouped again nor sorted for ranks; texts of claims are searched where a rule asks."""
+    items = spark.createDataFrame([("p", "a", "k", "increases_risk", 2.0, 1, "weak"), ("p", "b", "k", "decrease_risk", 3.0, 2, "strong"), ("p", "c", None, "neutral", 9.0, 3, None), ("p", "d", "m", None, None, 4, "weak"), ("q", "a", "n", "neutral", 1.0, 1, "weak")], "package_id string, feature_id string, concept_id string, direction string, abs_shap_value double, rank int, strength string")
+    got = claims.shown(items)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Window" not in plan
+    rows = {r.package_id: r for r in got.collect()}
+    assert (rows["p"].p_features, rows["p"].p_n_concepts, rows["p"].p_mixed, rows["q"].p_mixed) == (4, 2, True, False)
+    assert sorted(map(tuple, rows["p"].p_concepts)) == [("k", "mixed", 5.0, 2, "strong"), ("m", "unknown", None, 1, "weak")]
+    view = claims.concept_view(items).collect()
+    seen = {(r.package_id, r.concept_id, r.c_direction, r.c_mass, r.c_features, r.c_strength) for r in view}
+    assert seen == {(k, *c) for k, r in rows.items() for c in map(tuple, r.p_concepts)}
+
+
 def test_scores_read_the_split_that_the_model_was_fitted_on(spark, small):
     """The hashes that split the lines are made once, not again for each reader."""
     assert "md5(" not in catalog.QUERIES["model_scores"](spark, small)._jdf.queryExecution().executedPlan().toString()
