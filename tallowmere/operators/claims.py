@@ -110,6 +110,23 @@ def shown(items: DataFrame) -> DataFrame:
     return g.select("package_id", F.size("p_items").cast("long").alias("p_features"), "p_items", "p_concepts", F.size("p_concepts").alias("p_n_concepts"), F.array_contains(F.col("p_concepts")["direction"], "mixed").alias("p_mixed"))
 
 
+def heard(claims: DataFrame) -> DataFrame:
+    """``claims`` with what the rules take from texts: ``__said``, a probability, and ``__over``, whether too much is claimed."""
+    over, guarded = r"(?i)\b(will certainly|guarantees?( that)?|absolutely accurate)\b", r"(?i)\b(not|cannot|can't|no)\b[^.]{0,40}\b(guarantee|certain|accurate)"
+    # only where a rule asks for it: texts are searched for each claim, and a text without number is no number
+    sure = F.col("certainty") == "deterministic"
+    number = F.nullif(F.regexp_extract("source_text", r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(""))
+    c = claims.withColumn("__said", F.when((F.col("claim_type") == "prediction") & (F.col("claim_subtype") == "OVERALL_PROBABILITY"), F.replace(number, F.lit(","), F.lit(".")).try_cast("double") / 100))
+    return c.withColumn("__over", F.when(sure & F.col("claim_type").isin("uncertainty", "recommendation"), F.col("source_text").rlike(over) & ~F.col("source_text").rlike(guarded)))
+
+
+def met(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataFrame:
+    """``claims`` with their package and what it shows, in one deal by package; for the tables see :func:`validated`."""
+    own = [x for x in packages.columns if x != "package_id" and x in claims.columns]
+    p = packages.drop(*own).withColumn("p_known", F.lit(True))
+    return claims.join(p, "package_id", "left").join(shown(items), "package_id", "left")
+
+
 def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataFrame:
     """``claims`` with exposure_state, reason_code, reason_family, validation_status and execution_status.
 
@@ -121,18 +138,16 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
     strength)``, what the package shows.  Each claim joins its package, where at most one feature and one
     concept are its own; a claim without package gets the status of a failed check, and no claim is lost.
     """
-    own = [x for x in packages.columns if x != "package_id" and x in claims.columns]
-    p = packages.drop(*own).withColumn("p_known", F.lit(True))
     # what the rules take from texts goes along instead of these, and packages and what they show meet the claims in one deal of these
-    over, guarded = r"(?i)\b(will certainly|guarantees?( that)?|absolutely accurate)\b", r"(?i)\b(not|cannot|can't|no)\b[^.]{0,40}\b(guarantee|certain|accurate)"
-    # only where a rule asks for it: texts are searched for each claim, and a text without number is no number
-    sure = F.col("certainty") == "deterministic"
-    number = F.nullif(F.regexp_extract("source_text", r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(""))
-    c = claims.withColumn("__said", F.when((F.col("claim_type") == "prediction") & (F.col("claim_subtype") == "OVERALL_PROBABILITY"), F.replace(number, F.lit(","), F.lit(".")).try_cast("double") / 100))
-    c = c.withColumn("__over", F.when(sure & F.col("claim_type").isin("uncertainty", "recommendation"), F.col("source_text").rlike(over) & ~F.col("source_text").rlike(guarded)))
-    j = c.join(p, "package_id", "left").join(shown(items), "package_id", "left")
+    out = judged(met(heard(claims), packages, items))
+    return out.select(*claims.columns, "exposure_state", "reason_code", "reason_family", "validation_status", "execution_status")
+
+
+def judged(j: DataFrame) -> DataFrame:
+    """Claims that were :func:`heard` and have :func:`met` their package, with the columns that :func:`validated` adds; each is judged in its row."""
     # one feature and one concept at most
     found = lambda name, rows: F.when(F.col(name).isNotNull(), F.get(F.col(rows), (F.array_position(F.col(rows)[name], F.col(name)) - 1).cast("int")))
+    columns, sure = j.columns, F.col("certainty") == "deterministic"
     j = j.withColumns({"__f": found("feature_id", "p_items"), "__c": found("concept_id", "p_concepts")})
     # within the rules, not columns: what a package shows would be copied with the claim for each step, and searched for claims whose rule doesn't ask.
     # Searches also keep the rules out of one generated method, which would be too long for Java to compile
@@ -194,11 +209,10 @@ def validated(claims: DataFrame, packages: DataFrame, items: DataFrame) -> DataF
     t = col("claim_type")
     state = F.when(t.isin("feature_presence", "feature_direction"), feature_state).when(t.isin("concept_presence", "concept_direction"), concept_state).when(t.isin("ranking", "magnitude"), F.when(feature, feature_state).otherwise(concept_state)).when((t == "numeric") & feature, feature_state).when((t == "numeric") & col("concept_id").isNotNull(), concept_state).otherwise("NOT_APPLICABLE")
     # the reasons are a table of fixed size; a join also keeps the long expression from being planned several times
-    table = claims.sparkSession.createDataFrame(list(REASONS), "reason_code string, reason_family string, validation_status string")
-    out = j.withColumn("exposure_state", state).withColumn("reason_code", reason).select(*claims.columns, "exposure_state", "reason_code")
+    table = j.sparkSession.createDataFrame(list(REASONS), "reason_code string, reason_family string, validation_status string")
+    out = j.withColumn("exposure_state", state).withColumn("reason_code", reason).select(*columns, "exposure_state", "reason_code")
     out = out.join(F.broadcast(table), "reason_code", "left")
-    out = out.withColumn("execution_status", F.when(col("validation_status").isNull(), "ERROR").otherwise("SUCCESS"))
-    return out.select(*claims.columns, "exposure_state", "reason_code", "reason_family", "validation_status", "execution_status")
+    return out.withColumn("execution_status", F.when(col("validation_status").isNull(), "ERROR").otherwise("SUCCESS"))
 
 
 def signature() -> Column:

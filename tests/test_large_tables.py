@@ -41,6 +41,15 @@ def test_claims_and_evidence_are_dealt_once(spark, small, name, most):
     assert 0 < plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= most
 
 
+def test_mutants_are_never_dealt(spark, small):
+    """Lines are dealt by order as they are; claims, and mutants of the supported ones, are made where these have met their package, and only counts leave."""
+    plan = catalog.QUERIES["validator_sensitivity"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Join LeftOuter, (package_id")
+    assert plan.index("AS package_id") < plan.index("RepartitionByExpression") and "collect_list" not in plan[: plan.index("Join LeftOuter, (package_id")]
+    lines = next(x for x in plan[plan.index("RepartitionByExpression") :].split("\n")[1:] if "Project" in x)
+    assert "AS" not in lines and "l_quantity" in lines
+
+
 def test_what_a_package_shows_is_collected_once(spark):
     """Its concepts are made within its row: items, dealt before, are neither grouped again nor sorted for ranks; texts of claims are searched where a rule asks."""
     items = spark.createDataFrame([("p", "a", "k", "increases_risk", 2.0, 1, "weak"), ("p", "b", "k", "decrease_risk", 3.0, 2, "strong"), ("p", "c", None, "neutral", 9.0, 3, None), ("p", "d", "m", None, None, 4, "weak"), ("q", "a", "n", "neutral", 1.0, 1, "weak")], "package_id string, feature_id string, concept_id string, direction string, abs_shap_value double, rank int, strength string")
