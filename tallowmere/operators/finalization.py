@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identity import digest
-from .ranking import least_row
+from .ranking import preferred
 
 CLAIM = (
     "generation_id", "claim_id", "local_claim_index", "source_section", "source_factor_id", "source_text", "source_span_start", "source_span_end", "claim_type", "subject_type",
@@ -37,12 +37,21 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), r"\s+", " ")
 
 
-def number(raw: Column) -> Column:
-    """The number that a text of :data:`NUMBER` writes, in English or continental grouping; NULL where it is neither."""
-    c = F.regexp_replace(raw, r"[%\s  ]", "")
+def bare_number(raw: Column) -> Column:
+    """``raw`` without blanks and per cent sign."""
+    return F.translate(raw, "% \t\n\x0b\f\r\u00a0\u202f", "")
+
+
+def number(raw: Column, bare: bool = False) -> Column:
+    """The number that a text of :data:`NUMBER` writes, in English or continental grouping; NULL where it is neither.
+
+    ``bare``: ``raw`` comes from :func:`bare_number`.
+    """
+    c = raw if bare else bare_number(raw)
     english, continental = c.rlike(r"^[+-]?[1-9]\d{0,2}(,\d{3})+(\.\d+)?$"), c.rlike(r"^[+-]?[1-9]\d{0,2}(\.\d{3})+(,\d+)?$")
     normal = (
-        F.when(english, F.replace(c, F.lit(","), F.lit("")))
+        F.when(c.rlike(r"^[+-]?\d+$"), c)  # most are, and no other form is meant then
+        .when(english, F.replace(c, F.lit(","), F.lit("")))
         .when(continental, F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(c.rlike(r"^[+-]?\d+,\d+$"), F.replace(c, F.lit(","), F.lit(".")))
         .when(c.rlike(r"^[+-]?\d+(\.\d+)?$"), c)
@@ -50,13 +59,23 @@ def number(raw: Column) -> Column:
     return normal.try_cast("double")
 
 
-def number_place(text: Column, value: Column) -> Column:
-    """``(start, text)`` of the first number in ``text`` that equals ``value``; NULL where none does."""
-    found, between = F.regexp_extract_all(text, F.lit(NUMBER), 0), F.split(text, NUMBER, -1)
-    hit = F.array_position(F.transform(found, lambda x: F.coalesce(F.abs(number(x) - value) <= 1e-9, F.lit(False))), True).cast("int")
-    length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda so, x: so + F.length(x))
-    start = length(found, hit - 1) + length(between, hit)
-    return F.when(hit > 0, F.struct(start.alias("start"), F.get(found, hit - 1).alias("text")))
+def with_number_place(claims: DataFrame, text: str = "source_text", value: str = "numeric_value") -> DataFrame:
+    """``__at_start`` and ``__at_text`` of the first number in ``text`` that equals ``value``; NULL where none does.
+
+    Each step is a column, made once and only for claims with a value; the first number is tried before the others.
+    """
+    found, hit, between = F.col("__found"), F.col("__hit"), F.col("__between")
+    alike = lambda x, bare=False: F.coalesce(F.abs(number(x, bare) - F.col(value)) <= 1e-9, F.lit(False))
+    length = lambda parts, n: F.length(F.array_join(F.slice(parts, 1, n), ""))
+    c = claims.withColumn("__found", F.when(F.col(value).isNotNull(), F.regexp_extract_all(text, F.lit(NUMBER), 0)))
+    c = c.withColumn("__bare", bare_number(F.get(found, F.lit(0))))
+    others = F.array_position(F.transform(found, lambda x: alike(x)), True).cast("int")
+    c = c.withColumn("__hit", F.when(alike(F.col("__bare"), True), 1).when(F.size(found) > 1, F.nullif(others, F.lit(0))))
+    # what lies before each number
+    c = c.withColumn("__between", F.when(hit.isNotNull(), F.regexp_extract_all(text, F.lit(rf"(?s)(.*?)(?:{NUMBER})"), 1)))
+    start = length(between, hit) + F.when(hit > 1, length(found, hit - 1)).otherwise(0)
+    c = c.withColumns({"__at_start": F.when(hit.isNotNull(), start), "__at_text": F.get(found, hit - 1)})
+    return c.drop("__found", "__bare", "__hit", "__between")
 
 
 def split_numbers(claims: DataFrame) -> DataFrame:
@@ -65,56 +84,52 @@ def split_numbers(claims: DataFrame) -> DataFrame:
     A numeric claim's source is the number alone, where its text has it.  The role of a derived one is its own, or follows from
     its type and subject.  ``rules`` notes what was done; running it again does nothing.
     """
-    at = number_place(F.col("source_text"), F.col("numeric_value"))
-    c = claims.withColumn("__at", F.when(F.col("numeric_value").isNotNull(), at))
-    numeric = F.col("claim_type") == "numeric"
-    carried = ~numeric & F.col("numeric_value").isNotNull()
+    c = with_number_place(claims)
+    numeric = F.coalesce(F.col("claim_type") == "numeric", F.lit(False))
+    carried = (F.col("claim_type") != "numeric") & F.col("numeric_value").isNotNull()
+    # only which of its rows it is comes twice; what it says follows from that. No list is empty, and explode would have Spark make it once more to see
+    c = c.withColumn("__row", F.explode_outer(F.when(carried, F.array(F.lit("bare"), F.lit("derived"))).otherwise(F.array(F.lit("own")))))
+    bare, derived = F.col("__row") == "bare", F.col("__row") == "derived"
+    there = F.col("__at_text").isNotNull() & (derived | (~bare & numeric))
     role = F.when(F.col("claim_type") == "ranking", "rank").when(F.col("subject_type") == "prediction", "prediction_score").when(F.col("subject_type") == "feature", "feature_value").otherwise("other")
-    place = {
-        "source_text": F.coalesce("__at.text", "source_text"),
-        "source_span_start": F.col("source_span_start") + F.coalesce("__at.start", F.lit(0)),
-        "source_span_end": F.when(F.col("__at").isNotNull(), F.col("source_span_start") + F.col("__at.start") + F.length("__at.text")).otherwise(F.col("source_span_end")),
-    }
-    derived = place | {
-        "claim_type": F.lit("numeric"), "direction": F.lit("unknown"), "magnitude": F.lit(None).cast("string"), "causal_strength": F.lit("none"),
-        "numeric_role": F.coalesce("numeric_role", role), "claim_origin": F.lit("derived_numeric"), "local_claim_index": F.lit(0).cast("long"),
+    start = F.col("source_span_start") + F.col("__at_start")
+    own = {
+        "source_text": (there, F.col("__at_text")), "source_span_start": (there, start), "source_span_end": (there, start + F.length("__at_text")),
+        "claim_type": (derived, F.lit("numeric")), "direction": (derived, F.lit("unknown")), "magnitude": (derived, F.lit(None)), "causal_strength": (derived, F.lit("none")), "claim_origin": (derived, F.lit("derived_numeric")),
+        "local_claim_index": (derived, F.lit(0)), "numeric_value": (bare, F.lit(None)), "numeric_unit": (bare, F.lit(None)), "numeric_role": (bare | derived, F.when(derived, F.coalesce("numeric_role", role))),
     }
-    bare = {k: F.lit(None) for k in ("numeric_value", "numeric_unit", "numeric_role")}
-    more = [x for x in claims.columns if x not in CLAIM]
-
-    def row(change: dict[str, Column], rule: Column) -> Column:
-        fields = [change.get(k, F.col(k)).cast(claims.schema[k].dataType).alias(k) for k in (*CLAIM[1:], *more) if k != "rules"]
-        return F.struct(*fields, F.array_compact(F.array_union(F.coalesce("rules", F.array().cast("array<string>")), F.array(rule))).alias("rules"))
-
-    if "rules" not in claims.columns:
-        c = c.withColumn("rules", F.array().cast("array<string>"))
-    moved = numeric & ((F.col("__at.text") != F.col("source_text")) | (F.col("__at.start") != 0))
-    rows = F.when(carried, F.array(row(bare, F.lit("NUMBER_SPLIT_OFF")), row(derived, F.lit("DERIVED_NUMERIC")))).otherwise(
-        F.array(F.when(numeric & F.col("__at").isNotNull(), row(place, F.when(moved, "MINIMIZE_NUMERIC_SOURCE"))).otherwise(row({}, F.lit(None).cast("string"))))
-    )
-    return c.select("generation_id", F.explode(rows).alias("r")).select("generation_id", "r.*")  # a generation's rows stay where they lie
+    names = [k for k in claims.columns if k not in CLAIM and k != "rules"]
+
+    def field(k: str) -> Column:
+        return (F.when(own[k][0], own[k][1].cast(claims.schema[k].dataType)).otherwise(F.col(k)) if k in own else F.col(k)).alias(k)
+
+    moved = ~bare & ~derived & there & ((F.col("__at_text") != F.col("source_text")) | (F.col("__at_start") != 0))
+    none = F.array().cast("array<string>")
+    rule = F.when(bare, F.array(F.lit("NUMBER_SPLIT_OFF"))).when(derived, F.array(F.lit("DERIVED_NUMERIC"))).when(moved, F.array(F.lit("MINIMIZE_NUMERIC_SOURCE"))).otherwise(none)
+    if "rules" in claims.columns:
+        rule = F.array_compact(F.array_union(F.coalesce("rules", none), rule))
+    return c.select("generation_id", *[field(k) for k in (*CLAIM[1:], *names)], rule.alias("rules"))  # a generation's rows stay where they lie
 
 
-def count_facts(sections: DataFrame) -> DataFrame:
+def count_facts(sections: DataFrame, dealt: bool = False) -> DataFrame:
     """Counts that texts state: ``generation_id, target, value, source_section, source_factor_id, source_text, start, end``.
 
     ``sections(generation_id, source_section, source_factor_id, start, text)``.  Of one target and value the first place counts.  Places come
-    from the lengths of what lies before them, added up by section.  Sections that state a count are dealt once, by generation.
+    from the lengths of what lies before them.  Sections that state a count are dealt once, by generation (``dealt``: they lie so), and sorted once.
     """
-    pattern = rf"(?i)(\d+)\s+({COUNTED})(?=\s|[.,;:)]|$)"
-    sections = sections.select("generation_id", "source_section", "source_factor_id", "start", "text").where(F.col("text").rlike(pattern))
-    s = sections.repartition("generation_id").distinct().withColumn("__n", F.regexp_extract_all("text", F.lit(pattern), 0))
-    parts = F.arrays_zip(F.col("__n").alias("whole"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("digits"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("noun"), F.split("text", pattern, -1).alias("before"))
-    e = s.select("generation_id", "source_section", "source_factor_id", "start", F.posexplode(parts).alias("place", "p")).where("p.whole is not null")
-    so_far = W.partitionBy("generation_id", "source_section", "source_factor_id", "start").orderBy("place")
-    ahead = F.sum(F.length("p.before")).over(so_far) + F.coalesce(F.sum(F.length("p.whole")).over(so_far.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    noun = plain(F.col("p.noun"))
+    pattern = rf"(\d+)\s+({COUNTED})(?=\s|[.,;:)]|$)"
+    s = sections.select("generation_id", "source_section", "source_factor_id", "start", "text").where(F.col("text").rlike(f"(?i){pattern}"))
+    s = s if dealt else s.repartition("generation_id")
+    # counts, and texts from the end of one count to that of the next
+    s = s.select("generation_id", "source_section", "source_factor_id", "start", F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), 0).alias("__whole"), F.regexp_extract_all("text", F.lit(f"(?is).*?{pattern}"), 0).alias("__upto"))
+    e = s.select("generation_id", "source_section", "source_factor_id", "start", "__upto", F.posexplode_outer("__whole").alias("place", "whole"))
+    e = e.select("generation_id", "source_section", "source_factor_id", F.regexp_extract("whole", r"^\d+", 0).alias("source_text"), plain(F.regexp_extract("whole", r"(?s)^\d+\s+(.*)$", 1)).alias("__noun"),
+        (F.col("start") + F.length(F.array_join(F.slice("__upto", 1, F.col("place") + 1), "")) - F.length("whole")).alias("start"))
     target = F.when((F.col("source_section") == "factor_explanation") & F.col("source_factor_id").isNotNull(), F.concat(F.lit("factor_member_count:"), "source_factor_id")).otherwise("selected_evidence_count")
     for words, name in reversed(COUNT_TARGETS):
-        target = F.when(noun.rlike(words), name).otherwise(target)
-    first = F.col("start") + ahead
-    f = e.select("generation_id", target.alias("target"), F.col("p.digits").try_cast("double").alias("value"), "source_section", "source_factor_id", F.col("p.digits").alias("source_text"), first.alias("start"), (first + F.length("p.digits")).alias("end"))
-    return least_row(f.where(F.col("value") <= 2**53 - 1), ["generation_id", "target", "value"], ["start", "source_section"])
+        target = F.when(F.col("__noun").rlike(words), name).otherwise(target)
+    f = e.select("generation_id", target.alias("target"), F.col("source_text").try_cast("double").alias("value"), "source_section", "source_factor_id", "source_text", "start", (F.col("start") + F.length("source_text")).alias("end"))
+    return preferred(f.where(F.col("value") <= 2**53 - 1), ["generation_id", "target", "value"], ["start", "source_section", "source_factor_id", "source_text", "end"])
 
 
 def _as_count(fact: dict[str, Column]) -> dict[str, Column]:
@@ -137,33 +152,41 @@ def with_counts(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """
     g = W.partitionBy("generation_id")
     names = ("start", "target", "value", "source_section", "source_factor_id", "source_text", "end")
-    f = facts.groupBy("generation_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__facts"))
-    c = claims.join(f, "generation_id", "left").withColumn("__facts", F.coalesce("__facts", F.array().cast(f.schema["__facts"].dataType)))
+    # facts that were sorted to find the first of each need no other order
+    f = facts.select("generation_id", F.collect_list(F.struct(*names)).over(g).alias("__facts"), F.row_number().over(g.orderBy("target", "value")).alias("__n")).where("__n = 1").drop("__n")
+    c = claims.join(f, "generation_id", "left")
     numeric = F.coalesce(F.col("claim_type") == "numeric", F.lit(False))
     here = lambda x: (F.col("source_span_start") == x["start"]) & (F.col("source_span_end") == x["end"])
-    same = lambda x: F.coalesce(numeric & (F.col("numeric_value") == x["value"]), F.lit(False))
-    # facts have one target and value, so they are told apart by their place in the list
-    at = lambda test: F.filter(F.transform("__facts", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    same = lambda x: F.coalesce(F.col("numeric_value") == x["value"], F.lit(False))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    # facts have one target and value, so they are told apart by their place in the list; only numeric claims can state one
+    at = lambda test: F.when(numeric & F.col("__facts").isNotNull(), some(F.filter(F.transform("__facts", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())))
     c = c.withColumns({"__here": at(lambda x: same(x) & F.coalesce(here(x), F.lit(False))), "__alike": at(lambda x: same(x) & F.coalesce(F.col("target") == x["target"], F.lit(False)))})
-    some = lambda x: F.when(F.size(x) > 0, F.col(x))
     place = F.struct("source_span_start", "local_claim_index")
-    c = c.withColumns({"__met": F.array_distinct(F.flatten(F.collect_list(some("__here")).over(g))), "__named": F.array_distinct(F.flatten(F.collect_list(some("__alike")).over(g))), "__first": F.min(place).over(g)})
-    mine = F.array_distinct(F.array_union("__here", F.array_except("__alike", "__met")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__facts") - 1), F.array_union("__met", "__named"))
-    c = c.withColumns({"__one": F.array_min(F.transform(mine, lambda i: F.get("__facts", i))), "__left": F.when(F.size("__facts") > 0, left)})
+    c = c.withColumns({"__met": F.flatten(F.collect_list("__here").over(g)), "__named": F.flatten(F.collect_list("__alike").over(g)), "__first": F.min(place).over(g)})
+    none = F.array().cast("array<int>")
+    mine = F.array_union(F.coalesce("__here", none), F.array_except(F.coalesce("__alike", none), "__met"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__facts") - 1), F.concat("__met", "__named"))
+    c = c.withColumns({"__mine": F.when(F.col("__here").isNotNull() | F.col("__alike").isNotNull(), mine), "__left": F.when(F.col("__facts").isNotNull(), left)})
     # beyond its section a fact takes the first claim of all, so no other one competes there
     around = lambda x: F.coalesce(F.col("source_section") == x["source_section"], F.lit(False)) & F.col("source_factor_id").eqNullSafe(x["source_factor_id"])
-    tier = lambda x: F.when(around(x) & (F.col("source_span_start") <= x["start"]) & (F.col("source_span_end") >= x["end"]), 0).when(around(x), 1).when(place.eqNullSafe(F.col("__first")), 2)
-    added = F.filter(F.transform("__left", lambda i: F.struct(i.alias("i"), tier(F.get("__facts", i)).alias("tier"), F.get("__facts", i).alias("fact"))), lambda x: x["tier"].isNotNull())
-    kind = claims.schema
-    row = F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("tier"), F.col("__one").alias("fact"))
-    c = c.withColumn("__key", F.when(F.size("__left") > 0, digest(*[F.col(x).cast("string") for x in CLAIM])))
-    c = c.withColumn("__row", F.explode(F.concat(F.array(row), F.coalesce(added, F.array().cast("array<struct<i:int,tier:int,fact:struct<" + ",".join(f"{x}:{f.schema['__facts'].dataType.elementType[x].dataType.simpleString()}" for x in names) + ">>>")))))
-    order = W.partitionBy("generation_id", "__row.i").orderBy("__row.tier", "source_span_start", "local_claim_index", "__key")
-    c = c.withColumn("__place", F.row_number().over(order)).where("__row.i is null or __place = 1")
-    fact = {x: F.col("__row.fact")[x] for x in names}
-    as_count, stated = _as_count(fact), F.col("__row.fact").isNotNull()
-    rule = F.when(F.col("__row.i").isNotNull(), "COUNT_FACT_ADDED").otherwise("COUNT_FACT_CANONICALIZATION")
+    within = lambda x: F.coalesce((F.col("source_span_start") <= x["start"]) & (F.col("source_span_end") >= x["end"]), F.lit(False))
+    tier = lambda x: F.when(around(x), F.when(within(x), 0).otherwise(1)).when(F.col("__is_first"), 2)
+    # a fact's place and its tier as one number: a row of each claim, and one of each fact that it may be the model of
+    added = F.filter(F.transform("__left", lambda i: i * 3 + tier(F.get("__facts", i))), lambda x: x.isNotNull())
+    c = c.withColumn("__is_first", place.eqNullSafe(F.col("__first")))
+    c = c.withColumn("__rows", F.when(F.size("__left") > 0, F.concat(F.array(F.lit(-1)), added)).otherwise(F.array(F.lit(-1))))
+    least = F.when(F.size("__mine") == 1, F.get("__facts", F.get("__mine", F.lit(0)))).when(F.size("__mine") > 1, F.array_min(F.transform("__mine", lambda i: F.get("__facts", i))))
+    kind, whole_row = claims.schema, [F.col(x) for x in claims.columns]
+    c = c.withColumn("__one", least).select(*whole_row, "__facts", "__one", F.explode_outer("__rows").alias("__v"))
+    i = F.when(F.col("__v") >= 0, (F.col("__v") / 3).cast("int"))
+    c = c.select(*whole_row, F.coalesce(F.get("__facts", i), "__one").alias("__fact"), i.alias("__i"), (F.col("__v") % 3).alias("__tier"))
+    # rows that are alike in all of this say the same
+    order = W.partitionBy("generation_id", "__i").orderBy("__tier", "source_span_start", "local_claim_index", *[x for x in claims.columns if x not in ("generation_id", "source_span_start", "local_claim_index")])
+    c = c.withColumn("__place", F.row_number().over(order)).where("__i is null or __place = 1")
+    fact = {x: F.col("__fact")[x] for x in names}
+    as_count, stated = _as_count(fact), F.col("__fact").isNotNull()
+    rule = F.when(F.col("__i").isNotNull(), "COUNT_FACT_ADDED").otherwise("COUNT_FACT_CANONICALIZATION")
     whole = {x: F.when(stated, as_count[x].cast(kind[x].dataType)).otherwise(F.col(x)).alias(x) for x in as_count}
     return c.select(*[whole.get(x, F.col(x)) for x in claims.columns if x != "rules"], F.when(stated, F.array_union("rules", F.array(rule))).otherwise(F.col("rules")).alias("rules"))
 
@@ -184,19 +207,22 @@ def signature() -> Column:
     return F.concat_ws("|", kind, subject, tail)
 
 
-def finalized(claims: DataFrame, sections: DataFrame) -> DataFrame:
+def finalized(claims: DataFrame, sections: DataFrame, dealt: bool = False) -> DataFrame:
     """Final claims: numbers split off, counts stated, duplicates gone, ids from content, indices from 1 by place.
 
     Adds ``semantic_signature`` and ``rules`` (what was done to a claim).  ``claim_id`` is the digest of generation and signature, so running
-    it on its own result changes no row but empties ``rules``.  Claims are dealt once, by generation, whose claims come in one task's order.
+    it on its own result changes no row but empties ``rules``.  Claims are dealt once, by generation, whose claims come in one task's order; ``dealt``:
+    claims and sections lie so already.
     """
-    base = claims.select(*CLAIM).repartition("generation_id")
-    c = with_counts(split_numbers(base), count_facts(sections)).withColumn("semantic_signature", signature())
+    base = claims.select(*CLAIM)
+    base = base if dealt else base.repartition("generation_id")
+    c = with_counts(split_numbers(base), count_facts(sections, dealt)).withColumn("semantic_signature", signature())
     order = ["source_span_start", "source_span_end", "local_claim_index", "claim_id"]
-    c = least_row(c, ["generation_id", "semantic_signature"], order)
+    by = ["generation_id", "semantic_signature"]
+    c = preferred(c, by, order + [x for x in c.columns if x not in order + by])
     number_ = F.row_number().over(W.partitionBy("generation_id").orderBy("source_span_start", "source_span_end", "semantic_signature"))
     c = c.withColumns({"claim_id": digest(F.col("generation_id"), F.col("semantic_signature")), "local_claim_index": number_.cast("long")})
-    return c.select(*CLAIM, "semantic_signature", F.array_sort("rules").alias("rules"))
+    return c.select(*CLAIM, "semantic_signature", F.sort_array("rules").alias("rules"))
 
 
 def incomplete_counts(claims: DataFrame, facts: DataFrame) -> DataFrame:

@@ -119,8 +119,13 @@ def _pick(items, at):
     return F.get(F.array(*map(F.lit, items)), at.cast("int"))
 
 
-def _claims(spark, sf_dir):
-    """Lines as claims of an order's text, which has a section for each line."""
+def _claims(spark, sf_dir, dealt=False):
+    """Lines as claims of an order's text, which has a section for each line.
+
+    ``dealt``: lines are dealt by order as they are, before they become claims, which are several times as long.
+    """
+    lines = t(spark, sf_dir, "lineitem").withColumn("generation_id", F.col("l_orderkey").cast("string"))
+    lines = lines.repartition("generation_id") if dealt else lines
     n, k, s, q = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int")
     price = F.col("l_extendedprice").cast("decimal(15,2)")
     whole = F.floor(price).cast("long")
@@ -134,8 +139,8 @@ def _claims(spark, sf_dir):
     )
     value = F.when(k % 3 == 0, F.when(s % 4 == 1, whole).when(s % 4 == 2, share).otherwise(q)).cast("double")
     section = _pick(_SECTIONS, (k + s) % 6)
-    c = t(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("generation_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), n.cast("long").alias("local_claim_index"),
+    c = lines.select(
+        "generation_id", F.concat_ws("-", "generation_id", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), n.cast("long").alias("local_claim_index"),
         section.alias("source_section"), F.when(F.startswith(section, F.lit("factor")), F.concat(F.lit("f"), (k % 7).cast("string"))).alias("source_factor_id"), F.concat(_pick(_PHRASES, (k + n) % len(_PHRASES)), tail).alias("source_text"),
         ((((n.cast("long") * 100_000 + k) * 10_000 + s) * 100 + q) * 100).cast("long").alias("source_span_start"), _pick(_TYPES, k % 13).alias("claim_type"), _pick(_SUBJECTS, (k + n) % 8).alias("subject_type"),
         F.when(k % 4 < 2, F.concat(F.lit("p"), (k % 50).cast("string"))).alias("feature_id"), F.when(k % 4 == 2, F.concat(F.lit("b"), (k % 25).cast("string"))).alias("concept_id"),
@@ -255,9 +260,9 @@ _ORDER = "generation_id, local_claim_index, source_section, source_factor_id, so
            feature_id, concept_id, direction, magnitude, causal_strength, numeric_value, numeric_unit, numeric_role, claim_origin, target, semantic_signature, array_to_string(list_sort(rules), ',') AS rules FROM u""")
 def claims_finalized(spark, sf_dir):
     """The final claims of all orders: numbers in rows of their own, each stated count once, ids from content."""
-    c = _claims(spark, sf_dir)
+    c = _claims(spark, sf_dir, dealt=True)
     sections = c.select("generation_id", "source_section", "source_factor_id", F.col("source_span_start").alias("start"), F.col("source_text").alias("text"))
-    return fin.finalized(c, sections).withColumn("rules", F.array_join("rules", ","))
+    return fin.finalized(c, sections, dealt=True).withColumn("rules", F.array_join("rules", ","))
 
 
 #: The fields of an event's payload: name, kinds that it may have, values that it may take, least and greatest number.

@@ -54,6 +54,12 @@ def test_facts_have_targets_and_first_places(spark):
     }
 
 
+def test_texts_at_one_place_have_their_own_counts(spark):
+    """What lies before a count is of its own text, even where another text of the section begins at the same place."""
+    sections = spark.createDataFrame([("g", "prediction_summary", None, 0, "5 factors"), ("g", "prediction_summary", None, 0, "see\n7  signals, 15 signals")], "generation_id string, source_section string, source_factor_id string, start long, text string")
+    assert {r.value: (r.start, r.end) for r in fin.count_facts(sections).collect()} == {5.0: (0, 1), 7.0: (4, 5), 15.0: (16, 18)}
+
+
 def test_finalizing_twice_changes_nothing(spark):
     text = "5 factors in 2 groups, at 12 %"
     rows = [claim(1, text, 0, value=12.0), claim(2, text, 0, value=5.0, kind="distributed_evidence", subject_type="evidence"), claim(3, "more", 50, "feature_presence", feature_id="x"), claim(4, "again", 60, "feature_presence", feature_id="x"), claim(1, "alone", gen="other")]

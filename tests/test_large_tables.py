@@ -75,6 +75,14 @@ def test_final_claims_are_dealt_once(spark, small):
     assert 0 < plan.count("Exchange hashpartitioning") <= 2
 
 
+def test_what_final_claims_are_made_of_is_made_once(spark, small):
+    """Lines are dealt as they are; no list is made a second time to see whether it is empty, and no digest only to order rows."""
+    plan = catalog.QUERIES["claims_finalized"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.split("RepartitionByExpression")[1:]
+    assert len(dealt) == 2 and not any(" AS source_text" in d.split("Relation")[0] for d in dealt)
+    assert plan.count("sha2(") == 1 and not any("Filter" in x and "lambda" in x for x in plan.split("\n"))
+
+
 def test_rows_with_a_weight_are_not_dealt_by_their_class(spark):
     """Two classes would be two tasks; the weights go to the rows instead, even where Spark broadcasts nothing by itself."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
