@@ -119,13 +119,19 @@ def _pick(items, at):
     return F.get(F.array(*map(F.lit, items)), at.cast("int"))
 
 
+#: Of how many lines a task makes final claims.
+_LINES = 250_000
+
+
 def _claims(spark, sf_dir, dealt=False):
     """Lines as claims of an order's text, which has a section for each line.
 
     ``dealt``: lines are dealt by order as they are, before they become claims, which are several times as long.
     """
     lines = t(spark, sf_dir, "lineitem").withColumn("generation_id", F.col("l_orderkey").cast("string"))
-    lines = lines.repartition("generation_id") if dealt else lines
+    if dealt:
+        # Spark sizes tasks by the short lines, but what is made of them is sorted: it must fit a task's memory
+        lines = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // _LINES)), "generation_id")
     n, k, s, q = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int")
     price = F.col("l_extendedprice").cast("decimal(15,2)")
     whole = F.floor(price).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallowmere import catalog
 from tallowmere.operators import claims, decisions, preparation, resampling, suites
-from tallowmere.plans import inference
+from tallowmere.plans import finalization, inference
 
 from test_queries import cell
 
@@ -83,6 +83,14 @@ def test_what_final_claims_are_made_of_is_made_once(spark, small):
     assert plan.count("sha2(") == 1 and not any("Filter" in x and "lambda" in x for x in plan.split("\n"))
 
 
+def test_tasks_of_final_claims_have_few_lines(spark, small, monkeypatch):
+    """Tasks follow from the number of lines: by the bytes dealt they would sort more than fits their memory."""
+    monkeypatch.setattr(finalization, "_LINES", 100)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    plan = catalog.QUERIES["claims_finalized"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {-(-lines // 100)}), REPARTITION_BY_NUM") == 2
+
+
 def test_rows_with_a_weight_are_not_dealt_by_their_class(spark):
     """Two classes would be two tasks; the weights go to the rows instead, even where Spark broadcasts nothing by itself."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
